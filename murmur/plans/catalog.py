@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from murmur.plans import q_temporal  # noqa: F401
+from murmur.plans import q_temporal, q_users  # noqa: F401
 from murmur.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
