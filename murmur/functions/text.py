@@ -56,7 +56,7 @@ def html_unescape(s: pd.Series) -> pd.Series:
 def collapse_ws(c) -> Column:
     """Collapse whitespace runs to one space and trim (Python
     ``" ".join(x.split())``)."""
-    return F.trim(F.regexp_replace(col_(c), rf"[{SPACE}]+", " "), " ")
+    return F.trim(F.regexp_replace(col_(c), rf"[{SPACE}]+", " "), F.lit(" "))
 
 
 def strip_markup(c) -> Column:

@@ -87,12 +87,43 @@ def avg_rank_pct(rf: DataFrame) -> Column:
 def percentile_rank(df: DataFrame, value: str, out: str, group_cols: Sequence[str] = (),
                     *, buckets: int | None = None) -> DataFrame:
     """WIN-1: null-preserving percentile rank, joined back on the value."""
+    return percentile_ranks(df, {value: out}, group_cols, buckets=buckets)
+
+
+def percentile_ranks(df: DataFrame, mapping: dict[str, str], group_cols: Sequence[str] = (),
+                     *, buckets: int | None = None) -> DataFrame:
+    """WIN-1 for several columns. Every rank frame is built from the same
+    base and joined back in turn, so the plan stays linear in the number of
+    columns; with more than one column the base is checkpointed once so it
+    is not recomputed per column."""
     g = list(group_cols)
-    rf = rank_frame(df, value, g, buckets=buckets)
-    rf = rf.select(*g, F.col("_v").alias("_rv"), avg_rank_pct(rf).alias(out))
-    cond = [df[c] == rf[c] for c in g] + [F.col(value).cast("double") == rf["_rv"]]
-    joined = df.join(rf, cond, "left")
-    return joined.drop(*[rf[c] for c in g]).drop("_rv")
+    base = cut_lineage(df) if len(mapping) > 1 else df
+    out = base
+    for i, (value, name) in enumerate(mapping.items()):
+        rf = rank_frame(base, value, g, buckets=buckets)
+        gk = [f"_g{i}_{j}" for j in range(len(g))]
+        rf = rf.select(*[F.col(c).alias(a) for c, a in zip(g, gk)], F.col("_v").alias(f"_rv{i}"),
+                       avg_rank_pct(rf).alias(name))
+        cond = [F.col(c) == F.col(a) for c, a in zip(g, gk)] + [F.col(value).cast("double") == F.col(f"_rv{i}")]
+        cond_all = cond[0]
+        for c in cond[1:]:
+            cond_all = cond_all & c
+        out = out.join(rf, cond_all, "left").drop(*gk, f"_rv{i}")
+    return out
+
+
+def small_weighted_rank(dist: DataFrame, value: str, weight: str, out: str) -> DataFrame:
+    """Average-rank percentile over a frame of distinct *count* values with
+    row weights (value k held by ``weight`` rows). The number of distinct
+    count values is at most sqrt(2N) for N rows, so an ordered window over
+    this frame is small by construction."""
+    w = Window.orderBy(value)
+    below = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum(weight).over(Window.partitionBy())
+    nd = F.count(F.lit(1)).over(Window.partitionBy())
+    pct = (below + (F.col(weight) + 1) / 2.0) / n
+    return dist.select(value, F.when(nd == 1, F.lit(0.0)).otherwise(
+        F.least(F.greatest(pct, F.lit(0.0)), F.lit(1.0))).alias(out))
 
 
 def repetition_risk(df: DataFrame, count_col: str, out: str) -> DataFrame:
