@@ -104,7 +104,8 @@ def resolve_region(state_code, state, location, country, longest_match: bool = F
     if longest_match:
         found = F.filter(found, lambda n: ~F.exists(found, lambda m: (F.length(m) > F.length(n)) & m.contains(n)))
     prio = F.array_min(F.transform(found, lambda n: F.element_at(_name_priority(), n)))
-    by_name = F.element_at(F.array(*[F.lit(code) for _, code in STATE_NAMES]), prio + 1)
+    # guarded: element_at with a NULL index does not reliably yield NULL
+    by_name = F.when(prio.isNotNull(), F.get(F.array(*[F.lit(code) for _, code in STATE_NAMES]), prio))
 
     comma_codes = _valid_codes(F.regexp_extract_all(loc, F.lit(rf",[{SPACE}]*([A-Z]{{2}}){NA}"), 1))
     bare_codes = _valid_codes(F.regexp_extract_all(loc, F.lit(rf"{NB}([A-Z]{{2}}){NA}"), 1))
@@ -112,7 +113,7 @@ def resolve_region(state_code, state, location, country, longest_match: bool = F
     # alphabetical first code satisfying either rule
     codes_ok = F.array_sort(F.array_union(comma_codes, F.when(has_us_word, bare_codes)
                                           .otherwise(F.array().cast("array<string>"))))
-    by_code = F.element_at(codes_ok, 1)
+    by_code = F.get(codes_ok, 0)   # NULL when empty
 
     state_code_hit = F.array_contains(_codes(), sc)
     name_hit = F.element_at(_name_to_code(), st)

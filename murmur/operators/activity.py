@@ -161,3 +161,20 @@ def top_share(metrics: DataFrame, share: float = 0.01, value: str = "total_tweet
     s = rf.agg(F.sum(take * F.col("_v")).alias("top_volume"), F.first("_wsum").alias("_all"),
                F.first(k).alias("top_users"))
     return s.select("top_users", "top_volume", (F.col("top_volume") / F.col("_all")).alias("top_share"))
+
+
+def audit(df: DataFrame, user_col: str = "user_id", ts_col: str = "date", *, minimum: str = "p99",
+          max_users_pct: float = 1.0, max_tweets_pct: float = 10.0, materialise: bool = True):
+    """AGG-1..4 in one call: (metrics, wide thresholds, trade-offs, choice).
+
+    The per-user metrics feed five consumers (quantiles, log moments, MAD,
+    trade-offs, the filter); they are checkpointed once so the posts are
+    scanned once, not five times."""
+    from murmur.session import cut_lineage
+    m = user_metrics(df, user_col, ts_col)
+    if materialise:
+        m = cut_lineage(m)
+    wide = candidate_thresholds(m)
+    trade = tradeoffs(m, wide)
+    return m, wide, trade, select_threshold(trade, minimum=minimum, max_users_pct=max_users_pct,
+                                            max_tweets_pct=max_tweets_pct)

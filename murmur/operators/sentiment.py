@@ -233,7 +233,8 @@ def model_scores(df: DataFrame, text_col: str, predictor: Predictor, *, classes:
     toks = token_count(F.col(text_col))
     return out.withColumns({
         f"{prefix}score": F.col(prob_cols[-1]) - F.col(prob_cols[0]),
-        f"{prefix}label": F.element_at(F.array(*[F.lit(c) for c in classes]), label_idx.cast("int")),
+        f"{prefix}label": F.when(label_idx > 0, F.get(F.array(*[F.lit(c) for c in classes]),
+                                                      (label_idx - 1).cast("int"))),
         f"{prefix}token_count": F.least(toks, F.lit(max_tokens)).cast("int"),
         f"{prefix}truncated": toks > max_tokens})
 

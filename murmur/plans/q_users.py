@@ -69,10 +69,7 @@ def _metrics(spark, sf):
 
 
 def _audit(spark, sf):
-    m = _metrics(spark, sf)
-    wide = act.candidate_thresholds(m)
-    trade = act.tradeoffs(m, wide)
-    return m, wide, trade, act.select_threshold(trade)
+    return act.audit(b.events(spark, sf), "user_id", "ts")
 
 
 @query("agg_01_user_activity", oracle=f"""
@@ -86,7 +83,7 @@ def agg_01_user_activity(spark, sf):
 @query("agg_02_candidate_thresholds", oracle=f"""
 SELECT method, round(threshold, 6) AS threshold FROM ({LONG_SQL})""")
 def agg_02_candidate_thresholds(spark, sf):
-    return rounded(act.thresholds_long(act.candidate_thresholds(_metrics(spark, sf))))
+    return rounded(act.thresholds_long(_audit(spark, sf)[1]))
 
 
 @query("agg_03_threshold_tradeoffs", oracle=f"""
