@@ -304,12 +304,3 @@ def pro_06_spatial_validity(spark, sf):
     """PRO-6 with each document's first line as the free-text location."""
     d = docs(spark, sf).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("user_loc"))
     return pf.spatial_validity(d, "user_loc").drop("user_loc")
-
-
-@query("geo_01_resolve_region")
-def geo_01_resolve_region(spark, sf):
-    """GEO-1 + GEO-2 with the whole text as the location string."""
-    d = docs(spark, sf).select("doc_id", "text")
-    code, source = geo.resolve_region(F.lit(None), F.lit(None), F.col("text"), F.lit(None))
-    return d.select("doc_id", code.alias("state_code_resolved"), source.alias("state_code_source"),
-                    geo.region_class(code).alias("region_class"))
