@@ -64,7 +64,7 @@ def lng_03_language_id(spark, sf):
 
 # Two raters per labelled document: A from the labels, B from the length.
 RATERS_SQL = """
-SELECT l.doc_id, d.lang, (l.quality - l.toxic) * 0.8 AS a_score, tanh((d.n_chars - 2000.0) / 2000.0) AS b_score
+SELECT l.doc_id, d.lang, (l.quality - l.toxic) * CAST(0.8 AS DOUBLE) AS a_score, tanh((d.n_chars - 2000.0) / 2000.0) AS b_score
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 
 
