@@ -25,3 +25,13 @@ def require_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     if missing:
         raise ValueError(f"required columns are missing: {missing}")
     return df
+
+
+def safe_corr(a, b):
+    """Pearson correlation over pairwise-complete rows, NULL (not an ANSI
+    divide-by-zero error) when either side is constant."""
+    x = F.col(a) if isinstance(a, str) else a
+    y = F.col(b) if isinstance(b, str) else b
+    xm = F.when(y.isNotNull(), x.cast("double"))
+    ym = F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))

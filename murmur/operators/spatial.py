@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.classify import STATE_CODES
-from murmur.operators.common import with_scalars
+from murmur.operators.common import safe_corr, with_scalars
 
 
 def returns_mapping(df: DataFrame, *, state: str, a_votes: str, b_votes: str, total: str,
@@ -142,7 +142,7 @@ def representativeness(posts: DataFrame, returns: DataFrame, regions: DataFrame,
         "ratio_geo_to_votes", F.when(F.col("share_of_votes") > 0,
                                      F.col("share_of_geocoded") / F.col("share_of_votes")).otherwise(0.0)
     ).withColumn("low_confidence", F.col("n_tweets") < min_rows)
-    s1 = per_region.agg(F.corr("share_of_geocoded", "share_of_votes").alias("correlation_geo_vs_votes"),
+    s1 = per_region.agg(safe_corr("share_of_geocoded", "share_of_votes").alias("correlation_geo_vs_votes"),
                         F.count(F.when(F.col("low_confidence"), 1)).alias("low_confidence_states_count"))
     s2 = tagged.agg(F.coalesce(F.avg(F.when(mapped, F.col(score_col))), F.lit(0.0)).alias("mean_score_geocoded"),
                     F.coalesce(F.avg(F.when(~mapped, F.col(score_col))), F.lit(0.0)).alias("mean_score_non_geocoded"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.operators import rank as rk
-from murmur.operators.common import with_scalars
+from murmur.operators.common import safe_corr, with_scalars
 
 LABELS = ["negative", "neutral", "positive"]
 Z975 = 1.959963984540054
@@ -122,8 +122,8 @@ def agreement(df: DataFrame, *, a_score: str, b_score: str, a_label: str, b_labe
     base = base.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     # Spearman: Pearson on average ranks within the group (F-9 ranks)
     ranked = rk.percentile_ranks(base, {"_a": "_ra", "_b": "_rb"}, g)
-    aggs = [F.count(F.lit(1)).alias("record_count"), F.corr("_a", "_b").alias("pearson_r"),
-            F.corr("_ra", "_rb").alias("spearman_rho"),
+    aggs = [F.count(F.lit(1)).alias("record_count"), safe_corr("_a", "_b").alias("pearson_r"),
+            safe_corr("_ra", "_rb").alias("spearman_rho"),
             F.avg((F.col("_la") == F.col("_lb")).cast("double")).alias("label_agreement_rate"),
             F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_absolute_score_difference")]
     for i, la in enumerate(labels):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators import rank as rk
-from murmur.operators.common import with_scalars
+from murmur.operators.common import safe_corr, with_scalars
 
 
 def _blank(c: Column, dtype) -> Column:
@@ -120,7 +120,7 @@ def availability_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG-24: pairwise-complete correlations, all pairs in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    s = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    s = df.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return s.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                                                  F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("r")
                     ).select("r.*")

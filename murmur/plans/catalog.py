@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from murmur.plans import q_geo, q_models, q_spatial, q_summary, q_temporal, q_text, q_users  # noqa: F401
+from murmur.plans import q_geo, q_models, q_reliability, q_spatial, q_summary, q_temporal, q_text, q_users  # noqa: F401
 from murmur.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
