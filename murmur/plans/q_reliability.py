@@ -13,6 +13,7 @@ from murmur.operators import sentiment as se
 from murmur.operators import summaries as su
 from murmur.plans import bindings as b
 from murmur.plans.q_models import _strat, lexicon
+from murmur.plans.q_users import CHOICE_SQL, METRICS_SQL
 from murmur.plans.registry import query, rounded
 from murmur.session import cut_lineage
 from murmur.sources.tables import table
@@ -165,7 +166,24 @@ def chk_02_input_warnings(spark, sf):
     return qa.input_warnings(d, text_col="text", location_col="loc")
 
 
-@query("pro_04_user_representativeness")
+def _pr(x):
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN count(DISTINCT {x}) OVER () = 1 THEN 0.0 "
+            f"ELSE (rank() OVER (ORDER BY {x}) - 1 + (count(*) OVER (PARTITION BY {x}) + 1) / 2.0)"
+            f" / count({x}) OVER () END")
+
+
+@query("pro_04_user_representativeness", oracle=f"""
+WITH m AS ({METRICS_SQL}), c AS ({CHOICE_SQL}),
+r AS (SELECT *, {_pr('tweets_per_active_day')} AS ua, {_pr('CAST(total_tweets AS DOUBLE)')} AS uc FROM m)
+SELECT e.event_id, e.user_id, r.total_tweets, r.active_days, round(r.tweets_per_active_day, 6) AS tweets_per_active_day,
+       round(r.ua, 6) AS user_activity_percentile, round(r.uc, 6) AS user_contribution_percentile,
+       round(least(greatest((coalesce(r.ua, 0) + coalesce(r.uc, 0)) / nullif((r.ua IS NOT NULL)::INT + (r.uc IS NOT NULL)::INT, 0), 0), 1), 6)
+         AS user_representativeness_risk,
+       r.tweets_per_active_day <= c.selected_threshold AS retained_by_approved_activity_threshold,
+       round(c.selected_threshold, 6) AS approved_activity_threshold,
+       r.tweets_per_active_day IS NOT NULL AS user_audit_available,
+       'pre-filter user audit' AS activity_threshold_provenance
+FROM events e LEFT JOIN r ON CAST(e.user_id AS VARCHAR) = r.user_id, c""")
 def pro_04_user_representativeness(spark, sf):
     """PRO-4 over the event stream: per-row user activity/contribution ranks
     from the pre-filter audit, retained flag and provenance."""
@@ -176,7 +194,23 @@ def pro_04_user_representativeness(spark, sf):
     return rounded(out)
 
 
-@query("pro_07_temporal_coverage")
+@query("pro_07_temporal_coverage", oracle=f"""
+WITH r AS (SELECT ts AS event_time_utc FROM events WHERE event_type = 'error' ORDER BY value DESC, event_id LIMIT 4),
+c AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1),
+s AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM c),
+v AS (SELECT s.hour, CAST(coalesce(c.n, 0) AS DOUBLE) AS vol FROM s LEFT JOIN c USING (hour)),
+k AS (SELECT hour, {_pr('vol')} AS vs FROM v),
+e AS (SELECT ev.event_id, ev.ts, date_trunc('hour', ev.ts) AS tweet_hour,
+             (SELECT min(abs(epoch_us(ev.ts) - epoch_us(r.event_time_utc))) FROM r) / 3600000000.0 AS d FROM events ev),
+f AS (SELECT e.*, CASE WHEN e.ts IS NOT NULL THEN k.vs END AS vs,
+             CASE WHEN d IS NOT NULL THEN least(greatest(1.0 - d / 48.0, 0.0), 1.0) END AS ec
+      FROM e LEFT JOIN k ON e.tweet_hour = k.hour)
+SELECT event_id, round(d, 6) AS time_to_nearest_event_hours, tweet_hour, round(vs, 6) AS volume_spike_risk,
+       ts IS NOT NULL AS temporal_diagnostic_available, CASE WHEN ts IS NOT NULL THEN d <= 24 END AS event_window_flag,
+       round(ec, 6) AS event_concentration_risk,
+       round(CASE WHEN ts IS NOT NULL THEN least(greatest((coalesce(vs, 0) + coalesce(ec, 0))
+             / nullif((vs IS NOT NULL)::INT + (ec IS NOT NULL)::INT, 0), 0), 1) END, 6) AS temporal_coverage_risk
+FROM f""")
 def pro_07_temporal_coverage(spark, sf):
     """PRO-7 + WIN-4 over the event stream with the top-k registry."""
     ev = b.events(spark, sf).select("event_id", "ts")
@@ -184,7 +218,13 @@ def pro_07_temporal_coverage(spark, sf):
     return rounded(rows.drop("ts"))
 
 
-@query("win_02_robust_z_sigmoid")
+@query("win_02_robust_z_sigmoid", oracle="""
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2,
+                  quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
+SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice,
+       round(CASE WHEN o_totalprice IS NULL THEN NULL WHEN q3 - q1 IS NULL OR q3 - q1 = 0 THEN 0.0
+            ELSE 1.0 / (1.0 + exp(-least(greatest((o_totalprice - q2) / (q3 - q1), -40.0), 40.0))) END, 6)
+         AS totalprice_risk FROM orders, q""")
 def win_02_robust_z_sigmoid(spark, sf):
     """WIN-2 on order totals (exact median / IQR from the rank kernel)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
