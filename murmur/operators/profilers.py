@@ -116,13 +116,26 @@ def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
     base = df.select("*", F.sha2(t, 256).alias("_hx"), F.sha2(tx.duplicate_normal_form(t), 256).alias("_hn"),
                      F.sha2(tx.near_signature(t, signature_length), 256).alias("near_duplicate_cluster_id"),
                      F.coalesce(F.col(user_col).cast("string"), F.lit("__MISSING_USER_ID__")).alias("_u"))
-    ex = base.groupBy("_hx").agg(F.count(F.lit(1)).alias("post_clean_exact_duplicate_count"))
+    # One shuffle for all three groupings: every row contributes one tagged
+    # key per layer; the per-layer frames below are filters over the same
+    # aggregate exchange (Spark reuses it), so the regex/hash work on the
+    # texts runs once for the counts and once for the join probe.
+    keys = base.select(F.explode(F.array(
+        F.struct(F.lit("x").alias("kind"), F.col("_hx").alias("key"), F.col("_u").alias("u")),
+        F.struct(F.lit("n").alias("kind"), F.col("_hn").alias("key"), F.col("_u").alias("u")),
+        F.struct(F.lit("s").alias("kind"), F.col("near_duplicate_cluster_id").alias("key"), F.col("_u").alias("u")))
+    ).alias("k")).select("k.*")
+    agg = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("u").alias("_users"))
+    ex = agg.where(F.col("kind") == "x").select(F.col("key").alias("_hx"),
+                                                F.col("_n").alias("post_clean_exact_duplicate_count"))
     ex = _repetition_risk_by_count(ex, "post_clean_exact_duplicate_count", "post_clean_exact_duplicate_count", "_r1")
-    nm = base.groupBy("_hn").agg(F.count(F.lit(1)).alias("normalized_repetition_count"),
-                                 F.count_distinct("_u").alias("cross_user_repetition_count"))
+    nm = agg.where(F.col("kind") == "n").select(F.col("key").alias("_hn"),
+                                                F.col("_n").alias("normalized_repetition_count"),
+                                                F.col("_users").alias("cross_user_repetition_count"))
     nm = _repetition_risk_by_count(nm, "normalized_repetition_count", "normalized_repetition_count", "_r2")
     nm = _repetition_risk_by_count(nm, "cross_user_repetition_count", "normalized_repetition_count", "_r4")
-    nr = base.groupBy("near_duplicate_cluster_id").agg(F.count(F.lit(1)).alias("near_duplicate_cluster_size"))
+    nr = agg.where(F.col("kind") == "s").select(F.col("key").alias("near_duplicate_cluster_id"),
+                                                F.col("_n").alias("near_duplicate_cluster_size"))
     nr = _repetition_risk_by_count(nr, "near_duplicate_cluster_size", "near_duplicate_cluster_size", "_r3")
     out = base.join(ex, "_hx").join(nm, "_hn").join(nr, "near_duplicate_cluster_id").drop("_hx", "_hn", "_u")
     out = out.withColumn("phase2_exact_duplicates_removed", F.lit(int(exact_removed)))

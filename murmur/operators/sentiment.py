@@ -75,37 +75,52 @@ def label_bands(compound: Column, lo: float = -0.05, hi: float = 0.05) -> Column
 
 def lexicon_table(lexicon: DataFrame, word: str = "word", valence: str = "valence",
                   max_entries: int = 2_000_000) -> DataFrame:
-    """The lexicon as one row holding a dense hash table: ``_nb`` buckets,
-    bucket b = pmod(xxhash64(word), _nb) holding aligned key/value arrays.
-    A lookup is one hash plus a scan of ~1 entry, evaluated in the task (no
-    join, no shuffle). Spark's map type would probe linearly. The row is
+    """One row holding a dense hash table of every word the rules look up:
+    lexicon words (valence) merged with the booster and negation lists
+    (class, flag). ``_nb`` buckets; bucket b = pmod(xxhash64(word), _nb) is
+    an array of (k, v, cls, neg) entries. A lookup is one hash plus a scan
+    of ~1 entry inside the task: no join, no shuffle, no per-token scan of
+    word lists (Spark's map type would probe linearly). The row is
     broadcast, so the job fails beyond ``max_entries`` words."""
-    kv = lexicon.groupBy(F.lower(F.col(word)).alias("k")).agg(F.max(F.col(valence).cast("double")).alias("v"))
+    spark = lexicon.sparkSession
+    rules = ([(w, None, 1, False) for w in BOOST_UP] + [(w, None, 2, False) for w in BOOST_DOWN]
+             + [(w, None, 0, True) for w in NEGATIONS])
+    fixed = spark.createDataFrame(rules, "k string, v double, cls int, neg boolean")
+    lex = lexicon.select(F.lower(F.col(word)).alias("k"), F.col(valence).cast("double").alias("v"),
+                         F.lit(0).alias("cls"), F.lit(False).alias("neg"))
+    kv = lex.unionByName(fixed).groupBy("k").agg(F.max("v").alias("v"), F.max("cls").alias("cls"),
+                                                 F.max("neg").alias("neg"))
     n = kv.agg(F.count(F.lit(1)).alias("_n"))
-    n = n.select(F.when(F.col("_n") > max_entries, F.raise_error(F.lit("lexicon too large to broadcast")))
+    n = n.select(F.when(F.col("_n") > max_entries + len(rules), F.raise_error(F.lit("lexicon too large to broadcast")))
                  .otherwise(F.greatest(F.col("_n"), F.lit(1))).cast("int").alias("_nb"))
     b = with_scalars(kv, n).withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_nb")).cast("int"))
-    per = b.groupBy("_b").agg(F.collect_list("k").alias("keys"), F.collect_list("v").alias("vals"))
+    per = b.groupBy("_b").agg(F.collect_list(F.struct("k", "v", "cls", "neg")).alias("e"))
     spine = n.select("_nb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
-    dense = spine.join(per, "_b", "left").select(
-        "_nb", "_b", F.struct(F.coalesce("keys", F.array().cast("array<string>")).alias("keys"),
-                              F.coalesce("vals", F.array().cast("array<double>")).alias("vals")).alias("e"))
+    empty = F.array().cast("array<struct<k:string,v:double,cls:int,neg:boolean>>")
+    dense = spine.join(per, "_b", "left").select("_nb", "_b", F.coalesce("e", empty).alias("e"))
     return dense.groupBy("_nb").agg(F.array_sort(F.collect_list(F.struct("_b", "e"))).alias("_t")).select(
         "_nb", F.transform("_t", lambda x: x["e"]).alias("_lb"))
 
 
 def hashed_lookup(table: Column, nb: Column, w: Column) -> Column:
-    """Value of ``w`` in a ``lexicon_table`` row, or NULL."""
-    e = F.get(table, F.pmod(F.xxhash64(w), nb).cast("int"))
-    idx = F.array_position(e["keys"], w)
-    return F.when(idx > 0, F.get(e["vals"], (idx - 1).cast("int")))
+    """The (k, v, cls, neg) entry of ``w`` in a ``lexicon_table`` row, or NULL."""
+    bucket = F.get(table, F.pmod(F.xxhash64(w), nb).cast("int"))
+    return F.get(F.filter(bucket, lambda e: e["k"] == w), 0)
 
 
 def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix: str = "vader_",
-                   check_blank: bool = True, **lexicon_kw) -> DataFrame:
+                   check_blank: bool = True, id_col: str | None = None, **lexicon_kw) -> DataFrame:
     """SEN-1 + SEN-2. Appends ``<prefix>negative/neutral/positive/compound/label``.
     Existing output columns are an error; blank text fails the job when
-    ``check_blank`` (an empty frame keeps its schema)."""
+    ``check_blank`` (an empty frame keeps its schema).
+
+    With a unique ``id_col`` the exploded, whole-stage-codegen form
+    (``lexicon_scores_by_id``) is used; without one, each text is scored in
+    place with array functions (no shuffle at all). Both give identical
+    results (tested on the corpus)."""
+    if id_col is not None:
+        return lexicon_scores_by_id(df, text_col, lexicon, id_col, prefix=prefix, check_blank=check_blank,
+                                    **lexicon_kw)
     outs = [f"{prefix}{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
     clash = [c for c in outs if c in df.columns]
     if clash:
@@ -118,50 +133,56 @@ def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix:
         text = F.when(text.isNull() | (F.length(F.trim(text)) == 0),
                       F.raise_error(F.lit("lexicon text must be non-empty"))).otherwise(text)
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda t: F.length(t) > 0)
-    punct = "".join("\\" + ch for ch in PUNCT)
-    strip = lambda t: F.regexp_replace(t, f"^[{punct}]+|[{punct}]+$", "")
-    up, down, neg = _lits(BOOST_UP), _lits(BOOST_DOWN), _lits(NEGATIONS)
-    # Intermediate arrays are separate projections: each rule pass reads the
+    punct = F.lit(PUNCT)
+    # Intermediate arrays are separate projections: each pass reads the
     # previous array once instead of re-expanding the whole expression.
-    j = j.withColumn("_w", F.transform(raw, lambda t: F.when(F.length(strip(t)) <= 2, t).otherwise(strip(t))))
+    # Punctuation is stripped with trim(BOTH <chars>), not a regex per token.
+    j = j.withColumn("_w", F.transform(raw, lambda t: F.when(F.length(F.trim(t, punct)) <= 2, t)
+                                       .otherwise(F.trim(t, punct))))
     j = j.withColumn("_lw", F.transform("_w", lambda w: F.lower(w)))
     n_up = F.size(F.filter("_w", _is_upper))
     j = j.withColumn("_capd", (n_up > 0) & (n_up < F.size("_w")))
-    # one lexicon lookup per token; rules below index this array
-    j = j.withColumn("_val", F.transform("_lw", lambda w: hashed_lookup(F.col("_lb"), F.col("_nb"), w)))
-    # per-token word class (0 plain, 1 booster up, 2 booster down) and
-    # negation / capitalisation flags, computed once and indexed by the passes
-    j = j.withColumn("_cls", F.transform("_lw", lambda w: F.when(F.array_contains(up, w), 1)
-                                         .when(F.array_contains(down, w), 2).otherwise(0)))
-    j = j.withColumn("_neg", F.transform("_lw", lambda w: F.array_contains(neg, w) | w.contains("n't")))
-    j = j.withColumn("_isup", F.transform("_w", lambda w: _is_upper(w) & F.col("_capd")))
-    lows, vals, cls, negs, isup = (F.col(c) for c in ("_lw", "_val", "_cls", "_neg", "_isup"))
-
-    def base(_, i):
-        v = F.when(F.get(cls, i) > 0, F.lit(0.0)).otherwise(F.coalesce(F.get(vals, i), F.lit(0.0)))
-        return F.when((v != 0) & F.get(isup, i), v + F.signum(v) * C_INCR).otherwise(v)
-
-    j = j.withColumn("_s0", F.transform("_w", base))
+    # one pass over all tokens: lexicon value (one hashed lookup), booster
+    # class (0 plain, 1 up, 2 down) and negation flag
+    def classify(w):
+        e = hashed_lookup(F.col("_lb"), F.col("_nb"), w)
+        return F.struct(e["v"].alias("val"), F.coalesce(e["cls"], F.lit(0)).alias("cls"),
+                        (F.coalesce(e["neg"], F.lit(False)) | w.contains("n't")).alias("neg"))
+
+    j = j.withColumn("_tok", F.transform("_lw", classify))
+    words, lows, cap_diff, tok = F.col("_w"), F.col("_lw"), F.col("_capd"), F.col("_tok")
+    isup = lambda j_: _is_upper(F.get(words, j_)) & cap_diff
+
+    # Only lexicon hits can carry sentiment (the rules never turn a zero into
+    # a non-zero), so the rule passes run over the hits, ~1 token in 10.
+    def base(t, i):
+        v = F.when(t["cls"] > 0, F.lit(0.0)).otherwise(F.coalesce(t["val"], F.lit(0.0)))
+        return F.struct(i.alias("i"), F.when((v != 0) & isup(i), v + F.signum(v) * C_INCR).otherwise(v).alias("v"))
+
+    j = j.withColumn("_h0", F.filter(F.transform("_tok", base), lambda h: h["v"] != 0))
 
     def make_step(k, damp):
-        def step(v, i):
-            c = F.get(cls, i - k)   # NULL before the start
+        def step(h):
+            i, v = h["i"], h["v"]
+            p = F.get(tok, i - k)   # NULL before the start
+            c = p["cls"]
             scal = F.when(c == 1, F.lit(B_INCR)).when(c == 2, F.lit(B_DECR)).otherwise(F.lit(0.0))
             scal = F.when(v < 0, -scal).otherwise(scal)
-            scal = F.when((c > 0) & F.get(isup, i - k),
-                          F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
-            ok = (i >= k) & (v != 0) & F.get(vals, i - k).isNull()
+            scal = F.when((c > 0) & isup(i - k), F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
+            ok = (i >= k) & (v != 0) & p["val"].isNull()
             v2 = F.when(ok, v + scal * damp).otherwise(v)
-            return F.when((i >= k) & (v2 != 0) & F.get(negs, i - k), v2 * N_SCALAR).otherwise(v2)
+            v3 = F.when((i >= k) & (v2 != 0) & F.coalesce(p["neg"], F.lit(False)), v2 * N_SCALAR).otherwise(v2)
+            return F.struct(i.alias("i"), v3.alias("v"))
         return step
 
     for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        j = j.withColumn(f"_s{k}", F.transform(f"_s{k - 1}", make_step(k, damp)))
+        j = j.withColumn(f"_h{k}", F.transform(f"_h{k - 1}", make_step(k, damp)))
     j = j.withColumn("_but", F.array_position(lows, "but"))  # 1-based, 0 if absent; once per row
     but_idx = F.col("_but")
-    j = j.withColumn("_s", F.transform("_s3", lambda v, i: F.when(but_idx == 0, v)
-                                       .when(i + 1 < but_idx, v * 0.5).when(i + 1 > but_idx, v * 1.5)
-                                       .otherwise(v)))
+    j = j.withColumn("_s", F.transform("_h3", lambda h: F.when(but_idx == 0, h["v"])
+                                       .when(h["i"] + 1 < but_idx, h["v"] * 0.5)
+                                       .when(h["i"] + 1 > but_idx, h["v"] * 1.5).otherwise(h["v"])))
+    j = j.withColumn("_zero_tokens", (F.size(words) - F.size("_s")).cast("double"))
     t = F.coalesce(F.col(text_col), F.lit(""))
     ep = F.least(F.regexp_count(t, F.lit("!")), F.lit(EXCLAIM_MAX)) * EXCLAIM_EACH
     qn = F.regexp_count(t, F.lit(r"\?"))
@@ -171,8 +192,8 @@ def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix:
         "_sum": F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + v),
         "_pos": F.aggregate("_s", F.lit(0.0), lambda a, v: a + F.when(v > 0, v + 1).otherwise(0.0)),
         "_neg": F.aggregate("_s", F.lit(0.0), lambda a, v: a + F.when(v < 0, v - 1).otherwise(0.0)),
-        "_neu": F.size(F.filter("_s", lambda v: v == 0)).cast("double"),
-        "_empty": F.size("_s") == 0})
+        "_neu": F.col("_zero_tokens") + F.size(F.filter("_s", lambda v: v == 0)).cast("double"),
+        "_empty": F.size(words) == 0})
     tot_s = (F.when(F.col("_sum") > 0, F.col("_sum") + F.col("_emph"))
              .when(F.col("_sum") < 0, F.col("_sum") - F.col("_emph")).otherwise(F.col("_sum")))
     compound = F.least(F.greatest(tot_s / F.sqrt(tot_s * tot_s + ALPHA), F.lit(-1.0)), F.lit(1.0))
@@ -190,6 +211,134 @@ def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix:
         F.col("_cmp").alias(outs[3]), label_bands(F.col("_cmp")).alias(outs[4]))
 
 
+def word_table(lexicon: DataFrame, word: str = "word", valence: str = "valence",
+               max_entries: int = 2_000_000) -> DataFrame:
+    """Lexicon words merged with the booster / negation lists: (k, v, cls, neg).
+    Broadcast by the id-based scorer; the job fails beyond ``max_entries``."""
+    spark = lexicon.sparkSession
+    rules = ([(w, None, 1, False) for w in BOOST_UP] + [(w, None, 2, False) for w in BOOST_DOWN]
+             + [(w, None, 0, True) for w in NEGATIONS])
+    fixed = spark.createDataFrame(rules, "k string, v double, cls int, neg boolean")
+    lex = lexicon.select(F.lower(F.col(word)).alias("k"), F.col(valence).cast("double").alias("v"),
+                         F.lit(0).alias("cls"), F.lit(False).alias("neg"))
+    kv = lex.unionByName(fixed).groupBy("k").agg(F.max("v").alias("v"), F.max("cls").alias("cls"),
+                                                 F.max("neg").alias("neg"))
+    n = kv.agg(F.count(F.lit(1)).alias("_n"))
+    guard = F.when(F.col("_n") > max_entries + len(rules), F.raise_error(F.lit("lexicon too large to broadcast")))
+    return with_scalars(kv, n.select(guard.alias("_guard"))).drop("_guard")
+
+
+def lexicon_scores_by_id(df: DataFrame, text_col: str, lexicon: DataFrame, id_col: str, *,
+                         prefix: str = "vader_", check_blank: bool = True, **lexicon_kw) -> DataFrame:
+    """SEN-1 for frames with a unique id: the same rules as ``lexicon_scores``
+    in whole-stage-codegen form. Tokens are exploded together with their
+    three predecessors (``arrays_zip`` of shifted arrays, so no window),
+    looked up with broadcast hash joins against the word table, scored with
+    column expressions, summed per id (rows of one text are contiguous, so
+    the partial aggregate leaves ~one row per text for the shuffle) and
+    joined back by id. Per-text scalars (caps differential, first 'but',
+    emphasis) come from JVM regexes on the text itself."""
+    outs = [f"{prefix}{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
+    clash = [c for c in outs if c in df.columns]
+    if clash:
+        raise ValueError(f"output columns already exist: {clash}")
+    text = F.col(text_col)
+    if check_blank:
+        text = F.when(text.isNull() | (F.length(F.trim(text)) == 0),
+                      F.raise_error(F.lit("lexicon text must be non-empty"))).otherwise(text)
+    sp = f"[{SPACE}]"
+    pset = "".join("\\" + ch for ch in PUNCT)
+    raw_t = F.coalesce(text, F.lit(""))
+    t = F.col("_t")
+    toks = F.filter(F.split(t, f"{sp}+"), lambda x: F.length(x) > 0)
+    # all-caps tokens (a cased letter, no lower-case or title-case letter)
+    n_up = F.regexp_count(t, F.lit(rf"(?<![^{SPACE}])(?=[^{SPACE}]*\p{{Lu}})[^{SPACE}\p{{Ll}}\p{{Lt}}]+(?![^{SPACE}])"))
+    # 1-based index of the first token that strips to 'but' (0 when absent)
+    but_re = rf"(?is)^(.*?)(?<![^{SPACE}])[{pset}]*but[{pset}]*(?![^{SPACE}])"
+    before = F.regexp_extract(t, but_re, 1)
+    ntok_before = F.when(F.length(F.trim(F.regexp_replace(before, f"{sp}+", " "))) == 0, F.lit(0)).otherwise(
+        F.size(F.split(F.trim(F.regexp_replace(before, f"{sp}+", " ")), " ")))
+    base = df.select(F.col(id_col).alias("_id"), raw_t.alias("_t")).select(
+        "_id", toks.alias("t0"), F.regexp_count("_t", F.lit("!")).alias("_ex"),
+        F.regexp_count("_t", F.lit(r"\?")).alias("_qn"), n_up.alias("_nup"),
+        F.when(F.col("_t").rlike(but_re), ntok_before + 1).otherwise(F.lit(0)).alias("_but"))
+    n = F.size("t0")
+    shift = lambda k: F.when(n > k, F.concat(F.array_repeat(F.lit(None).cast("string"), k),
+                                             F.slice("t0", 1, n - k))).otherwise(
+        F.array_repeat(F.lit(None).cast("string"), n))
+    base = base.withColumns({"t1": shift(1), "t2": shift(2), "t3": shift(3),
+                             "_capd": (F.col("_nup") > 0) & (F.col("_nup") < n), "_n": n})
+    ex = base.select("_id", "_capd", "_but", F.posexplode(F.arrays_zip("t0", "t1", "t2", "t3")).alias("pos", "z"))
+    pc = F.lit(PUNCT)
+
+    def norm(c):
+        st = F.trim(c, pc)
+        return F.when(F.length(st) <= 2, c).otherwise(st)
+
+    # normalise the token itself for every row; predecessors only for hits
+    ex = ex.select("_id", "_capd", "_but", "pos", norm(F.col("z.t0")).alias("w0"),
+                   *[F.col(f"z.t{k}").alias(f"r{k}") for k in range(1, 4)])
+    ex = ex.withColumn("l0", F.lower("w0"))
+    wt = F.broadcast(word_table(lexicon, **lexicon_kw))
+    # every token is looked up once; only lexicon hits (non-zero valence,
+    # not a booster) can carry sentiment, so only they continue - and only
+    # they look up their three predecessors
+    ex = ex.join(wt.select(F.col("k").alias("l0"), F.col("v").alias("v0"), F.col("cls").alias("c0")), "l0", "left")
+    hits = ex.where((F.coalesce(F.col("v0"), F.lit(0.0)) != 0) & (F.coalesce(F.col("c0"), F.lit(0)) == 0))
+    hits = hits.select("*", *[norm(F.col(f"r{k}")).alias(f"w{k}") for k in range(1, 4)])
+    hits = hits.withColumns({f"l{k}": F.lower(F.col(f"w{k}")) for k in range(1, 4)})
+    for k in range(1, 4):
+        hits = hits.join(wt.select(F.col("k").alias(f"l{k}"), F.col("v").alias(f"v{k}"), F.col("cls").alias(f"c{k}"),
+                                   F.col("neg").alias(f"n{k}")), f"l{k}", "left")
+    up = lambda w: (w == F.upper(w)) & (w != F.lower(w)) & F.col("_capd")
+    v = F.col("v0")
+    v = F.when(up(F.col("w0")), v + F.signum(v) * C_INCR).otherwise(v)
+    hits = hits.withColumn("_s", v)
+    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        cur = F.col("_s")
+        ck = F.coalesce(F.col(f"c{k}"), F.lit(0))
+        scal = F.when(ck == 1, F.lit(B_INCR)).when(ck == 2, F.lit(B_DECR)).otherwise(F.lit(0.0))
+        scal = F.when(cur < 0, -scal).otherwise(scal)
+        scal = F.when((ck > 0) & up(F.col(f"w{k}")), F.when(cur > 0, scal + C_INCR).otherwise(scal - C_INCR)
+                      ).otherwise(scal)
+        ok = (F.col("pos") >= k) & (cur != 0) & F.col(f"v{k}").isNull()
+        hits = hits.withColumn("_s", F.when(ok, cur + scal * damp).otherwise(cur))
+        cur = F.col("_s")
+        negk = F.coalesce(F.col(f"n{k}"), F.lit(False)) | F.coalesce(F.col(f"l{k}").contains("n't"), F.lit(False))
+        hits = hits.withColumn("_s", F.when((F.col("pos") >= k) & (cur != 0) & negk, cur * N_SCALAR).otherwise(cur))
+    b = F.col("_but")
+    sv = F.col("_s")
+    sv = F.when(b == 0, sv).when(F.col("pos") + 1 < b, sv * 0.5).when(F.col("pos") + 1 > b, sv * 1.5).otherwise(sv)
+    agg = hits.withColumn("_s", sv).groupBy("_id").agg(
+        F.sum("_s").alias("_sum"), F.sum(F.when(F.col("_s") > 0, F.col("_s") + 1)).alias("_pos"),
+        F.sum(F.when(F.col("_s") < 0, F.col("_s") - 1)).alias("_neg"),
+        F.count(F.when(F.col("_s") == 0, 1)).alias("_zero_hits"), F.count(F.lit(1)).alias("_hits"))
+    scal = base.select("_id", "_ex", "_qn", "_n")
+    r = scal.join(agg, "_id", "left")
+    ep = F.least(F.col("_ex"), F.lit(EXCLAIM_MAX)) * EXCLAIM_EACH
+    qn = F.col("_qn")
+    qm = F.when(qn > 1, F.when(qn <= 3, qn * QUESTION_EACH).otherwise(QUESTION_MAX)).otherwise(0.0)
+    emph = ep + qm
+    s_ = F.coalesce(F.col("_sum"), F.lit(0.0))
+    tot_s = F.when(s_ > 0, s_ + emph).when(s_ < 0, s_ - emph).otherwise(s_)
+    compound = F.least(F.greatest(tot_s / F.sqrt(tot_s * tot_s + ALPHA), F.lit(-1.0)), F.lit(1.0))
+    pos = F.coalesce(F.col("_pos"), F.lit(0.0))
+    negs = F.coalesce(F.col("_neg"), F.lit(0.0))
+    neu = (F.col("_n") - F.coalesce(F.col("_hits"), F.lit(0)) + F.coalesce(F.col("_zero_hits"), F.lit(0))).cast("double")
+    p2 = F.when(pos > F.abs(negs), pos + emph).otherwise(pos)
+    n2 = F.when(pos < F.abs(negs), negs - emph).otherwise(negs)
+    r = r.select("_id", (F.col("_n") == 0).alias("_empty"), p2.alias("_p2"), n2.alias("_n2"), neu.alias("_nu"),
+                 compound.alias("_c"))
+    tot = F.col("_p2") + F.abs("_n2") + F.col("_nu")
+    zero = F.col("_empty") | (tot == 0)
+    cmp = F.when(F.col("_empty"), 0.0).otherwise(F.round("_c", 4))
+    r = r.select("_id", F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_n2") / tot), 3)).alias(outs[0]),
+                 F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_nu") / tot), 3)).alias(outs[1]),
+                 F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_p2") / tot), 3)).alias(outs[2]),
+                 cmp.alias(outs[3]), label_bands(cmp).alias(outs[4]))
+    return df.join(r, df[id_col] == r["_id"], "left").drop("_id")
+
+
 def derive_lexicon(tokens_docs: DataFrame, labels: DataFrame, *, doc_col: str, min_docs: int = 5,
                    min_abs: float = 0.5) -> DataFrame:
     """Binding helper: a (word, valence) table learnt from labelled documents,

@@ -174,7 +174,7 @@ def sen_05_irony_scores(spark, sf):
 def sen_06_agreement_flags(spark, sf):
     """SEN-6: pairwise and three-way agreement of three label sources."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    lex = se.lexicon_scores(d, "text", lexicon(spark, sf))
+    lex = se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id")
     r = _raters(spark, sf).select("doc_id", "a_label", "b_label")
     j = lex.join(r, "doc_id")
     out = se.agreement_flags(j, {"lexicon": "vader_label", "a": "a_label", "b": "b_label"})
@@ -318,7 +318,7 @@ def chk_06_09_closure_and_rescoring(spark, sf):
     reconcile between the corpus and the scored output)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     lex = lexicon(spark, sf)
-    a = se.lexicon_scores(d, "text", lex)
+    a = se.lexicon_scores(d, "text", lex, id_col="doc_id")
     b2 = se.lexicon_scores(d, "text", lex)
     r = qa.rescoring_matches(a, b2, id_col="doc_id", score="vader_compound", label="vader_label")
     from murmur.operators.common import with_scalars

@@ -44,7 +44,7 @@ def sen_00_derived_lexicon(spark, sf):
 def sen_01_lexicon_scores(spark, sf):
     """SEN-1 + SEN-2 over every document (rules unit-tested on fixtures)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return se.lexicon_scores(d, "text", lexicon(spark, sf)).drop("text")
+    return se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id").drop("text")
 
 
 @query("sen_03_model_scores")

@@ -41,7 +41,7 @@ def reliability_run(spark, sf):
     Missing evidence stays NULL. Intermediate results are checkpointed so
     the profilers' self-joins read materialised data."""
     base = canonical(spark, sf)
-    scored = se.lexicon_scores(base, "text", lexicon(spark, sf), check_blank=False)
+    scored = se.lexicon_scores(base, "text", lexicon(spark, sf), check_blank=False, id_col="doc_id")
     ids = smp.simple_sample(base.select("doc_id"), VALIDATION_N, id_col="doc_id", seed=2020)
     model = se.model_scores(base.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "text",
                             se.char_profile_predictor).drop("text", "roberta_token_count", "roberta_truncated")
@@ -112,7 +112,7 @@ def agg_24_risk_correlations(spark, sf):
 @query("chk_03_lexicon_output")
 def chk_03_lexicon_output(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    scored = se.lexicon_scores(d, "text", lexicon(spark, sf))
+    scored = se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id")
     return qa.lexicon_output(scored, d)
 
 

@@ -299,7 +299,36 @@ def pro_03_sarcasm_proxy(spark, sf):
     return out.drop("text")
 
 
-@query("pro_06_spatial_validity")
+def _spatial_sql():
+    from murmur.plans.q_geo import CODES, NAMES
+    nb = "[^\\p{L}\\p{N}_]"
+    fict = "|".join(geo.FICTIONAL_WORDS)
+    nonus = "|".join(geo.NON_US_WORDS)
+    return f"""
+WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS loc FROM documents),
+x AS (SELECT doc_id, loc, loc = '' AS missing,
+        list_sort(list_distinct(list_concat(
+          list_transform(list_filter({NAMES}, lambda s: regexp_matches(lower(loc), '(^|{nb})' || s.n || '($|{nb})')),
+                         lambda s: s.c),
+          list_filter(regexp_extract_all(regexp_replace(loc, '([^A-Za-z])', '\\1\\1', 'g'),
+                                         '(?:^|[^A-Za-z])([A-Z]{{2}})(?:$|[^A-Za-z])', 1),
+                      lambda c: list_contains({CODES}, c))))) AS st,
+        regexp_matches(loc, '(?i)^(usa|u\\.?s\\.?a?\\.?|united states|america|united states of america)$') AS national,
+        regexp_matches(loc, '(?i)(^|{nb})({fict})($|{nb})') AS fictional,
+        regexp_matches(loc, '(?i)(^|{nb})({nonus})($|{nb})') AS mentions_non_us FROM d),
+y AS (SELECT *, len(st) AS n, mentions_non_us AND len(st) = 0 AS non_us FROM x),
+z AS (SELECT *, NOT missing AND NOT national AND NOT fictional AND NOT non_us AND n <> 1 AS ambiguous,
+             CASE WHEN (NOT missing AND NOT national AND NOT fictional AND NOT non_us AND n <> 1) OR fictional OR non_us
+                  THEN 0.0 WHEN national THEN 0.0 WHEN n > 1 THEN 0.25 WHEN n = 1 THEN 1.0 END AS conf FROM y)
+SELECT doc_id, CASE WHEN missing THEN 'missing' ELSE 'available' END AS location_availability,
+       NOT missing AS location_mapping_available, CASE WHEN n > 0 THEN array_to_string(st, ';') END AS matched_state,
+       conf AS state_mapping_confidence, national AS national_only_location, ambiguous OR n > 1 AS ambiguous_location,
+       non_us AS non_us_location, missing AS missing_location, fictional AS fictional_location,
+       n = 1 AS state_analysis_available, true AS national_temporal_analysis_available,
+       CASE WHEN NOT missing THEN 1.0 - conf END AS spatial_validity_risk FROM z"""
+
+
+@query("pro_06_spatial_validity", oracle=_spatial_sql())
 def pro_06_spatial_validity(spark, sf):
     """PRO-6 with each document's first line as the free-text location."""
     d = docs(spark, sf).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("user_loc"))
