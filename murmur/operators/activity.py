@@ -171,10 +171,12 @@ def audit(df: DataFrame, user_col: str = "user_id", ts_col: str = "date", *, min
     trade-offs, the filter); they are checkpointed once so the posts are
     scanned once, not five times."""
     from murmur.session import cut_lineage
-    m = user_metrics(df, user_col, ts_col)
-    if materialise:
-        m = cut_lineage(m)
-    wide = candidate_thresholds(m)
-    trade = tradeoffs(m, wide)
-    return m, wide, trade, select_threshold(trade, minimum=minimum, max_users_pct=max_users_pct,
-                                            max_tweets_pct=max_tweets_pct)
+    keep = cut_lineage if materialise else (lambda x: x)
+    m = keep(user_metrics(df, user_col, ts_col))
+    # the one-row thresholds and the 8-row trade-off table are each read by
+    # several consumers: materialise them so their quantile passes run once
+    wide = keep(candidate_thresholds(m))
+    trade = keep(tradeoffs(m, wide))
+    choice = keep(select_threshold(trade, minimum=minimum, max_users_pct=max_users_pct,
+                                   max_tweets_pct=max_tweets_pct))
+    return m, wide, trade, choice

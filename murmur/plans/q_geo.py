@@ -13,23 +13,45 @@ from murmur.sources.tables import table
 W = r"\p{L}\p{N}_"
 S = r"\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}"
 CODES = "[" + ", ".join(f"'{c}'" for c in geo.STATE_CODES) + "]"
-NAMES = "[" + ", ".join(f"{{'n': '{n}', 'c': '{c}'}}" for n, c in geo.STATE_NAMES) + "]"
-
-# Oracle form of GEO-1 without look-arounds: names are tested one by one;
-# separators are doubled before extracting codes so adjacent matches do
-# not compete for the character between them.
+NAME_LIST = "[" + ", ".join(f"'{n}'" for n, _ in geo.STATE_NAMES) + "]"
+CODE_BY_NAME = "[" + ", ".join(f"'{c}'" for _, c in geo.STATE_NAMES) + "]"
+
+
+def _doubled(x: str) -> str:
+    """Every non-word character doubled, so consecutive matches that share a
+    separator can each consume one copy (RE2 has no look-around)."""
+    return f"regexp_replace({x}, '([^{W}])', '\\1\\1', 'g')"
+
+
+def names_found_sql(x: str) -> str:
+    """Distinct gazetteer names occurring as whole words in lower(x), as a
+    list. One constant regex over the doubled text; a name that occurs inside
+    another name (e.g. 'virginia' in 'west virginia') gets its own scan."""
+    names = [n for n, _ in geo.STATE_NAMES]
+    alt = "|".join(sorted((n.replace(" ", "  ") for n in names), key=len, reverse=True))
+    nested = [n for n in names if any(n != m and f" {n}" in f" {m}" for m in names)]
+    d = _doubled(f"lower({x})")
+    parts = [f"regexp_extract_all({d}, '(?:^|[^{W}])({alt})(?:$|[^{W}])', 1)"]
+    parts += [f"regexp_extract_all({d}, '(?:^|[^{W}])({n.replace(' ', '  ')})(?:$|[^{W}])', 1)" for n in nested]
+    found = parts[0]
+    for q in parts[1:]:
+        found = f"list_concat({found}, {q})"
+    return f"list_distinct(list_transform({found}, lambda n: replace(n, '  ', ' ')))"
+
+
+# Oracle form of GEO-1 without look-arounds: separators are doubled before
+# extracting so adjacent matches do not compete for the character between them.
 RESOLVED_SQL = f"""
 WITH d AS (SELECT doc_id, lang, trim(coalesce(text, '')) AS loc FROM documents),
 x AS (SELECT doc_id, lang, loc,
-        list_filter({NAMES}, lambda s: regexp_matches(lower(loc), '(^|[^{W}])' || s.n || '($|[^{W}])')) AS hits,
+        list_min(list_transform({names_found_sql('loc')}, lambda n: list_position({NAME_LIST}, n))) AS prio,
         list_filter(regexp_extract_all(replace(loc, ',', ',,'), ',[{S}]*([A-Z]{{2}})(?:$|[^{W}])', 1),
                     lambda c: list_contains({CODES}, c)) AS cc,
-        list_filter(regexp_extract_all(regexp_replace(loc, '([^{W}])', '\\1\\1', 'g'),
-                                       '(?:^|[^{W}])([A-Z]{{2}})(?:$|[^{W}])', 1),
+        list_filter(regexp_extract_all({_doubled('loc')}, '(?:^|[^{W}])([A-Z]{{2}})(?:$|[^{W}])', 1),
                     lambda c: list_contains({CODES}, c)) AS bc,
         regexp_matches(loc, '(?i)(^|[^{W}])(usa|us|united states)($|[^{W}])') AS has_us
       FROM d),
-r AS (SELECT doc_id, lang, CASE WHEN length(loc) > 0 THEN coalesce(hits[1].c,
+r AS (SELECT doc_id, lang, CASE WHEN length(loc) > 0 THEN coalesce({CODE_BY_NAME}[prio],
           list_sort(list_distinct(list_concat(cc, CASE WHEN has_us THEN bc ELSE [] END)))[1]) END AS code
       FROM x)
 SELECT doc_id, lang, code AS state_code_resolved,

@@ -300,7 +300,7 @@ def pro_03_sarcasm_proxy(spark, sf):
 
 
 def _spatial_sql():
-    from murmur.plans.q_geo import CODES, NAMES
+    from murmur.plans.q_geo import CODE_BY_NAME, CODES, NAME_LIST, names_found_sql
     nb = "[^\\p{L}\\p{N}_]"
     fict = "|".join(geo.FICTIONAL_WORDS)
     nonus = "|".join(geo.NON_US_WORDS)
@@ -308,8 +308,7 @@ def _spatial_sql():
 WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS loc FROM documents),
 x AS (SELECT doc_id, loc, loc = '' AS missing,
         list_sort(list_distinct(list_concat(
-          list_transform(list_filter({NAMES}, lambda s: regexp_matches(lower(loc), '(^|{nb})' || s.n || '($|{nb})')),
-                         lambda s: s.c),
+          list_transform({names_found_sql('loc')}, lambda n: {CODE_BY_NAME}[list_position({NAME_LIST}, n)]),
           list_filter(regexp_extract_all(regexp_replace(loc, '([^A-Za-z])', '\\1\\1', 'g'),
                                          '(?:^|[^A-Za-z])([A-Z]{{2}})(?:$|[^A-Za-z])', 1),
                       lambda c: list_contains({CODES}, c))))) AS st,
