@@ -255,19 +255,22 @@ def lexicon_scores_by_id(df: DataFrame, text_col: str, lexicon: DataFrame, id_co
     n_up = F.regexp_count(t, F.lit(rf"(?<![^{SPACE}])(?=[^{SPACE}]*\p{{Lu}})[^{SPACE}\p{{Ll}}\p{{Lt}}]+(?![^{SPACE}])"))
     # 1-based index of the first token that strips to 'but' (0 when absent)
     but_re = rf"(?is)^(.*?)(?<![^{SPACE}])[{pset}]*but[{pset}]*(?![^{SPACE}])"
-    before = F.regexp_extract(t, but_re, 1)
-    ntok_before = F.when(F.length(F.trim(F.regexp_replace(before, f"{sp}+", " "))) == 0, F.lit(0)).otherwise(
-        F.size(F.split(F.trim(F.regexp_replace(before, f"{sp}+", " ")), " ")))
+    # the text-level scalars are computed once, in one projection per step,
+    # and materialised: both the token branch and the per-text branch read them
     base = df.select(F.col(id_col).alias("_id"), raw_t.alias("_t")).select(
         "_id", toks.alias("t0"), F.regexp_count("_t", F.lit("!")).alias("_ex"),
         F.regexp_count("_t", F.lit(r"\?")).alias("_qn"), n_up.alias("_nup"),
-        F.when(F.col("_t").rlike(but_re), ntok_before + 1).otherwise(F.lit(0)).alias("_but"))
+        F.when(F.col("_t").rlike(but_re), F.regexp_extract(t, but_re, 1)).alias("_before"))
+    before = F.trim(F.regexp_replace(F.col("_before"), f"{sp}+", " "))
+    base = base.withColumn("_but", F.when(F.col("_before").isNull(), F.lit(0)).when(F.length(before) == 0, F.lit(1))
+                           .otherwise(F.size(F.split(before, " ")) + 1)).drop("_before")
     n = F.size("t0")
     shift = lambda k: F.when(n > k, F.concat(F.array_repeat(F.lit(None).cast("string"), k),
                                              F.slice("t0", 1, n - k))).otherwise(
         F.array_repeat(F.lit(None).cast("string"), n))
-    base = base.withColumns({"t1": shift(1), "t2": shift(2), "t3": shift(3),
-                             "_capd": (F.col("_nup") > 0) & (F.col("_nup") < n), "_n": n})
+    from murmur.session import cut_lineage
+    base = cut_lineage(base.withColumn("_capd", (F.col("_nup") > 0) & (F.col("_nup") < n)).withColumn("_n", n))
+    base = base.withColumns({"t1": shift(1), "t2": shift(2), "t3": shift(3)})
     ex = base.select("_id", "_capd", "_but", F.posexplode(F.arrays_zip("t0", "t1", "t2", "t3")).alias("pos", "z"))
     pc = F.lit(PUNCT)
 
@@ -279,7 +282,10 @@ def lexicon_scores_by_id(df: DataFrame, text_col: str, lexicon: DataFrame, id_co
     ex = ex.select("_id", "_capd", "_but", "pos", norm(F.col("z.t0")).alias("w0"),
                    *[F.col(f"z.t{k}").alias(f"r{k}") for k in range(1, 4)])
     ex = ex.withColumn("l0", F.lower("w0"))
-    wt = F.broadcast(word_table(lexicon, **lexicon_kw))
+    # the word table is read by four lookups: materialise it once (it is
+    # lexicon-sized and checked), then broadcast it to every join
+    from murmur.session import cut_lineage
+    wt = F.broadcast(cut_lineage(word_table(lexicon, **lexicon_kw)))
     # every token is looked up once; only lexicon hits (non-zero valence,
     # not a booster) can carry sentiment, so only they continue - and only
     # they look up their three predecessors
