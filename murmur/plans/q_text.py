@@ -290,13 +290,36 @@ def pro_05_duplicate_amplification(spark, sf):
                               "cross_user_repetition_count", "duplicate_amplification_risk"))
 
 
-@query("pro_03_sarcasm_proxy")
+def _sarcasm_sql():
+    nb = "[^\\p{L}\\p{N}_]"
+    markers = "|".join(m.replace(" ", "  ") for m in pf.SARCASM_MARKERS)
+    contrast = "|".join(pf.CONTRAST_WORDS)
+    dbl = f"regexp_replace(lower(coalesce(text, '')), '({nb})', '\\1\\1', 'g')"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t,
+             CAST(len(regexp_extract_all({dbl}, '(?:^|{nb})({markers})(?:$|{nb})', 1)) AS BIGINT) AS m
+           FROM conversations),
+f AS (SELECT *, (m > 0)::INT + contains(t, '🙄')::INT
+                + regexp_matches(t, '(?i)["“”](?:great|genius|leader|honest)["“”]')::INT
+                + regexp_matches(t, '(?i)(^|{nb})({contrast})($|{nb})')::INT AS cues FROM c)
+SELECT conv_id, turn, m AS sarcasm_marker_count, round(least(greatest(cues / 4.0, 0.0), 1.0), 6) AS rule_based_sarcasm_indicator,
+       true AS sarcasm_evidence_available, round(least(greatest(cues / 4.0, 0.0), 1.0), 6) AS sarcasm_irony_risk,
+       'heuristic proxy; not confirmed sarcasm' AS sarcasm_proxy_note FROM f"""
+
+
+@query("pro_03_sarcasm_proxy", oracle=_sarcasm_sql())
 def pro_03_sarcasm_proxy(spark, sf):
-    """PRO-3 and PRO-3c over conversation turns (regex cues; unit-tested
-    against Python ``re`` since the cues need look-arounds RE2 lacks)."""
+    """PRO-3 over conversation turns (four regex cues)."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return rounded(pf.sarcasm_proxy(c, "text").drop("text"))
+
+
+@query("pro_03c_sarcasm_score_v2")
+def pro_03c_sarcasm_score_v2(spark, sf):
+    """PRO-3c over conversation turns (unit-tested against Python ``re``:
+    its cues need look-arounds that RE2 lacks)."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    out = pf.sarcasm_proxy(c, "text").withColumn("sarcasm_score_v2", pf.sarcasm_score_v2("text"))
-    return out.drop("text")
+    return c.select("conv_id", "turn", pf.sarcasm_score_v2("text").alias("sarcasm_score_v2"))
 
 
 def _spatial_sql():
