@@ -57,7 +57,11 @@ def ann_01_prompt_batches(spark, sf):
                              seed_cols=["text", "roberta_label"])
 
 
-@query("jsn_02_parse_replies")
+@query("jsn_02_parse_replies", oracle="""
+SELECT l.doc_id, substring(d.text, 1, 60) AS tweet, 'other' AS candidate_target, 'neutral' AS expressed_sentiment,
+       'neutral' AS intended_sentiment, l.toxic = 1 AS sarcasm,
+       CASE WHEN l.quality = 1 THEN 'favor' ELSE 'neutral' END AS stance, CAST(0.9 AS DOUBLE) AS confidence
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
 def jsn_02_parse_replies(spark, sf):
     """JSN-2 / ANN-2: fenced JSON replies built from the labelled documents
     (JSN-1) and parsed back with defaults."""
@@ -216,10 +220,36 @@ def pro_03b_prototype_sarcasm(spark, sf):
     return rounded(pt.sarcasm_v0(c, "text").drop("text"))
 
 
-@query("pro_06b_prototype_location")
+def _ladder_sql():
+    from murmur.functions.classify import STATE_CODES
+    from murmur.plans.q_geo import CODE_BY_NAME, CODES, NAME_LIST, names_found_sql
+    sep = r"[\s,;/|()\-]"
+    abbr = f"(^|{sep})({'|'.join(STATE_CODES)})($|{sep})"
+    fict = "|".join(pt.FICTIONAL)
+    nb = "[^\\p{L}\\p{N}_]"
+    return f"""
+WITH d AS (SELECT doc_id, trim(coalesce(split_part(text, chr(10), 1), '')) AS loc FROM documents),
+x AS (SELECT doc_id, loc,
+        list_sort(list_distinct(list_concat(regexp_extract_all(upper(loc), '{abbr}', 2),
+          list_transform({names_found_sql('loc')}, lambda n: {CODE_BY_NAME}[list_position({NAME_LIST}, n)])))) AS st,
+        regexp_matches(upper(loc), '{abbr}') AS abbr_hit,
+        regexp_matches(loc, '(?i)^(usa|u\\.s\\.a\\.?|us|u\\.s\\.?|united states|america|united states of america)$') AS country,
+        regexp_matches(loc, '(?i)(^|{nb})({fict})($|{nb})') AS fictional FROM d),
+y AS (SELECT *, len(st) AS n, loc = '' AS missing,
+        CAST(CASE WHEN loc = '' THEN 0.0 WHEN fictional THEN 0.05 WHEN len(st) = 1 AND abbr_hit THEN 0.90
+             WHEN len(st) = 1 THEN 0.80 WHEN len(st) > 1 THEN 0.55 WHEN country THEN 0.35 ELSE 0.25 END AS DOUBLE)
+          AS conf FROM x)
+SELECT doc_id, missing AS user_loc_missing_flag, array_to_string(st, ';') AS matched_state, n > 0 AS location_parse_success,
+       abbr_hit AS state_abbreviation_match_flag, country AS country_only_flag, fictional AS fictional_location_flag,
+       n > 1 AS ambiguous_city_flag, conf AS location_confidence_score, conf AS matched_state_confidence,
+       missing::DOUBLE AS location_missing_risk, (n > 1)::DOUBLE AS location_ambiguity_risk,
+       round(1.0 - conf, 6) AS spatial_validity_risk FROM y"""
+
+
+@query("pro_06b_prototype_location", oracle=_ladder_sql())
 def pro_06b_prototype_location(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("loc"))
-    return pt.location_ladder(d, "loc").drop("loc")
+    return rounded(pt.location_ladder(d, "loc").drop("loc"))
 
 
 @query("agg_08_stage_telemetry", oracle=f"""
