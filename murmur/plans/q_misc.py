@@ -214,7 +214,41 @@ def pro_02b_08b_prototype_model_risks(spark, sf):
                               "model_disagreement_risk", "model_suitability_risk"))
 
 
-@query("pro_03b_prototype_sarcasm")
+def _sarcasm_v0_sql():
+    nb = "[^\\p{L}\\p{N}_]"
+    dbl = f"regexp_replace(lower(t), '({nb})', '\\1\\1', 'g')"
+
+    def cnt(words):
+        alt = "|".join(w.replace(" ", "  ") for w in words)
+        return f"CAST(len(regexp_extract_all({dbl}, '(?:^|{nb})({alt})(?:$|{nb})', 1)) AS BIGINT)"
+
+    def has(words):
+        return f"regexp_matches(t, '(?i)(^|{nb})({'|'.join(words)})($|{nb})')"
+
+    def pr(x):
+        return (f"CASE WHEN count(DISTINCT {x}) OVER () = 1 THEN 0.0 ELSE (rank() OVER (ORDER BY {x}) - 1 "
+                f"+ (count(*) OVER (PARTITION BY {x}) + 1) / 2.0) / count({x}) OVER () END")
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations),
+f AS (SELECT conv_id, turn, {cnt(pt.SARC_KEYWORDS)} AS sarcasm_keyword_count, {cnt(pt.IRONY)} AS irony_marker_count,
+             contains(t, '\U0001F644') AS eye_roll_emoji_flag,
+             {has(pt.POS_WORDS)} AND {has(pt.NEG_CONTEXT)} AS positive_word_negative_context_flag,
+             {has(pt.NEG_WORDS)} AND {has(pt.POS_CONTEXT)} AS negative_word_positive_context_flag,
+             regexp_matches(t, '(?i){pt.QUOTED}') AS quotation_around_sentiment_word_flag,
+             CAST(len(regexp_extract_all(t, '\\.\\.\\.|…')) AS BIGINT) AS ellipsis_count,
+             {cnt(pt.CONTRAST)} AS contrast_marker_count FROM c),
+r AS (SELECT *, {pr('ellipsis_count')} AS re, {pr('contrast_marker_count')} AS rc FROM f),
+g AS (SELECT *, least(greatest((least(sarcasm_keyword_count / 2.0, 1.0) + least(irony_marker_count / 2.0, 1.0)
+             + eye_roll_emoji_flag::INT + positive_word_negative_context_flag::INT
+             + negative_word_positive_context_flag::INT + quotation_around_sentiment_word_flag::INT
+             + coalesce(re, 0) + coalesce(rc, 0)) / 8.0, 0.0), 1.0) AS rule FROM r)
+SELECT conv_id, turn, sarcasm_keyword_count, irony_marker_count, eye_roll_emoji_flag,
+       positive_word_negative_context_flag, negative_word_positive_context_flag,
+       quotation_around_sentiment_word_flag, ellipsis_count, contrast_marker_count,
+       round(rule, 6) AS rule_based_sarcasm_risk, round(rule, 6) AS sarcasm_irony_risk FROM g"""
+
+
+@query("pro_03b_prototype_sarcasm", oracle=_sarcasm_v0_sql())
 def pro_03b_prototype_sarcasm(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return rounded(pt.sarcasm_v0(c, "text").drop("text"))
