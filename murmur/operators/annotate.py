@@ -122,4 +122,4 @@ def representatives(df: DataFrame, cases: Sequence[tuple[str, Column, Column]],
                     break
         yield pd.DataFrame(rows, columns=pdf.columns) if rows else pdf.iloc[0:0]
 
-    return u.coalesce(1).mapInPandas(pick, schema).drop("_rank", "_ord")
+    return u.coalesce(1).mapInPandas(pick, schema).drop("_rank", "_ord", "_case")

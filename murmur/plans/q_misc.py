@@ -82,7 +82,28 @@ def top_01_largest_differences(spark, sf):
     return rounded(an.top_by_abs_difference(r, "a_score", "b_score", "doc_id", 50))
 
 
-@query("top_04_representative_cases")
+def _cases_sql():
+    cases = [("strongest_a_negative", "true", "a_score"),
+             ("a_neutral", "a_label = 'neutral'", "abs(a_score)"),
+             ("strongest_a_positive", "true", "-a_score"),
+             ("caps_and_repeated_punctuation", "regexp_matches(text, '[A-Z]{4,}.*[!?]{2,}|[!?]{2,}.*[A-Z]{4,}')",
+              "doc_id"),
+             ("non_ascii", "regexp_matches(text, '[^\\x00-\\x7F]')", "doc_id"),
+             ("largest_disagreement", "a_label <> b_label", "-abs(a_score - b_score)")]
+    ctes = [f"r AS (SELECT x.*, {_band('a_score')} AS a_label, {_band('b_score')} AS b_label, d.text "
+            f"FROM ({RATERS_SQL}) x JOIN documents d USING (doc_id))"]
+    picks = []
+    for i, (name, where, order) in enumerate(cases):
+        used = " AND ".join(f"doc_id <> (SELECT doc_id FROM p{j})" for j in range(i)) or "true"
+        ctes.append(f"p{i} AS (SELECT '{name}' AS \"case\", * FROM r WHERE ({where}) AND {used} "
+                    f"ORDER BY {order}, doc_id LIMIT 1)")
+        picks.append(f"SELECT * FROM p{i}")
+    body = " UNION ALL ".join(picks)
+    return (f"WITH {', '.join(ctes)} SELECT \"case\", doc_id, lang, round(a_score, 6) AS a_score, "
+            f"round(b_score, 6) AS b_score, a_label, b_label FROM ({body})")
+
+
+@query("top_04_representative_cases", oracle=_cases_sql())
 def top_04_representative_cases(spark, sf):
     """TOP-4: six ordered cases, no row reused."""
     r = _raters(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
