@@ -47,12 +47,31 @@ def sen_01_lexicon_scores(spark, sf):
     return se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id").drop("text")
 
 
-@query("sen_03_model_scores")
+def _stand_in_sql():
+    """The stand-in predictor's softmax written in SQL (the oracle for the
+    batch-inference path)."""
+    from murmur.plans.q_text import _sql_tokens
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations),
+f AS (SELECT *, greatest(length(t), 1) AS n, len(regexp_extract_all(t, '!')) AS ex,
+             len(regexp_extract_all(t, '\\?')) AS q, len(regexp_extract_all(t, '[A-Z]')) AS up FROM c),
+l AS (SELECT *, q * 0.5 + up / n AS l0, 0.5 AS l1, ex * 0.5 + (1 - up / n) * 0.3 AS l2 FROM f),
+m AS (SELECT *, greatest(l0, l1, l2) AS mx FROM l),
+e AS (SELECT *, exp(l0 - mx) AS e0, exp(l1 - mx) AS e1, exp(l2 - mx) AS e2 FROM m),
+p AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2,
+             {_sql_tokens('t')} AS tk FROM e)
+SELECT conv_id, turn, round(p0, 6) AS roberta_negative_probability, round(p1, 6) AS roberta_neutral_probability,
+       round(p2, 6) AS roberta_positive_probability, round(p2 - p0, 6) AS roberta_score,
+       CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'negative' WHEN p1 >= p2 THEN 'neutral' ELSE 'positive' END AS roberta_label,
+       CAST(least(tk, 128) AS INTEGER) AS roberta_token_count, tk > 128 AS roberta_truncated FROM p"""
+
+
+@query("sen_03_model_scores", oracle=_stand_in_sql())
 def sen_03_model_scores(spark, sf):
     """SEN-3 batch inference over conversation turns with the stand-in
     predictor (Arrow batches, length-sorted partitions)."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return se.model_scores(c, "text", se.char_profile_predictor).drop("text")
+    return rounded(se.model_scores(c, "text", se.char_profile_predictor).drop("text"))
 
 
 @query("lng_03_language_id")
