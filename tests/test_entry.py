@@ -4,7 +4,7 @@ import re
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert {"timestamp_hourly", "volume", "event_name", "post_event_dummy"} <= set(df.columns)
 
 
@@ -13,7 +13,7 @@ def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     for name in q:
-        assert re.fullmatch(r"[a-z]{3}_[0-9]{2}[a-z]?_[a-z0-9_]+", name), name
+        assert re.fullmatch(r"[a-z]{3}_[0-9]{2}[a-z]?_[a-z0-9_]+|op[0-9]+_[a-z0-9_]+|pipeline", name), name
 
 
 def test_queries_build_on_smoke_data(spark):
@@ -21,7 +21,7 @@ def test_queries_build_on_smoke_data(spark):
     import __spark_entry__ as E
     skip = {"stm_01_stream_ingest", "stm_02_stream_running_totals", "stm_04_stream_hourly_matrix"}
     for name, fn in E.queries().items():
-        if name in skip:
-            continue
+        if name in skip or name == "pipeline" or name.startswith("op"):
+            continue  # streams and the training-data jobs run in their own tests
         df = fn(spark, "/root/testdata/sf0.001")
         assert df.schema is not None, name
