@@ -408,11 +408,11 @@ def decode(encoded: DataFrame, rank_file: str | None = None, pattern: str | None
         run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     """Digest of each document's ids and of what they decode to."""
     both = decode(encode(docs))
     return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *["ids"] * keep_ids, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.llm.common import blocks_of, documents, fold_of, small_batches, to_bytes
 
@@ -147,18 +148,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Netw
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+def with_language(docs: DataFrame, net: Network | None, text_col: str = "text",
+                  names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents with two more columns: predicted language and score."""
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("doc_id"),
-                      F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
+    if set(names) & set(docs.columns):
+        raise ValueError(f"the documents have a column named like one of {names}")
+    src = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            texts = b.column(1).to_pylist()
-            raw = [to_bytes(t) for t in texts]
-            names, scores = [], []
+            has = b.column(b.num_columns - 1).to_pylist()
+            raw = [to_bytes(t) if h else b"" for t, h in zip(b.column(text_col).to_pylist(), has)]
+            found, scores = [], []
             for lo, hi in blocks_of(raw):
                 if net is None:
                     mean = np.zeros((hi - lo, 1))
@@ -168,17 +171,25 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                     mean = np.stack([np.bincount(owner, p[:, j], hi - lo) for j in range(p.shape[1])], axis=1)
                     mean /= np.maximum(np.bincount(owner, letters, hi - lo), 1)[:, None]
                 for i in range(hi - lo):
-                    if net is None or texts[lo + i] is None:
-                        names.append("und"), scores.append(1.0)
+                    if net is None or not has[lo + i]:
+                        found.append("und"), scores.append(1.0)
                     else:
                         j = int(mean[i].argmax())
-                        names.append(net.languages[j]), scores.append(float(min(1.0, mean[i, j])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()),
-                                              pa.array(scores, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+                        found.append(net.languages[j]), scores.append(float(min(1.0, mean[i, j])))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                names=[*b.schema.names[:-1], *names])
+
+    schema = docs.schema
+    for name, kind in zip(names, (T.StringType(), T.DoubleType())):
+        schema = T.StructType([*schema.fields, T.StructField(name, kind)])
+    return src.mapInArrow(run, schema)
 
-    return src.mapInArrow(
-        run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_language(src, net).drop("text")
 
 
 def language_of_documents(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

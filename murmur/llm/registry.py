@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from murmur.llm import bpe, fingerprints, near_dedup
+from murmur.llm import (ann, bpe, fingerprints, langid, licenses, mixing, near_dedup, ngram_lm,
+                        pii, toxicity)
 
 QUERIES = {}
 ORACLES = {}
-for _m in (bpe, fingerprints, near_dedup):
+for _m in (bpe, fingerprints, licenses, ngram_lm, langid, pii, mixing, ann, near_dedup, toxicity):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(getattr(_m, "ORACLES", {}))
