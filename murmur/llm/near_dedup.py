@@ -9,13 +9,11 @@ Jaccard 0.85 misses all 40 with odds near 2e-7.
 Equal sets are one class before anything is compared. A bucket then emits
 star-shaped edges only: its hub against every other member. An edge counts if
 the whole sets confirm 100 * intersection >= 85 * union. A star alone can miss
-a link between two spokes, so buckets whose members are not yet all connected
-go on with further hubs, the ones most like the first hub before others; pairs
-are skipped only where they can't matter: both already connected, the sizes
-too different, or the distances to the first hub too far apart (Jaccard
-distance is a metric). It ends when no bucket has an untested pair that could
-matter, so no link between different texts is lost, and no bucket emits all
-its pairs.
+a link between two spokes, so the members of buckets that are not yet all
+connected are indexed exactly by their rarest shingles (``prefix_rows``), and
+stars go on in those smaller buckets, first with the hubs that have the fewest
+shingles of their own, until no untested pair could join two components: no
+link between different texts is lost, and no bucket emits all its pairs.
 
 Everything is joined and grouped by Spark: nothing is collected, hubs with many
 spokes are salted, and intermediate tables are checkpointed in the shared
@@ -147,6 +145,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def in_pieces(rows: DataFrame, bucket: str) -> DataFrame:
+    """Buckets whose members are in more than one component."""
+    return rows.groupBy(bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo <> hi").select(bucket)
+
+
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, doc_id, n, alone, after): an exact candidate index.
+
+    With every set ordered by (how many sets hold the shingle, shingle), two
+    sets x, y of Jaccard p have an intersection of at least
+    p / (1 + p) * (|x| + |y|), so their first shared shingle has that many
+    shingles ``after`` it (itself counted) in both; it is among the first
+    n - ceil(p n) + 1. Shingles of one set alone come first and match nobody,
+    so copies with many edits of their own drop out; ``alone`` counts them."""
+    whole = sets.withColumn("n", F.size("shingles").cast("bigint")).withColumn("sid", F.xxhash64("shingles"))
+    tokens = whole.select("doc_id", "sid", "n", F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = tokens.join(shared, "token").groupBy("doc_id", "sid", "n") \
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held")) \
+        .withColumn("alone", F.col("n") - F.size("held"))
+    probe = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    return held.where(probe > F.col("alone")).select("doc_id", "n", "alone", F.posexplode(F.slice(
+        "held", F.lit(1), (probe - F.col("alone")).cast("int"))).alias("pos", "one")) \
+        .select(F.col("one.token").alias("token"), "doc_id", "n", "alone",
+                (F.col("n") - F.col("alone") - F.col("pos")).alias("after")) \
+        .groupBy("token", "doc_id", "n").agg(F.min("alone").alias("alone"), F.max("after").alias("after"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
@@ -161,58 +192,47 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     active = cut_lineage(members.join(first.select("band", "hub"), "band")
                          .select("band", "doc_id", "n", "hub").distinct())
-    links = tested = labels = None
+    labels = None
     if not active.isEmpty():
         wanted = cut_lineage(active.select("doc_id").distinct())
         few = wanted.count() * 16 < 8 << 20  # a measured size, else Spark shuffles
         sets = cut_lineage(shingle_sets(src.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")))
-        near = 1 - percent / 100 + 1e-9
-        active = active.withColumn("ref", F.lit(None).cast("double")).withColumn("component", F.col("doc_id"))
-        hubs = active.where("doc_id = hub").select(
-            "band", "hub", F.col("n").alias("hub_n"), F.col("ref").alias("hub_ref"),
-            F.col("component").alias("hub_component")).distinct()
-        active, spread = active.drop("hub"), 1
+        hubs = active.where("doc_id = hub").select("band", "hub", F.col("n").alias("hub_n")).distinct()
+        pairs = active.where("doc_id <> hub").join(hubs, ["band", "hub"]) \
+            .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "doc_id").distinct()
+        tested = cut_lineage(verified(pairs, sets, percent))
+        links = tested.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+        labels = components(links)
+        # buckets that are in more than one piece without their hub
+        rest = with_component(active.where("doc_id <> hub").select("band", "doc_id"), labels)
+        rest = rest.join(in_pieces(rest, "band"), "band", "left_semi").select("doc_id").distinct()
+        rows = cut_lineage(prefix_rows(sets.join(rest, "doc_id", "left_semi"), percent))
+        tested, spread = tested.select("hub", "doc_id"), 1
         while True:
-            pairs = active.join(hubs, "band").where(
-                (F.col("doc_id") != F.col("hub")) & (F.col("component") != F.col("hub_component"))
+            rows = with_component(rows.drop("component"), labels)
+            rows = cut_lineage(rows.join(in_pieces(rows, "token"), "token", "left_semi"))
+            if rows.isEmpty():
+                break
+            best = F.struct((-F.col("alone")).alias("alone"), (-F.col("doc_id")).alias("neg"), "n", "after", "component")
+            hubs = cut_lineage(rows.groupBy("token", F.pmod(F.hash("doc_id"), F.lit(spread)).alias("part"))
+                               .agg(F.max(best).alias("top")).select(
+                "token", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n"),
+                F.col("top.after").alias("hub_after"), F.col("top.component").alias("hub_component")))
+            pairs = rows.join(hubs, "token").where(
+                (F.col("component") != F.col("hub_component"))
                 & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-                & F.coalesce(F.abs(F.col("ref") - F.col("hub_ref")) <= near, F.lit(True))) \
-                .select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["hub", "doc_id"], "left_anti")
+                & ((100 + percent) * F.least("after", "hub_after") >= percent * (F.col("n") + F.col("hub_n")))) \
+                .select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct() \
+                .join(tested, ["hub", "doc_id"], "left_anti")
             found = cut_lineage(verified(pairs, sets, percent))
             new = found.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
             if not new.isEmpty():
-                links = cut_lineage(new if links is None else links.unionAll(new))
+                links = cut_lineage(links.unionAll(new))
                 labels = components(links)
-            if spread == 1:
-                # distances to the first hub of the bucket
-                ref = found.select(F.col("hub").alias("h"), "doc_id", F.col("jaccard").alias("ref"))
-                active = active.drop("ref").join(hubs.select("band", F.col("hub").alias("h")), "band") \
-                    .join(ref, ["h", "doc_id"], "left").drop("h")
-            tested = found.select("hub", "doc_id") if tested is None else \
-                cut_lineage(tested.unionAll(found.select("hub", "doc_id")))
-            # a hub's pairs are settled; the rest of its bucket goes on while
-            # it is in more than one piece
-            rest = active.join(hubs.select("band", F.col("hub").alias("doc_id")), ["band", "doc_id"], "left_anti") \
-                .drop("component")
-            if labels is not None:
-                rest = rest.join(labels, "doc_id", "left")
-            else:
-                rest = rest.withColumn("component", F.lit(None).cast("bigint"))
-            rest = rest.withColumn("component", F.coalesce("component", "doc_id"))
-            split = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-                .where("lo <> hi").select("band")
-            active = cut_lineage(rest.join(split, "band").select("band", "doc_id", "n", "ref", "component"))
-            if active.isEmpty():
-                break
+            tested = cut_lineage(tested.unionAll(found.select("hub", "doc_id")))
+            # a hub's pairs in its bucket are settled
+            rows = rows.join(hubs.select("token", F.col("hub").alias("doc_id")), ["token", "doc_id"], "left_anti")
             spread *= 4
-            best = F.struct(F.coalesce("ref", F.lit(-1.0)).alias("ref"), (-F.col("doc_id")).alias("neg"),
-                            F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-            hubs = cut_lineage(active.groupBy("band", F.pmod(F.hash("doc_id"), F.lit(spread)).alias("part"))
-                               .agg(F.max(best).alias("top")).select(
-                "band", (-F.col("top.neg")).alias("hub"), "top.hub_n", "top.hub_component",
-                F.when(F.col("top.ref") >= 0, F.col("top.ref")).alias("hub_ref")))
     # classes whose members' component is not simply their own id
     if labels is None:
         joined = classes.where("members > 1").withColumn("component_id", F.col("rep"))
