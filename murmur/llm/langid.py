@@ -168,7 +168,7 @@ def with_language(docs: DataFrame, net: Network | None, text_col: str = "text",
                 else:
                     rows, owner, letters = windows(raw[lo:hi])
                     p = net.probabilities(rows) * letters[:, None]
-                    mean = np.stack([np.bincount(owner, p[:, j], hi - lo) for j in range(p.shape[1])], axis=1)
+                    mean = np.stack([np.bincount(owner, p[:, j], hi - lo) for j in range(p.shape[1])], axis=1).astype(float)
                     mean /= np.maximum(np.bincount(owner, letters, hi - lo), 1)[:, None]
                 for i in range(hi - lo):
                     if net is None or not has[lo + i]:
