@@ -60,7 +60,7 @@ def _share(nodes: DataFrame, parent: list[str], weight, budget) -> DataFrame:
     # full if the level at which it fills is within the budget; these are the
     # first ones, and the level of the others is that of the first of them
     df = df.withColumn("_over", F.col("_full") + F.col("_ratio") * F.col("_rest") <= F.col("_b") + 1e-6)
-    level = F.min(F.when(~F.col("_over"), F.struct("_ratio", ((F.col("_b") - F.col("_full")) / F.col("_rest")).alias(
+    level = F.min(F.when(~F.col("_over"), F.struct("_ratio", (-F.col("_rest")).alias("_last"), ((F.col("_b") - F.col("_full")) / F.col("_rest")).alias(
         "level")))).over(Window.partitionBy(*parent))["level"]
     return df.withColumn("_level", level).withColumn(
         "share", F.when(F.col("_over"), F.col("capacity").cast("double")).otherwise(F.col("_level") * F.col("_w"))) \
