@@ -12,12 +12,12 @@ A leaf fills its budget by seeded epochs: whole epochs first, then the prefix
 of the next one, whose order is the md5 of (seed, epoch, doc_id). The prefix's
 end is found on sums per hash bucket; only the documents of the one bucket
 that holds the end are ranked, so a source with a third of all rows is never
-sorted in one task.
+sorted in one task; the choice itself is a comparison with the leaf's limit.
 
 Defined results: tokens are words ``[^\\x20\\x09-\\x0D]+``; null or wordless
 texts have none and are taken in the first epoch of a leaf with a budget; null
 lang or source is a branch '' of its own; unknown domains and languages weigh
-``OTHER``; rows with equal or null ids order by text digest; an empty table
+``OTHER``; rows equal in id and text have one place and are taken together; an empty table
 gives no rows; other columns are carried through and never used, and names
 that clash with the added ones keep the documents' values out of the way
 (added columns are domain, epoch, tokens).
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import documents
+from murmur.session import cut_lineage
 
 SEED = 7
 DOMAINS = {"web": 0.5, "books": 0.3, "code": 0.2}
@@ -36,6 +37,7 @@ LANGUAGES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 OTHER = 0.1
 BUDGET_SHARE = 0.75     # of all tokens
 MAX_EPOCHS = 2
+SMALL = 8 << 20         # bytes up to which the measured leaf table is broadcast
 DIGITS = 3              # hexadecimal digits of a hash bucket: 4096 a leaf
 DOMAIN_SQL = ("CASE CAST(regexp_extract(coalesce(source, ''), '([0-9]*)$', 1) AS string) WHEN '' THEN 'web' ELSE"
               " element_at(array('web', 'books', 'code'),"
@@ -92,35 +94,41 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
         *own, F.expr(domain_sql).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"),
         F.coalesce("source", F.lit("")).alias("_source"),
         F.coalesce(F.expr(r"regexp_count(text, r'[^\x20\x09-\x0D]+')"), F.lit(0)).cast("bigint").alias("_tokens"),
-        F.coalesce(F.md5("text"), F.lit("")).alias("_digest"))
-    leaves = df.groupBy(*key).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")) \
+        F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                    F.coalesce(F.md5("text"), F.lit(""))).alias("_name"))
+    # keys, tokens and names only: the texts are read twice, never moved
+    thin = cut_lineage(df.select(*key, "_tokens", "_name"))
+    leaves = thin.groupBy(*key).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")) \
         .withColumn("capacity", F.col("tokens") * max_epochs)
     named = leaves.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
                           F.col("_source").alias("source"), "tokens", "docs", "capacity")
-    plan = budgets(named, share, domains, languages).where("budget > 0").select(
+    plan = cut_lineage(budgets(named, share, domains, languages).where("budget > 0").select(
         F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"),
         F.expr("CAST(budget div greatest(tokens, 1) AS int)").alias("_whole"),
-        F.expr("budget % greatest(tokens, 1)").alias("_left"))
-    # leaves: one row per source and language; the join's other side isn't
-    # shuffled if Spark finds the plan small, else skew splitting applies
-    df = df.join(plan, key).withColumn("_md5", F.md5(F.concat_ws(
-        "|", F.lit(seed), "_whole", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest"))) \
+        F.expr("budget % greatest(tokens, 1)").alias("_left")))
+    # one row per leaf: broadcast where its measured size allows
+    near = (lambda x: F.broadcast(x)) if plan.count() * 200 <= SMALL else (lambda x: x)
+    order = F.md5(F.concat_ws("|", F.lit(seed), "_whole", "_name"))
+    rows = thin.join(near(plan), key).where("_left > 0").withColumn("_md5", order) \
         .withColumn("_bucket", F.substring("_md5", 1, DIGITS))
-    sums = df.groupBy(*key, "_bucket", "_left").agg(F.sum("_tokens").alias("_sum"))
+    sums = rows.groupBy(*key, "_bucket", "_left").agg(F.sum("_tokens").alias("_sum"))
     leaf = Window.partitionBy(*key).orderBy("_bucket")  # at most 16^DIGITS rows
     ends = sums.withColumn("_end", F.sum("_sum").over(leaf)).withColumn("_begin", F.col("_end") - F.col("_sum"))
-    cut = ends.where("_begin <= _left AND _end > _left").groupBy(*key).agg(
-        F.min(F.struct("_begin", F.col("_bucket").alias("_cut"))).alias("_at")) \
-        .select(*key, F.col("_at._cut").alias("_cut"), F.col("_at._begin").alias("_begin"))
-    df = df.join(cut, key, "left")
-    edge = df.where("_bucket = _cut")
-    place = Window.partitionBy(*key).orderBy("_md5").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("_upto", F.col("_begin") + F.sum("_tokens").over(place)).where("_upto <= _left")
-    part = df.where("_cut IS NULL OR _bucket < _cut").unionByName(edge.drop("_upto"))
-    out = [F.col("_domain").alias("domain"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens")]
-    whole = df.where("_whole > 0").withColumn("_epoch", F.explode(F.expr("sequence(0, _whole - 1)")))
-    part = part.where("_left > 0 AND (_tokens > 0 OR _whole = 0)").withColumn("_epoch", F.col("_whole"))
-    return whole.unionByName(part).where("_epoch = 0 OR _tokens > 0").select(*own, *out)
+    cut = cut_lineage(ends.where("_end > _left").groupBy(*key).agg(
+        F.min(F.struct(F.col("_bucket").alias("_cut"), "_begin")).alias("_at")).select(*key, "_at._cut", "_at._begin"))
+    # rows that are equal in id and text have one place and go together
+    place = Window.partitionBy(*key).orderBy("_md5").rangeBetween(Window.unboundedPreceding, 0)
+    limit = rows.join(near(cut), key).where("_bucket = _cut") \
+        .withColumn("_upto", F.col("_begin") + F.sum("_tokens").over(place)).where("_upto <= _left") \
+        .groupBy(*key).agg(F.max("_md5").alias("_limit"))
+    plan = cut_lineage(plan.join(cut.drop("_begin"), key, "left").join(limit, key, "left"))
+    part = F.expr("_left > 0 AND (_tokens > 0 OR _whole = 0) AND (_cut IS NULL OR substring(_md5, 1, length(_cut)) < _cut"
+                  " OR coalesce(_md5 <= _limit, false))")
+    epochs = F.concat(
+        F.expr("IF(_whole > 0, sequence(0, IF(_tokens > 0, _whole - 1, 0)), CAST(array() AS array<int>))"),
+        F.when(part, F.array("_whole")).otherwise(F.expr("CAST(array() AS array<int>)")))
+    return df.join(near(plan), key).withColumn("_md5", order).withColumn("_epoch", F.explode(epochs)).select(
+        *own, F.col("_domain").alias("domain"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"))
 
 
 def chosen(docs: DataFrame) -> DataFrame:
@@ -167,7 +175,7 @@ plan AS (SELECT domain, l, s, CAST(floor(share + 1e-6) AS BIGINT) // greatest(to
 keyed AS (SELECT d.*, p.whole, p.remain,
   md5('{SEED}|' || p.whole || '|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.digest) AS h
   FROM docs d JOIN plan p ON p.domain = d.domain AND p.l = d.l AND p.s = d.s),
-run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM keyed),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM keyed),
 picked AS (
   SELECT *, unnest(range(0, whole)) AS epoch FROM keyed
   UNION ALL

@@ -281,7 +281,7 @@ def test_mixing_fills_leaves_and_redistributes(spark, none, odd):
     for r in out:
         budget[r["domain"], r["source"]] += r["tokens"]
     # web: src0 and src3, books: src1 (src2 has none): 600 tokens by 5 : 3
-    assert budget["web", "src0"] == 180 or budget["web", "src0"] == 187 // 10 * 10
+    assert budget["web", "src0"] == 180
     assert budget["web", "src3"] == 180 and budget["books", "src1"] == 220
     short = got(mixing.mix(frame(spark, rows), share=1.2, max_epochs=2))
     total = Counter()
