@@ -100,12 +100,12 @@ def duplicate_normal_form(c) -> Column:
     return collapse_ws(x)
 
 
-def near_signature(c, length: int = 160) -> Column:
-    """STR-4: on the normal form, #tag -> '#tag', digit runs -> '0', first
-    ``length`` code points."""
+def near_signature(c, length: int | None = None) -> Column:
+    """STR-4: on the whole normal form, #tag -> '#tag', digit runs -> '0';
+    with ``length``, only its first code points."""
     x = F.regexp_replace(duplicate_normal_form(c), HASHTAG, "#tag")
     x = F.regexp_replace(x, r"\p{Nd}+", "0")
-    return F.substring(x, 1, length)
+    return x if length is None else F.substring(x, 1, length)
 
 
 def sha256(c) -> Column:

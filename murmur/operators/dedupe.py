@@ -35,9 +35,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], *, l
 def drop_duplicates_mask(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
                          flag: str = "is_first") -> DataFrame:
     """Boolean flag instead of a filter (for telemetry): true on the kept row."""
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order_by)).alias("_first"))
-    return (df.join(first, list(keys), "left")
-            .withColumn(flag, F.struct(*order_by) == F.col("_first")).drop("_first"))
+    first = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.min(F.struct(*order_by)).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return (df.join(first, same, "left").withColumn(flag, F.struct(*order_by).eqNullSafe(F.col("_first")))
+            .drop("_first", *[f"__k{i}" for i in range(len(keys))]))
 
 
 def resolve_membership(streams: Sequence[DataFrame], names: Sequence[str], *, id_col: str,

@@ -107,7 +107,7 @@ def _repetition_risk_by_count(groups: DataFrame, count_col: str, rows_col: str,
 
 
 def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
-                            signature_length: int = 160, exact_removed: int = 0) -> DataFrame:
+                            signature_length: int | None = None, exact_removed: int = 0) -> DataFrame:
     """Exact / normalised / near-signature / cross-user repetition counts and
     the mean of their repetition risks. Group keys are SHA-256 digests of
     the (possibly 20k-word) texts, so shuffles move 64-byte keys; counts are
@@ -142,7 +142,7 @@ def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
     out = out.withColumn("duplicate_amplification_risk",
                          available_mean([F.col(c) for c in ("_r1", "_r2", "_r3", "_r4")]))
     return out.drop("_r1", "_r2", "_r3", "_r4").withColumn(
-        "near_duplicate_evidence_type", F.lit("lexical signature proxy; not confirmed coordination"))
+        "near_duplicate_evidence_type", F.lit("same signature: lexical evidence only"))
 
 
 # --- PRO-3 / PRO-3c sarcasm ---------------------------------------------------------------
@@ -167,7 +167,7 @@ def sarcasm_proxy(df: DataFrame, text_col: str) -> DataFrame:
     ind = clip01(sum(cues, F.lit(0.0)) / 4.0)
     return df.withColumns({"sarcasm_marker_count": marker, "rule_based_sarcasm_indicator": ind,
                            "sarcasm_evidence_available": F.lit(True), "sarcasm_irony_risk": ind,
-                           "sarcasm_proxy_note": F.lit("heuristic proxy; not confirmed sarcasm")})
+                           "sarcasm_proxy_note": F.lit("cue-based estimate, unverified")})
 
 
 _S = tx.SPACE

@@ -36,8 +36,7 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 def rank_frame(df: DataFrame, value: str | Column, group_cols: Sequence[str] = (), *,
-               buckets: int | None = None, with_weight: bool = False,
-               pin_bounds: bool | None = None) -> DataFrame:
+               buckets: int | None = None, with_weight: bool = False) -> DataFrame:
     """Distinct (group..., _v) with _c (rows), _below (rows with a smaller
     value in the group), _n (non-null rows in group), _nd (distinct values),
     and with ``with_weight`` _wbelow (sum of smaller values) and _wsum."""
@@ -49,15 +48,12 @@ def rank_frame(df: DataFrame, value: str | Column, group_cols: Sequence[str] = (
     nb = _buckets(df, buckets)
     probs = [i / nb for i in range(1, nb)]
     bounds = d.groupBy(*keys).agg(
-        F.percentile_approx("_v", probs, 1000).alias("_bounds"),
+        F.percentile_approx("_v", probs, max(1000, 10 * nb)).alias("_bounds"),
         F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
         *([F.sum(F.col("_v") * F.col("_c")).alias("_wsum")] if with_weight else []))
-    # The bucket boundaries must be identical for every task that reads
-    # them. Ungrouped, they are one broadcast row, materialised once per
-    # query. Grouped, they travel through a shuffle, so they are pinned by
-    # a reliable checkpoint before use (a retried task re-reads the files).
-    if pin_bounds if pin_bounds is not None else bool(g):
-        bounds = cut_lineage(bounds)
+    # The sketch depends on merge order, so the boundaries are pinned by a
+    # reliable checkpoint: every read, a retried task's too, has the same.
+    bounds = cut_lineage(bounds)
     if not g:
         bounds = F.broadcast(bounds)  # exactly one row
     d = d.join(bounds, keys).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))))

@@ -63,17 +63,22 @@ def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], *, id_col: s
     key = sample_key(id_col, seed)
     # first 15 hex digits -> [0, 1): monotone in the digest order
     u = F.conv(F.substring(key, 1, 15), 16, 10).cast("double") / float(16 ** 15)
-    a = alloc.select(*strata, "allocated_records", "source_records")
-    rows = df.join(a, list(strata)).withColumn("_key", key).withColumn("_u", u)
+    own = [f"_s{i}" for i in range(len(strata))]  # null strata are strata too
+    a = alloc.select(*[F.col(s).alias(o) for s, o in zip(strata, own)], "allocated_records", "source_records")
+    same = [F.col(s).eqNullSafe(F.col(o)) for s, o in zip(strata, own)]
+    rows = df.join(a, same).withColumn("_key", key).withColumn("_u", u)
     k = F.col("allocated_records")
     bound = F.least(F.lit(1.0), (k + slack * F.sqrt(k) + 10) / F.col("source_records"))
     cand = rows.where((k > 0) & (F.col("_u") <= bound))
-    w = Window.partitionBy(*strata).orderBy("_key", id_col)
+    w = Window.partitionBy(*own).orderBy("_key", id_col)
     ranked = cand.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_nc", F.count(F.lit(1)).over(Window.partitionBy(*strata)))
+        "_nc", F.count(F.lit(1)).over(Window.partitionBy(*own)))
     ok = ranked.where(F.col("_nc") >= k).where(F.col("_rn") <= k)
-    short = ranked.where(F.col("_nc") < k).select(*strata).distinct()
-    full = rows.join(short, list(strata), "left_semi").withColumn("_rn", F.row_number().over(w)).where(
+    # from the allocation: a stratum may have no candidate at all
+    kept = cand.groupBy(*[F.col(o).alias(f"{o}k") for o in own]).agg(F.count(F.lit(1)).alias("_nk"))
+    short = a.where(k > 0).join(kept, [F.col(o).eqNullSafe(F.col(f"{o}k")) for o in own], "left").where(
+        F.coalesce("_nk", F.lit(0)) < k).select(*[F.col(o).alias(f"{o}x") for o in own])
+    full = rows.where(k > 0).join(short, [F.col(o).eqNullSafe(F.col(f"{o}x")) for o in own], "left_semi").withColumn("_rn", F.row_number().over(w)).where(
         F.col("_rn") <= k)
     keep = [c for c in df.columns]
     sample = ok.select(*keep).unionByName(full.select(*keep))

@@ -22,6 +22,7 @@ from typing import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -390,7 +391,7 @@ def model_scores(df: DataFrame, text_col: str, predictor: Predictor, *, classes:
         f"{prefix}score": F.col(prob_cols[-1]) - F.col(prob_cols[0]),
         f"{prefix}label": F.when(label_idx > 0, F.get(F.array(*[F.lit(c) for c in classes]),
                                                       (label_idx - 1).cast("int"))),
-        f"{prefix}token_count": F.least(toks, F.lit(max_tokens)).cast("int"),
+        f"{prefix}token_count": toks.cast("int"),
         f"{prefix}truncated": toks > max_tokens})
 
 
@@ -410,12 +411,12 @@ def score_resumable(df: DataFrame, *, id_col: str, text_col: str, out_path: str,
     from murmur.sources.sinks import write_parquet_counted
     spark = df.sparkSession
     todo = df
-    if os.path.exists(out_path) or "://" in out_path:
-        try:
-            done = spark.read.parquet(out_path).select(id_col)
-            todo = df.join(done, id_col, "left_anti")
-        except Exception:  # noqa: BLE001 - first run: nothing written yet
-            todo = df
+    try:
+        done = spark.read.parquet(out_path).select(id_col)
+        todo = df.join(done, id_col, "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":  # a first run has nothing yet
+            raise
     scored = model_scores(todo, text_col, predictor, **kw)
     try:
         return write_parquet_counted(scored, out_path, mode="append")

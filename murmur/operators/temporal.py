@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from typing import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
@@ -88,26 +88,34 @@ def event_registry_from_top(df: DataFrame, *, k: int, order_by: list[Column], na
 
 
 def nearest_event_hours(df: DataFrame, ts_col: str, events: DataFrame, *,
-                        event_time_col: str = "event_time_utc", max_events: int = 10_000,
+                        event_time_col: str = "event_time_utc",
                         out: str = "time_to_nearest_event_hours") -> DataFrame:
     """JOI-10: absolute distance in hours to the nearest event (either side);
     NULL for a NULL timestamp or when there are no events.
 
-    The event times are aggregated into one array row (size checked against
-    ``max_events`` at run time: the job fails rather than broadcast an
-    unbounded array) and attached by a one-row broadcast join; the distance
-    is then a per-row ``array_min`` over the array, fully in codegen.
-    """
-    arr = events.where(F.col(event_time_col).isNotNull()).agg(
-        F.collect_list(F.unix_micros(F.col(event_time_col))).alias("_ev"))
-    arr = arr.select(F.when(F.size("_ev") > max_events,
-                            F.raise_error(F.lit(f"more than {max_events} events"))).otherwise(F.col("_ev"))
-                     .alias("_ev"), F.lit(0).alias("_k"))
-    ts = F.unix_micros(F.col(ts_col))
-    dist = F.array_min(F.transform(F.col("_ev"), lambda e: F.abs(ts - e)))
-    return (df.withColumn("_k", F.lit(0)).join(F.broadcast(arr), "_k", "left")
-            .withColumn(out, F.when(F.size("_ev") > 0, dist / float(HOUR_US)))
-            .drop("_k", "_ev"))
+    An as-of join both ways, for any number of events: distinct timestamps
+    and events are sorted together inside hour buckets, where the last event
+    before and the first after are carried along; buckets pass the events at
+    their ends on to each other (one row per hour of the data). The distances
+    of the distinct timestamps are joined back."""
+    hour = lambda t: F.floor(t / float(HOUR_US)).cast("long")
+    ev = events.where(F.col(event_time_col).isNotNull()).select(
+        F.unix_micros(F.col(event_time_col)).alias("_t")).distinct().withColumn("_e", F.col("_t"))
+    ts = df.where(F.col(ts_col).isNotNull()).select(F.unix_micros(F.col(ts_col)).alias("_t")).distinct() \
+        .withColumn("_e", F.lit(None).cast("long"))
+    both = ts.unionByName(ev).withColumn("_h", hour(F.col("_t")))
+    per = both.groupBy("_h").agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi"))
+    w = Window.orderBy("_h")
+    per = per.select("_h", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
+                     F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    inside = Window.partitionBy("_h").orderBy("_t")
+    near = both.join(per, "_h").select(
+        "_t", "_e", F.coalesce(F.last("_e", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)),
+                               "_prev").alias("_a"),
+        F.coalesce(F.first("_e", True).over(inside.rangeBetween(0, Window.unboundedFollowing)), "_next").alias("_b"))
+    near = near.where("_e IS NULL").select(
+        "_t", (F.least(F.col("_t") - F.col("_a"), F.col("_b") - F.col("_t")) / float(HOUR_US)).alias(out))
+    return df.withColumn("_t", F.unix_micros(F.col(ts_col))).join(near, "_t", "left").drop("_t")
 
 
 def hour_spine_counts(df: DataFrame, ts_col: str, *, unit: str = "hour") -> DataFrame:

@@ -23,7 +23,7 @@ from murmur.operators import summaries as su
 from murmur.plans import bindings as b
 from murmur.plans.q_geo import RESOLVED_SQL, resolved
 from murmur.plans.q_models import RATERS_SQL, _band, _matrix, _raters, lexicon
-from murmur.plans.q_spatial import _matrix_sql
+from murmur.plans.q_spatial import _matrix_sql, exact
 from murmur.plans.q_text import sql_clean
 from murmur.plans.q_users import CHOICE_SQL
 from murmur.plans.registry import query, rounded
@@ -58,7 +58,7 @@ def ann_01_prompt_batches(spark, sf):
 
 
 @query("jsn_02_parse_replies", oracle="""
-SELECT l.doc_id, substring(d.text, 1, 60) AS tweet, 'other' AS candidate_target, 'neutral' AS expressed_sentiment,
+SELECT l.doc_id, d.text AS tweet, 'other' AS candidate_target, 'neutral' AS expressed_sentiment,
        'neutral' AS intended_sentiment, l.toxic = 1 AS sarcasm,
        CASE WHEN l.quality = 1 THEN 'favor' ELSE 'neutral' END AS stance, CAST(0.9 AS DOUBLE) AS confidence
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
@@ -66,7 +66,7 @@ def jsn_02_parse_replies(spark, sf):
     """JSN-2 / ANN-2: fenced JSON replies built from the labelled documents
     (JSN-1) and parsed back with defaults."""
     lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    arr = F.array(F.struct(F.substring("text", 1, 60).alias("tweet"),
+    arr = F.array(F.struct(F.col("text").alias("tweet"),
                            (F.col("toxic") == 1).alias("sarcasm"),
                            F.when(F.col("quality") == 1, "favor").alias("stance")))
     replies = lab.select("doc_id", F.concat(F.lit("```json\n"), F.to_json(arr), F.lit("\n```")).alias("reply"))
@@ -162,7 +162,7 @@ def sta_19_fitted_and_residuals(spark, sf):
 
 
 @query("sta_20_demographic_sensitivity", oracle=f"""
-WITH m AS ({_matrix_sql('primary')}) SELECT 'median_age' AS control,
+WITH m AS ({exact(_matrix_sql('primary'))}) SELECT 'median_age' AS control,
   round(corr(state_sentiment_margin_Xi, median_age), 6) AS corr,
   round(regr_slope(median_age, state_sentiment_margin_Xi), 6) AS slope, count(*) AS n
 FROM m WHERE a_tweet_count + b_tweet_count >= 100

@@ -10,9 +10,9 @@ from murmur.operators import spatial as sp
 from murmur.operators import stats as st
 from murmur.operators import temporal as tm
 from murmur.plans import bindings as b
-from murmur.plans.q_spatial import POSTS_SQL, _matrix_sql
+from murmur.plans.q_spatial import POSTS_SQL, _matrix_sql, exact
 
-_MATRIX_SQL = _matrix_sql("primary")
+_MATRIX_SQL = exact(_matrix_sql("primary"))
 from murmur.plans.registry import query, rounded
 from murmur.sources.tables import table
 
@@ -63,7 +63,7 @@ p AS (SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 +
 SELECT conv_id, turn, round(p0, 6) AS roberta_negative_probability, round(p1, 6) AS roberta_neutral_probability,
        round(p2, 6) AS roberta_positive_probability, round(p2 - p0, 6) AS roberta_score,
        CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'negative' WHEN p1 >= p2 THEN 'neutral' ELSE 'positive' END AS roberta_label,
-       CAST(least(tk, 128) AS INTEGER) AS roberta_token_count, tk > 128 AS roberta_truncated FROM p"""
+       CAST(tk AS INTEGER) AS roberta_token_count, tk > 128 AS roberta_truncated FROM p"""
 
 
 @query("sen_03_model_scores", oracle=_stand_in_sql())

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from murmur.operators import profilers as pf
 from murmur.operators import quality as qa
-from murmur.operators import sampling as smp
 from murmur.operators import schema as sc
 from murmur.operators import sentiment as se
 from murmur.operators import summaries as su
@@ -26,7 +25,6 @@ FLAGS = ["prior_url_evidence_available", "location_mapping_available", "state_an
          "vader_ambiguity_available", "language_diagnostic_available", "roberta_diagnostic_available",
          "sarcasm_evidence_available"]
 CANONICAL = ["doc_id", "text", "user_id", "detected_language"]
-VALIDATION_N = 200
 
 
 def canonical(spark, sf):
@@ -35,27 +33,14 @@ def canonical(spark, sf):
                     F.element_at(F.split("text", "\n"), 1).alias("user_loc"))
 
 
-_RUNS: dict = {}
-
-
 def reliability_run(spark, sf):
-    """The materialised run, computed once per session and dataset: the
-    summary, check and report queries below all read the same checkpoint."""
-    key = (id(spark), sf)
-    if key not in _RUNS:
-        _RUNS[key] = _reliability_run(spark, sf)
-    return _RUNS[key]
-
-
-def _reliability_run(spark, sf):
-    """PRO-10: lexicon scores for every document, model evidence for a
-    validation sample only (joined by unique id, JOI-4), then the profilers.
+    """PRO-10: lexicon scores and model evidence for every document (joined
+    by unique id, JOI-4), then the profilers.
     Missing evidence stays NULL. Intermediate results are checkpointed so
     the profilers' self-joins read materialised data."""
     base = canonical(spark, sf)
     scored = se.lexicon_scores(base, "text", lexicon(spark, sf), check_blank=False, id_col="doc_id")
-    ids = smp.simple_sample(base.select("doc_id"), VALIDATION_N, id_col="doc_id", seed=2020)
-    model = se.model_scores(base.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "text",
+    model = se.model_scores(base.select("doc_id", "text"), "text",
                             se.char_profile_predictor).drop("text", "roberta_token_count", "roberta_truncated")
     run = sc.left_join_unique(scored, model, ["doc_id"])
     run = cut_lineage(run)

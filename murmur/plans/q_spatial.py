@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from murmur.operators import dedupe as dd
@@ -73,6 +75,11 @@ SELECT r.state_code, r.a_votes, r.b_votes, r.total_votes, r.other_votes, round(r
 FROM r LEFT JOIN m USING (state_code)"""
 
 
+def exact(sql: str) -> str:
+    """The same columns before they are rounded for comparison."""
+    return re.sub(r"round\((.+?), 6\) AS", r"(\1) AS", sql, flags=re.S)
+
+
 def _matrix(spark, sf, mode):
     return sp.region_matrix(b.posts(spark, sf), b.returns(spark, sf), region_col="state_code",
                             candidate_col="candidate_resolved", scores="value", regions=b.regions(spark, sf),

@@ -137,7 +137,7 @@ def _nf(x):
 def _near(x):
     y = f"regexp_replace({_nf(x)}, '#{W}+', '#tag', 'g')"
     y = f"regexp_replace({y}, '\\p{{Nd}}+', '0', 'g')"
-    return f"substring({y}, 1, 160)"
+    return y
 
 
 @query("str_05_signature_hashes", oracle=f"""
@@ -304,7 +304,7 @@ f AS (SELECT *, (m > 0)::INT + contains(t, '🙄')::INT
                 + regexp_matches(t, '(?i)(^|{nb})({contrast})($|{nb})')::INT AS cues FROM c)
 SELECT conv_id, turn, m AS sarcasm_marker_count, round(least(greatest(cues / 4.0, 0.0), 1.0), 6) AS rule_based_sarcasm_indicator,
        true AS sarcasm_evidence_available, round(least(greatest(cues / 4.0, 0.0), 1.0), 6) AS sarcasm_irony_risk,
-       'heuristic proxy; not confirmed sarcasm' AS sarcasm_proxy_note FROM f"""
+       'cue-based estimate, unverified' AS sarcasm_proxy_note FROM f"""
 
 
 @query("pro_03_sarcasm_proxy", oracle=_sarcasm_sql())

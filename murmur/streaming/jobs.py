@@ -12,12 +12,14 @@ running result after every batch.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from murmur.session import checkpoint_dir
 
@@ -42,33 +44,64 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, *, fm
     return r.load(directory)
 
 
-def run_append(df: DataFrame, out: str, ckpt: str, *, metrics: dict[str, Column] | None = None,
-               timeout_s: int = 600) -> list[dict]:
+class _Progress(StreamingQueryListener):
+    """Observed metrics of every micro-batch of one query, whole."""
+
+    def __init__(self):
+        self.batches, self.id, self.ended = [], None, threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        row = event.progress.observedMetrics.get("ingest_metrics")
+        if row is not None:
+            self.batches.append((str(event.progress.runId), row.asDict()))
+
+    def onQueryTerminated(self, event):
+        if str(event.runId) == self.id or self.id is None:
+            self.ended.set()
+
+
+def _finish(q) -> None:
+    """Wait for the end of the available input, however long it takes."""
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
+def run_append(df: DataFrame, out: str, ckpt: str, *, metrics: dict[str, Column] | None = None) -> list[dict]:
     """STM-1: append the stream to Parquet until the available input is
     consumed; returns per-batch observed metrics (``observe`` runs in the
     same pass as the write - no second scan)."""
+    spark, seen = df.sparkSession, _Progress()
     if metrics:
         df = df.observe("ingest_metrics", *[c.alias(k) for k, c in metrics.items()])
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    progress = [p.get("observedMetrics", {}).get("ingest_metrics", {}) for p in q.recentProgress]
-    if q.exception():
-        raise q.exception()
-    return progress
-
-
-def run_complete(df: DataFrame, out: str, ckpt: str, *, timeout_s: int = 600) -> None:
+        spark.streams.addListener(seen)
+    try:
+        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .outputMode("append").trigger(availableNow=True).start())
+        seen.id = str(q.runId)
+        _finish(q)
+        if metrics:
+            seen.ended.wait(60)  # the listener hears of the last batch a little later
+    finally:
+        if metrics:
+            spark.streams.removeListener(seen)
+    return [row for run, row in seen.batches if run == seen.id]
+
+
+def run_complete(df: DataFrame, out: str, ckpt: str) -> None:
     """Run a streaming aggregate in complete mode, rewriting the result
     table after each micro-batch (STM-2 running totals, STM-4 matrices)."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception():
-        raise q.exception()
+    _finish(df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
+            .trigger(availableNow=True).start())
 
 
 def hourly_matrix_stream(df: DataFrame, ts_col: str, score: str, *, unit: str = "1 hour",

@@ -54,7 +54,7 @@ def test_model_scores_and_checks(spark):
     df = spark.createDataFrame([(1, "what?? really"), (2, "GREAT!!"), (3, "plain words here")], "id int, text string")
     out = se.model_scores(df, "text", se.char_profile_predictor, max_tokens=2)
     rows = {r.id: r for r in out.collect()}
-    assert rows[3].roberta_truncated and rows[3].roberta_token_count == 2
+    assert rows[3].roberta_truncated and rows[3].roberta_token_count == 3
     assert all(r.roberta_label in ("negative", "neutral", "positive") for r in rows.values())
     assert {r.status for r in qa.model_output(out).collect()} == {"pass"}
 
