@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import blocks_of, documents, run_hashes, small_batches, to_bytes
 
-CACHE_WORDS = 2_000_000  # words and segments a worker remembers; beyond it starts afresh
+CACHE_WORDS = 800_000  # words and segments a worker remembers; beyond it starts afresh
 LONG_WORD = 4096         # bytes from which a word is contracted in position rows
 NO_PAIR = 2147483647
 
@@ -137,7 +137,7 @@ class Coder:
         self.by_space = pattern == _split_pattern()
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(":memory:", config={
-            "threads": 1, "memory_limit": "600MB", "temp_directory": tempfile.gettempdir()})
+            "threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir()})
         a, b, rank = [], [], []
         opens = set()  # tokens that take part in a pair of a lower rank
         for token, r in ranks.items():
@@ -173,7 +173,7 @@ class Coder:
             if len(b) >= LONG_WORD:
                 out[i] = self._contract_long(b)
                 continue
-            if part and (cost + len(b) ** 2 > 4e7 or len(part) == 100_000):
+            if part and (cost + len(b) ** 2 > 4e7 or len(part) == 50_000):
                 self._contract_short(part, raw, out)
                 part, cost = [], 0
             part.append(i)
@@ -408,10 +408,32 @@ def decode(encoded: DataFrame, rank_file: str | None = None, pattern: str | None
         run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
+def encode_and_decode(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None,
+                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded binary): ``decode(encode(docs))`` in one worker, so
+    the ids don't travel twice and one process a task holds the tables."""
+    small_batches(docs.sparkSession)
+    shared, pattern = _settings(docs.sparkSession, rank_file, pattern)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+        coder = _coder(shared, pattern)
+        for batch in batches:
+            flat, n = coder.encode(batch.column(1).to_pylist())
+            off = np.concatenate([[0], np.cumsum(n)])
+            texts = coder.decode(flat, off)
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())],
+                                             names=["doc_id", "ids", "decoded"])
+
+    return src.mapInArrow(
+        run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
 def round_trip(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     """Digest of each document's ids and of what they decode to."""
-    both = decode(encode(docs))
-    return both.select(
+    return encode_and_decode(docs).select(
         "doc_id", *["ids"] * keep_ids, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
