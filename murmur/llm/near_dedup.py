@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             tested = cut_lineage(tested.unionAll(found.select("hub", "doc_id")))
             # a hub's pairs in its bucket are settled
             rows = rows.join(hubs.select("token", F.col("hub").alias("doc_id")), ["token", "doc_id"], "left_anti")
-            spread *= 4
+            spread *= 32
     # classes whose members' component is not simply their own id
     if labels is None:
         joined = classes.where("members > 1").withColumn("component_id", F.col("rep"))
