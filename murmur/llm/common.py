@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.session import checkpoint_dir
 from murmur.sources.tables import table
 
 # One Arrow batch holds at most this many rows and (about) bytes, so a Python
@@ -24,6 +27,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to and read from the shared checkpoint folder.
+
+    Unlike a checkpoint this computes the rows once, keeps them compressed,
+    gives the planner their true size, and frees the shuffle files of the
+    finished write; rows lost with an executor are read again from the table."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fold_of(col: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n`` (null ids: fold of '')."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

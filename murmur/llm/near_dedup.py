@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import (blocks_of, documents, mix, shingle_hashes, small_batches, to_bytes,
+from murmur.llm.common import (blocks_of, documents, mix, shingle_hashes, small_batches, stored, to_bytes,
                                word_hashes)
 from murmur.session import cut_lineage
 
@@ -129,16 +129,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round takes the least label among the neighbours and then the label
     of that label, so paths shrink by half; rounds end when nothing changes."""
-    both = cut_lineage(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct())
+    both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct())
     labels = both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
-    labels = cut_lineage(labels)
+    labels = stored(labels)
     while True:
         step = both.join(labels, F.col("b") == F.col("doc_id")) \
             .groupBy("a").agg(F.min("component").alias("near"))
         low = labels.join(step, F.col("doc_id") == F.col("a"), "left") \
             .select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("doc_id").alias("component"), F.col("component").alias("next"))
-        new = cut_lineage(low.join(jump, "component", "left").select(
+        new = stored(low.join(jump, "component", "left").select(
             "doc_id", "old", F.least("component", "next").alias("component")))
         labels = new.select("doc_id", "component")
         if new.where("component <> old").isEmpty():
@@ -183,38 +183,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """(doc_id, n_shingles, component_id, kept) of every row."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    base = cut_lineage(sketches(src))
+    base = stored(sketches(src))
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n"]
-    classes = cut_lineage(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    classes = stored(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     members = known.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi") \
         .select("doc_id", "n", F.explode("bands").alias("band"))
     first = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    active = cut_lineage(members.join(first.select("band", "hub"), "band")
+    active = stored(members.join(first.select("band", "hub"), "band")
                          .select("band", "doc_id", "n", "hub").distinct())
     labels = None
     if not active.isEmpty():
-        wanted = cut_lineage(active.select("doc_id").distinct())
+        wanted = stored(active.select("doc_id").distinct())
         few = wanted.count() * 16 < 8 << 20  # a measured size, else Spark shuffles
+        # whole sets of any length: a checkpoint is read row by row, Parquet in vectors of rows
         sets = cut_lineage(shingle_sets(src.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")))
         hubs = active.where("doc_id = hub").select("band", "hub", F.col("n").alias("hub_n")).distinct()
         pairs = active.where("doc_id <> hub").join(hubs, ["band", "hub"]) \
             .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "doc_id").distinct()
-        tested = cut_lineage(verified(pairs, sets, percent))
+        tested = stored(verified(pairs, sets, percent))
         links = tested.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
         labels = components(links)
         # buckets that are in more than one piece without their hub
         rest = with_component(active.where("doc_id <> hub").select("band", "doc_id"), labels)
         rest = rest.join(in_pieces(rest, "band"), "band", "left_semi").select("doc_id").distinct()
-        rows = cut_lineage(prefix_rows(sets.join(rest, "doc_id", "left_semi"), percent))
+        rows = stored(prefix_rows(sets.join(rest, "doc_id", "left_semi"), percent))
         tested, spread = tested.select("hub", "doc_id"), 1
         while True:
             rows = with_component(rows.drop("component"), labels)
-            rows = cut_lineage(rows.join(in_pieces(rows, "token"), "token", "left_semi"))
+            rows = stored(rows.join(in_pieces(rows, "token"), "token", "left_semi"))
             if rows.isEmpty():
                 break
             best = F.struct((-F.col("alone")).alias("alone"), (-F.col("doc_id")).alias("neg"), "n", "after", "component")
-            hubs = cut_lineage(rows.groupBy("token", F.pmod(F.hash("doc_id"), F.lit(spread)).alias("part"))
+            hubs = stored(rows.groupBy("token", F.pmod(F.hash("doc_id"), F.lit(spread)).alias("part"))
                                .agg(F.max(best).alias("top")).select(
                 "token", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n"),
                 F.col("top.after").alias("hub_after"), F.col("top.component").alias("hub_component")))
@@ -224,12 +225,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                 & ((100 + percent) * F.least("after", "hub_after") >= percent * (F.col("n") + F.col("hub_n")))) \
                 .select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct() \
                 .join(tested, ["hub", "doc_id"], "left_anti")
-            found = cut_lineage(verified(pairs, sets, percent))
+            found = stored(verified(pairs, sets, percent))
             new = found.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
             if not new.isEmpty():
-                links = cut_lineage(links.unionAll(new))
+                links = stored(links.unionAll(new))
                 labels = components(links)
-            tested = cut_lineage(tested.unionAll(found.select("hub", "doc_id")))
+            tested = stored(tested.unionAll(found.select("hub", "doc_id")))
             # a hub's pairs in its bucket are settled
             rows = rows.join(hubs.select("token", F.col("hub").alias("doc_id")), ["token", "doc_id"], "left_anti")
             spread *= 32
