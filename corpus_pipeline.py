@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import bpe, langid, mixing, near_dedup, pii
-from murmur.llm.common import documents
-from murmur.session import checkpoint_dir, cut_lineage
+from murmur.llm.common import documents, stored
+from murmur.session import checkpoint_dir
 
 LEAST_SCORE = 0.4       # of the predicted language; below it a text is rejected
 MIX_SHARE = 0.9         # of the tokens that reach the mix
@@ -32,11 +32,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     found = near_dedup.near_duplicates(docs)
-    gone = cut_lineage(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    gone = stored(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
     few = gone.count() * 16 <= SMALL
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    ids = cut_lineage(ids)
+    ids = stored(ids)
     if ids.isEmpty():
         return left
     # rows that share an id: the least text stays

@@ -28,8 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import documents
-from murmur.session import cut_lineage
+from murmur.llm.common import documents, stored
 
 SEED = 7
 DOMAINS = {"web": 0.5, "books": 0.3, "code": 0.2}
@@ -97,12 +96,12 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
         F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                     F.coalesce(F.md5("text"), F.lit(""))).alias("_name"))
     # keys, tokens and names only: the texts are read twice, never moved
-    thin = cut_lineage(df.select(*key, "_tokens", "_name"))
+    thin = stored(df.select(*key, "_tokens", "_name"))
     leaves = thin.groupBy(*key).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")) \
         .withColumn("capacity", F.col("tokens") * max_epochs)
     named = leaves.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
                           F.col("_source").alias("source"), "tokens", "docs", "capacity")
-    plan = cut_lineage(budgets(named, share, domains, languages).where("budget > 0").select(
+    plan = stored(budgets(named, share, domains, languages).where("budget > 0").select(
         F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"),
         F.expr("CAST(budget div greatest(tokens, 1) AS int)").alias("_whole"),
         F.expr("budget % greatest(tokens, 1)").alias("_left")))
@@ -114,14 +113,14 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
     sums = rows.groupBy(*key, "_bucket", "_left").agg(F.sum("_tokens").alias("_sum"))
     leaf = Window.partitionBy(*key).orderBy("_bucket")  # at most 16^DIGITS rows
     ends = sums.withColumn("_end", F.sum("_sum").over(leaf)).withColumn("_begin", F.col("_end") - F.col("_sum"))
-    cut = cut_lineage(ends.where("_end > _left").groupBy(*key).agg(
+    cut = stored(ends.where("_end > _left").groupBy(*key).agg(
         F.min(F.struct(F.col("_bucket").alias("_cut"), "_begin")).alias("_at")).select(*key, "_at._cut", "_at._begin"))
     # rows that are equal in id and text have one place and go together
     place = Window.partitionBy(*key).orderBy("_md5").rangeBetween(Window.unboundedPreceding, 0)
     limit = rows.join(near(cut), key).where("_bucket = _cut") \
         .withColumn("_upto", F.col("_begin") + F.sum("_tokens").over(place)).where("_upto <= _left") \
         .groupBy(*key).agg(F.max("_md5").alias("_limit"))
-    plan = cut_lineage(plan.join(cut.drop("_begin"), key, "left").join(limit, key, "left"))
+    plan = stored(plan.join(cut.drop("_begin"), key, "left").join(limit, key, "left"))
     part = F.expr("_left > 0 AND (_tokens > 0 OR _whole = 0) AND (_cut IS NULL OR substring(_md5, 1, length(_cut)) < _cut"
                   " OR coalesce(_md5 <= _limit, false))")
     epochs = F.concat(
