@@ -14,7 +14,7 @@ from murmur.sources.tables import table
 # One Arrow batch holds at most this many rows and (about) bytes, so a Python
 # worker's memory does not depend on how long the texts of a table are.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -69,7 +69,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least n of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(1 << 18, 1 << n.bit_length())
         with np.errstate(over="ignore"):
             up = np.full(size, _BASE, np.uint64)
             up[0] = 1

@@ -70,7 +70,7 @@ def band_hashes(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts):
-    for lo, hi in blocks_of(texts):
+    for lo, hi in blocks_of(texts, 1 << 18):
         words, first = word_hashes(texts[lo:hi])
         yield from map(np.unique, shingle_hashes(words, first, SHINGLE))
 
