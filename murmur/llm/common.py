@@ -14,7 +14,7 @@ from murmur.sources.tables import table
 # One Arrow batch holds at most this many rows and (about) bytes, so a Python
 # worker's memory does not depend on how long the texts of a table are.
 BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
