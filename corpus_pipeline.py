@@ -18,6 +18,8 @@ from murmur.llm.common import documents, stored
 from murmur.session import checkpoint_dir
 
 LEAST_SCORE = 0.4       # of the predicted language; below it a text is rejected
+NEAR = 80               # percent of shingles that near copies share
+BANDS, ROWS = 46, 6     # a pair at 0.80 misses all bands with odds near 8e-7
 MIX_SHARE = 0.9         # of the tokens that reach the mix
 SMALL = 8 << 20         # bytes up to which a measured id list is broadcast
 
@@ -30,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    found = near_dedup.near_duplicates(docs)
+    """One document of each group of near copies (Jaccard 0.80 or more) stays."""
+    found = near_dedup.near_duplicates(docs, percent=NEAR, bands=BANDS, band_rows=ROWS)
     gone = stored(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
     few = gone.count() * 16 <= SMALL
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

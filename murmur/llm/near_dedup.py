@@ -3,12 +3,13 @@
 A document's set is its distinct five-word shingles (fewer words: the whole
 sequence). One permutation's values are cut into ``BINS`` bins; every bin keeps
 its least value, and empty bins borrow one from a bin chosen by a shared hash
-(optimal densification). Bands of ``ROWS`` bins are the buckets: a pair with
-Jaccard 0.85 misses all 40 with odds near 2e-7.
+(optimal densification). Bands of bins are the buckets: a pair with Jaccard
+0.85 misses all 40 bands of 7 with odds near 2e-7. A lower bound needs shorter
+bands: at 0.80 a pair misses 46 bands of 6 with odds near 8e-7.
 
 Equal sets are one class before anything is compared. A bucket then emits
 star-shaped edges only: its hub against every other member. An edge counts if
-the whole sets confirm 100 * intersection >= 85 * union. A star alone can miss
+the whole sets confirm 100 * intersection >= percent * union (85 in op9). A star alone can miss
 a link between two spokes, so the members of buckets that are not yet all
 connected are indexed exactly by their rarest shingles (``prefix_rows``), and
 stars go on in those smaller buckets, first with the hubs that have the fewest
@@ -27,6 +28,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,24 +38,35 @@ from murmur.llm.common import (blocks_of, documents, mix, shingle_hashes, small_
                                word_hashes)
 from murmur.session import cut_lineage
 
-BANDS, ROWS = 40, 7
-BINS = BANDS * ROWS
+BANDS, ROWS = 40, 7      # for 0.85
 SHINGLE = 5
 SALTS = 16
-_EDGES = np.array([(i << 64) // BINS for i in range(BINS)], dtype=np.uint64)
-_rng = np.random.default_rng(9)
-_BORROW = _rng.integers(0, BINS, (2048, BINS))
-_ODD = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NUMBER = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def one_permutation(values: np.ndarray) -> np.ndarray:
+class Bands:
+    """Fixed random choices of ``bands`` bands of ``rows`` bins each."""
+
+    def __init__(self, bands: int, rows: int):
+        self.shape, self.bins = (bands, rows), bands * rows
+        self.edges = np.array([(i << 64) // self.bins for i in range(self.bins)], dtype=np.uint64)
+        rng = np.random.default_rng(9)
+        self.borrow = rng.integers(0, self.bins, (2048, self.bins))
+        self.odd = rng.integers(0, 1 << 63, self.shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.number = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+bands_of = lru_cache(Bands)
+_ODD = bands_of(BANDS, ROWS).odd[0]
+
+
+def one_permutation(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Densified sketch of a sorted, non-empty array of distinct hashes."""
-    at = np.append(np.searchsorted(values, _EDGES), len(values))
+    b = bands_of(bands, rows)
+    at = np.append(np.searchsorted(values, b.edges), len(values))
     filled = at[1:] > at[:-1]
     out = values[np.minimum(at[:-1], len(values) - 1)]
     empty = np.flatnonzero(~filled)
-    for row in _BORROW:
+    for row in b.borrow:
         if not len(empty):
             return out
         lender = row[empty]
@@ -64,9 +78,11 @@ def one_permutation(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(values: np.ndarray) -> np.ndarray:
+def band_hashes(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    b = bands_of(bands, rows)
     with np.errstate(over="ignore"):
-        return mix((one_permutation(values).reshape(BANDS, ROWS) * _ODD).sum(axis=1, dtype=np.uint64) + _NUMBER)
+        return mix((one_permutation(values, bands, rows).reshape(b.shape) * b.odd).sum(axis=1, dtype=np.uint64)
+                   + b.number)
 
 
 def _sets(texts):
@@ -75,7 +91,7 @@ def _sets(texts):
         yield from map(np.unique, shingle_hashes(words, first, SHINGLE))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n, k1, k2, bands): size and 128-bit key of the set, buckets."""
 
     def run(batches):
@@ -85,9 +101,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             for s in _sets([to_bytes(t) for t in b.column(1).to_pylist()]):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
-                    k1.append(mix(s ^ _ODD[0, 0]).sum(dtype=np.uint64))
-                    k2.append(mix(s ^ _ODD[0, 1]).sum(dtype=np.uint64))
-                bands.append(band_hashes(s).view(np.int64) if len(s) else None)
+                    k1.append(mix(s ^ _ODD[0]).sum(dtype=np.uint64))
+                    k2.append(mix(s ^ _ODD[1]).sum(dtype=np.uint64))
+                bands.append(band_hashes(s, n_bands, rows).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)),
                  pa.array(np.array(k2, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
@@ -179,11 +195,12 @@ def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+                    text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; ``bands`` bands of
+    ``band_rows`` bins must be so many that a pair at ``percent`` hardly misses all."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    base = stored(sketches(src))
+    base = stored(sketches(src, bands, band_rows))
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n"]
     classes = stored(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))

@@ -472,3 +472,29 @@ def test_pipeline_stages_against_brute_force(odd, spark, tmp_path):
     for r in got(kept[4]):
         assert r["decoded_sha256"] == hashlib.sha256(mixed[r["doc_id"]].encode()).hexdigest()
     assert len(got(kept[4])) == len(got(kept[3]))
+
+
+def test_pipeline_near_dedup_takes_pairs_from_080(spark):
+    import corpus_pipeline as P
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(30):  # pairs around 0.80 and 0.85, and chains of them
+        own = [f"g{g}w{j}" for j in range(200)]
+        rows.append((10 * g, " ".join(own)))
+        for k in range(1, 4):
+            w = list(own)
+            for at in rng.choice(np.arange(5, 195, 10), int(rng.integers(2, 7)), replace=False):
+                w[at] = f"new{g}x{k}x{at}"
+            rows.append((10 * g + k, " ".join(w)))
+    want = {i for i, c in components(rows, percent=80).items() if i == c}
+    assert len(want) < len({i for i, c in components(rows).items() if i == c})  # some links only from 0.80 to 0.85
+    out = P.near_duplicates(spark, frame(spark, [(i, t, "en", "s") for i, t in rows]), "")
+    assert sorted(r["doc_id"] for r in got(out)) == sorted(want)
+
+
+def test_bands_for_080():
+    import corpus_pipeline as P
+    from murmur.llm import near_dedup as nd
+    assert (1 - (P.NEAR / 100) ** P.ROWS) ** P.BANDS < 1e-6
+    a = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2))
+    assert len(nd.band_hashes(a, P.BANDS, P.ROWS)) == P.BANDS and len(nd.band_hashes(a)) == nd.BANDS
