@@ -142,6 +142,48 @@ def test_licences_against_brute_force(odd, none, spark):
     assert got(li.scan(odd)) == []
 
 
+def test_licences_wrapped_and_embedded(spark):
+    from murmur.llm import licenses as li
+    mit, bsd = li.TEMPLATES["mit"][2], li.TEMPLATES["bsd-3-clause"][1]
+    long = " ".join(f"w{i}" for i in range(500))
+    docs = frame(spark, [
+        (1, "Copyright\n\n" + mit.replace("a copy of", "a copy\nof").replace(", to any", ",\n  to any"), "en", "s"),
+        (2, f"{long} {bsd} {long}", "en", "s"),
+        (3, f"x\n{long} Licensed under the MIT License. {long} Licensed under CC BY 4.0. {long}", "en", "s"),
+        (4, " // ".join(["Licensed under CC BY-SA 4.0."] * 3), "en", "s"),
+        (5, "Licensed under the", "en", "s"), (6, "MIT License.", "en", "s"),  # not across texts
+        (7, f"{long} Licensed under a new MIT License {long}", "en", "s")])
+    out = sorted((r["doc_id"], r["line_no"], r["word_no"], r["license"], r["dice"]) for r in got(li.scan(docs)))
+    assert out == [(1, 2, 1, "mit", 1.0), (2, 0, 500, "bsd-3-clause", 1.0), (3, 1, 501, "mit", 1.0),
+                   (3, 1, 1006, "cc-by-4.0", 1.0), *[(4, 0, 7 * k, "cc-by-sa-4.0", 1.0) for k in range(3)]]
+
+
+def test_licence_windows_against_brute_force():
+    from murmur.llm import licenses as li
+    rng = np.random.default_rng(13)
+    scanner = li.Scanner(li.TEMPLATES, 0.8)
+    pool = sorted({t for ts in li.TEMPLATES.values() for t in ts})
+    for _ in range(40):
+        w = [x for t in rng.choice(pool, 3) for x in ["aa", *t.split()] if rng.random() > 0.06]
+        text = " ".join(w)
+        flat = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        every = []
+        for n in range(1, 32):
+            for lo in range(len(flat) - n):
+                bag = Counter(f"{a} {b}" for a, b in zip(flat[lo:lo + n], flat[lo + 1:lo + n + 1]))
+                for k, (tid, name, _) in enumerate(scanner.templates):
+                    tb = li.bigrams(li.TEMPLATES[name][int(tid.split("#")[1])])
+                    dice = 2.0 * sum((bag & tb).values()) / (n + sum(tb.values()))
+                    if dice >= 0.8:
+                        every.append((-dice, k, n, lo))
+        want, taken = [], set()
+        for dice, k, n, lo in sorted(every):
+            if taken.isdisjoint(range(lo, lo + n)):
+                taken.update(range(lo, lo + n))
+                want.append((lo, scanner.templates[k][1], -dice))
+        assert sorted((r[2], r[4], r[5]) for r in scanner.notices([text.encode()])) == sorted(want)
+
+
 # ---- 4 ------------------------------------------------------------------
 def brute_lm(rows):
     texts = [(i, zlib.crc32(str("" if i is None else i).encode()) % 5 == 1, words(t) + ["</s>"]) for i, t in rows]
