@@ -4,8 +4,12 @@ A text's set is its distinct five-word shingles. ``PERMUTATIONS`` universal
 hashes a*x+b modulo 2^32 (a odd: permutations) run over all shingles in
 vectorised numpy; the fingerprint keeps 16 bits of every minimum. The share of
 equal positions, corrected for chance, estimates the Jaccard likeness.
-``similar_pairs`` cuts fingerprints into bands, joins equal bands in Spark in
-the form of stars (one hub per bucket) and verifies Jaccard on whole sets.
+``similar_pairs`` cuts fingerprints into bands, joins equal bands in Spark and
+verifies Jaccard on whole sets: equal sets are one class first, a bucket emits
+a star around one hub, and buckets that this leaves in pieces go on with the
+exact index of rare shingles of ``near_dedup``, so two documents at the
+threshold are always joined by links, directly or over others. The query has
+the least id of each document's group (``class_id``) and its number of links.
 
 The neighbour in descending id order is found without a global sort in one
 task: ids are dealt to buckets at approximate quantiles, every bucket also gets
@@ -15,18 +19,21 @@ by one task. Texts cross one shuffle.
 Defined results: null texts are empty; a text without words has the all-ones
 fingerprint, whose likeness to another such is 1 and to any other 0; null ids
 come last, equal ids are ordered by text, downwards; a single document is its
-own neighbour; an empty table gives no rows; other columns are ignored.
+own neighbour; an empty table gives no rows; other columns are ignored; texts
+without words have no links, null ids neither links nor class.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import (blocks_of, documents, shingle_hashes, small_batches, to_bytes,
+from murmur.llm import near_dedup
+from murmur.llm.common import (blocks_of, documents, mix, shingle_hashes, small_batches, stored, to_bytes,
                                word_hashes)
 
 PERMUTATIONS = 128
@@ -150,38 +157,47 @@ def against_next(docs: DataFrame) -> DataFrame:
                                " edited_fingerprint string, near_edited double, near_next double")
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8, rows: int = 4) -> DataFrame:
-    """(a, b, jaccard): verified pairs of documents and their bucket's hub.
+def signature_bands(shingles: np.ndarray, rows: int = 4) -> np.ndarray:
+    """Hashes of the bands of ``rows`` positions of a fingerprint."""
+    cut = signature(shingles)[:PERMUTATIONS // rows * rows].reshape(-1, rows)
+    with np.errstate(over="ignore"):
+        out = mix(np.arange(1, len(cut) + 1, dtype=np.uint64))
+        for k in range(rows):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + cut[:, k])
+    return out
 
-    Bands of ``rows`` positions are joined on equality. Each bucket emits only
-    the pairs with its smallest id, so their number is linear in the bucket;
-    Jaccard is then computed on the whole shingle sets."""
-    spark = docs.sparkSession
-    small_batches(spark)
+
+def _linked(docs: DataFrame, threshold: float, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class, and all links (a, b, jaccard)."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // rows - 1)), lambda i: F.xxhash64(
-        i, F.substring(F.col("fingerprint"), i * rows * 4 + 1, F.lit(rows * 4))))
-    rows_ = fingerprints(src).where(F.col("fingerprint") != _hex(_NONE)) \
-        .select("doc_id", F.explode(bands).alias("band"))
-    hubs = rows_.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows_.join(hubs, "band").where("doc_id <> a") \
-        .select("a", F.col("doc_id").alias("b")).distinct()
-
-    def sets(batches):
-        import pyarrow as pa
-        for b in batches:
-            words, first = word_hashes([to_bytes(t) for t in b.column(1).to_pylist()])
-            got = [np.unique(s).astype(np.int64) for s in shingle_hashes(words, first, SHINGLE)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))],
-                                             names=["doc_id", "shingles"])
+    found, links = near_dedup.linked(src, round(100 * threshold), partial(signature_bands, rows=rows))
+    found = stored(found)
+    pairs = found.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"),
+                                                F.lit(1.0).alias("jaccard"))
+    if links is not None:
+        pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard") \
+            .unionByName(pairs)
+    return found, pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def similar_pairs(docs: DataFrame, threshold: float = 0.8, rows: int = 4) -> DataFrame:
+    """(a, b, jaccard): verified links, to whole percents of ``threshold``.
+
+    Bands of ``rows`` positions are joined on equality. The links are not all
+    pairs of a group but join all that are similar; their number is linear."""
+    return _linked(docs, threshold, rows)[1]
+
 
-    whole = src.mapInArrow(sets, "doc_id bigint, shingles array<bigint>")
-    a = whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    b = whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a") \
-        .select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")) \
-        .where(F.col("jaccard") >= threshold)
+def with_links(docs: DataFrame) -> DataFrame:
+    """The rows of ``against_next`` with class_id and n_links."""
+    found, pairs = _linked(docs, 0.8, 4)
+    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
+    count = ends.groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    each = found.groupBy("doc_id").agg(F.min(F.coalesce("component_id", "doc_id")).alias("class_id")) \
+        .join(count, "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return against_next(docs).join(stored(each), "doc_id", "left") \
+        .withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
-QUERIES = {"op2_fingerprints": lambda spark, sf_dir: against_next(documents(spark, sf_dir))}
+QUERIES = {"op2_fingerprints": lambda spark, sf_dir: with_links(documents(spark, sf_dir))}

@@ -28,7 +28,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -91,8 +91,9 @@ def _sets(texts):
         yield from map(np.unique, shingle_hashes(words, first, SHINGLE))
 
 
-def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, k1, k2, bands): size and 128-bit key of the set, buckets."""
+def sketches(docs: DataFrame, banded=band_hashes) -> DataFrame:
+    """(doc_id, n, k1, k2, bands): size and 128-bit key of the set, its buckets
+    by ``banded``."""
 
     def run(batches):
         import pyarrow as pa
@@ -103,7 +104,7 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFra
                 with np.errstate(over="ignore"):
                     k1.append(mix(s ^ _ODD[0]).sum(dtype=np.uint64))
                     k2.append(mix(s ^ _ODD[1]).sum(dtype=np.uint64))
-                bands.append(band_hashes(s, n_bands, rows).view(np.int64) if len(s) else None)
+                bands.append(banded(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)),
                  pa.array(np.array(k2, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
@@ -194,13 +195,11 @@ def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("token", "doc_id", "n").agg(F.min("alone").alias("alone"), F.max("after").alias("after"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
-                    text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; ``bands`` bands of
-    ``band_rows`` bins must be so many that a pair at ``percent`` hardly misses all."""
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    base = stored(sketches(src, bands, band_rows))
+def linked(src: DataFrame, percent: int, banded=band_hashes) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (doc_id, n, rep, component_id) of (doc_id, text) with the least ids
+    of their equal sets and of their component (null if there is no other), and
+    the links (a, b, jaccard) between equal sets' least ids, None without any."""
+    base = stored(sketches(src, banded))
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n"]
     classes = stored(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
@@ -209,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     active = stored(members.join(first.select("band", "hub"), "band")
                          .select("band", "doc_id", "n", "hub").distinct())
-    labels = None
+    labels = links = None
     if not active.isEmpty():
         wanted = stored(active.select("doc_id").distinct())
         few = wanted.count() * 16 < 8 << 20  # a measured size, else Spark shuffles
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         pairs = active.where("doc_id <> hub").join(hubs, ["band", "hub"]) \
             .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "doc_id").distinct()
         tested = stored(verified(pairs, sets, percent))
-        links = tested.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+        links = tested.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "jaccard")
         labels = components(links)
         # buckets that are in more than one piece without their hub
         rest = with_component(active.where("doc_id <> hub").select("band", "doc_id"), labels)
@@ -243,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                 .select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct() \
                 .join(tested, ["hub", "doc_id"], "left_anti")
             found = stored(verified(pairs, sets, percent))
-            new = found.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+            new = found.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "jaccard")
             if not new.isEmpty():
                 links = stored(links.unionAll(new))
                 labels = components(links)
@@ -258,11 +257,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         joined = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left") \
             .where("members > 1 OR component IS NOT NULL") \
             .withColumn("component_id", F.coalesce("component", "rep"))
-    salted = joined.select(*key, "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return base.drop("bands").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))) \
-        .join(salted, [*key, "salt"], "left") \
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(
-            "component_id", "doc_id")).alias("component_id")) \
+    salted = joined.select(*key, "rep", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = base.drop("bands").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))) \
+        .join(salted, [*key, "salt"], "left").select("doc_id", "n", "rep", "component_id")
+    return rows, links
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
+                    text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; ``bands`` bands of
+    ``band_rows`` bins must be so many that a pair at ``percent`` hardly misses all."""
+    small_batches(docs.sparkSession)
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, _ = linked(src, percent, partial(band_hashes, bands=bands, rows=band_rows))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(
+        "component_id", "doc_id")).alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

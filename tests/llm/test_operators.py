@@ -117,6 +117,37 @@ def test_similar_pairs_are_verified(odd):
     assert set(pairs) == {(1, 2), (1, 3)}
 
 
+def test_similar_pairs_keep_links_between_spokes(odd, none, spark):
+    from murmur.llm import fingerprints as fp
+    rows = [(r["doc_id"], r["text"]) for r in got(odd)]
+    rng = np.random.default_rng(2)
+    for g in range(2):  # smaller ids, too far for a link, are the hubs of all buckets the last two share
+        own = [f"g{g}w{j}" for j in range(300)]
+        for k in range(80):
+            lo = int(rng.integers(0, 230))
+            rows.append((1000 * (g + 1) + k, " ".join(own[:lo] + [f"g{g}k{k}x{j}" for j in range(70)] + own[lo + 70:])))
+        rows += [(1000 * (g + 1) + 80, " ".join(own)),
+                 (1000 * (g + 1) + 81, " ".join("new" if j % 60 == 30 else w for j, w in enumerate(own)))]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    want = components(rows, percent=80)
+    assert want[1081] == 1080 and want[2081] == 2080
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = got(fp.similar_pairs(docs))
+    for r in pairs:
+        x, y = sets[r["a"]], sets[r["b"]]
+        assert r["a"] < r["b"] and r["jaccard"] == pytest.approx(len(x & y) / len(x | y)) and r["jaccard"] >= 0.8
+    up = {i: i for i in want}
+    for _ in up:
+        for r in pairs:
+            up[r["a"]] = up[r["b"]] = min(up[r["a"]], up[r["b"]])
+    assert up == want
+    links = Counter(x for r in pairs for x in (r["a"], r["b"]))
+    out = got(fp.with_links(docs))
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    assert all(r["class_id"] == want.get(r["doc_id"]) and r["n_links"] == links[r["doc_id"]] for r in out)
+    assert got(fp.with_links(none)) == []
+
+
 # ---- 3 ------------------------------------------------------------------
 def test_licences_against_brute_force(odd, none, spark):
     from murmur.llm import licenses as li
