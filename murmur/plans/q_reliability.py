@@ -30,7 +30,7 @@ CANONICAL = ["doc_id", "text", "user_id", "detected_language"]
 def canonical(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", "text", F.col("source").alias("user_id"), F.col("lang").alias("detected_language"),
-                    F.element_at(F.split("text", "\n"), 1).alias("user_loc"))
+                    F.col("text").alias("user_loc"))
 
 
 def reliability_run(spark, sf):
