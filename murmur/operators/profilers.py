@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from murmur.functions import classify as geo
 from murmur.functions import text as tx
 from murmur.operators import rank as rk
-from murmur.operators.common import with_scalars
+from murmur.operators.common import join_back, with_scalars
 from murmur.operators.temporal import hour_spine_counts, nearest_event_hours
+from murmur.session import cut_lineage
 
 
 # --- MAT-1 / MAT-2 ---------------------------------------------------------------
@@ -62,36 +63,46 @@ def robust_z_sigmoid(df: DataFrame, value: str, out: str) -> DataFrame:
 
 # --- PRO-1 textual evidence ----------------------------------------------------------
 def textual_evidence(df: DataFrame, text_col: str, original_col: str | None = None) -> DataFrame:
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.select(
-        "*",
+    """PRO-1. All evidence is a function of the text (and of the original
+    text), so it is found once per distinct text, kept under the text's
+    digest, ranked there (each digest counting its rows) and joined back;
+    rows of a very common text go by broadcast."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    original = F.col(original_col).cast("string") if original_col else F.lit(None).cast("string")
+    keys = {"_dt": _digest(text), "_do": _digest(original)}
+    t = F.col("_text")
+    out = df.select(*[c.alias(k) for k, c in keys.items()], text.alias("_text"), original.alias("_original"))
+    out = out.select(
+        *keys,
         tx.word_count(t).alias("word_count"), tx.char_count(t).alias("character_count"),
         tx.hashtag_count(t).alias("hashtag_count"), tx.mention_count(t).alias("mention_count"),
-        tx.emoji_count(t).alias("emoji_count"), tx.punctuation_count(t).alias("punctuation_count"))
-    wc = F.col("word_count")
-    out = out.select(
-        "*",
-        tx.safe_divide(F.col("hashtag_count"), wc).alias("hashtag_ratio"),
-        tx.safe_divide(F.col("mention_count"), wc).alias("mention_ratio"),
-        tx.safe_divide(F.col("emoji_count"), wc).alias("emoji_ratio"),
-        (wc <= 3).alias("is_extremely_short"),
+        tx.emoji_count(t).alias("emoji_count"), tx.punctuation_count(t).alias("punctuation_count"),
         tx.only_pattern(t, tx.HASHTAG).alias("is_hashtag_only"),
         tx.only_pattern(t, tx.MENTION).alias("is_mention_only"),
-        clip01(1.0 - wc / 12.0).alias("text_sparsity_risk"))
-    if original_col is None:
-        out = out.withColumns({"prior_url_evidence_available": F.lit(False),
-                               "had_url_before_cleaning": F.lit(None).cast("boolean")})
-    else:
-        o = F.col(original_col)
-        out = out.withColumns({"prior_url_evidence_available": o.isNotNull(),
-                               "had_url_before_cleaning": F.when(o.isNotNull(), o.rlike(tx.URL_PATTERN))})
-    out = out.withColumn("prior_url_evidence_risk", F.lit(None).cast("double"))
-    out = rk.percentile_ranks(out, {"hashtag_ratio": "hashtag_dominance_risk",
-                                    "mention_ratio": "mention_dominance_risk",
-                                    "emoji_ratio": "emoji_dominance_risk"})
-    return out.withColumn("textual_evidence_risk", available_mean(
+        F.col("_original").isNotNull().alias("prior_url_evidence_available"),
+        F.when(F.col("_original").isNotNull(), F.col("_original").rlike(tx.URL_PATTERN)).alias("had_url_before_cleaning"))
+    found = [c for c in out.columns if c not in keys]
+    per_text = cut_lineage(out.groupBy(*keys).agg(F.first(F.struct(*found)).alias("_e"), F.count(F.lit(1)).alias("_rows"))
+                           .select(*keys, "_rows", "_e.*"))
+    wc = F.col("word_count")
+    per_text = per_text.withColumns({
+        "hashtag_ratio": tx.safe_divide(F.col("hashtag_count"), wc),
+        "mention_ratio": tx.safe_divide(F.col("mention_count"), wc),
+        "emoji_ratio": tx.safe_divide(F.col("emoji_count"), wc),
+        "is_extremely_short": wc <= 3, "text_sparsity_risk": clip01(1.0 - wc / 12.0),
+        "prior_url_evidence_risk": F.lit(None).cast("double")})
+    ranked = rk.percentile_ranks(per_text, {"hashtag_ratio": "hashtag_dominance_risk",
+                                            "mention_ratio": "mention_dominance_risk",
+                                            "emoji_ratio": "emoji_dominance_risk"}, rows="_rows")
+    ranked = cut_lineage(ranked.withColumn("textual_evidence_risk", available_mean(
         [F.col(c) for c in ("text_sparsity_risk", "hashtag_dominance_risk", "mention_dominance_risk",
-                            "emoji_dominance_risk")]))
+                            "emoji_dominance_risk")])))
+    return join_back(df, ranked, keys, "_rows")
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 as 32 bytes (NULL of NULL)."""
+    return F.unhex(F.sha2(text, 256))
 
 
 # --- PRO-5 duplicate amplification --------------------------------------------------
@@ -101,7 +112,7 @@ def _repetition_risk_by_count(groups: DataFrame, count_col: str, rows_col: str,
     values, never from a pass over the rows. Count 1 -> 0."""
     dist = groups.where(F.col(count_col) > 1).groupBy(count_col).agg(F.sum(rows_col).alias("_w"))
     risk = rk.small_weighted_rank(dist, count_col, "_w", out)
-    return (groups.join(F.broadcast(risk), count_col, "left")
+    return (groups.join(risk, count_col, "left")
             .withColumn(out, F.when(F.col(count_col).isNull(), F.lit(None).cast("double"))
                         .otherwise(F.coalesce(F.col(out), F.lit(0.0)))))
 
@@ -109,40 +120,39 @@ def _repetition_risk_by_count(groups: DataFrame, count_col: str, rows_col: str,
 def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
                             signature_length: int | None = None, exact_removed: int = 0) -> DataFrame:
     """Exact / normalised / near-signature / cross-user repetition counts and
-    the mean of their repetition risks. Group keys are SHA-256 digests of
-    the (possibly 20k-word) texts, so shuffles move 64-byte keys; counts are
-    aggregated per group and joined back (a hot text is one row)."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select("*", F.sha2(t, 256).alias("_hx"), F.sha2(tx.duplicate_normal_form(t), 256).alias("_hn"),
-                     F.sha2(tx.near_signature(t, signature_length), 256).alias("near_duplicate_cluster_id"),
-                     F.coalesce(F.col(user_col).cast("string"), F.lit("__MISSING_USER_ID__")).alias("_u"))
-    # One shuffle for all three groupings: every row contributes one tagged
-    # key per layer; the per-layer frames below are filters over the same
-    # aggregate exchange (Spark reuses it), so the regex/hash work on the
-    # texts runs once for the counts and once for the join probe.
-    keys = base.select(F.explode(F.array(
-        F.struct(F.lit("x").alias("kind"), F.col("_hx").alias("key"), F.col("_u").alias("u")),
-        F.struct(F.lit("n").alias("kind"), F.col("_hn").alias("key"), F.col("_u").alias("u")),
-        F.struct(F.lit("s").alias("kind"), F.col("near_duplicate_cluster_id").alias("key"), F.col("_u").alias("u")))
-    ).alias("k")).select("k.*")
-    agg = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("u").alias("_users"))
-    ex = agg.where(F.col("kind") == "x").select(F.col("key").alias("_hx"),
-                                                F.col("_n").alias("post_clean_exact_duplicate_count"))
-    ex = _repetition_risk_by_count(ex, "post_clean_exact_duplicate_count", "post_clean_exact_duplicate_count", "_r1")
-    nm = agg.where(F.col("kind") == "n").select(F.col("key").alias("_hn"),
-                                                F.col("_n").alias("normalized_repetition_count"),
-                                                F.col("_users").alias("cross_user_repetition_count"))
-    nm = _repetition_risk_by_count(nm, "normalized_repetition_count", "normalized_repetition_count", "_r2")
-    nm = _repetition_risk_by_count(nm, "cross_user_repetition_count", "normalized_repetition_count", "_r4")
-    nr = agg.where(F.col("kind") == "s").select(F.col("key").alias("near_duplicate_cluster_id"),
-                                                F.col("_n").alias("near_duplicate_cluster_size"))
-    nr = _repetition_risk_by_count(nr, "near_duplicate_cluster_size", "near_duplicate_cluster_size", "_r3")
-    out = base.join(ex, "_hx").join(nm, "_hn").join(nr, "near_duplicate_cluster_id").drop("_hx", "_hn", "_u")
-    out = out.withColumn("phase2_exact_duplicates_removed", F.lit(int(exact_removed)))
-    out = out.withColumn("duplicate_amplification_risk",
-                         available_mean([F.col(c) for c in ("_r1", "_r2", "_r3", "_r4")]))
-    return out.drop("_r1", "_r2", "_r3", "_r4").withColumn(
-        "near_duplicate_evidence_type", F.lit("same signature: lexical evidence only"))
+    the mean of their repetition risks.
+
+    The normal form and the signature are functions of the text, so one row
+    per (text digest, user) with its count is all that is kept: the three
+    groupings and their ranks are found there, put together per distinct text,
+    and joined back to the rows once, on the text's digest (a text with many
+    copies by broadcast). Texts themselves are never shuffled for the counts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = cut_lineage(df.select(
+        _digest(text).alias("_hx"), _digest(tx.duplicate_normal_form(text)).alias("_hn"),
+        F.sha2(tx.near_signature(text, signature_length), 256).alias("near_duplicate_cluster_id"),
+        F.coalesce(F.col(user_col).cast("string"), F.lit("__MISSING_USER_ID__")).alias("_u"))
+        .groupBy("_hx", "_hn", "near_duplicate_cluster_id", "_u").agg(F.count(F.lit(1)).alias("_n")))
+    exact, normal, near, users = ("post_clean_exact_duplicate_count", "normalized_repetition_count",
+                                  "near_duplicate_cluster_size", "cross_user_repetition_count")
+    texts = seen.groupBy("_hx", "_hn", "near_duplicate_cluster_id").agg(F.sum("_n").alias(exact))
+    texts = cut_lineage(_repetition_risk_by_count(texts, exact, exact, "_r1"))
+    by_normal = seen.groupBy("_hn", "_u").agg(F.sum("_n").alias("_n")).groupBy("_hn").agg(
+        F.sum("_n").alias(normal), F.count(F.lit(1)).alias(users))
+    by_normal = _repetition_risk_by_count(by_normal, normal, normal, "_r2")
+    by_normal = _repetition_risk_by_count(by_normal, users, normal, "_r4")
+    by_near = seen.groupBy("near_duplicate_cluster_id").agg(F.sum("_n").alias(near))
+    by_near = _repetition_risk_by_count(by_near, near, near, "_r3")
+    for key, part in (("_hn", by_normal), ("near_duplicate_cluster_id", by_near)):
+        held = texts.groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_texts"))
+        part = cut_lineage(part.join(held, F.col(key) == F.col("_hk")).drop("_hk"))
+        texts = join_back(texts, part, {key: key}, "_texts")
+    texts = cut_lineage(texts.withColumn("_rows", F.col(exact)).withColumn(
+        "duplicate_amplification_risk", available_mean([F.col(c) for c in ("_r1", "_r2", "_r3", "_r4")]))
+        .drop("_r1", "_r2", "_r3", "_r4", "_hn"))
+    out = join_back(df, texts, {"_hx": _digest(text)}, "_rows")
+    return out.withColumns({"phase2_exact_duplicates_removed": F.lit(int(exact_removed)),
+                            "near_duplicate_evidence_type": F.lit("same signature: lexical evidence only")})
 
 
 # --- PRO-3 / PRO-3c sarcasm ---------------------------------------------------------------

@@ -24,6 +24,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.common import join_back, with_scalars
 from murmur.session import cut_lineage
 
 _K = "_k"
@@ -35,37 +36,58 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
+def _probs(nb: int) -> list[float]:
+    return [i / nb for i in range(1, nb)]
+
+
+def range_buckets(d: DataFrame, value: str, out: str = "_b", *, buckets: int | None = None) -> DataFrame:
+    """Adds ``out``: the number of a balanced range of ``value`` (0 first).
+    The boundaries are one row, pinned by a checkpoint."""
+    nb = _buckets(d, buckets)
+    bounds = cut_lineage(d.agg(F.percentile_approx(value, _probs(nb), max(1000, 10 * nb)).alias("_bounds")))
+    return with_scalars(d, bounds).withColumn(
+        out, F.size(F.filter("_bounds", lambda x: x < F.col(value)))).drop("_bounds")
+
+
 def rank_frame(df: DataFrame, value: str | Column, group_cols: Sequence[str] = (), *,
-               buckets: int | None = None, with_weight: bool = False) -> DataFrame:
+               buckets: int | None = None, with_weight: bool = False, rows: str | None = None) -> DataFrame:
     """Distinct (group..., _v) with _c (rows), _below (rows with a smaller
     value in the group), _n (non-null rows in group), _nd (distinct values),
-    and with ``with_weight`` _wbelow (sum of smaller values) and _wsum."""
+    and with ``with_weight`` _wbelow (sum of smaller values) and _wsum.
+    ``rows`` names a column that says how many rows a row of ``df`` stands
+    for; _held is the number of rows of ``df`` itself. NULL groups are groups."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     g = list(group_cols)
     keys = g + [_K]
-    base = df.select(*g, v.alias("_v")).where(F.col("_v").isNotNull()).withColumn(_K, F.lit(0))
-    d = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    count = F.col(rows).cast("long") if rows else F.lit(1).cast("long")
+    base = df.select(*g, v.alias("_v"), count.alias("_c")).where(F.col("_v").isNotNull()).withColumn(_K, F.lit(0))
+    d = base.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_held"))
     nb = _buckets(df, buckets)
-    probs = [i / nb for i in range(1, nb)]
     bounds = d.groupBy(*keys).agg(
-        F.percentile_approx("_v", probs, max(1000, 10 * nb)).alias("_bounds"),
+        F.percentile_approx("_v", _probs(nb), max(1000, 10 * nb)).alias("_bounds"),
         F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
         *([F.sum(F.col("_v") * F.col("_c")).alias("_wsum")] if with_weight else []))
     # The sketch depends on merge order, so the boundaries are pinned by a
     # reliable checkpoint: every read, a retried task's too, has the same.
     bounds = cut_lineage(bounds)
-    if not g:
-        bounds = F.broadcast(bounds)  # exactly one row
-    d = d.join(bounds, keys).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))))
+    if g:
+        # a group may hold most of the values: its one row of boundaries is
+        # copied to nb salts and the values are dealt to them
+        d = d.withColumn("_s", F.pmod(F.hash("_v"), F.lit(nb)))
+        bounds = bounds.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+        d = _join(d, bounds, keys + ["_s"]).drop("_s")
+    else:
+        d = d.join(F.broadcast(bounds), keys)  # exactly one row
+    d = d.withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_v")))).drop("_bounds")
     per_b = d.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"),
                                        *([F.sum(F.col("_v") * F.col("_c")).alias("_bw")] if with_weight else []))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = per_b.select(*keys, "_b", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"),
                          *([F.coalesce(F.sum("_bw").over(wb), F.lit(0.0)).alias("_woff")] if with_weight else []))
-    d = d.join(per_b, keys + ["_b"])
+    d = _join(d, per_b, keys + ["_b"])
     wl = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     out = d.withColumn("_below", F.col("_off") + F.coalesce(F.sum("_c").over(wl), F.lit(0)))
-    cols = [*g, "_v", "_c", "_below", "_n", "_nd"]
+    cols = [*g, "_v", "_c", "_held", "_below", "_n", "_nd"]
     if with_weight:
         out = out.withColumn("_wbelow", F.col("_woff") + F.coalesce(
             F.sum(F.col("_v") * F.col("_c")).over(wl), F.lit(0.0)))
@@ -73,6 +95,13 @@ def rank_frame(df: DataFrame, value: str | Column, group_cols: Sequence[str] = (
     return out.select(*cols)
 
 
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal names, NULL equal to NULL."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(right, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def avg_rank_pct(rf: DataFrame) -> Column:
     """Average rank / n (pandas ``rank(method='average', pct=True)``); a
     column with one distinct value ranks 0."""
@@ -81,31 +110,34 @@ def avg_rank_pct(rf: DataFrame) -> Column:
 
 
 def percentile_rank(df: DataFrame, value: str, out: str, group_cols: Sequence[str] = (),
-                    *, buckets: int | None = None) -> DataFrame:
+                    *, buckets: int | None = None, rows: str | None = None) -> DataFrame:
     """WIN-1: null-preserving percentile rank, joined back on the value."""
-    return percentile_ranks(df, {value: out}, group_cols, buckets=buckets)
+    return percentile_ranks(df, {value: out}, group_cols, buckets=buckets, rows=rows)
 
 
 def percentile_ranks(df: DataFrame, mapping: dict[str, str], group_cols: Sequence[str] = (),
-                     *, buckets: int | None = None) -> DataFrame:
-    """WIN-1 for several columns. Every rank frame is built from the same
-    base and joined back in turn, so the plan stays linear in the number of
-    columns; with more than one column the base is checkpointed once so it
-    is not recomputed per column."""
-    g = list(group_cols)
-    base = cut_lineage(df) if len(mapping) > 1 else df
-    out = base
-    for i, (value, name) in enumerate(mapping.items()):
-        rf = rank_frame(base, value, g, buckets=buckets)
-        gk = [f"_g{i}_{j}" for j in range(len(g))]
-        rf = rf.select(*[F.col(c).alias(a) for c, a in zip(g, gk)], F.col("_v").alias(f"_rv{i}"),
-                       avg_rank_pct(rf).alias(name))
-        cond = [F.col(c) == F.col(a) for c, a in zip(g, gk)] + [F.col(value).cast("double") == F.col(f"_rv{i}")]
-        cond_all = cond[0]
-        for c in cond[1:]:
-            cond_all = cond_all & c
-        out = out.join(rf, cond_all, "left").drop(*gk, f"_rv{i}")
-    return out
+                     *, buckets: int | None = None, rows: str | None = None) -> DataFrame:
+    """WIN-1 for several columns (``rows`` as in ``rank_frame``).
+
+    The distinct tuples of groups and values with their counts are kept, and
+    nothing else of ``df``: ranks are found and attached on those, then the
+    tuples are joined back to ``df`` in one join whose frequent tuples (99 %
+    zeros, say) go by broadcast (``join_back``). ``df`` is read twice."""
+    g = [f"_g{i}" for i in range(len(group_cols))]
+    values = {f"_t{i}": F.col(v).cast("double") for i, v in enumerate(mapping)}
+    on = {**{a: F.col(c) for a, c in zip(g, group_cols)}, **values}
+    count = F.sum(F.col(rows).cast("long")) if rows else F.count(F.lit(1))
+    tuples = cut_lineage(df.groupBy(*[c.alias(a) for a, c in on.items()]).agg(
+        count.alias("_rows"), F.count(F.lit(1)).alias("_weight")))
+    for t, name in zip(values, mapping.values()):
+        rf = rank_frame(tuples, t, g, buckets=buckets, rows="_rows")
+        ranks = rf.select(*g, F.col("_v").alias(t), avg_rank_pct(rf).alias(f"_p{t}"), "_held")
+        tuples = join_back(tuples, cut_lineage(ranks), {c: c for c in [*g, t]}, "_held")
+    ranked = tuples.select(*on, *[F.col(f"_p{t}").alias(f"_n{t}") for t in values], "_weight")
+    if len(values) > 1:
+        ranked = cut_lineage(ranked)
+    out = join_back(df, ranked, on, "_weight")
+    return out.withColumnsRenamed({f"_n{t}": name for t, name in zip(values, mapping.values())})
 
 
 def small_weighted_rank(dist: DataFrame, value: str, weight: str, out: str) -> DataFrame:

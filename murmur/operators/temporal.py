@@ -9,6 +9,10 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.common import join_back
+from murmur.operators.rank import range_buckets
+from murmur.session import cut_lineage
+
 HOUR_US = 3_600_000_000
 
 
@@ -89,33 +93,38 @@ def event_registry_from_top(df: DataFrame, *, k: int, order_by: list[Column], na
 
 def nearest_event_hours(df: DataFrame, ts_col: str, events: DataFrame, *,
                         event_time_col: str = "event_time_utc",
-                        out: str = "time_to_nearest_event_hours") -> DataFrame:
+                        out: str = "time_to_nearest_event_hours", buckets: int | None = None) -> DataFrame:
     """JOI-10: absolute distance in hours to the nearest event (either side);
     NULL for a NULL timestamp or when there are no events.
 
-    An as-of join both ways, for any number of events: distinct timestamps
-    and events are sorted together inside hour buckets, where the last event
-    before and the first after are carried along; buckets pass the events at
-    their ends on to each other (one row per hour of the data). The distances
-    of the distinct timestamps are joined back."""
-    hour = lambda t: F.floor(t / float(HOUR_US)).cast("long")
+    A range-partitioned as-of merge, both ways and for any number of events:
+    the distinct timestamps and events are cut into balanced ranges of time (a
+    crowded hour is many ranges), each range is read once forwards and once
+    backwards carrying the last event seen, and the events at the ends of the
+    ranges are carried from range to range (one row per range). The distances
+    are joined back on the timestamp, frequent timestamps by broadcast."""
+    micros = F.unix_micros(F.col(ts_col))
     ev = events.where(F.col(event_time_col).isNotNull()).select(
-        F.unix_micros(F.col(event_time_col)).alias("_t")).distinct().withColumn("_e", F.col("_t"))
-    ts = df.where(F.col(ts_col).isNotNull()).select(F.unix_micros(F.col(ts_col)).alias("_t")).distinct() \
-        .withColumn("_e", F.lit(None).cast("long"))
-    both = ts.unionByName(ev).withColumn("_h", hour(F.col("_t")))
-    per = both.groupBy("_h").agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi"))
-    w = Window.orderBy("_h")
-    per = per.select("_h", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-                     F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
-    inside = Window.partitionBy("_h").orderBy("_t")
-    near = both.join(per, "_h").select(
-        "_t", "_e", F.coalesce(F.last("_e", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)),
-                               "_prev").alias("_a"),
-        F.coalesce(F.first("_e", True).over(inside.rangeBetween(0, Window.unboundedFollowing)), "_next").alias("_b"))
-    near = near.where("_e IS NULL").select(
-        "_t", (F.least(F.col("_t") - F.col("_a"), F.col("_b") - F.col("_t")) / float(HOUR_US)).alias(out))
-    return df.withColumn("_t", F.unix_micros(F.col(ts_col))).join(near, "_t", "left").drop("_t")
+        F.unix_micros(F.col(event_time_col)).alias("_t")).select("_t", F.col("_t").alias("_e"), F.lit(0).alias("_c"))
+    ts = df.where(F.col(ts_col).isNotNull()).select(
+        micros.alias("_t"), F.lit(None).cast("long").alias("_e"), F.lit(1).alias("_c"))
+    moments = cut_lineage(ts.unionByName(ev).groupBy("_t").agg(F.max("_e").alias("_e"), F.sum("_c").alias("_c")))
+    ranged = range_buckets(moments, "_t", buckets=buckets)
+    # one row per range: the last event before it and the first after it
+    ends = ranged.groupBy("_b").agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_b").alias("_eb"), F.last("_hi", True).over(earlier).alias("_prev"),
+                       F.last("_lo", True).over(later).alias("_next"))
+    # frames from the start only: one to the end would be read anew for every row
+    forward = Window.partitionBy("_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy("_b").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    near = ranged.withColumn("_a", F.last("_e", True).over(forward)).withColumn("_z", F.last("_e", True).over(backward)) \
+        .join(ends, F.col("_b") == F.col("_eb")).where("_c > 0")
+    before, after = F.coalesce("_a", "_prev"), F.coalesce("_z", "_next")
+    near = cut_lineage(near.select(
+        "_t", (F.least(F.col("_t") - before, after - F.col("_t")) / float(HOUR_US)).alias(out), "_c"))
+    return join_back(df, near, {"_t": micros}, "_c")
 
 
 def hour_spine_counts(df: DataFrame, ts_col: str, *, unit: str = "hour") -> DataFrame:
