@@ -5,10 +5,9 @@ VADER paper (Hutto & Gilbert, ICWSM 2014): lexicon valence, booster
 words with distance damping, negation within three tokens, ALL-CAPS
 emphasis when capitalisation is differential, the contrastive "but" rule,
 exclamation/question emphasis, and the compound normalisation
-x / sqrt(x^2 + alpha). The lexicon is an *input table* (word, valence):
-it is folded into one map (its size checked at run time, since it is
-broadcast) and each text is scored with array higher-order functions in the
-JVM - no explode, no shuffle, no Python.
+x / sqrt(x^2 + alpha). The lexicon is an *input table* (word, valence) of
+any size: tokens are joined with it, and each distinct text is scored from its
+matches with array higher-order functions in the JVM.
 
 SEN-3/5 batch model scoring takes an injected predictor and runs it with
 ``mapInPandas`` (Arrow batches), optionally length-sorted within partitions.
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.functions.text import SPACE, token_count
-from murmur.operators.common import with_scalars
+from murmur.operators.common import join_back
+from murmur.session import cut_lineage
 
 # Rule constants from the published rule set.
 B_INCR = 0.293
@@ -59,10 +59,6 @@ PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LEX_COLS = ["vader_negative", "vader_neutral", "vader_positive", "vader_compound", "vader_label"]
 
 
-def _lits(words):
-    return F.array(*[F.lit(w) for w in words])
-
-
 def _is_upper(w: Column) -> Column:
     """Python ``str.isupper``: has a cased character and no lower-case one."""
     return (w == F.upper(w)) & (w != F.lower(w))
@@ -74,127 +70,125 @@ def label_bands(compound: Column, lo: float = -0.05, hi: float = 0.05) -> Column
             .otherwise(F.lit("neutral")))
 
 
-def lexicon_table(lexicon: DataFrame, word: str = "word", valence: str = "valence",
-                  max_entries: int = 2_000_000) -> DataFrame:
-    """One row holding a dense hash table of every word the rules look up:
-    lexicon words (valence) merged with the booster and negation lists
-    (class, flag). ``_nb`` buckets; bucket b = pmod(xxhash64(word), _nb) is
-    an array of (k, v, cls, neg) entries. A lookup is one hash plus a scan
-    of ~1 entry inside the task: no join, no shuffle, no per-token scan of
-    word lists (Spark's map type would probe linearly). The row is
-    broadcast, so the job fails beyond ``max_entries`` words."""
-    spark = lexicon.sparkSession
-    rules = ([(w, None, 1, False) for w in BOOST_UP] + [(w, None, 2, False) for w in BOOST_DOWN]
-             + [(w, None, 0, True) for w in NEGATIONS])
-    fixed = spark.createDataFrame(rules, "k string, v double, cls int, neg boolean")
+def word_table(lexicon: DataFrame, word: str = "word", valence: str = "valence") -> DataFrame:
+    """Lexicon words merged with the booster and negation lists and the word
+    "but": (k, v, cls, neg, but), one row per lower-cased word."""
+    rules = ([(w, 1, False, False) for w in BOOST_UP] + [(w, 2, False, False) for w in BOOST_DOWN]
+             + [(w, 0, True, False) for w in NEGATIONS] + [("but", 0, False, True)])
+    fixed = lexicon.sparkSession.createDataFrame(rules, "k string, cls int, neg boolean, but boolean").select(
+        "k", F.lit(None).cast("double").alias("v"), "cls", "neg", "but")
     lex = lexicon.select(F.lower(F.col(word)).alias("k"), F.col(valence).cast("double").alias("v"),
-                         F.lit(0).alias("cls"), F.lit(False).alias("neg"))
-    kv = lex.unionByName(fixed).groupBy("k").agg(F.max("v").alias("v"), F.max("cls").alias("cls"),
-                                                 F.max("neg").alias("neg"))
-    n = kv.agg(F.count(F.lit(1)).alias("_n"))
-    n = n.select(F.when(F.col("_n") > max_entries + len(rules), F.raise_error(F.lit("lexicon too large to broadcast")))
-                 .otherwise(F.greatest(F.col("_n"), F.lit(1))).cast("int").alias("_nb"))
-    b = with_scalars(kv, n).withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_nb")).cast("int"))
-    per = b.groupBy("_b").agg(F.collect_list(F.struct("k", "v", "cls", "neg")).alias("e"))
-    spine = n.select("_nb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
-    empty = F.array().cast("array<struct<k:string,v:double,cls:int,neg:boolean>>")
-    dense = spine.join(per, "_b", "left").select("_nb", "_b", F.coalesce("e", empty).alias("e"))
-    return dense.groupBy("_nb").agg(F.array_sort(F.collect_list(F.struct("_b", "e"))).alias("_t")).select(
-        "_nb", F.transform("_t", lambda x: x["e"]).alias("_lb"))
-
-
-def hashed_lookup(table: Column, nb: Column, w: Column) -> Column:
-    """The (k, v, cls, neg) entry of ``w`` in a ``lexicon_table`` row, or NULL."""
-    bucket = F.get(table, F.pmod(F.xxhash64(w), nb).cast("int"))
-    return F.get(F.filter(bucket, lambda e: e["k"] == w), 0)
+                         F.lit(0).alias("cls"), F.lit(False).alias("neg"), F.lit(False).alias("but"))
+    return lex.unionByName(fixed).where("k <> ''").groupBy("k").agg(
+        F.max("v").alias("v"), F.max("cls").alias("cls"), F.max("neg").alias("neg"), F.max("but").alias("but"))
+
+
+def lexicon_matches(df: DataFrame, text: Column, lexicon: DataFrame, **names) -> DataFrame:
+    """One row per distinct text: _key (its digest), _rows (rows that hold
+    it), counts of tokens, all-caps tokens and marks, and in _m, in order of
+    position, every token that the rules can need: words of the word table and
+    contractions with "n't". All others only count.
+
+    Tokens are exploded without their text and looked up once; whether the
+    word table is broadcast or shuffled is up to its size. A text's rows meet
+    again as the set of its matches, about one token in ten, so copies of a
+    text need no care and no text or token array is ever shuffled."""
+    plain = F.coalesce(text, F.lit(""))
+    base = df.select(F.unhex(F.sha2(plain, 256)).alias("_key"), plain.alias("_t"),
+                     F.filter(F.split(plain, f"[{SPACE}]+"), lambda x: F.length(x) > 0).alias("_w"))
+    # position 0 is a mark that every text has, words or not
+    base = base.select("_key", F.regexp_count("_t", F.lit("!")).alias("_ex"), F.regexp_count("_t", F.lit(r"\?")).alias("_qn"),
+                       F.size("_w").alias("_n"), F.size(F.filter("_w", _is_upper)).alias("_nup"),
+                       F.concat(F.array(F.lit("")), "_w").alias("_w"))
+    scalars = ["_ex", "_qn", "_n", "_nup"]
+    ex = base.select("_key", *scalars, F.posexplode("_w").alias("pos", "raw"))
+    bare = F.trim("raw", F.lit(PUNCT))
+    ex = ex.withColumn("raw", F.when(F.length(bare) <= 2, F.col("raw")).otherwise(bare)).withColumn("k", F.lower("raw"))
+    negated = F.col("k").contains("n't")
+    found = ex.join(word_table(lexicon, **names), "k", "left").where((F.col("pos") == 0) | F.col("cls").isNotNull() | negated)
+    match = F.struct("pos", _is_upper(F.col("raw")).alias("up"), "v", F.coalesce("cls", F.lit(0)).alias("cls"),
+                     (F.coalesce("neg", F.lit(False)) | negated).alias("neg"), F.coalesce("but", F.lit(False)).alias("but"))
+    return found.groupBy("_key").agg(
+        *[F.max(c).alias(c) for c in scalars], F.count_if(F.col("pos") == 0).alias("_rows"),
+        F.sort_array(F.collect_set(F.when(F.col("pos") > 0, match))).alias("_m"))
+
+
+_MATCH = "struct<pos:int,up:boolean,v:double,cls:int,neg:boolean,but:boolean>"
 
 
 def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix: str = "vader_",
-                   check_blank: bool = True, id_col: str | None = None, **lexicon_kw) -> DataFrame:
+                   check_blank: bool = True, **names) -> DataFrame:
     """SEN-1 + SEN-2. Appends ``<prefix>negative/neutral/positive/compound/label``.
     Existing output columns are an error; blank text fails the job when
     ``check_blank`` (an empty frame keeps its schema).
 
-    With a unique ``id_col`` the exploded, whole-stage-codegen form
-    (``lexicon_scores_by_id``) is used; without one, each text is scored in
-    place with array functions (no shuffle at all). Both give identical
-    results (tested on the corpus)."""
-    if id_col is not None:
-        return lexicon_scores_by_id(df, text_col, lexicon, id_col, prefix=prefix, check_blank=check_blank,
-                                    **lexicon_kw)
+    Hits first: only lexicon words can carry sentiment and only what stands up
+    to three places before one can change it, so the rules run over the
+    matches of each distinct text (``lexicon_matches``), never over all its
+    tokens. The scores are joined back on the text's digest, those of a very
+    common text by broadcast. Sums are rounded to nine places before the
+    published rounding, so the order of summation never shows."""
     outs = [f"{prefix}{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
     clash = [c for c in outs if c in df.columns]
     if clash:
         raise ValueError(f"output columns already exist: {clash}")
     if text_col not in df.columns:
         raise ValueError(f"missing text column {text_col}")
-    j = with_scalars(df, lexicon_table(lexicon, **lexicon_kw))
     text = F.col(text_col)
+    checked = text
     if check_blank:
-        text = F.when(text.isNull() | (F.length(F.trim(text)) == 0),
-                      F.raise_error(F.lit("lexicon text must be non-empty"))).otherwise(text)
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda t: F.length(t) > 0)
-    punct = F.lit(PUNCT)
-    # Intermediate arrays are separate projections: each pass reads the
-    # previous array once instead of re-expanding the whole expression.
-    # Punctuation is stripped with trim(BOTH <chars>), not a regex per token.
-    j = j.withColumn("_w", F.transform(raw, lambda t: F.when(F.length(F.trim(t, punct)) <= 2, t)
-                                       .otherwise(F.trim(t, punct))))
-    j = j.withColumn("_lw", F.transform("_w", lambda w: F.lower(w)))
-    n_up = F.size(F.filter("_w", _is_upper))
-    j = j.withColumn("_capd", (n_up > 0) & (n_up < F.size("_w")))
-    # one pass over all tokens: lexicon value (one hashed lookup), booster
-    # class (0 plain, 1 up, 2 down) and negation flag
-    def classify(w):
-        e = hashed_lookup(F.col("_lb"), F.col("_nb"), w)
-        return F.struct(e["v"].alias("val"), F.coalesce(e["cls"], F.lit(0)).alias("cls"),
-                        (F.coalesce(e["neg"], F.lit(False)) | w.contains("n't")).alias("neg"))
-
-    j = j.withColumn("_tok", F.transform("_lw", classify))
-    words, lows, cap_diff, tok = F.col("_w"), F.col("_lw"), F.col("_capd"), F.col("_tok")
-    isup = lambda j_: _is_upper(F.get(words, j_)) & cap_diff
-
-    # Only lexicon hits can carry sentiment (the rules never turn a zero into
-    # a non-zero), so the rule passes run over the hits, ~1 token in 10.
-    def base(t, i):
-        v = F.when(t["cls"] > 0, F.lit(0.0)).otherwise(F.coalesce(t["val"], F.lit(0.0)))
-        return F.struct(i.alias("i"), F.when((v != 0) & isup(i), v + F.signum(v) * C_INCR).otherwise(v).alias("v"))
-
-    j = j.withColumn("_h0", F.filter(F.transform("_tok", base), lambda h: h["v"] != 0))
-
-    def make_step(k, damp):
-        def step(h):
-            i, v = h["i"], h["v"]
-            p = F.get(tok, i - k)   # NULL before the start
-            c = p["cls"]
+        checked = F.when(text.isNull() | (F.length(F.trim(text)) == 0),
+                         F.raise_error(F.lit("lexicon text must be non-empty"))).otherwise(text)
+    j = lexicon_matches(df, checked, lexicon, **names)
+    for k in (1, 2, 3):  # the matches one, two and three before each
+        j = j.withColumn(f"_m{k}", F.concat(F.array_repeat(F.lit(None).cast(_MATCH), k),
+                                            F.slice("_m", F.lit(1), F.greatest(F.size("_m") - k, F.lit(0)))))
+    # a word's predecessor at distance k, if it is a match, is one of those three
+    before = lambda z, k: F.coalesce(*[F.when(z[f"_m{i}"]["pos"] == z["_m"]["pos"] - k, z[f"_m{i}"])
+                                       for i in range(1, k + 1)])
+    cap_diff = (F.col("_nup") > 0) & (F.col("_nup") < F.col("_n"))
+
+    def hit(z):
+        v = z["_m"]["v"]
+        return F.struct(z["_m"]["pos"].alias("pos"),
+                        F.when(z["_m"]["up"] & cap_diff, v + F.signum(v) * C_INCR).otherwise(v).alias("v"),
+                        *[before(z, k).alias(f"p{k}") for k in (1, 2, 3)])
+
+    def step(k, damp):
+        def run(h):
+            v, p = h["v"], h[f"p{k}"]
+            c = F.coalesce(p["cls"], F.lit(0))
             scal = F.when(c == 1, F.lit(B_INCR)).when(c == 2, F.lit(B_DECR)).otherwise(F.lit(0.0))
             scal = F.when(v < 0, -scal).otherwise(scal)
-            scal = F.when((c > 0) & isup(i - k), F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
-            ok = (i >= k) & (v != 0) & p["val"].isNull()
-            v2 = F.when(ok, v + scal * damp).otherwise(v)
-            v3 = F.when((i >= k) & (v2 != 0) & F.coalesce(p["neg"], F.lit(False)), v2 * N_SCALAR).otherwise(v2)
-            return F.struct(i.alias("i"), v3.alias("v"))
-        return step
-
+            scal = F.when((c > 0) & p["up"] & cap_diff, F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
+            boosted = F.when((v != 0) & p["v"].isNull(), v + scal * damp).otherwise(v)
+            return F.struct(h["pos"].alias("pos"), boosted.alias("v"), *[h[f"p{i}"].alias(f"p{i}") for i in (1, 2, 3)])
+
+        def negate(h):
+            v = F.when((h["v"] != 0) & F.coalesce(h[f"p{k}"]["neg"], F.lit(False)), h["v"] * N_SCALAR).otherwise(h["v"])
+            return F.struct(h["pos"].alias("pos"), v.alias("v"), *[h[f"p{i}"].alias(f"p{i}") for i in (1, 2, 3)])
+        return run, negate
+
+    zipped = F.filter(F.arrays_zip("_m", "_m1", "_m2", "_m3"),
+                      lambda z: (F.coalesce(z["_m"]["v"], F.lit(0.0)) != 0) & (z["_m"]["cls"] == 0))
+    hits = F.transform(zipped, hit)
     for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        j = j.withColumn(f"_h{k}", F.transform(f"_h{k - 1}", make_step(k, damp)))
-    j = j.withColumn("_but", F.array_position(lows, "but"))  # 1-based, 0 if absent; once per row
-    but_idx = F.col("_but")
-    j = j.withColumn("_s", F.transform("_h3", lambda h: F.when(but_idx == 0, h["v"])
-                                       .when(h["i"] + 1 < but_idx, h["v"] * 0.5)
-                                       .when(h["i"] + 1 > but_idx, h["v"] * 1.5).otherwise(h["v"])))
-    j = j.withColumn("_zero_tokens", (F.size(words) - F.size("_s")).cast("double"))
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    ep = F.least(F.regexp_count(t, F.lit("!")), F.lit(EXCLAIM_MAX)) * EXCLAIM_EACH
-    qn = F.regexp_count(t, F.lit(r"\?"))
+        for f in step(k, damp):
+            hits = F.transform(hits, f)
+    j = j.select("_key", "_rows", "_ex", "_qn", "_n", hits.alias("_h"),
+                 F.array_min(F.transform(F.filter("_m", lambda m: m["but"]), lambda m: m["pos"])).alias("_but"))
+    b = F.col("_but")
+    j = j.withColumn("_s", F.transform("_h", lambda h: F.when(b.isNull(), h["v"]).when(h["pos"] < b, h["v"] * 0.5)
+                                       .when(h["pos"] > b, h["v"] * 1.5).otherwise(h["v"])))
+    total = lambda f: F.round(F.aggregate("_s", F.lit(0.0), lambda a, v: a + f(v)), 9)
+    ep = F.least(F.col("_ex"), F.lit(EXCLAIM_MAX)) * EXCLAIM_EACH
+    qn = F.col("_qn")
     qm = F.when(qn > 1, F.when(qn <= 3, qn * QUESTION_EACH).otherwise(QUESTION_MAX)).otherwise(0.0)
     j = j.withColumns({
-        "_emph": ep + qm,
-        "_sum": F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + v),
-        "_pos": F.aggregate("_s", F.lit(0.0), lambda a, v: a + F.when(v > 0, v + 1).otherwise(0.0)),
-        "_neg": F.aggregate("_s", F.lit(0.0), lambda a, v: a + F.when(v < 0, v - 1).otherwise(0.0)),
-        "_neu": F.col("_zero_tokens") + F.size(F.filter("_s", lambda v: v == 0)).cast("double"),
-        "_empty": F.size(words) == 0})
+        "_emph": ep + qm, "_sum": total(lambda v: v),
+        "_pos": total(lambda v: F.when(v > 0, v + 1).otherwise(0.0)),
+        "_neg": total(lambda v: F.when(v < 0, v - 1).otherwise(0.0)),
+        "_neu": (F.col("_n") - F.size("_s") + F.size(F.filter("_s", lambda v: v == 0))).cast("double")})
     tot_s = (F.when(F.col("_sum") > 0, F.col("_sum") + F.col("_emph"))
              .when(F.col("_sum") < 0, F.col("_sum") - F.col("_emph")).otherwise(F.col("_sum")))
     compound = F.least(F.greatest(tot_s / F.sqrt(tot_s * tot_s + ALPHA), F.lit(-1.0)), F.lit(1.0))
@@ -202,156 +196,20 @@ def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix:
     neg2 = F.when(F.col("_pos") < F.abs("_neg"), F.col("_neg") - F.col("_emph")).otherwise(F.col("_neg"))
     j = j.withColumns({"_p2": pos2, "_n2": neg2})
     tot = F.col("_p2") + F.abs("_n2") + F.col("_neu")
-    zero = F.col("_empty") | (tot == 0)
-    j = j.withColumn("_cmp", F.when(F.col("_empty"), 0.0).otherwise(F.round(compound, 4)))
-    return j.select(
-        *[F.col(c) for c in df.columns],
-        F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_n2") / tot), 3)).alias(outs[0]),
-        F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_neu") / tot), 3)).alias(outs[1]),
-        F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_p2") / tot), 3)).alias(outs[2]),
-        F.col("_cmp").alias(outs[3]), label_bands(F.col("_cmp")).alias(outs[4]))
-
-
-def word_table(lexicon: DataFrame, word: str = "word", valence: str = "valence",
-               max_entries: int = 2_000_000) -> DataFrame:
-    """Lexicon words merged with the booster / negation lists: (k, v, cls, neg).
-    Broadcast by the id-based scorer; the job fails beyond ``max_entries``."""
-    spark = lexicon.sparkSession
-    rules = ([(w, None, 1, False) for w in BOOST_UP] + [(w, None, 2, False) for w in BOOST_DOWN]
-             + [(w, None, 0, True) for w in NEGATIONS])
-    fixed = spark.createDataFrame(rules, "k string, v double, cls int, neg boolean")
-    lex = lexicon.select(F.lower(F.col(word)).alias("k"), F.col(valence).cast("double").alias("v"),
-                         F.lit(0).alias("cls"), F.lit(False).alias("neg"))
-    kv = lex.unionByName(fixed).groupBy("k").agg(F.max("v").alias("v"), F.max("cls").alias("cls"),
-                                                 F.max("neg").alias("neg"))
-    n = kv.agg(F.count(F.lit(1)).alias("_n"))
-    guard = F.when(F.col("_n") > max_entries + len(rules), F.raise_error(F.lit("lexicon too large to broadcast")))
-    return with_scalars(kv, n.select(guard.alias("_guard"))).drop("_guard")
-
-
-def lexicon_scores_by_id(df: DataFrame, text_col: str, lexicon: DataFrame, id_col: str, *,
-                         prefix: str = "vader_", check_blank: bool = True, **lexicon_kw) -> DataFrame:
-    """SEN-1 for frames with a unique id: the same rules as ``lexicon_scores``
-    in whole-stage-codegen form. Tokens are exploded together with their
-    three predecessors (``arrays_zip`` of shifted arrays, so no window),
-    looked up with broadcast hash joins against the word table, scored with
-    column expressions, summed per id (rows of one text are contiguous, so
-    the partial aggregate leaves ~one row per text for the shuffle) and
-    joined back by id. Per-text scalars (caps differential, first 'but',
-    emphasis) come from JVM regexes on the text itself."""
-    outs = [f"{prefix}{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
-    clash = [c for c in outs if c in df.columns]
-    if clash:
-        raise ValueError(f"output columns already exist: {clash}")
-    text = F.col(text_col)
-    if check_blank:
-        text = F.when(text.isNull() | (F.length(F.trim(text)) == 0),
-                      F.raise_error(F.lit("lexicon text must be non-empty"))).otherwise(text)
-    sp = f"[{SPACE}]"
-    pset = "".join("\\" + ch for ch in PUNCT)
-    raw_t = F.coalesce(text, F.lit(""))
-    t = F.col("_t")
-    toks = F.filter(F.split(t, f"{sp}+"), lambda x: F.length(x) > 0)
-    # all-caps tokens (a cased letter, no lower-case or title-case letter)
-    n_up = F.regexp_count(t, F.lit(rf"(?<![^{SPACE}])(?=[^{SPACE}]*\p{{Lu}})[^{SPACE}\p{{Ll}}\p{{Lt}}]+(?![^{SPACE}])"))
-    # 1-based index of the first token that strips to 'but' (0 when absent)
-    but_re = rf"(?is)^(.*?)(?<![^{SPACE}])[{pset}]*but[{pset}]*(?![^{SPACE}])"
-    # the text-level scalars are computed once, in one projection per step,
-    # and materialised: both the token branch and the per-text branch read them
-    base = df.select(F.col(id_col).alias("_id"), raw_t.alias("_t")).select(
-        "_id", toks.alias("t0"), F.regexp_count("_t", F.lit("!")).alias("_ex"),
-        F.regexp_count("_t", F.lit(r"\?")).alias("_qn"), n_up.alias("_nup"),
-        F.when(F.col("_t").rlike(but_re), F.regexp_extract(t, but_re, 1)).alias("_before"))
-    before = F.trim(F.regexp_replace(F.col("_before"), f"{sp}+", " "))
-    base = base.withColumn("_but", F.when(F.col("_before").isNull(), F.lit(0)).when(F.length(before) == 0, F.lit(1))
-                           .otherwise(F.size(F.split(before, " ")) + 1)).drop("_before")
-    n = F.size("t0")
-    shift = lambda k: F.when(n > k, F.concat(F.array_repeat(F.lit(None).cast("string"), k),
-                                             F.slice("t0", 1, n - k))).otherwise(
-        F.array_repeat(F.lit(None).cast("string"), n))
-    from murmur.session import cut_lineage
-    base = cut_lineage(base.withColumn("_capd", (F.col("_nup") > 0) & (F.col("_nup") < n)).withColumn("_n", n))
-    base = base.withColumns({"t1": shift(1), "t2": shift(2), "t3": shift(3)})
-    ex = base.select("_id", "_capd", "_but", F.posexplode(F.arrays_zip("t0", "t1", "t2", "t3")).alias("pos", "z"))
-    pc = F.lit(PUNCT)
-
-    def norm(c):
-        st = F.trim(c, pc)
-        return F.when(F.length(st) <= 2, c).otherwise(st)
-
-    # normalise the token itself for every row; predecessors only for hits
-    ex = ex.select("_id", "_capd", "_but", "pos", norm(F.col("z.t0")).alias("w0"),
-                   *[F.col(f"z.t{k}").alias(f"r{k}") for k in range(1, 4)])
-    ex = ex.withColumn("l0", F.lower("w0"))
-    # the word table is read by four lookups: materialise it once (it is
-    # lexicon-sized and checked), then broadcast it to every join
-    from murmur.session import cut_lineage
-    wt = F.broadcast(cut_lineage(word_table(lexicon, **lexicon_kw)))
-    # every token is looked up once; only lexicon hits (non-zero valence,
-    # not a booster) can carry sentiment, so only they continue - and only
-    # they look up their three predecessors
-    ex = ex.join(wt.select(F.col("k").alias("l0"), F.col("v").alias("v0"), F.col("cls").alias("c0")), "l0", "left")
-    hits = ex.where((F.coalesce(F.col("v0"), F.lit(0.0)) != 0) & (F.coalesce(F.col("c0"), F.lit(0)) == 0))
-    hits = hits.select("*", *[norm(F.col(f"r{k}")).alias(f"w{k}") for k in range(1, 4)])
-    hits = hits.withColumns({f"l{k}": F.lower(F.col(f"w{k}")) for k in range(1, 4)})
-    for k in range(1, 4):
-        hits = hits.join(wt.select(F.col("k").alias(f"l{k}"), F.col("v").alias(f"v{k}"), F.col("cls").alias(f"c{k}"),
-                                   F.col("neg").alias(f"n{k}")), f"l{k}", "left")
-    up = lambda w: (w == F.upper(w)) & (w != F.lower(w)) & F.col("_capd")
-    v = F.col("v0")
-    v = F.when(up(F.col("w0")), v + F.signum(v) * C_INCR).otherwise(v)
-    hits = hits.withColumn("_s", v)
-    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        cur = F.col("_s")
-        ck = F.coalesce(F.col(f"c{k}"), F.lit(0))
-        scal = F.when(ck == 1, F.lit(B_INCR)).when(ck == 2, F.lit(B_DECR)).otherwise(F.lit(0.0))
-        scal = F.when(cur < 0, -scal).otherwise(scal)
-        scal = F.when((ck > 0) & up(F.col(f"w{k}")), F.when(cur > 0, scal + C_INCR).otherwise(scal - C_INCR)
-                      ).otherwise(scal)
-        ok = (F.col("pos") >= k) & (cur != 0) & F.col(f"v{k}").isNull()
-        hits = hits.withColumn("_s", F.when(ok, cur + scal * damp).otherwise(cur))
-        cur = F.col("_s")
-        negk = F.coalesce(F.col(f"n{k}"), F.lit(False)) | F.coalesce(F.col(f"l{k}").contains("n't"), F.lit(False))
-        hits = hits.withColumn("_s", F.when((F.col("pos") >= k) & (cur != 0) & negk, cur * N_SCALAR).otherwise(cur))
-    b = F.col("_but")
-    sv = F.col("_s")
-    sv = F.when(b == 0, sv).when(F.col("pos") + 1 < b, sv * 0.5).when(F.col("pos") + 1 > b, sv * 1.5).otherwise(sv)
-    agg = hits.withColumn("_s", sv).groupBy("_id").agg(
-        F.sum("_s").alias("_sum"), F.sum(F.when(F.col("_s") > 0, F.col("_s") + 1)).alias("_pos"),
-        F.sum(F.when(F.col("_s") < 0, F.col("_s") - 1)).alias("_neg"),
-        F.count(F.when(F.col("_s") == 0, 1)).alias("_zero_hits"), F.count(F.lit(1)).alias("_hits"))
-    scal = base.select("_id", "_ex", "_qn", "_n")
-    r = scal.join(agg, "_id", "left")
-    ep = F.least(F.col("_ex"), F.lit(EXCLAIM_MAX)) * EXCLAIM_EACH
-    qn = F.col("_qn")
-    qm = F.when(qn > 1, F.when(qn <= 3, qn * QUESTION_EACH).otherwise(QUESTION_MAX)).otherwise(0.0)
-    emph = ep + qm
-    s_ = F.coalesce(F.col("_sum"), F.lit(0.0))
-    tot_s = F.when(s_ > 0, s_ + emph).when(s_ < 0, s_ - emph).otherwise(s_)
-    compound = F.least(F.greatest(tot_s / F.sqrt(tot_s * tot_s + ALPHA), F.lit(-1.0)), F.lit(1.0))
-    pos = F.coalesce(F.col("_pos"), F.lit(0.0))
-    negs = F.coalesce(F.col("_neg"), F.lit(0.0))
-    neu = (F.col("_n") - F.coalesce(F.col("_hits"), F.lit(0)) + F.coalesce(F.col("_zero_hits"), F.lit(0))).cast("double")
-    p2 = F.when(pos > F.abs(negs), pos + emph).otherwise(pos)
-    n2 = F.when(pos < F.abs(negs), negs - emph).otherwise(negs)
-    r = r.select("_id", (F.col("_n") == 0).alias("_empty"), p2.alias("_p2"), n2.alias("_n2"), neu.alias("_nu"),
-                 compound.alias("_c"))
-    tot = F.col("_p2") + F.abs("_n2") + F.col("_nu")
-    zero = F.col("_empty") | (tot == 0)
-    cmp = F.when(F.col("_empty"), 0.0).otherwise(F.round("_c", 4))
-    r = r.select("_id", F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_n2") / tot), 3)).alias(outs[0]),
-                 F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_nu") / tot), 3)).alias(outs[1]),
-                 F.when(zero, 0.0).otherwise(F.round(F.abs(F.col("_p2") / tot), 3)).alias(outs[2]),
-                 cmp.alias(outs[3]), label_bands(cmp).alias(outs[4]))
-    return df.join(r, df[id_col] == r["_id"], "left").drop("_id")
-
-
-def derive_lexicon(tokens_docs: DataFrame, labels: DataFrame, *, doc_col: str, min_docs: int = 5,
-                   min_abs: float = 0.5) -> DataFrame:
-    """Binding helper: a (word, valence) table learnt from labelled documents,
-    valence = 4*mean(quality) - 4*mean(toxic) - 2 over labelled documents
-    containing the word, words in >= ``min_docs`` such documents."""
-    w = tokens_docs.join(labels, doc_col).groupBy("word").agg(
+    zero = (F.col("_n") == 0) | (tot == 0)
+    share = lambda c: F.when(zero, 0.0).otherwise(F.round(F.round(F.abs(c / tot), 9), 3))
+    j = j.withColumn("_cmp", F.when(F.col("_n") == 0, 0.0).otherwise(F.round(F.round(compound, 9), 4)))
+    scores = cut_lineage(j.select(
+        "_key", "_rows", share(F.col("_n2")).alias(outs[0]), share(F.col("_neu")).alias(outs[1]),
+        share(F.col("_p2")).alias(outs[2]), F.col("_cmp").alias(outs[3]), label_bands(F.col("_cmp")).alias(outs[4])))
+    return join_back(df, scores, {"_key": F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))}, "_rows")
+
+
+def derive_lexicon(words: DataFrame, *, doc_col: str, min_docs: int = 5, min_abs: float = 0.5) -> DataFrame:
+    """Binding helper: a (word, valence) table learnt from the (document,
+    word, quality, toxic) rows of labelled documents, valence =
+    4*mean(quality) - 4*mean(toxic) - 2, words in >= ``min_docs`` documents."""
+    w = words.groupBy("word").agg(
         F.count_distinct(doc_col).alias("docs"),
         (4.0 * F.avg("quality") - 4.0 * F.avg("toxic") - 2.0).alias("valence"))
     return w.where((F.col("docs") >= min_docs) & (F.abs("valence") >= min_abs)).select(

@@ -195,11 +195,21 @@ def sen_05_irony_scores(spark, sf):
     return rounded(out.drop("text"))
 
 
-@query("sen_06_agreement_flags")
+def _flags_sql():
+    from murmur.plans.q_models import LEXICON_SCORES_SQL
+    return f"""
+WITH r AS (SELECT doc_id, {_band('a_score')} AS a_label, {_band('b_score')} AS b_label FROM ({RATERS_SQL})),
+x AS ({LEXICON_SCORES_SQL})
+SELECT x.*, r.a_label, r.b_label, vader_label = a_label AS agree_lexicon_a, vader_label = b_label AS agree_lexicon_b,
+       a_label = b_label AS agree_a_b, a_label = vader_label AND b_label = vader_label AS agree_all
+FROM x JOIN r ON r.doc_id = x.doc_id"""
+
+
+@query("sen_06_agreement_flags", oracle=_flags_sql())
 def sen_06_agreement_flags(spark, sf):
     """SEN-6: pairwise and three-way agreement of three label sources."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    lex = se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id")
+    lex = se.lexicon_scores(d, "text", lexicon(spark, sf), check_blank=False)
     r = _raters(spark, sf).select("doc_id", "a_label", "b_label")
     j = lex.join(r, "doc_id")
     out = se.agreement_flags(j, {"lexicon": "vader_label", "a": "a_label", "b": "b_label"})
@@ -403,7 +413,7 @@ def chk_06_09_closure_and_rescoring(spark, sf):
     reconcile between the corpus and the scored output)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     lex = lexicon(spark, sf)
-    a = se.lexicon_scores(d, "text", lex, id_col="doc_id")
+    a = se.lexicon_scores(d, "text", lex)
     b2 = se.lexicon_scores(d, "text", lex)
     r = qa.rescoring_matches(a, b2, id_col="doc_id", score="vader_compound", label="vader_label")
     from murmur.operators.common import with_scalars

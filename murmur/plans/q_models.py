@@ -19,14 +19,12 @@ from murmur.sources.tables import table
 W = r"[\p{L}\p{N}_]"
 
 
-def _doc_words(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(F.coalesce("text", F.lit(""))), F.lit(f"{W}+"), 0))).alias("word"))
-
-
 def lexicon(spark, sf):
-    return se.derive_lexicon(_doc_words(spark, sf), table(spark, sf, "labels"), doc_col="doc_id")
+    """Words of the labelled documents (joined before they are exploded)."""
+    d = table(spark, sf, "documents").select("doc_id", "text").join(
+        table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    return se.derive_lexicon(d.select("doc_id", "quality", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower(F.coalesce("text", F.lit(""))), F.lit(f"{W}+"), 0))).alias("word")), doc_col="doc_id")
 
 
 @query("sen_00_derived_lexicon", oracle=f"""
@@ -40,11 +38,74 @@ def sen_00_derived_lexicon(spark, sf):
     return lexicon(spark, sf)
 
 
-@query("sen_01_lexicon_scores")
+def _lexicon_scores_sql() -> str:
+    """SEN-1 in SQL: all tokens with their positions, the word table looked up
+    for each, predecessors by self-join on the position, rules in order."""
+    from murmur.plans.q_text import S
+    from murmur.plans.registry import ORACLES
+    q = lambda w: "'" + w.replace("'", "''") + "'"
+    rules = ", ".join([f"({q(w)}, 1, false, false)" for w in se.BOOST_UP] + [f"({q(w)}, 2, false, false)" for w in se.BOOST_DOWN]
+                      + [f"({q(w)}, 0, true, false)" for w in se.NEGATIONS] + ["('but', 0, false, true)"])
+    punct = q(se.PUNCT)
+    steps, v = [], "h0"
+    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        up = f"(CASE p{k}cls WHEN 1 THEN {se.B_INCR}::DOUBLE WHEN 2 THEN {se.B_DECR}::DOUBLE ELSE 0.0::DOUBLE END)"
+        steps.append(f"""
+s{k} AS (SELECT *, CASE WHEN v < 0 THEN -{up} ELSE {up} END AS sc FROM {v}),
+t{k} AS (SELECT * REPLACE (CASE WHEN p{k}cls > 0 AND p{k}up AND cap THEN CASE WHEN v > 0 THEN sc + {se.C_INCR}::DOUBLE
+         ELSE sc - {se.C_INCR}::DOUBLE END ELSE sc END AS sc) FROM s{k}),
+u{k} AS (SELECT * EXCLUDE (sc) REPLACE (CASE WHEN v <> 0 AND p{k}v IS NULL THEN v + sc * {damp}::DOUBLE ELSE v END AS v) FROM t{k}),
+h{k} AS (SELECT * REPLACE (CASE WHEN v <> 0 AND p{k}neg THEN v * {se.N_SCALAR}::DOUBLE ELSE v END AS v) FROM u{k})""")
+        v = f"h{k}"
+    preds = ", ".join(f"p{k}.v AS p{k}v, coalesce(p{k}.cls, 0) AS p{k}cls, coalesce(p{k}.neg, false) AS p{k}neg, "
+                      f"coalesce(p{k}.up, false) AS p{k}up" for k in (1, 2, 3))
+    joins = " ".join(f"LEFT JOIN m p{k} ON p{k}.doc_id = m.doc_id AND p{k}.pos = m.pos - {k}" for k in (1, 2, 3))
+    return f"""
+WITH lex AS ({ORACLES["sen_00_derived_lexicon"]}),
+rules(k, cls, neg, but) AS (VALUES {rules}),
+kv AS (SELECT k, max(v) AS v, max(cls) AS cls, bool_or(neg) AS neg, bool_or(but) AS but FROM (
+  SELECT lower(word) AS k, valence::DOUBLE AS v, 0 AS cls, false AS neg, false AS but FROM lex
+  UNION ALL SELECT k, NULL, cls, neg, but FROM rules) GROUP BY k),
+d AS (SELECT doc_id, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[{S}]+'), lambda x: length(x) > 0) AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS nup,
+        len(regexp_extract_all(t, '!')) AS ex, len(regexp_extract_all(t, '[?]')) AS qn FROM d),
+tok AS (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos FROM d),
+nrm AS (SELECT doc_id, pos, CASE WHEN length(trim(raw, {punct})) <= 2 THEN raw ELSE trim(raw, {punct}) END AS w FROM tok),
+m AS (SELECT n.doc_id, n.pos, n.w = upper(n.w) AND n.w <> lower(n.w) AS up, kv.v, coalesce(kv.cls, 0) AS cls,
+        coalesce(kv.neg, false) OR contains(lower(n.w), 'n''t') AS neg, coalesce(kv.but, false) AS but
+      FROM nrm n LEFT JOIN kv ON kv.k = lower(n.w)),
+b AS (SELECT doc_id, min(pos) AS b FROM m WHERE but GROUP BY 1),
+h0 AS (SELECT m.doc_id, m.pos, c.nup > 0 AND c.nup < c.n AS cap,
+         CASE WHEN m.up AND c.nup > 0 AND c.nup < c.n THEN m.v + sign(m.v) * {se.C_INCR}::DOUBLE ELSE m.v END AS v, {preds}
+       FROM m JOIN c ON c.doc_id = m.doc_id {joins} WHERE m.v <> 0 AND m.cls = 0),{",".join(steps)},
+s AS (SELECT h.doc_id, CASE WHEN b.b IS NULL THEN v WHEN pos < b.b THEN v * 0.5::DOUBLE WHEN pos > b.b THEN v * 1.5::DOUBLE
+        ELSE v END AS s FROM h3 h LEFT JOIN b ON b.doc_id = h.doc_id),
+a AS (SELECT doc_id, round(sum(s), 9) AS sm, round(sum(CASE WHEN s > 0 THEN s + 1 ELSE 0.0 END), 9) AS pos,
+        round(sum(CASE WHEN s < 0 THEN s - 1 ELSE 0.0 END), 9) AS neg, count(CASE WHEN s <> 0 THEN 1 END) AS hits FROM s GROUP BY 1),
+e AS (SELECT c.doc_id, c.n, least(c.ex, {se.EXCLAIM_MAX}) * {se.EXCLAIM_EACH}::DOUBLE
+        + CASE WHEN qn > 1 THEN CASE WHEN qn <= 3 THEN qn * {se.QUESTION_EACH}::DOUBLE ELSE {se.QUESTION_MAX}::DOUBLE END
+          ELSE 0.0::DOUBLE END AS emph, coalesce(sm, 0) AS sm, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg,
+        (c.n - coalesce(hits, 0))::DOUBLE AS neu FROM c LEFT JOIN a ON a.doc_id = c.doc_id),
+f AS (SELECT *, CASE WHEN sm > 0 THEN sm + emph WHEN sm < 0 THEN sm - emph ELSE sm END AS ts,
+        CASE WHEN pos > abs(neg) THEN pos + emph ELSE pos END AS p2, CASE WHEN pos < abs(neg) THEN neg - emph ELSE neg END AS n2 FROM e),
+g AS (SELECT *, p2 + abs(n2) + neu AS tot,
+        CASE WHEN n = 0 THEN 0.0 ELSE round(round(least(greatest(ts / sqrt(ts * ts + {se.ALPHA}), -1.0), 1.0), 9), 4) END AS cmp FROM f)
+SELECT doc_id, CASE WHEN n = 0 OR tot = 0 THEN 0.0 ELSE round(round(abs(n2 / tot), 9), 3) END AS vader_negative,
+  CASE WHEN n = 0 OR tot = 0 THEN 0.0 ELSE round(round(abs(neu / tot), 9), 3) END AS vader_neutral,
+  CASE WHEN n = 0 OR tot = 0 THEN 0.0 ELSE round(round(abs(p2 / tot), 9), 3) END AS vader_positive,
+  cmp AS vader_compound, CASE WHEN cmp >= 0.05 THEN 'positive' WHEN cmp <= -0.05 THEN 'negative' ELSE 'neutral' END AS vader_label
+FROM g"""
+
+
+LEXICON_SCORES_SQL = _lexicon_scores_sql()
+
+
+@query("sen_01_lexicon_scores", oracle=LEXICON_SCORES_SQL)
 def sen_01_lexicon_scores(spark, sf):
-    """SEN-1 + SEN-2 over every document (rules unit-tested on fixtures)."""
+    """SEN-1 + SEN-2 over every document."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id").drop("text")
+    return se.lexicon_scores(d, "text", lexicon(spark, sf), check_blank=False).drop("text")
 
 
 def _stand_in_sql():

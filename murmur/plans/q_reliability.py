@@ -39,7 +39,7 @@ def reliability_run(spark, sf):
     Missing evidence stays NULL. Intermediate results are checkpointed so
     the profilers' self-joins read materialised data."""
     base = canonical(spark, sf)
-    scored = se.lexicon_scores(base, "text", lexicon(spark, sf), check_blank=False, id_col="doc_id")
+    scored = se.lexicon_scores(base, "text", lexicon(spark, sf), check_blank=False)
     model = se.model_scores(base.select("doc_id", "text"), "text",
                             se.char_profile_predictor).drop("text", "roberta_token_count", "roberta_truncated")
     run = sc.left_join_unique(scored, model, ["doc_id"])
@@ -106,10 +106,31 @@ def agg_24_risk_correlations(spark, sf):
                                    "sentiment_ambiguity_risk", "sarcasm_irony_risk", "model_suitability_risk"]))
 
 
-@query("chk_03_lexicon_output")
+def _lexicon_output_sql():
+    """CHK-3 counted in SQL on the scores of the SQL scorer."""
+    from murmur.plans.q_models import LEXICON_SCORES_SQL
+    v = [f"vader_{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
+    total = " + ".join(v[:3])
+    bad = {"complete": " OR ".join(f"{c} IS NULL" for c in v),
+           "proportions_in_unit_interval": "NOT (" + " AND ".join(f"{c} BETWEEN 0 AND 1" for c in v[:3]) + ")",
+           "compound_in_range": f"NOT {v[3]} BETWEEN -1 AND 1",
+           "proportions_sum_to_one": f"abs({total} - 1) > 0.0011 AND {total} > 0",
+           "label_domain": f"{v[4]} NOT IN ('negative', 'neutral', 'positive')",
+           "label_matches_thresholds": f"{v[4]} <> CASE WHEN {v[3]} >= 0.05 THEN 'positive' WHEN {v[3]} <= -0.05"
+                                       " THEN 'negative' ELSE 'neutral' END"}
+    counts = ", ".join(f"count(CASE WHEN {cond} THEN 1 END) AS {name}" for name, cond in bad.items())
+    rows = "".join(f""" UNION ALL SELECT '{name}', CASE WHEN {name} = 0 THEN 'pass' ELSE 'fail' END,
+  CAST({name} AS VARCHAR) FROM x""" for name in bad)
+    return f"""
+WITH s AS ({LEXICON_SCORES_SQL}), x AS (SELECT count(*) AS n, {counts} FROM s)
+SELECT 'rows_preserved' AS "check", CASE WHEN n = (SELECT count(*) FROM documents) THEN 'pass' ELSE 'fail' END AS status,
+  CAST(n AS VARCHAR) AS detail FROM x{rows}"""
+
+
+@query("chk_03_lexicon_output", oracle=_lexicon_output_sql())
 def chk_03_lexicon_output(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    scored = se.lexicon_scores(d, "text", lexicon(spark, sf), id_col="doc_id")
+    scored = se.lexicon_scores(d, "text", lexicon(spark, sf))
     return qa.lexicon_output(scored, d)
 
 

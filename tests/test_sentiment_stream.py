@@ -103,3 +103,76 @@ def test_streaming_hourly_matrix_matches_batch(spark, tmpdir_path):
         jobs.file_stream(spark, src, df.schema), "ts", "value", id_col="event_id"), complete=True)
     stream = {r.timestamp_hourly: (r.volume, round(r.mean_sentiment, 9)) for r in t.collect()}
     assert stream == batch
+
+
+def brute_lexicon(text, lexicon):
+    """The published rules, token by token."""
+    raw = (text or "").split()
+    w = [t if len(t.strip(se.PUNCT)) <= 2 else t.strip(se.PUNCT) for t in raw]
+    low = [t.lower() for t in w]
+    ups = sum(t.isupper() for t in raw)
+    cap = 0 < ups < len(raw)
+    rules = {**{x: 1 for x in se.BOOST_UP}, **{x: -1 for x in se.BOOST_DOWN}}
+    scores = []
+    for i, t in enumerate(low):
+        v = 0.0 if t in rules else lexicon.get(t, 0.0)
+        if v and w[i].isupper() and cap:
+            v += 0.733 if v > 0 else -0.733
+        for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+            if not v or i < k:
+                continue
+            p = low[i - k]
+            if p not in lexicon:
+                s = 0.293 * rules.get(p, 0) * (1 if v > 0 else -1)
+                if p in rules and w[i - k].isupper() and cap:
+                    s += 0.733 if v > 0 else -0.733
+                v += s * damp
+            if v and (p in se.NEGATIONS or "n't" in p):
+                v *= -0.74
+        scores.append(v)
+    if "but" in low:
+        at = low.index("but")
+        scores = [v * (0.5 if i < at else 1.5 if i > at else 1) for i, v in enumerate(scores)]
+    marks, asks = (text or "").count("!"), (text or "").count("?")
+    emphasis = min(marks, 4) * 0.292 + (0 if asks < 2 else asks * 0.18 if asks <= 3 else 0.96)
+    total = sum(scores)
+    total += emphasis if total > 0 else -emphasis if total < 0 else 0
+    pos, neg = sum(v + 1 for v in scores if v > 0), sum(v - 1 for v in scores if v < 0)
+    if pos > -neg:
+        pos += emphasis
+    elif pos < -neg:
+        neg -= emphasis
+    every = pos - neg + sum(not v for v in scores)
+    share = [0.0] * 3 if not scores or not every else [-neg / every, sum(not v for v in scores) / every, pos / every]
+    return [*share, total / (total * total + 15) ** 0.5 if scores else 0.0]
+
+
+def test_lexicon_scores_against_brute_force(spark):
+    import random
+    rng = random.Random(4)
+    words = {"good": 1.9, "bad": -2.5, "very": 0.7, "nope": -1.0, "great": 3.1, "meh": 0.0, "fine": 0.8}
+    pool = ["good", "BAD", "great!", "(bad)", "very", "VERY", "not", "isn't", "shouldn't've", "but", "But,", "kinda", "SO", "the",
+            "The", "hardly", "meh", "nope", "never", "?", "!!", "a", ":(", "fine...", "NOT", "I", "it's", "ÉTÉ", "x y", "DON'T"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(0, 14))) for _ in range(400)] + [None, "", " \n ", "good", "good bad good"] * 2
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "id int, text string")
+    lex = spark.createDataFrame([(w.upper(), v) for w, v in words.items()], "word string, valence double")
+    got = se.lexicon_scores(df, "text", lex, check_blank=False).collect()
+    assert len(got) == len(texts)
+    seen = {}
+    for r in got:
+        seen.setdefault(r.text, set()).add((r.vader_negative, r.vader_neutral, r.vader_positive, r.vader_compound))
+    for t in texts:
+        (one,) = seen[t]
+        want = brute_lexicon(t, words)
+        assert all(abs(a - b) <= 0.00051 for a, b in zip(one[:3], want[:3])) and abs(one[3] - want[3]) <= 0.000051, t
+
+
+def test_lexicon_scores_without_broadcast(spark, lexicon):
+    df = spark.createDataFrame([(1, "a very good day, not bad"), (2, "HATE it")], "id int, text string")
+    a = {r.id: r for r in se.lexicon_scores(df, "text", lexicon).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.id: r for r in se.lexicon_scores(df, "text", lexicon).collect()} == a
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
