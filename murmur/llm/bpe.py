@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import blocks_of, documents, run_hashes, small_batches, to_bytes
 
-CACHE_WORDS = 800_000  # words and segments a worker remembers; beyond it starts afresh
+CACHE_WORDS = 600_000  # words and segments a worker remembers; beyond it starts afresh
 LONG_WORD = 4096         # bytes from which a word is contracted in position rows
 NO_PAIR = 2147483647
 
@@ -85,42 +85,88 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
-class Store:
-    """Hash -> list of numbers, in sorted arrays (about 40 bytes an entry)."""
+class Lists:
+    """Lists of numbers one after another, by number of the list."""
 
     def __init__(self, dtype):
-        self.dtype = dtype
-        self.clear()
-
-    def clear(self):
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Slot of each hash, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1, np.int64)
-        i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[i] == hashes, self.slots[i], -1)
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
 
-    def add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        """New hashes (distinct, in order) with their lists one after another."""
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.flat.dtype)])
         self.flat[self.used:self.used + len(flat)] = flat
-        at = np.searchsorted(self.keys, hashes)
-        self.slots = np.insert(self.slots, at, len(self.sizes) + np.arange(len(hashes)))
-        self.keys = np.insert(self.keys, at, hashes)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += len(flat)
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lists of the slots one after another, size of each)."""
-        n = self.sizes[slots]
-        shift = np.repeat(self.starts[slots] - (np.cumsum(n) - n), n)
-        return self.flat[shift + np.arange(len(shift))], n
+        return gathered(self.flat, self.starts[slots], self.sizes[slots]), self.sizes[slots]
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start:start + size]`` one after another."""
+    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return flat[shift + np.arange(len(shift))]
+
+
+class Store:
+    """Run of numbers -> list of numbers. Runs are found by their hash, in
+    sorted arrays (about 50 bytes an entry), and kept: a run that is found is
+    compared whole, so runs with one hash never share a list."""
+
+    def __init__(self, source, dtype):
+        self.kinds = source, dtype
+        self.clear()
+
+    def clear(self):
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.runs, self.lists = (Lists(k) for k in self.kinds)
+
+    def get(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(lists of the runs ``data[start:end]`` one after another, size of
+        each). ``learn(firsts)`` gives (flat, sizes) for runs not seen yet."""
+        keys, at, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        slots = self._find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new) and len(self.keys) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = np.arange(len(keys))
+        if len(new):
+            flat, sizes = learn(at[new])
+            n = (ends - starts)[at[new]]
+            pos = np.searchsorted(self.keys, keys[new])
+            self.slots = np.insert(self.slots, pos, len(self.lists.sizes) + np.arange(len(new)))
+            self.keys = np.insert(self.keys, pos, keys[new])
+            self.lists.add(sizes, flat)
+            self.runs.add(n, gathered(data, starts[at[new]], n))
+            slots = self._find(keys)
+        own = slots[which]
+        flat, n = self.lists.gather(own)
+        sizes = ends - starts
+        if np.array_equal(self.runs.sizes[own], sizes) and np.array_equal(
+                self.runs.gather(own)[0], gathered(data, starts, sizes)):
+            return flat, n
+        return self._apart(data, starts, ends, own, learn)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[i] == hashes, self.slots[i], -1)
+
+    def _apart(self, data, starts, ends, slots, learn):
+        """Some runs have another run's hash: those are learned by themselves."""
+        out = []
+        for i, slot in enumerate(slots.tolist()):
+            kept = self.runs.gather(np.array([slot]))[0]
+            if np.array_equal(kept, data[starts[i]:ends[i]]):
+                out.append(self.lists.gather(np.array([slot]))[0])
+            else:
+                out.append(np.asarray(learn(np.array([i]))[0]))
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
 
 class Coder:
@@ -157,7 +203,7 @@ class Coder:
         self.known = np.zeros(self.size, bool)
         self.known[list(ranks.values())] = True
         self.spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.segments, self.words, self.pieces = Store(np.int32), Store(np.int32), Store(np.uint8)
+        self.segments, self.words, self.pieces = Store(np.uint8, np.int32), Store(np.uint8, np.int32), Store(np.int32, np.uint8)
 
     def _table(self, name, rows):
         self.con.register("_rows", rows)
@@ -265,36 +311,22 @@ class Coder:
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
         starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))[:len(starts)]
-        hashes = run_hashes(data, starts, ends)
-        keys, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self.segments.find(keys)
-        if (slots < 0).any():
-            if len(self.segments.keys) + (slots < 0).sum() > CACHE_WORDS:
-                self.segments.clear()
-                self.words.clear()
-                slots[:] = -1
-            new = np.flatnonzero(slots < 0)
-            self._learn(keys[new], [joined[x:y] for x, y in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            slots = self.segments.find(keys)
-        flat, n = self.segments.gather(slots[which])
+        flat, n = self.segments.get(data, starts, ends, lambda at: self._learn(
+            [joined[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist())]))
         total = np.concatenate([[0], np.cumsum(n)])
         return flat, np.diff(total[np.searchsorted(starts, offsets)])
 
-    def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
+    def _learn(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the segments one after another, number of each)."""
         found = [self.find(s.decode("utf-8", "surrogatepass")) for s in segments]
         words = [to_bytes(w) for f in found for w in f]
         n = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(n)
-        hashes, at, which = np.unique(run_hashes(data, ends - n, ends), return_index=True, return_inverse=True)
-        new = np.flatnonzero(self.words.find(hashes) < 0)
-        if len(new):
-            flat, sizes = self.contract([words[i] for i in at[new].tolist()])
-            self.words.add(hashes[new], sizes, flat)
-        flat, sizes = self.words.gather(self.words.find(hashes)[which])
+        flat, sizes = self.words.get(data, ends - n, ends, lambda at: self.contract([words[i] for i in at.tolist()]))
         upto = np.concatenate([[0], np.cumsum(sizes)])
         per = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        self.segments.add(keys, np.diff(upto[per]), flat)
+        return flat, np.diff(upto[per])
 
     def decode(self, flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Bytes of each id list ``flat[offsets[i]:offsets[i + 1]]``."""
@@ -305,27 +337,19 @@ class Coder:
         cut[offsets[:-1][offsets[:-1] < len(flat)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(flat))[:len(starts)]
-        keys, at, which = np.unique(run_hashes(flat, starts, ends), return_index=True, return_inverse=True)
-        slots = self.pieces.find(keys)
-        if (slots < 0).any():
-            if len(self.pieces.keys) + (slots < 0).sum() > CACHE_WORDS:
-                self.pieces.clear()
-                slots[:] = -1
-            new = np.flatnonzero(slots < 0)
-            x, n = starts[at[new]], (ends - starts)[at[new]]
-            pos = np.arange(n.sum())
-            self.con.register("piece_rows", pa.table({
-                "piece": np.repeat(np.arange(len(new), dtype=np.int32), n), "pos": pos,
-                "id": flat[np.repeat(x - (np.cumsum(n) - n), n) + pos]}))
-            got = [bytes.fromhex(x) for x in self.con.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()]
-            self.pieces.add(keys[new], np.fromiter(map(len, got), np.int64, len(got)),
-                            np.frombuffer(b"".join(got), np.uint8))
-            slots = self.pieces.find(keys)
-        data, n = self.pieces.gather(slots[which])
+        data, n = self.pieces.get(flat, starts, ends, lambda at: self._spell(flat, starts[at], (ends - starts)[at]))
         upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
         data = data.tobytes()
         return [data[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
+    def _spell(self, flat: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the id runs one after another, number of each)."""
+        import pyarrow as pa
+        self.con.register("piece_rows", pa.table({
+            "piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": np.arange(n.sum()), "id": gathered(flat, x, n)}))
+        got = [bytes.fromhex(x) for x in self.con.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()]
+        return np.frombuffer(b"".join(got), np.uint8), np.fromiter(map(len, got), np.int64, len(got))
+
 
 # White space of the tokenizer's pattern: one byte each, or these sequences.
 _WHITE = np.zeros(256, bool)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.session import checkpoint_dir
+from murmur.session import checkpoint_dir, cut_lineage
 from murmur.sources.tables import table
 
 # One Arrow batch holds at most this many rows and (about) bytes, so a Python
@@ -30,12 +30,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """The rows of ``df``, written to and read from the shared checkpoint folder.
 
     Unlike a checkpoint this computes the rows once, keeps them compressed,
     gives the planner their true size, and frees the shuffle files of the
-    finished write; rows lost with an executor are read again from the table."""
+    finished write; rows lost with an executor are read again from the table.
+    With ``scratch`` the table's folder is noted there, for ``free``."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
     before = spark.conf.get(_FREE, "false")
@@ -44,9 +45,39 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_FREE, before)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """``cut_lineage``, with the checkpoint's folder noted in ``scratch``."""
+    out = cut_lineage(df)
+    if scratch is not None:
+        scratch.append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out
+
+
+def free(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete an operator's own intermediate tables, once nothing that is
+    still to run reads them."""
+    while scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to
+    be the name of a column (names differ in more than case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_of(col: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n`` (null ids: fold of '')."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -54,29 +85,18 @@ def fold_of(col: Column, n: int) -> Column:
 
 # ---- word hashes --------------------------------------------------------
 # Words are maximal runs of bytes other than space and 0x09-0x0D, ASCII
-# letters lower-cased. A word's hash is a polynomial over its bytes modulo
-# 2^64, read off prefix sums, then mixed with its length; equal words have
-# equal hashes everywhere, different ones collide with odds near 2^-64.
+# letters lower-cased. A word's hash is the sum over its bytes of a mixed value
+# of the byte times a mixed factor of its place in the word, modulo 2^64, mixed
+# again with its length. The factors have no structure that a text could repeat
+# (a polynomial's powers do: Thue-Morse words collide under any odd base), so
+# different words collide with odds near 2^-57, whatever they look like.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = (_LOWER.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 18, 1 << n.bit_length())
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, np.uint64)
-            up[0] = 1
-            down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-            down[0] = 1
-            _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0], _POWERS[1]
+_WINDOW = 1 << 20       # bytes whose products are held at a time
+_PLACES = 1 << 16       # factors kept in a table; later ones are computed
+_SEED, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,15 +107,48 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _computed(place: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(place.astype(np.uint64) * _STEP + _SEED)
+
+
+_FACTORS = _computed(np.arange(_PLACES))
+_VALUE = mix(np.arange(256).astype(np.uint64) + np.uint64(1))
+_WORD_VALUE = _VALUE[_LOWER]
+
+
+def _factors(place: np.ndarray) -> np.ndarray:
+    if not len(place) or place.max() < _PLACES:
+        return _FACTORS[place]
+    return np.where(place < _PLACES, _FACTORS[np.minimum(place, _PLACES - 1)], _computed(place))
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, value_of) -> np.ndarray:
+    """Hash of every run, in windows over the runs' places."""
+    sizes = ends - starts
+    stop = np.cumsum(sizes)
+    out = np.zeros(len(sizes), np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, int(stop[-1]) if len(stop) else 0, _WINDOW):
+            hi = min(int(stop[-1]), lo + _WINDOW)
+            a, b = np.searchsorted(stop, [lo, hi - 1], side="right")
+            runs = np.arange(a, b + 1)
+            runs = runs[sizes[runs] > 0]
+            first = stop[runs] - sizes[runs]
+            begin = np.maximum(first, lo)
+            held = np.minimum(stop[runs], hi) - begin
+            at = np.arange(lo, hi)
+            place = at - np.repeat(first, held)
+            product = value_of(values[np.repeat(starts[runs] - first, held) + at]) * _factors(place)
+            out[runs] += np.add.reduceat(product, begin - lo)
+        return mix(out + sizes.astype(np.uint64) * _STEP)
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of every run ``values[start:end]`` of small numbers."""
-    up, down = _powers(len(values) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(values) + 1, np.uint64)
-        sums[0] = 0
-        spread = (values.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        np.cumsum(spread * up[:len(values)], dtype=np.uint64, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    small = values.dtype == np.uint8
+    return _hashes(values, starts, ends,
+                   (lambda v: _VALUE[v]) if small else (lambda v: mix(v.astype(np.uint64) + np.uint64(1))))
 
 
 def to_bytes(text: str | None) -> bytes:
@@ -108,13 +161,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[joined]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(joined) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(joined) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_VALUE[joined] * up[:len(joined)], dtype=np.uint64, out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * down[starts]
-        hashes = mix(raw + (ends - starts).astype(np.uint64))
+    hashes = _hashes(joined, starts, ends, lambda v: _WORD_VALUE[v])
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
     return hashes, np.searchsorted(starts, offsets)
 
