@@ -10,7 +10,8 @@ whole texts count, never prefixes.
 
 The network is trained in numpy on at most ``PER_LANGUAGE`` texts of every
 language, picked by a hash of the text, with at most ``TRAIN_BYTES`` bytes of
-each: a bounded sample, fitted on the driver. Prediction runs over all rows in
+each, from a place that another hash picks in the whole text: a bounded sample,
+fitted on the driver. Prediction runs over all rows in
 ``mapInArrow`` without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 1;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.llm.common import blocks_of, documents, fold_of, small_batches, to_bytes
+from murmur.llm.common import blocks_of, documents, fold_of, fresh, small_batches, to_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -136,8 +137,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Netw
                            for x in (lang, min(million, -(-PER_LANGUAGE * million // n)))])
     texts = rows.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(million)).alias("draw")) \
         .where(F.col("draw") < share[F.col("lang")]) \
-        .select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "lang").distinct() \
-        .orderBy("text", "lang").limit(2 * PER_LANGUAGE * len(sizes)).collect()
+        .withColumn("at", F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - TRAIN_BYTES, F.lit(0)) + 1)) \
+        .select(F.expr(f"substring(text, at + 1, {TRAIN_BYTES})").alias("text"), "lang").distinct() \
+        .orderBy(F.xxhash64("text"), "text", "lang").limit(2 * PER_LANGUAGE * len(sizes)).collect()
     languages = sorted(sizes)
     net = Network(languages)
     x, owner, letters = windows([to_bytes(r["text"])[:TRAIN_BYTES] for r in texts])
@@ -154,7 +156,8 @@ def with_language(docs: DataFrame, net: Network | None, text_col: str = "text",
     small_batches(docs.sparkSession)
     if set(names) & set(docs.columns):
         raise ValueError(f"the documents have a column named like one of {names}")
-    src = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    (letter,) = fresh(docs, "_letter")
+    src = docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         import pyarrow as pa
