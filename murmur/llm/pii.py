@@ -12,12 +12,18 @@ accepts. Base spans always stay.
 
 Offsets are code points: the pieces between matches (``split``) and the
 matches (``regexp_extract_all``) alternate, so running lengths give starts.
-All of it is per row; the one shuffle counts vote patterns (at most
-4 kinds x 3^5 rows reach the driver), over all documents.
+Everything that runs along a row's matches (starts, the characters before a
+candidate, spans that cover others) is a scan in blocks (``_scan``), so a text
+with very many matches takes time in proportion to them. The classifier knows
+more than the votes: how long a candidate is and how many groups of digits it
+has. All of it is per row; the one shuffle counts patterns of votes and
+features (at most 4 kinds x 3^5 x 4 x 4 rows reach the driver), over all
+documents.
 
 Defined results: null texts are empty and have no spans; equal texts have
 equal spans; repeated rows and null ids come out once per input row; other
-columns are ignored; an empty table gives no rows and no votes.
+columns are ignored by ``find`` and come through ``redact`` unchanged, whatever
+their names; an empty table gives no rows and no votes.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "shape", "gazetteer", "context", "neighbours")
 ACCEPT = 0.9            # probability from which the classifier adds a span
 ROUNDS = 50
+FEATURES = ("size", "groups")   # of the span, each 0 to 3
+BEFORE = 24             # characters of context
+_BLOCK = 128            # elements of one block of a scan
+_PIECE = 1024           # characters of one piece of a text
 
 # The base patterns, written so that Java neither recurses nor backtracks over
 # long runs: a match can only start where a run starts or the last match ended.
@@ -71,18 +81,44 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "''") + "'"
 
 
-def _spans(pattern: str, guard: str) -> tuple[str, str, str]:
-    """SQL of the matches, of the pieces, and of the spans from both."""
-    p = "r\"" + pattern + "\""
-    found = f"IF({guard}, regexp_extract_all(text, {p}, 0), CAST(array() AS array<string>))"
-    pieces = f"IF(size(_m) > 0, split(text, {p}, -1), CAST(array() AS array<string>))"
-    spans = """aggregate(
-        transform(_m, (x, i) -> struct(length(_p[i]) AS gap, length(x) AS n, x AS s)),
-        struct(0 AS pos, CAST(array() AS array<struct<start:int,stop:int,s:string>>) AS out),
-        (a, y) -> struct(a.pos + y.gap + y.n AS pos, concat(a.out, array(
-            struct(a.pos + y.gap AS start, a.pos + y.gap + y.n AS stop, y.s AS s))) AS out),
-        a -> a.out)"""
-    return found, pieces, spans
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``value`` computed once, also inside its lambdas."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(rows: str, zero: str, lift, combine) -> str:
+    """SQL: the array ``rows`` as structs (c, y) of every element y and of the
+    number that all elements before it combine to (``combine`` is
+    associative). An aggregate copies what it holds at every step, so it holds
+    numbers only, of one block of ``_BLOCK`` or one of each block."""
+    start = f"struct({zero} AS c, CAST(array() AS array<int>) AS out)"
+    blocks = _let("g", rows, f"transform(sequence(0, CAST(greatest(size(g) - 1, 0) div {_BLOCK} AS int)),"
+                             f" i -> slice(g, i * {_BLOCK} + 1, {_BLOCK}))")
+    inside = f"aggregate(b, {start}, (a, y) -> struct({combine('a.c', lift('y'))} AS c, concat(a.out, array(a.c)) AS out))"
+    before = f"aggregate(l, {start}, (a, p) -> struct({combine('a.c', 'p.s.c')} AS c, concat(a.out, array(a.c)) AS out), a -> a.out)"
+    return _let("l", f"transform({blocks}, b -> struct(b AS b, {inside} AS s))",
+                f"flatten(zip_with(l, {before}, (p, k) -> zip_with(p.b, p.s.out, (y, c) ->"
+                f" struct({combine('k', 'c')} AS c, y AS y))))")
+
+
+def _last(texts: str) -> str:
+    """SQL: of every element of the array of strings, one for each match, the
+    last ``BEFORE`` characters of it and of the seven before it together. A
+    match of a wide pattern has at least five characters."""
+    for k in (1, 2, 4):
+        texts = _let(f"e{k}", texts, f"""slice(zip_with(concat(array_repeat('', {k}), e{k}), e{k},
+            (a, b) -> right(concat(a, coalesce(b, '')), {BEFORE})), 1, size(_m))""")
+    return texts
+
+
+_NEAR = "struct<gap:int,n:int,s:string,before:string,after:string>"
+
+
+def _matches(df: DataFrame, pattern: str, guard: str) -> DataFrame:
+    """Adds _m, the matches, and _p, the pieces between them."""
+    p = 'r"' + pattern + '"'
+    return df.withColumn("_m", F.expr(f"IF({guard}, regexp_extract_all(text, {p}, 0), CAST(array() AS array<string>))")) \
+        .withColumn("_p", F.expr(f"IF(size(_m) > 0, split(text, {p}, -1), CAST(array() AS array<string>))"))
 
 
 def _luhn(digits: str) -> str:
@@ -113,96 +149,127 @@ _WIDE_GUARD = {"email": "contains(text, '@') OR contains(text, '(at)') OR contai
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def _with_spans(df: DataFrame, name: str, pattern: str, guard: str) -> DataFrame:
-    found, pieces, spans = _spans(pattern, guard)
-    return df.withColumn("_m", F.expr(found)).withColumn("_p", F.expr(pieces)) \
-        .withColumn(name, F.expr(spans)).drop("_m", "_p")
-
-
 def base_spans(docs: DataFrame) -> DataFrame:
     """Adds _base: (start, kind, stop) of the base spans, in order."""
     df = docs.withColumn("_digit", F.expr("text RLIKE '[0-9]'"))
+    rows = "zip_with(slice(_p, 1, size(_m)), _m, (p, m) -> struct(length(p) AS gap, length(m) AS n, m AS s))"
+    scan = _scan(rows, "0", lambda y: f"{y}.gap + {y}.n", lambda a, b: f"{a} + {b}")
     for k, kind in enumerate(KINDS):
-        df = _with_spans(df, f"_{kind}", BASE[kind], _GUARD[kind])
-        df = df.withColumn(f"_{kind}", F.expr(
-            f"transform(filter(_{kind}, x -> {_valid(kind, 'x.s')}), x -> struct(x.start, {k} AS kind, x.stop))"))
+        df = _matches(df, BASE[kind], _GUARD[kind]).withColumn(f"_{kind}", F.expr(
+            f"transform(filter({scan}, x -> {_valid(kind, 'x.y.s')}),"
+            f" x -> struct(x.c + x.y.gap AS start, {k} AS kind, x.c + x.y.gap + x.y.n AS stop))")).drop("_m", "_p")
     return df.withColumn("_base", F.array_sort(F.concat(*[f"_{k}" for k in KINDS]))) \
         .drop(*[f"_{k}" for k in KINDS])
 
 
-def _votes(kind: str, k: int) -> str:
-    """SQL struct of a candidate x with the labelers' votes (1, -1, 0)."""
-    before = "lower(substring(text, greatest(x.start - 23, 1), least(x.start, 24)))"
-    around = "concat(substring(text, x.start, IF(x.start > 0, 1, 0)), substring(text, x.stop + 1, 1))"
-    tail = "regexp_extract(x.s, r'([A-Za-z]+)$', 1)" if kind == "email" else "x.s"
+def _by_kind(sql) -> str:
+    return "CASE x.kind " + " ".join(f"WHEN {k} THEN {sql(kind)}" for k, kind in enumerate(KINDS)) + " END"
+
+
+def _votes() -> str:
+    """SQL struct of a candidate x with the labelers' votes (1, -1, 0) and
+    the features of its span."""
+    before = "lower(x.before)"
+    tail = "regexp_extract(x.s, r'([A-Za-z]+)$', 1)"
     strict = {"email": "IF(x.s RLIKE r'^[^ ]+@[^ ]+$', 1, 0)",
               "ip": f"IF({_valid('ip', _squeezed('x.s'))}, 1, -1)",
-              "card": f"IF({_luhn(_digits('x.s'))}, 1, -1)", "phone": "0"}[kind]
-    return f"""struct(x.start AS start, {k} AS kind, x.stop AS stop,
-        {strict} AS strict,
-        IF(x.s RLIKE {_quoted(SHAPE[kind])}, 1, -1) AS shape,
-        IF({tail} RLIKE {_quoted(GAZETTEER[kind])}, 1, -1) AS gazetteer,
-        CASE WHEN {before} RLIKE '{AGAINST}' THEN -1 WHEN {before} RLIKE '{CUES[kind]}' THEN 1 ELSE 0 END AS context,
-        IF({around} RLIKE r'[A-Za-z0-9=_/]', -1, 0) AS neighbours)"""
+              "card": f"IF({_luhn(_digits('x.s'))}, 1, -1)", "phone": "0"}
+    return f"""struct(x.start AS start, x.kind AS kind, x.stop AS stop,
+        {_by_kind(strict.get)} AS strict,
+        IF({_by_kind(lambda k: f"x.s RLIKE {_quoted(SHAPE[k])}")}, 1, -1) AS shape,
+        IF({_by_kind(lambda k: f"{tail if k == 'email' else 'x.s'} RLIKE {_quoted(GAZETTEER[k])}")}, 1, -1) AS gazetteer,
+        CASE WHEN {before} RLIKE '{AGAINST}' THEN -1
+             WHEN {_by_kind(lambda k: f"{before} RLIKE '{CUES[k]}'")} THEN 1 ELSE 0 END AS context,
+        IF(concat(right(x.before, 1), x.after) RLIKE r'[A-Za-z0-9=_/]', -1, 0) AS neighbours,
+        CAST(least(length(x.s) div 8, 3) AS int) AS size,
+        CAST(least(regexp_count(x.s, '[0-9]+'), 3) AS int) AS groups)"""
 
 
 def _squeezed(s: str) -> str:
     return f"replace({s}, ' ', '')"
 
 
+def _clear_of(base: str, found: str) -> str:
+    """SQL: the candidates that overlap no base span. In order of their starts
+    the furthest stop of the base spans before a candidate and the start of
+    the next one after it tell."""
+    last = 2 ** 31 - 1
+    every = f"""array_sort(concat(transform({base}, b -> struct(b.start AS start, 0 AS wide, b.kind AS kind,
+        b.stop AS stop, '' AS s, '' AS before, '' AS after)), {found}))"""
+    ahead = _scan(every, "0", lambda y: f"IF({y}.wide = 0, {y}.stop, 0)",
+                  lambda a, b: f"greatest({a}, {b})")
+    both = _scan(f"reverse({ahead})", str(last),
+                 lambda y: f"IF({y}.y.wide = 0, {y}.y.start, {last})", lambda a, b: f"least({a}, {b})")
+    return f"""IF(size({base}) = 0, {found}, transform(filter({both},
+        x -> x.y.y.wide = 1 AND x.y.c <= x.y.y.start AND x.c >= x.y.y.stop), x -> x.y.y))"""
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Adds _wide: candidates outside the base spans, with their votes."""
     df = docs
+    pieces = "slice(_p, 1, size(_m))"
+    after = "zip_with(slice(_p, 2, size(_m)), concat(slice(_m, 2, size(_m)), array('')), (p, m) -> left(concat(p, m), 1))"
+    tails = f"zip_with({pieces}, _m, (p, m) -> right(concat(p, m), {BEFORE}))"
+    before = f"""slice(zip_with(concat(array(''), {_last(tails)}), {pieces},
+        (a, p) -> right(concat(a, right(coalesce(p, ''), {BEFORE})), {BEFORE})), 1, size(_m))"""
+    rows = f"""IF(size(_m) = 0, CAST(array() AS array<{_NEAR}>), zip_with(zip_with(
+        zip_with({pieces}, _m, (p, m) -> struct(length(p) AS gap, length(m) AS n, m AS s)),
+        {before}, (y, z) -> struct(y.gap AS gap, y.n AS n, y.s AS s, z AS before)),
+        {after}, (y, z) -> struct(y.gap AS gap, y.n AS n, y.s AS s, y.before AS before, z AS after)))"""
+    scan = _scan(rows, "0", lambda y: f"{y}.gap + {y}.n", lambda a, b: f"{a} + {b}")
     for k, kind in enumerate(KINDS):
-        df = _with_spans(df, f"_{kind}", WIDE[kind], _WIDE_GUARD[kind])
-        df = df.withColumn(f"_{kind}", F.expr(
-            f"transform(filter(_{kind}, x -> NOT exists(_base, b -> b.start < x.stop AND x.start < b.stop)),"
-            f" x -> {_votes(kind, k)})"))
-    return df.withColumn("_wide", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+        df = _matches(df, WIDE[kind], _WIDE_GUARD[kind]).withColumn(f"_{kind}", F.expr(f"""transform({scan}, x -> struct(
+            x.c + x.y.gap AS start, 1 AS wide, {k} AS kind, x.c + x.y.gap + x.y.n AS stop, x.y.s AS s,
+            x.y.before AS before, x.y.after AS after))""")).drop("_m", "_p")
+    df = df.withColumn("_found", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+    return df.withColumn("_wide", F.expr(f"transform({_clear_of('_base', '_found')}, x -> {_votes()})")).drop("_found")
 
 
 def estimate(patterns: list[tuple]) -> dict[int, list[float]]:
-    """Weights of the span classifier of each kind: one of each labeler and
-    an intercept. ``patterns`` holds (kind, votes..., count).
+    """Weights of the span classifier of each kind: one of each labeler, an
+    intercept, and one of each value of each feature. ``patterns`` holds
+    (kind, votes..., features..., count); features may be missing.
 
     EM: a span is personal data with probability ``prior``; labeler j says
     right with reliability r_j whenever it votes, independently of the others.
-    The logistic classifier is then fitted to the posteriors."""
-    out = {}
+    The logistic classifier is fitted to the posteriors from scratch, so the
+    features share in what the votes say, and tell spans of equal votes apart."""
+    out, m = {}, len(LABELERS)
     for kind in range(len(KINDS)):
-        rows = [(r[1:-1], r[-1]) for r in patterns if r[0] == kind]
-        total = sum(n for _, n in rows)
-        m = len(LABELERS)
+        rows = [(r[1:1 + m], r[1 + m:-1], r[-1]) for r in patterns if r[0] == kind]
+        total = sum(n for _, _, n in rows)
         prior, rely = 0.5, [0.9, 0.8, 0.7, 0.8, 0.7]
         post = []
         for _ in range(ROUNDS if total else 0):
             post = []
-            for votes, _n in rows:
+            for votes, _f, _n in rows:
                 z = math.log(prior / (1 - prior)) + sum(v * math.log(r / (1 - r)) for v, r in zip(votes, rely))
                 post.append(1 / (1 + math.exp(-z)))
-            prior = min(0.95, max(0.05, (1 + sum(p * n for p, (_, n) in zip(post, rows))) / (2 + total)))
+            prior = min(0.95, max(0.05, (1 + sum(p * n for p, (_, _, n) in zip(post, rows))) / (2 + total)))
             for j in range(m):
-                right = sum(n * (p if v[j] > 0 else 1 - p) for p, (v, n) in zip(post, rows) if v[j])
-                voted = sum(n for v, n in rows if v[j])
+                right = sum(n * (p if v[j] > 0 else 1 - p) for p, (v, _, n) in zip(post, rows) if v[j])
+                voted = sum(n for v, _, n in rows if v[j])
                 rely[j] = min(0.98, max(0.55, (right + 8) / (voted + 10)))  # a labeler beats a coin
-        weights = [math.log(r / (1 - r)) for r in rely] + [math.log(prior / (1 - prior))]
-        for _ in range(200 if total else 0):
-            grad = [0.0] * (m + 1)
-            for p, (votes, n) in zip(post, rows):
-                x = [*votes, 1]
-                q = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x))))
-                for j in range(m + 1):
-                    grad[j] += n * (p - q) * x[j] / total
+        weights = [0.0] * (m + 1 + 4 * len(FEATURES))
+        # the entries of each pattern that are not zero
+        inputs = [[*((j, v) for j, v in enumerate(votes) if v), (m, 1), *((m + 1 + 4 * i + f, 1) for i, f in enumerate(features))]
+                  for votes, features, _ in rows]
+        for _ in range(500 if total else 0):
+            grad = [0.0] * len(weights)
+            for p, x, (_, _, n) in zip(post, inputs, rows):
+                q = 1 / (1 + math.exp(-sum(weights[j] * v for j, v in x)))
+                for j, v in x:
+                    grad[j] += n * (p - q) * v / total
             weights = [w + 0.5 * (g - 1e-3 * w) for w, g in zip(weights, grad)]
         out[kind] = weights
     return out
 
 
 def train(docs: DataFrame) -> dict[int, list[float]]:
-    """Classifier weights from the vote patterns of all documents."""
+    """Classifier weights from the patterns of all documents' candidates."""
     counts = candidates(base_spans(_texts(docs))).select(F.explode("_wide").alias("c")) \
-        .groupBy("c.kind", *[f"c.{x}" for x in LABELERS]).agg(F.count("*").alias("n"))
-    return estimate([tuple(r) for r in counts.collect()])  # at most 4 * 3^5 rows
+        .groupBy("c.kind", *[f"c.{x}" for x in (*LABELERS, *FEATURES)]).agg(F.count("*").alias("n"))
+    return estimate([tuple(r) for r in counts.collect()])  # at most 4 * 3^5 * 4^2 rows
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -213,12 +280,16 @@ def with_personal_spans(docs: DataFrame, weights: dict[int, list[float]] | None
     """The documents with _base and _spans: arrays of (start, kind, stop)."""
     weights = weights or train(docs)
     df = candidates(base_spans(_texts(docs)))
-    margin = " ".join(
-        f"WHEN c.kind = {k} THEN " + " + ".join(
-            [*(f"c.{x} * {w[j]!r}D" for j, x in enumerate(LABELERS)), f"{w[-1]!r}D"])
-        for k, w in weights.items())
+    m = len(LABELERS)
+
+    def margin(w):
+        parts = [f"c.{x} * {w[j]!r}D" for j, x in enumerate(LABELERS)] + [f"{w[m]!r}D"]
+        parts += ["element_at(array(" + ", ".join(f"{x!r}D" for x in w[m + 1 + 4 * i:m + 5 + 4 * i]) + f"), c.{f} + 1)"
+                  for i, f in enumerate(FEATURES)]
+        return " + ".join(parts)
+    every = " ".join(f"WHEN c.kind = {k} THEN {margin(w)}" for k, w in weights.items())
     line = math.log(ACCEPT / (1 - ACCEPT))
-    added = f"transform(filter(_wide, c -> CASE {margin} END >= {line!r}D)," \
+    added = f"transform(filter(_wide, c -> CASE {every} END >= {line!r}D)," \
             " c -> struct(c.start AS start, c.kind AS kind, c.stop AS stop))"
     return df.withColumn("_spans", F.expr(
         f"array_sort(concat(CAST(_base AS {_SPAN}), CAST({added} AS {_SPAN})))")).drop("_wide", "_digit")
@@ -238,18 +309,29 @@ def find(docs: DataFrame) -> DataFrame:
         F.sha2(F.expr(_written("_base")), 256).alias("base_sha256"), F.expr(_written("_spans")).alias("spans"))
 
 
+def _between(a: str, b: str) -> str:
+    """SQL: code points a to b of the text whose pieces of ``_PIECE`` are t."""
+    x, y = f"CAST(({a}) div {_PIECE} AS int)", f"CAST(({b}) div {_PIECE} AS int)"
+    return f"""CASE WHEN {a} >= {b} THEN ''
+        WHEN {x} = {y} THEN substring(t[{x}], ({a}) % {_PIECE} + 1, {b} - ({a}))
+        ELSE concat(substring(t[{x}], ({a}) % {_PIECE} + 1), array_join(slice(t, {x} + 2, {y} - {x} - 1), ''),
+                    substring(coalesce(get(t, {y}), ''), 1, ({b}) % {_PIECE})) END"""
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets.
     Overlapping spans become one replacement, named by the first."""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    df = with_personal_spans(docs.withColumn("_null", F.col("text").isNull()))
-    text = f"""aggregate(_spans, struct(CAST('' AS string) AS out, 0 AS pos),
-        (a, s) -> IF(s.start >= a.pos,
-            struct(concat(a.out, substring(text, a.pos + 1, s.start - a.pos), {names}[s.kind]) AS out, s.stop AS pos),
-            struct(a.out AS out, greatest(a.pos, s.stop) AS pos)),
-        a -> concat(a.out, substring(text, a.pos + 1, length(text))))"""
-    return df.withColumn("_new", F.when(F.size("_spans") > 0, F.expr(text)).otherwise(F.col("text"))) \
-        .withColumn("text", F.when(~F.col("_null"), F.col("_new"))).drop("_new", "_null", "_base", "_spans")
+    df = with_personal_spans(docs.select(F.struct(*docs.columns).alias("_row"), "text", F.col("text").isNull().alias("_null")))
+    # a span that starts before the furthest stop so far belongs to the last replacement
+    scan = _scan("_spans", "0", lambda y: f"{y}.stop", lambda a, b: f"greatest({a}, {b})")
+    new = _let("t", f"regexp_extract_all(text, r'(?s).{{1,{_PIECE}}}', 0)", _let("s", scan, f"""concat(
+        array_join(transform(filter(s, x -> x.y.start >= x.c),
+            x -> concat({_between("x.c", "x.y.start")}, {names}[x.y.kind])), ''),
+        {_let("e", "array_max(transform(s, x -> greatest(x.c, x.y.stop)))", _between("e", "length(text)"))})"""))
+    text = F.when(~F.col("_null"), F.when(F.size("_spans") > 0, F.expr(new)).otherwise(F.col("text")))
+    return df.withColumn("_new", text).select(
+        *[F.col("_new").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 QUERIES = {"op6_personal_data": lambda spark, sf_dir: find(documents(spark, sf_dir))}
