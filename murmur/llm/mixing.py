@@ -17,10 +17,10 @@ sorted in one task; the choice itself is a comparison with the leaf's limit.
 Defined results: tokens are words ``[^\\x20\\x09-\\x0D]+``; null or wordless
 texts have none and are taken in the first epoch of a leaf with a budget; null
 lang or source is a branch '' of its own; unknown domains and languages weigh
-``OTHER``; rows equal in id and text have one place and are taken together; an empty table
-gives no rows; other columns are carried through and never used, and names
-that clash with the added ones keep the documents' values out of the way
-(added columns are domain, epoch, tokens).
+``OTHER``; rows equal in id and text have one place and are taken together; an
+empty table gives no rows; other columns are carried through, whatever their
+names, and never used; the added columns are domain, epoch and tokens, each
+with underscores before it where the documents have a column of that name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import documents, stored
+from murmur.llm.common import documents, fresh, stored
 
 SEED = 7
 DOMAINS = {"web": 0.5, "books": 0.3, "code": 0.2}
@@ -88,9 +88,11 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
     """The documents chosen, with domain, epoch and tokens; a document comes
     once for each epoch that takes it."""
     key = ["_domain", "_lang", "_source"]
-    own = [F.col(c) for c in docs.columns if c not in ("domain", "epoch", "tokens")]
+    # the documents' own columns ride in one struct, out of the way of all names
+    added = fresh(docs, "domain", "epoch", "tokens")
+    docs = docs.select(F.struct(*docs.columns).alias("_row"), *(c for c in ("doc_id", "lang", "source", "text")))
     df = docs.select(
-        *own, F.expr(domain_sql).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"),
+        "_row", F.expr(domain_sql).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"),
         F.coalesce("source", F.lit("")).alias("_source"),
         F.coalesce(F.expr(r"regexp_count(text, r'[^\x20\x09-\x0D]+')"), F.lit(0)).cast("bigint").alias("_tokens"),
         F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
@@ -127,7 +129,7 @@ def mix(docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOC
         F.expr("IF(_whole > 0, sequence(0, IF(_tokens > 0, _whole - 1, 0)), CAST(array() AS array<int>))"),
         F.when(part, F.array("_whole")).otherwise(F.expr("CAST(array() AS array<int>)")))
     return df.join(near(plan), key).withColumn("_md5", order).withColumn("_epoch", F.explode(epochs)).select(
-        *own, F.col("_domain").alias("domain"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"))
+        "_row.*", *[F.col(c).alias(a) for c, a in zip(("_domain", "_epoch", "_tokens"), added)])
 
 
 def chosen(docs: DataFrame) -> DataFrame:
