@@ -4,7 +4,8 @@ byte-level BPE. Every stage works on all its predecessor kept; the columns of
 
 Defined results: rows without doc_id are never near-duplicates of others and
 stay; of rows that share a doc_id one stays (the least text); an empty table
-passes through every stage."""
+passes through every stage; further columns, whatever their names, come
+through all stages but the last unchanged."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import bpe, langid, mixing, near_dedup, pii
-from murmur.llm.common import documents, stored
+from murmur.llm.common import documents, fresh, stored
 from murmur.session import checkpoint_dir
 
 LEAST_SCORE = 0.4       # of the predicted language; below it a text is rejected
@@ -27,8 +28,9 @@ SMALL = 8 << 20         # bytes up to which a measured id list is broadcast
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a likely language go."""
     net = langid.fit(docs)
-    found = langid.with_language(docs, net, names=("_lang", "_score"))
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    lang, score = fresh(docs, "_lang", "_score")
+    found = langid.with_language(docs, net, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return left
     # rows that share an id: the least text stays
     many = left.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    key = F.struct(F.coalesce("text", F.lit("")).alias("k"), *[F.col(c) for c in docs.columns])
-    one = many.groupBy("doc_id").agg(F.min(key).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in docs.columns])
+    key = F.struct(F.coalesce("text", F.lit("")).alias("least"), F.struct(*docs.columns).alias("row"))
+    one = many.groupBy("doc_id").agg(F.min(key).alias("first")).select("first.row.*")
     return left.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
