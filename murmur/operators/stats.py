@@ -1,11 +1,10 @@
 """Agreement statistics and regression (STA-1..20).
 
-Everything that touches rows is a Spark aggregate: correlations, confusion
-counts, and for OLS the cross-product sums X'X, X'y, y'y and (second pass)
-the HC1 "meat" sum e^2 x x'. Only the per-group p x p algebra (pseudo-
-inverse, sandwich, p-values) runs in Python, inside ``mapInPandas`` over a
-frame holding one row per group - its size is the number of groups, never
-the number of rows.
+Correlations and confusion counts are Spark aggregates. Least squares is a
+tree-reduced QR: tasks factor blocks of their rows, Spark groups and reduces
+the small factors, and only the per-group p x p algebra (coefficients,
+sandwich, p-values) runs over a frame holding one row per group - its size is
+the number of groups, never the number of rows.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import types as T
 
 from murmur.operators import rank as rk
 from murmur.operators.common import safe_corr, with_scalars
+from murmur.session import cut_lineage
 
 LABELS = ["negative", "neutral", "positive"]
 Z975 = 1.959963984540054
@@ -156,135 +156,201 @@ def agreement(df: DataFrame, *, a_score: str, b_score: str, a_label: str, b_labe
 
 
 # --- STA-12..19: OLS with HC1 ------------------------------------------------------
-def _pairs(p: int):
-    return [(i, j) for i in range(p) for j in range(i, p)]
+TINY = 1e-12    # of the largest singular value: below it a direction is missing
+
+
+def _stacked(rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of rows stacked on each other (square, upper)."""
+    k = rows.shape[1]
+    r = np.linalg.qr(rows, mode="r")
+    return np.vstack([r, np.zeros((k - len(r), k))]) if len(r) < k else r
+
+
+def _tsqr(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys..., _r): per group the triangular factor of the columns, by a
+    tree: every task factors its blocks of rows, the factors (k x k numbers
+    each) are stacked and factored over dealt parts, then per group. Cross
+    products are never formed, so nothing is squared and lost."""
+    k = len(cols)
+    fields = [T.StructField(c, df.schema[c].dataType) for c in keys]
+    schema = T.StructType(fields + [T.StructField("_part", T.IntegerType()), T.StructField("_r", T.ArrayType(T.DoubleType()))])
+
+    def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        part, held, names = TaskContext.get().partitionId(), {}, {}
+
+        def rows():
+            return pd.DataFrame([(*names[n], part, r.ravel()) for n, r in held.items()], columns=[f.name for f in schema])
+        for pdf in it:
+            for _, block in pdf.groupby(list(keys), dropna=False, sort=False):
+                name = tuple(None if pd.isna(v) else v for v in block[list(keys)].iloc[0])
+                x = block[list(cols)].to_numpy(dtype=float)
+                names[repr(name)] = name
+                held[repr(name)] = _stacked(x if repr(name) not in held else np.vstack([held[repr(name)], x]))
+            if len(held) > 10_000:
+                yield rows()
+                held, names = {}, {}
+        yield rows()
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.head(1).copy()
+        out["_r"] = [_stacked(np.vstack([np.asarray(r, float).reshape(k, k) for r in pdf["_r"]])).ravel()]
+        return out[[f.name for f in schema]]
+
+    r = df.select(*keys, *cols).mapInPandas(blocks, schema)
+    fan = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))
+    r = r.groupBy(*keys, F.pmod("_part", F.lit(fan)).alias("_deal")).applyInPandas(merged, schema)
+    return r.groupBy(*keys).applyInPandas(merged, schema).drop("_part")
+
+
+def _design(r: dict, q: int, add_constant: bool):
+    """What one group's moments say: which regressors are constant, whether
+    the fit has an intercept, and whether it is the added one."""
+    flat = np.array([r[f"lo{i}"] == r[f"hi{i}"] for i in range(q)])
+    level = np.array([r[f"lo{i}"] for i in range(q)])
+    own = add_constant and not (flat & (level != 0)).any()
+    return flat, own, own or bool((flat & (level != 0)).any())
+
+
+def _solve(r: dict, q: int, add_constant: bool):
+    """Coefficients of one group: (of the scaled columns, of the original
+    terms with the constant first, map from scaled to original, rank, own).
+
+    In the scaled columns [1, z] the factor is diag(sqrt n, R). Where every
+    direction is there, original coefficients follow by rescaling; else the
+    shortest solution in the original terms is taken, as a pseudo-inverse does."""
+    flat, own, level = _design(r, q, add_constant)
+    mean = np.array([r[f"mean{i}"] for i in range(q)])
+    scale = np.where(flat, 0.0, [r[f"scale{i}"] for i in range(q)])
+    live = np.flatnonzero(~flat)
+    full = np.asarray(r["_r"], float).reshape(q + 1, q + 1)
+    rz, rhs = full[:, live], full[:, q]
+    u, s, vt = np.linalg.svd(rz, full_matrices=False)
+    rank = int((s > TINY * s.max()).sum()) if len(s) else 0
+    inv = (vt[:rank].T / s[:rank]) if rank else np.zeros((len(live), 0))
+    theta = np.zeros(1 + q)                      # intercept at the mean, scaled slopes
+    theta[0] = r["ymean"] if level else 0.0
+    theta[1 + live] = inv @ (u[:, :rank].T @ rhs)
+    constants = [i for i in range(q) if flat[i] and r[f"lo{i}"] != 0]
+    back = np.zeros((1 + q, 1 + q))              # original = back @ scaled
+    for i in live:
+        back[1 + i, 1 + i] = 1 / scale[i]
+    if level:
+        back[0, 0], back[0, 1 + live] = 1.0, -mean[live] / scale[live]
+        if not own and constants:                # a constant regressor carries the intercept
+            back[1 + constants[0]] = back[0] / mean[constants[0]]
+            back[0] = 0.0
+    root = np.zeros((1 + q, 1 + q))              # (X'X)^-1 = root root' in the scaled columns
+    if level:
+        root[0, 0] = 1 / math.sqrt(r["n"])
+    root[np.ix_(1 + live, 1 + np.arange(rank))] = inv
+    if rank < len(live) or len(constants) > 1:
+        # original columns = [1, z] @ make; the shortest solution in them
+        make = np.zeros((1 + q, 1 + q))
+        make[0, 0] = 1.0 if own else 0.0
+        make[0, 1:], make[1 + live, 1 + live] = mean, scale[live]
+        whole = np.zeros((1 + len(full), 1 + q))
+        whole[0, 0] = math.sqrt(r["n"])
+        whole[1:, 1 + live] = rz
+        short = np.linalg.pinv(whole @ make, rcond=TINY)
+        back = short @ whole
+        theta_full = np.concatenate([[math.sqrt(r["n"]) * r["ymean"]], rhs]) if level else np.concatenate([[0.0], rhs])
+        return theta, short @ theta_full, back, rank + int(level), own, root
+    return theta, back @ theta, back, rank + int(level), own, root
 
 
 def ols_hc1(df: DataFrame, y: str, xs: Sequence[str], group_cols: Sequence[str] = (), *,
             add_constant: bool = True, min_rows: int = 1) -> DataFrame:
-    """Grouped OLS with HC1 robust errors, from sums.
+    """Grouped OLS with HC1 robust errors, by tree-reduced QR.
 
     Output per group: n, rank, has_const, r_squared, adj_r_squared and for
     each term (``const`` + xs) ``b_<term>``, ``se_<term>``, ``p_<term>``.
     Rows with a NULL in y or any x are dropped (FLT-11). As in
     statsmodels' ``add_constant(has_constant='skip')``, no intercept is
     added for a group where some regressor is a non-zero constant; its
-    ``b_const`` is then 0. Singular designs are solved with the
-    pseudo-inverse. p-values are normal (statsmodels' robust default)."""
-    g = list(group_cols)
+    ``b_const`` is then 0. Singular designs get the shortest solution.
+    p-values are normal (statsmodels' robust default).
+
+    Three passes over the thin rows: means and spreads per group; the factor
+    of the centred and scaled columns; the factor of the same columns weighted
+    by the residuals, which holds the HC1 "meat" and the residual sum."""
+    g, q = list(group_cols), len(xs)
+    keys = g + ["_k"]
     terms = (["const"] if add_constant else []) + list(xs)
-    p = len(terms)
-    cols = [F.lit(1.0).alias("x0")] if add_constant else []
-    cols += [F.col(x).cast("double").alias(f"x{i + (1 if add_constant else 0)}") for i, x in enumerate(xs)]
-    base = df.select(*g, F.col(y).cast("double").alias("_y"), *cols).dropna()
-    X = [F.col(f"x{i}") for i in range(p)]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy")]
-    aggs += [F.sum(X[i] * X[j]).alias(f"xx{i}_{j}") for i, j in _pairs(p)]
-    aggs += [F.sum(X[i] * F.col("_y")).alias(f"xy{i}") for i in range(p)]
-    s1 = base.groupBy(*g).agg(*aggs).where(F.col("n") >= min_rows)
-
-    beta_schema = T.StructType([T.StructField(c, f.dataType) for c, f in ((c, s1.schema[c]) for c in g)] +
-                               [T.StructField(f"b{i}", T.DoubleType()) for i in range(p)] +
-                               [T.StructField("rank", T.IntegerType()), T.StructField("has_const", T.BooleanType()),
-                                T.StructField("use_const", T.BooleanType())])
-
-    def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    base = cut_lineage(df.select(*g, F.col(y).cast("double").alias("_y"), *[
+        F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)]).dropna(
+        subset=["_y", *[f"x{i}" for i in range(q)]]).withColumn("_k", F.lit(0)))
+    stats = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_ybar")]
+    for i in range(q):
+        stats += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"), F.avg(f"x{i}").alias(f"_avg{i}"),
+                  F.stddev_pop(f"x{i}").alias(f"_sd{i}"), F.sqrt(F.avg(F.col(f"x{i}") * F.col(f"x{i}"))).alias(f"_rms{i}")]
+    m = base.groupBy(*keys).agg(*stats).where(F.col("n") >= min_rows)
+    level = F.lit(add_constant)
+    for i in range(q):
+        level = level | ((F.col(f"lo{i}") == F.col(f"hi{i}")) & (F.col(f"lo{i}") != 0))
+    m = m.withColumn("_level", level).select(
+        *keys, "n", F.when(F.col("_level"), F.col("_ybar")).otherwise(0.0).alias("ymean"),
+        *[c for i in range(q) for c in (
+            F.col(f"lo{i}"), F.col(f"hi{i}"), F.when(F.col("_level"), F.col(f"_avg{i}")).otherwise(0.0).alias(f"mean{i}"),
+            F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), 1.0).when(F.col("_level"), F.col(f"_sd{i}"))
+            .otherwise(F.col(f"_rms{i}")).alias(f"scale{i}"))])
+    m = cut_lineage(m)
+    centred = rk._join(base, m, keys).select(
+        *keys, *[F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), 0.0)
+                 .otherwise((F.col(f"x{i}") - F.col(f"mean{i}")) / F.col(f"scale{i}")).alias(f"z{i}") for i in range(q)],
+        (F.col("_y") - F.col("ymean")).alias("_yc"), F.when(level, 1.0).otherwise(0.0).alias("_one"))
+    zs = [f"z{i}" for i in range(q)]
+    fit = cut_lineage(rk._join(m, _tsqr(centred, keys, [*zs, "_yc"]), keys))
+
+    out_names = [f"t{i}" for i in range(q)]
+    slope_schema = T.StructType([T.StructField(c, fit.schema[c].dataType) for c in keys]
+                                + [T.StructField(c, T.DoubleType()) for c in out_names])
+
+    def slopes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
-            for _, r in pdf.iterrows():
-                xtx, xty, use = _xtx(r, p), np.array([r[f"xy{i}"] for i in range(p)]), _use_const(r, p, add_constant)
-                idx = [i for i in range(p) if use[i]]
-                sub = xtx[np.ix_(idx, idx)]
-                b = np.zeros(p)
-                b[idx] = np.linalg.pinv(sub) @ xty[idx]
-                rows.append({**{c: r[c] for c in g}, **{f"b{i}": float(b[i]) for i in range(p)},
-                             "rank": int(np.linalg.matrix_rank(sub)) if len(idx) else 0,
-                             "has_const": bool(add_constant and use[0]), "use_const": bool(add_constant and use[0])})
-            yield pd.DataFrame(rows, columns=[f.name for f in beta_schema.fields])
-
-    betas = s1.mapInPandas(solve, beta_schema)
-    # pass 2: residual-weighted cross products (the HC1 meat) and SSR
-    # one row per group: joined on the group key (or attached as one row)
-    attach = (lambda left, right: left.join(right, g)) if g else with_scalars
-    j = attach(base, betas)
-    e = F.col("_y") - sum((F.col(f"b{i}") * X[i] for i in range(p)), F.lit(0.0))
-    j = j.withColumn("_e2", e * e)
-    m = j.groupBy(*g).agg(F.sum("_e2").alias("ssr"),
-                          *[F.sum(F.col("_e2") * X[a] * X[b]).alias(f"m{a}_{b}") for a, b in _pairs(p)])
-    allc = attach(attach(s1, betas), m)
-
-    out_fields = [T.StructField(c, s1.schema[c].dataType) for c in g] + [
+            rows = [(*[r[c] for c in keys], *_solve(r, q, add_constant)[0][1:]) for r in pdf.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[*keys, *out_names])
+
+    e = F.col("_yc") - sum((F.col(f"t{i}") * F.col(f"z{i}") for i in range(q)), F.lit(0.0))
+    weighted = rk._join(centred, fit.mapInPandas(slopes, slope_schema), keys).withColumn("_e", e).select(
+        *keys, "_e", (F.col("_e") * F.col("_one")).alias("w"), *[(F.col("_e") * F.col(z)).alias(f"w{i}") for i, z in enumerate(zs)])
+    meat = _tsqr(weighted, keys, ["_e", "w", *[f"w{i}" for i in range(q)]]).withColumnRenamed("_r", "_meat")
+    both = rk._join(fit, meat, keys)
+
+    out_fields = [T.StructField(c, fit.schema[c].dataType) for c in g] + [
         T.StructField("n", T.LongType()), T.StructField("rank", T.IntegerType()),
         T.StructField("has_const", T.BooleanType()), T.StructField("r_squared", T.DoubleType()),
         T.StructField("adj_r_squared", T.DoubleType())]
     for t in terms:
-        out_fields += [T.StructField(f"b_{t}", T.DoubleType()), T.StructField(f"se_{t}", T.DoubleType()),
-                       T.StructField(f"p_{t}", T.DoubleType())]
+        out_fields += [T.StructField(f"{c}_{t}", T.DoubleType()) for c in ("b", "se", "p")]
     out_schema = T.StructType(out_fields)
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for _, r in pdf.iterrows():
+            for r in pdf.to_dict("records"):
                 n = int(r["n"])
-                use = _use_const(r, p, add_constant)
-                idx = [i for i in range(p) if use[i]]
-                xtx = _xtx(r, p)[np.ix_(idx, idx)]
-                meat = _sym(r, p, "m")[np.ix_(idx, idx)]
-                inv = np.linalg.pinv(xtx)
-                k = int(r["rank"])
-                scale = n / (n - k) if n > k else np.nan
-                cov = scale * inv @ meat @ inv
-                se_sub = np.sqrt(np.maximum(np.diag(cov), 0.0))
-                b = np.array([r[f"b{i}"] for i in range(p)])
-                se = np.full(p, np.nan)
-                se[idx] = se_sub
+                _, b, back, rank, own, root = _solve(r, q, add_constant)
+                factor = np.asarray(r["_meat"], float).reshape(q + 2, q + 2)
+                ssr = factor[0, 0] ** 2
+                half = back @ root @ root.T @ factor[:, 1:].T
+                scale = n / (n - rank) if n > rank else np.nan
+                se = np.sqrt(scale * (half * half).sum(axis=1))
                 with np.errstate(all="ignore"):
-                    z = b / se
-                pv = normal_two_sided_p(z)
-                ybar = r["sy"] / n
-                centred = bool(r["has_const"])
-                sst = r["syy"] - n * ybar * ybar if centred else r["syy"]
-                r2 = 1.0 - r["ssr"] / sst if sst > 0 else np.nan
-                dfr = n - k
-                adj = 1.0 - (n - (1 if centred else 0)) / dfr * (1 - r2) if dfr > 0 else np.nan
-                row = {**{c: r[c] for c in g}, "n": n, "rank": k, "has_const": centred,
-                       "r_squared": float(r2), "adj_r_squared": float(adj)}
+                    p = normal_two_sided_p(b / se)
+                sst = (np.asarray(r["_r"], float).reshape(q + 1, q + 1)[:, q] ** 2).sum()
+                if not own and _design(r, q, add_constant)[2]:
+                    sst += n * r["ymean"] ** 2
+                r2 = 1.0 - ssr / sst if sst > 0 else np.nan
+                adj = 1.0 - (n - int(own)) / (n - rank) * (1 - r2) if n > rank else np.nan
+                row = [*[r[c] for c in g], n, rank, own, float(r2), float(adj)]
                 for i, t in enumerate(terms):
-                    row[f"b_{t}"] = float(b[i]) if use[i] else 0.0
-                    row[f"se_{t}"] = float(se[i]) if use[i] else np.nan
-                    row[f"p_{t}"] = float(pv[i]) if use[i] else np.nan
+                    j = i if add_constant else i + 1
+                    row += [0.0, np.nan, np.nan] if t == "const" and not own else [float(b[j]), float(se[j]), float(p[j])]
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
 
-    return allc.mapInPandas(finish, out_schema)
-
-
-def _sym(r, p, prefix):
-    m = np.zeros((p, p))
-    for i, j in _pairs(p):
-        v = r[f"{prefix}{i}_{j}" if prefix == "m" else f"xx{i}_{j}"]
-        m[i, j] = m[j, i] = v
-    return m
-
-
-def _xtx(r, p):
-    return _sym(r, p, "xx")
-
-
-def _use_const(r, p, add_constant):
-    """Which terms enter the fit: the intercept is skipped when a regressor
-    is a non-zero constant in this group (statsmodels' has_constant='skip')."""
-    use = [True] * p
-    if not add_constant:
-        return use
-    n = r["n"]
-    for i in range(1, p):
-        mean = r[f"xx0_{i}"] / n
-        var = r[f"xx{i}_{i}"] / n - mean * mean
-        if abs(var) <= 1e-12 * max(1.0, mean * mean) and abs(mean) > 0:
-            use[0] = False
-    return use
+    return both.mapInPandas(finish, out_schema)
 
 
 def itsa(windows: DataFrame, *, y: str = "mean_sentiment", t: str = "time_elapsed_hours",
@@ -307,8 +373,19 @@ def itsa(windows: DataFrame, *, y: str = "mean_sentiment", t: str = "time_elapse
 
 
 def bivariate_fit(df: DataFrame, y: str, x: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """STA-18: classical slope/intercept/R^2 (built-in regression aggregates)."""
-    return df.groupBy(*group_cols).agg(
+    """STA-18: slope, intercept and R^2 with classical errors (built-in
+    regression aggregates) and HC1 errors (``ols_hc1``)."""
+    g = list(group_cols)
+    s = df.groupBy(*g).agg(
         F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"),
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r_squared"))
+        F.regr_r2(y, x).alias("r_squared"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"),
+        F.regr_sxy(y, x).alias("_sxy"), F.regr_avgx(y, x).alias("_mean"))
+    left = (F.col("_syy") - F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx")))
+    variance = F.try_divide(F.greatest(left, F.lit(0.0)), F.nullif(F.greatest(F.col("n") - 2, F.lit(0)), F.lit(0)))
+    s = s.withColumn("se_slope", F.sqrt(F.try_divide(variance, F.col("_sxx")))).withColumn(
+        "se_intercept", F.sqrt(variance * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(
+            F.col("_mean") * F.col("_mean"), F.col("_sxx"))))).drop("_sxx", "_syy", "_sxy", "_mean")
+    robust = ols_hc1(df, y, [x], g).select(*g, F.col(f"se_{x}").alias("se_slope_hc1"),
+                                           F.col("se_const").alias("se_intercept_hc1"))
+    return rk._join(s, robust, g) if g else with_scalars(s, robust, how="left")

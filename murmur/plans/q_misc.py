@@ -143,7 +143,18 @@ def sta_11_heuristic_vs_model(spark, sf):
     return rounded(a.select("record_count", "pearson_r", "pearson_p_value", "spearman_rho", "spearman_p_value"))
 
 
-@query("sta_19_fitted_and_residuals")
+def _residuals_sql():
+    from murmur.plans.q_models import REGRESSORS, ols_sql
+    m = exact(_matrix_sql("primary"))
+    fitted = " + ".join(["b_const", *(f"b_{x} * {x}" for x in REGRESSORS)])
+    return f"""
+WITH m AS ({m}), f AS ({ols_sql('SELECT * FROM m', 'democratic_margin_pct', REGRESSORS, [])}),
+r AS (SELECT state_code, democratic_margin_pct AS observed, {fitted} AS fitted FROM m, f)
+SELECT state_code, round(observed, 6) AS observed, round(fitted, 6) AS fitted, round(observed - fitted, 6) AS residual,
+  round((rank() OVER (ORDER BY observed - fitted) - 0.5) / count(*) OVER (), 6) AS qq_position FROM r"""
+
+
+@query("sta_19_fitted_and_residuals", oracle=_residuals_sql())
 def sta_19_fitted_and_residuals(spark, sf):
     """STA-19: fitted values and residuals of the national region OLS (the
     coefficients are one row, attached by broadcast), with QQ positions

@@ -215,7 +215,24 @@ def sta_09_agreement_by_lang(spark, sf):
                                 b_label="b_label", group_cols=["lang"]))
 
 
-@query("sta_01_correlation_p_values")
+def _t_tail_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation, Student's t with n - 2 degrees of freedom:
+    with t = sqrt(df) tan(a) the density is proportional to cos(a)^(df - 1)."""
+    a = f"atan(abs({r}) / sqrt(1 - {r} * {r}))"
+    return f"""CASE WHEN abs({r}) >= 1 THEN 0.0 ELSE greatest(0.0, 1 - 2 * exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0)) / sqrt(pi())
+  * {a} / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * power(cos({a} * i / 2000), {n} - 3)))) END"""
+
+
+def _p_values_sql():
+    inner = _agreement_sql("lang").replace("round(pearson_r, 6) AS pearson_r", "pearson_r").replace(
+        "round(spearman_rho, 6) AS spearman_rho", "spearman_rho")
+    return f"""
+SELECT lang, record_count, round(pearson_r, 6) AS pearson_r, round({_t_tail_sql('pearson_r', 'record_count')}, 6) AS pearson_p_value,
+  round(spearman_rho, 6) AS spearman_rho, round({_t_tail_sql('spearman_rho', 'record_count')}, 6) AS spearman_p_value FROM ({inner})"""
+
+
+@query("sta_01_correlation_p_values", oracle=_p_values_sql())
 def sta_01_correlation_p_values(spark, sf):
     """STA-1/2 p-values (t test via the regularised incomplete beta)."""
     a = st.agreement(_raters(spark, sf), a_score="a_score", b_score="b_score", a_label="a_label",
@@ -224,62 +241,160 @@ def sta_01_correlation_p_values(spark, sf):
                             "spearman_p_value"))
 
 
+def ols_sql(source: str, y: str, xs: list[str], group: list[str], min_rows: int = 1) -> str:
+    """OLS with HC1 errors by successive residuals: for each term, what is
+    left of it and of y after all other terms gives its coefficient and error.
+    Full-rank groups only. Columns as ``stats.ols_hc1`` names them."""
+    terms = ["const", *xs]
+    g = ", ".join(group) + (", " if group else "")
+    w = f"(PARTITION BY {', '.join(group)})" if group else "()"
+    k, parts = len(terms), []
+    for j, target in enumerate(terms):
+        order = [t for t in terms if t != target]
+        for step, t in enumerate(order):
+            rest = [*order[step + 1:], target, "y_"]
+            cols = ", ".join(f"{c} - {t} * (sum({c} * {t}) OVER {w}) / nullif(sum({t} * {t}) OVER {w}, 0) AS {c}" for c in rest)
+            parts.append(f"o{j}_{step} AS (SELECT {g}row_id, {cols} FROM {'o_rows' if step == 0 else f'o{j}_{step - 1}'})")
+        parts.append(f"""b{j} AS (SELECT *, sum({target} * y_) OVER {w} / nullif(sum({target} * {target}) OVER {w}, 0) AS b
+  FROM o{j}_{k - 2})""")
+        parts.append(f"""s{j} AS (SELECT {g}count(*) AS n, any_value(b) AS b, sum((y_ - b * {target}) * (y_ - b * {target})) AS ssr,
+    sqrt(count(*) * 1.0 / nullif(count(*) - {k}, 0) * sum({target} * {target} * (y_ - b * {target}) * (y_ - b * {target}))
+         / (sum({target} * {target}) * sum({target} * {target}))) AS se FROM b{j} {'GROUP BY ' + ', '.join(group) if group else ''})""")
+    on = lambda j: " AND ".join(f"s{j}.{c} = s0.{c}" for c in group) or "true"
+    joins = " ".join(f"JOIN s{j} ON {on(j)}" for j in range(1, k))
+    outs = ", ".join(f"s{j}.b AS b_{t}, s{j}.se AS se_{t}, {P_SQL.format(z=f'abs(s{j}.b / s{j}.se)')} AS p_{t}"
+                     for j, t in enumerate(terms))
+    same = " AND ".join(f"t_.{c} = s0.{c}" for c in group) or "true"
+    return f"""
+WITH o_all AS (SELECT {g}CAST({y} AS DOUBLE) AS y_, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in xs)} FROM ({source})),
+o_rows AS (SELECT *, CAST(1 AS DOUBLE) AS const, row_number() OVER () AS row_id FROM o_all
+  WHERE y_ IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)} QUALIFY count(*) OVER {w} >= {min_rows}),
+{", ".join(parts)},
+t_ AS (SELECT {g}var_pop(y_) * count(*) AS sst FROM o_rows {'GROUP BY ' + ', '.join(group) if group else ''})
+SELECT {', '.join(f's0.{c}' for c in group) + (', ' if group else '')}s0.n, {k} AS rank, true AS has_const,
+  1 - s0.ssr / sst AS r_squared, 1 - (s0.n - 1) * 1.0 / nullif(s0.n - {k}, 0) * (s0.ssr / sst) AS adj_r_squared, {outs}
+FROM s0 {joins} JOIN t_ ON {same}"""
+
+
+# two-sided normal tail of z, the integral by Simpson's rule
+P_SQL = """greatest(0.0, 1 - sqrt(2 / pi()) * least({z}, 8.0) / 6000 * list_sum(list_transform(range(0, 2001),
+  lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+            * exp(-0.5 * (least({z}, 8.0) * i / 2000) * (least({z}, 8.0) * i / 2000)))))"""
+
+
+def _rounded_sql(sql: str, columns: list[str], more: str = "") -> str:
+    return f"SELECT {', '.join(f'round({c}, 6) AS {c}' for c in columns)}{more} FROM ({sql})"
+
+
 def _windows(spark, sf):
     m = tm.time_matrix(b.events(spark, sf), "ts", "value", id_col="event_id")
     return tm.event_windows(m, b.registry(spark, sf), hours=48, events_bounded=True)
 
 
-@query("sta_13_itsa_per_event")
+_WINDOWS_SQL = """
+SELECT m.*, r.event_name, (epoch_us(m.hour) - epoch_us(r.ts)) / 3600000000.0 AS time_elapsed_hours,
+       CAST(m.hour >= r.ts AS INTEGER) AS post_event_dummy,
+       (epoch_us(m.hour) - epoch_us(r.ts)) / 3600000000.0 * CAST(m.hour >= r.ts AS INTEGER) AS _td
+FROM (SELECT date_trunc('hour', ts) AS hour, avg(value) AS mean_sentiment FROM events WHERE ts IS NOT NULL GROUP BY 1) m
+JOIN (SELECT 'error_' || event_id AS event_name, ts FROM events WHERE event_type = 'error' ORDER BY value DESC, event_id LIMIT 4) r
+  ON m.hour BETWEEN r.ts - INTERVAL 48 HOUR AND r.ts + INTERVAL 48 HOUR"""
+
+
+@query("sta_13_itsa_per_event", oracle=f"""
+WITH w AS ({_WINDOWS_SQL}),
+c AS (SELECT event_name, count(CASE WHEN time_elapsed_hours < 0 THEN 1 END) AS pre_period_n,
+        count(CASE WHEN time_elapsed_hours >= 0 THEN 1 END) AS post_period_n FROM w GROUP BY 1),
+f AS ({ols_sql('SELECT * FROM w', 'mean_sentiment', ['time_elapsed_hours', 'post_event_dummy', '_td'], ['event_name'], 10)})
+SELECT f.event_name, n, pre_period_n, post_period_n, round(b_const, 6) AS beta_0_baseline,
+       round(b_time_elapsed_hours, 6) AS beta_1_pre_slope, round(b_post_event_dummy, 6) AS beta_2_immediate_shock,
+       round(b__td, 6) AS beta_3_post_slope_change, round(p_post_event_dummy, 6) AS p_value_immediate_shock,
+       round(p__td, 6) AS p_value_post_slope_change, round(r_squared, 6) AS r_squared,
+       round(least(1.0, 4 * p_post_event_dummy), 6) AS bonferroni_adj_p_value,
+       least(1.0, 4 * p_post_event_dummy) < 0.05 AS significant
+FROM f JOIN c ON c.event_name = f.event_name""")
 def sta_13_itsa_per_event(spark, sf):
     """STA-12/13: segmented regression with HC1 per event window."""
     return rounded(st.itsa(_windows(spark, sf)))
 
 
-def _matrix(spark, sf, mode="primary"):
-    return sp.region_matrix(b.posts(spark, sf), b.returns(spark, sf), region_col="state_code",
-                            candidate_col="candidate_resolved", scores="value", regions=b.regions(spark, sf),
+def _matrix(spark, sf, mode="primary", score="value"):
+    posts = b.posts(spark, sf)
+    if score == "props_value":  # the numeric member of the JSON payload
+        posts = posts.withColumn("props_value", F.get_json_object("props", "$.k").cast("double"))
+    return sp.region_matrix(posts, b.returns(spark, sf), region_col="state_code",
+                            candidate_col="candidate_resolved", scores=score, regions=b.regions(spark, sf),
                             a_pattern="candidate_a", b_pattern="candidate_b", mode=mode, id_col="event_id")
 
 
-def _stratified_ols(m, min_rows=5):
+REGRESSORS = ["state_sentiment_margin_Xi", *b.CONTROLS]
+SUBGROUPS_SQL = """SELECT 'national' AS subgroup, * FROM ({m})
+UNION ALL SELECT 'battleground', * FROM ({m}) WHERE historical_classification = 'battleground'
+UNION ALL SELECT 'safe', * FROM ({m}) WHERE historical_classification IN ('safe_red', 'safe_blue')"""
+
+
+def _stratified_ols(m, keys=(), min_rows=5):
     sub = F.explode(F.array_compact(F.array(
         F.lit("national"),
         F.when(F.col("historical_classification") == "battleground", F.lit("battleground")),
         F.when(F.col("historical_classification").isin("safe_red", "safe_blue"), F.lit("safe")))))
-    g = m.withColumn("subgroup", sub)
-    fit = st.ols_hc1(g, "democratic_margin_pct", ["state_sentiment_margin_Xi", *b.CONTROLS],
-                     ["subgroup"], min_rows=min_rows)
-    return fit
+    return st.ols_hc1(m.withColumn("subgroup", sub), "democratic_margin_pct", REGRESSORS, [*keys, "subgroup"],
+                      min_rows=min_rows)
 
 
-@query("sta_16_region_ols_stratified")
+_FIT_COLUMNS = ["r_squared", "adj_r_squared"] + [f"{c}_{t}" for t in ["const", *REGRESSORS] for c in ("b", "se", "p")]
+
+
+@query("sta_16_region_ols_stratified", oracle=_rounded_sql(
+    ols_sql(SUBGROUPS_SQL.format(m=_MATRIX_SQL), "democratic_margin_pct", REGRESSORS, ["subgroup"], 5),
+    _FIT_COLUMNS, ", subgroup, n, rank, has_const"))
 def sta_16_region_ols_stratified(spark, sf):
     """STA-14/15/16: margin ~ Xi + controls with HC1, national /
     battleground / safe; subgroups under 5 rows give no result."""
     return rounded(_stratified_ols(_matrix(spark, sf)))
 
 
-@query("sta_17_scenario_grid")
+def _grid_sql():
+    parts = []
+    for score in ("value", "props_value"):
+        for mode in ("primary", "split"):
+            m = exact(_matrix_sql(mode, score))
+            for name, cond in (("all", "true"), ("min100", "a_tweet_count + b_tweet_count >= 100")):
+                parts.append(f"SELECT '{score}' AS score, '{mode}_{name}' AS scenario, * FROM ({m}) WHERE {cond}")
+    grid = " UNION ALL ".join(parts)
+    return _rounded_sql(ols_sql(SUBGROUPS_SQL.format(m=grid), "democratic_margin_pct", REGRESSORS,
+                                ["score", "scenario", "subgroup"], 5),
+                        _FIT_COLUMNS, ", score, scenario, subgroup, n, rank, has_const")
+
+
+@query("sta_17_scenario_grid", oracle=_grid_sql())
 def sta_17_scenario_grid(spark, sf):
-    """STA-17: (primary / split) x (all regions / regions with >= 100 rows)."""
+    """STA-17: two scores x (primary / split) x (all regions / regions with
+    >= 100 rows), every fit of the grid in one grouped regression."""
     out = None
-    for mode in ("primary", "split"):
-        m = _matrix(spark, sf, mode)
-        for name, cond in (("all", F.lit(True)),
-                           ("min100", (F.col("a_tweet_count") + F.col("b_tweet_count")) >= 100)):
-            f = _stratified_ols(m.where(cond)).withColumn("scenario", F.lit(f"{mode}_{name}"))
-            out = f if out is None else out.unionByName(f)
-    return rounded(out)
+    for score in ("value", "props_value"):
+        for mode in ("primary", "split"):
+            m = _matrix(spark, sf, mode, score).withColumn("score", F.lit(score))
+            for name, cond in (("all", F.lit(True)), ("min100", (F.col("a_tweet_count") + F.col("b_tweet_count")) >= 100)):
+                part = m.where(cond).withColumn("scenario", F.lit(f"{mode}_{name}"))
+                out = part if out is None else out.unionByName(part)
+    return rounded(_stratified_ols(out, ["score", "scenario"]))
 
 
 @query("sta_18_bivariate_fit", oracle=f"""
-WITH m AS ({_MATRIX_SQL})
-SELECT count(CASE WHEN state_sentiment_margin_Xi IS NOT NULL AND democratic_margin_pct IS NOT NULL THEN 1 END) AS n,
-       round(regr_slope(democratic_margin_pct, state_sentiment_margin_Xi), 6) AS slope,
-       round(regr_intercept(democratic_margin_pct, state_sentiment_margin_Xi), 6) AS intercept,
-       round(regr_r2(democratic_margin_pct, state_sentiment_margin_Xi), 6) AS r_squared FROM m""")
+WITH m AS ({_MATRIX_SQL}),
+s AS (SELECT count(CASE WHEN state_sentiment_margin_Xi IS NOT NULL AND democratic_margin_pct IS NOT NULL THEN 1 END) AS n,
+       regr_slope(democratic_margin_pct, state_sentiment_margin_Xi) AS slope,
+       regr_intercept(democratic_margin_pct, state_sentiment_margin_Xi) AS intercept,
+       regr_r2(democratic_margin_pct, state_sentiment_margin_Xi) AS r_squared,
+       regr_sxx(democratic_margin_pct, state_sentiment_margin_Xi) AS sxx, regr_avgx(democratic_margin_pct, state_sentiment_margin_Xi) AS ax
+     FROM m),
+e AS (SELECT sum((democratic_margin_pct - intercept - slope * state_sentiment_margin_Xi) ** 2) AS ssr FROM m, s),
+h AS ({ols_sql('SELECT * FROM m', 'democratic_margin_pct', ['state_sentiment_margin_Xi'], [])})
+SELECT s.n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(s.r_squared, 6) AS r_squared,
+       round(sqrt(ssr / (s.n - 2) / sxx), 6) AS se_slope, round(sqrt(ssr / (s.n - 2) * (1.0 / s.n + ax * ax / sxx)), 6) AS se_intercept,
+       round(h.se_state_sentiment_margin_Xi, 6) AS se_slope_hc1, round(h.se_const, 6) AS se_intercept_hc1 FROM s, e, h""")
 def sta_18_bivariate_fit(spark, sf):
-    """STA-18: classical fit line of margin on Xi."""
+    """STA-18: fit line of margin on Xi with classical and HC1 errors."""
     return rounded(st.bivariate_fit(_matrix(spark, sf), "democratic_margin_pct", "state_sentiment_margin_Xi"))
 
 

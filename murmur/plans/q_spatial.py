@@ -37,6 +37,7 @@ WITH s AS (SELECT event_id, 0 AS st FROM events WHERE event_type IN ('click', 'v
            UNION ALL SELECT event_id, 1 FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
 m AS (SELECT event_id, min(st) AS lo, max(st) AS hi FROM s GROUP BY 1)
 SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value,
+       CAST(json_extract_string(e.props, '$.k') AS DOUBLE) AS props_value,
        CASE WHEN m.lo <> m.hi THEN 'both' WHEN m.lo = 0 THEN 'stream_a_only' ELSE 'stream_b_only' END
          AS stream_membership,
        CASE WHEN m.lo <> m.hi THEN 'both' WHEN m.lo = 0 THEN 'candidate_a' ELSE 'candidate_b' END
@@ -46,7 +47,7 @@ FROM m JOIN events e USING (event_id) LEFT JOIN customer c ON e.user_id = c.c_cu
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 
 
-def _matrix_sql(mode: str) -> str:
+def _matrix_sql(mode: str, score: str = "value") -> str:
     a = "regexp_matches(lower(cand), 'candidate_a')"
     bb = "regexp_matches(lower(cand), 'candidate_b')"
     if mode == "split":
@@ -55,7 +56,7 @@ def _matrix_sql(mode: str) -> str:
     fill = "coalesce({}, 0)" if mode == "split" else "{}"
     return f"""
 WITH p AS ({POSTS_SQL}), r AS ({RETURNS_SQL}),
-pp AS (SELECT upper(trim(state_code)) AS rg, candidate_resolved AS cand, event_id, value FROM p
+pp AS (SELECT upper(trim(state_code)) AS rg, candidate_resolved AS cand, event_id, {score} AS value FROM p
        WHERE upper(trim(state_code)) IN (SELECT upper(trim(n_name)) FROM nation) {where}),
 m AS (SELECT rg AS state_code, count(CASE WHEN {a} THEN event_id END) AS a_tweet_count,
              count(CASE WHEN {bb} THEN event_id END) AS b_tweet_count,

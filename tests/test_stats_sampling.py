@@ -120,3 +120,99 @@ def test_itsa_min_rows_and_bonferroni(spark):
     assert (r.pre_period_n, r.post_period_n) == (5, 5)
     assert r.bonferroni_adj_p_value == min(1.0, 4 * r.p_value_immediate_shock)
     assert st.itsa(spark.createDataFrame(pdf.iloc[:9])).count() == 0
+
+
+def _exact_ols(X, y):
+    """Least squares and HC1 errors in rational numbers."""
+    from fractions import Fraction
+    X = [[Fraction(float(v)) for v in row] for row in X]
+    y = [Fraction(float(v)) for v in y]
+    n, k = len(X), len(X[0])
+
+    def inverse(m):
+        m = [row[:] + [Fraction(int(i == j)) for j in range(k)] for i, row in enumerate(m)]
+        for i in range(k):
+            p = next(r for r in range(i, k) if m[r][i])
+            m[i], m[p] = m[p], m[i]
+            m[i] = [v / m[i][i] for v in m[i]]
+            for r in range(k):
+                if r != i and m[r][i]:
+                    m[r] = [a - m[r][i] * b for a, b in zip(m[r], m[i])]
+        return [row[k:] for row in m]
+    inv = inverse([[sum(r[i] * r[j] for r in X) for j in range(k)] for i in range(k)])
+    xy = [sum(r[i] * v for r, v in zip(X, y)) for i in range(k)]
+    b = [sum(inv[i][j] * xy[j] for j in range(k)) for i in range(k)]
+    e = [v - sum(r[i] * b[i] for i in range(k)) for r, v in zip(X, y)]
+    meat = [[sum(d * d * r[i] * r[j] for r, d in zip(X, e)) for j in range(k)] for i in range(k)]
+    half = [[sum(inv[i][a] * meat[a][j] for a in range(k)) for j in range(k)] for i in range(k)]
+    var = [sum(half[i][a] * inv[a][i] for a in range(k)) * n / (n - k) for i in range(k)]
+    return [float(v) for v in b], [math.sqrt(float(v)) for v in var]
+
+
+def test_ols_of_an_ill_conditioned_design(spark):
+    """A regressor far from zero and two that nearly agree: cross products
+    would lose every digit of the difference."""
+    rng = np.random.default_rng(1)
+    n = 80
+    x1 = 1e8 + rng.normal(size=n)
+    x2 = rng.normal(size=n)
+    x3 = x2 + 1e-6 * rng.normal(size=n)
+    y = 3 + 0.5 * (x1 - 1e8) + 2 * x2 - x3 + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame(pd.DataFrame({"x1": x1, "x2": x2, "x3": x3, "y": y})).repartition(5)
+    fit = st.ols_hc1(df, "y", ["x1", "x2", "x3"]).collect()[0]
+    b, se = _exact_ols(np.column_stack([np.ones(n), x1, x2, x3]), y)
+    assert fit.rank == 4
+    assert np.allclose([fit.b_const, fit.b_x1, fit.b_x2, fit.b_x3], b, rtol=1e-8, atol=0)
+    assert np.allclose([fit.se_const, fit.se_x1, fit.se_x2, fit.se_x3], se, rtol=1e-8, atol=0)
+
+
+def test_ols_groups_without_full_rank(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in ("full", "twin", "flat", "zero", None):
+        for i in range(20):
+            a, c = rng.normal(), rng.normal()
+            rows.append((g, 1.0 + a - c + rng.normal(0, 0.2), a, {"twin": a, "flat": 2.0, "zero": 0.0}.get(g, c)))
+    rows += [("full", None, 1.0, 1.0), ("full", 1.0, None, 2.0), ("few", 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, y double, a double, c double").repartition(4)
+    fits = {r.g: r for r in st.ols_hc1(df, "y", ["a", "c"], ["g"], min_rows=2).collect()}
+    assert set(fits) == {"full", "twin", "flat", "zero", None}
+    for g, r in fits.items():
+        own = np.array([x[1:] for x in rows if x[0] == g and None not in x[1:]])
+        y, X = own[:, 0], own[:, 1:]
+        if g != "flat":
+            X = np.column_stack([np.ones(len(X)), X])
+        inv = np.linalg.pinv(X)
+        b = inv @ y
+        e = y - X @ b
+        k = np.linalg.matrix_rank(X)
+        se = np.sqrt(np.diag(inv @ np.diag(e * e) @ inv.T) * len(y) / (len(y) - k))
+        got = [r.b_const, r.b_a, r.b_c], [r.se_const, r.se_a, r.se_c]
+        assert r.n == 20 and r.rank == k and r.has_const == (g != "flat")
+        assert np.allclose(got[0][-len(b):], b, atol=1e-10), g
+        keep = b != 0
+        assert np.allclose(np.array(got[1][-len(b):])[keep], se[keep], atol=1e-10), g
+    assert fits["flat"].b_const == 0.0 and fits["flat"].se_const is None or math.isnan(fits["flat"].se_const)
+
+
+def test_ols_without_constant(spark):
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(5, 1, 40), rng.normal(size=40)
+    y = 2 * x - z + rng.normal(0, 0.1, 40)
+    r = st.ols_hc1(spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "y": y})), "y", ["x", "z"], add_constant=False).collect()[0]
+    b, se = _exact_ols(np.column_stack([x, z]), y)
+    assert np.allclose([r.b_x, r.b_z, r.se_x, r.se_z], b + se, rtol=1e-10)
+    assert abs(r.r_squared - (1 - ((y - x * b[0] - z * b[1]) ** 2).sum() / (y ** 2).sum())) < 1e-12
+
+
+def test_bivariate_errors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=30)
+    y = 1 + 2 * x + rng.normal(0, abs(x) + 0.1)
+    r = st.bivariate_fit(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "y", "x").collect()[0]
+    b, se = _exact_ols(np.column_stack([np.ones(30), x]), y)
+    e = y - b[0] - b[1] * x
+    s2 = (e @ e) / 28
+    assert np.allclose([r.intercept, r.slope, r.se_intercept_hc1, r.se_slope_hc1], b + se, rtol=1e-10)
+    assert np.allclose([r.se_slope, r.se_intercept], [math.sqrt(s2 / ((x - x.mean()) ** 2).sum()),
+                                                     math.sqrt(s2 * (1 / 30 + x.mean() ** 2 / ((x - x.mean()) ** 2).sum()))])
