@@ -93,23 +93,28 @@ def resolve_region(state_code, state, location, country, longest_match: bool = F
     Codes in step 4 are taken in alphabetical order (the priority is explicit
     so results never depend on set iteration order).
     """
-    sc = F.upper(F.trim(F.coalesce(col_(state_code).cast("string"), F.lit(""))))
-    st = F.lower(F.trim(F.coalesce(col_(state).cast("string"), F.lit(""))))
     loc = F.trim(F.coalesce(col_(location).cast("string"), F.lit("")))
-    ctry = F.upper(F.trim(F.coalesce(col_(country).cast("string"), F.lit(""))))
-    ctry = F.when(ctry.isin("NAN", "NONE", "NULL"), F.lit("")).otherwise(ctry)
-    is_us = ctry.isin(*US_COUNTRY)
-
     found = state_names_found(loc)
     if longest_match:
         found = F.filter(found, lambda n: ~F.exists(found, lambda m: (F.length(m) > F.length(n)) & m.contains(n)))
     prio = F.array_min(F.transform(found, lambda n: F.element_at(_name_priority(), n)))
     # guarded: element_at with a NULL index does not reliably yield NULL
     by_name = F.when(prio.isNotNull(), F.get(F.array(*[F.lit(code) for _, code in STATE_NAMES]), prio))
+    return resolved_from(by_name, _any_word(loc, US_WORDS), state_code, state, location, country)
+
+
+def resolved_from(by_name: Column, has_us_word: Column, state_code, state, location, country) -> tuple[Column, Column]:
+    """The steps of ``resolve_region``, given the code of the name found in
+    the location (NULL if none) and whether a word for the country is in it."""
+    sc = F.upper(F.trim(F.coalesce(col_(state_code).cast("string"), F.lit(""))))
+    st = F.lower(F.trim(F.coalesce(col_(state).cast("string"), F.lit(""))))
+    loc = F.trim(F.coalesce(col_(location).cast("string"), F.lit("")))
+    ctry = F.upper(F.trim(F.coalesce(col_(country).cast("string"), F.lit(""))))
+    ctry = F.when(ctry.isin("NAN", "NONE", "NULL"), F.lit("")).otherwise(ctry)
+    is_us = ctry.isin(*US_COUNTRY)
 
     comma_codes = _valid_codes(F.regexp_extract_all(loc, F.lit(rf",[{SPACE}]*([A-Z]{{2}}){NA}"), 1))
     bare_codes = _valid_codes(F.regexp_extract_all(loc, F.lit(rf"{NB}([A-Z]{{2}}){NA}"), 1))
-    has_us_word = _any_word(loc, US_WORDS)
     # alphabetical first code satisfying either rule
     codes_ok = F.array_sort(F.array_union(comma_codes, F.when(has_us_word, bare_codes)
                                           .otherwise(F.array().cast("array<string>"))))

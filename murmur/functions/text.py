@@ -1,8 +1,7 @@
 """Scalar text functions (STR-*, FLT-4/5, LNG-2 helpers) as Spark Columns.
 
-Everything except HTML entity decoding is a JVM expression (regexp_replace,
-regexp_count, higher-order array functions), so it stays inside whole-stage
-codegen. Regex notes:
+Everything is a JVM expression (regexp_replace, regexp_count, higher-order
+array functions). Regex notes:
 
 * Java's ``\\w``/``\\b``/``\\s`` are ASCII-only; the corpus is multilingual, so
   word characters are spelled ``[\\p{L}\\p{N}_]`` and whitespace as the
@@ -13,12 +12,13 @@ codegen. Regex notes:
 
 from __future__ import annotations
 
-import html
+import json
+import zlib
+from html.entities import html5
+from typing import Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- character classes --------------------------------------------------
 WORD = r"\p{L}\p{N}_"
@@ -45,12 +45,61 @@ def col_(c) -> Column:
 
 
 # --- STR-1 ----------------------------------------------------------------
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """STR-1: HTML entity decoding (full HTML5 entity table). Spark has no
-    built-in; this is the only Python on the cleaning path and it is
-    Arrow-batched."""
-    return s.map(lambda v: None if v is None else html.unescape(v))
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_BUCKETS = 512
+_PREFIXES = range(6, 1, -1)     # lengths of names that may stand without a semicolon
+
+
+def _entity_table(names: Mapping[str, str]) -> Column:
+    """Names by crc32 bucket, one constant: a lookup reads about four names."""
+    rows: list[list] = [[] for _ in range(_BUCKETS)]
+    for k, v in names.items():
+        rows[zlib.crc32(k.encode()) % _BUCKETS].append({"k": k, "v": v})
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<struct<k:string,v:string>>>")
+
+
+def _code_point(n: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def _numeric(s: Column) -> Column:
+    """What ``#123;`` or ``#x7b`` stands for, by the HTML rules for numbers
+    that no character has."""
+    hexadecimal = F.lower(F.substring(s, 2, 1)) == "x"
+    digits = F.regexp_replace(s, "^#[xX]?0*|;$", "")
+    n = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)).otherwise(
+        F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(F.when(~hexadecimal, digits), 10, 10)).cast("int"))
+    # numbers of the C1 range are read as Windows-1252
+    c1 = F.array(*[F.lit(bytes([i]).decode("cp1252", "replace").replace("\ufffd", chr(i))) for i in range(0x80, 0xA0)])
+    dropped = (n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF)
+               | (n.bitwiseAND(0xFFFE) == 0xFFFE))
+    return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(n == 0xD, F.lit("\r"))
+            .when(n.between(0x80, 0x9F), F.get(c1, n - 0x80)).when(dropped, F.lit(""))
+            .when(n == 0xFEFF, F.lit("\ufeff")).otherwise(_code_point(n)))
+
+
+def html_unescape(c, names: Mapping[str, str] = html5) -> Column:
+    """STR-1: HTML entity decoding in native expressions. ``names`` maps entity
+    names (with their semicolon, if they need one) to text: the HTML5 table
+    unless another is given. As in HTML, a name that needs no semicolon is also
+    read at the start of a longer word, the longest one first; what is no
+    reference stays. Texts without an ampersand are passed through."""
+    x = col_(c)
+    table = _entity_table(names)
+
+    def named(w):
+        bucket = F.get(table, F.pmod(F.crc32(w.cast("binary")), F.lit(_BUCKETS)).cast("int"))
+        return F.get(F.filter(bucket, lambda e: e["k"] == w), 0)["v"]
+
+    def decoded(m):
+        s = F.substring(m, 2, 40)
+        opened = [F.when(F.length(s) > k, F.concat(named(F.substring(s, 1, k)), F.substring(s, k + 1, 40))) for k in _PREFIXES]
+        return F.when(s.startswith("#"), _numeric(s)).otherwise(F.coalesce(named(s), *opened, m))
+
+    pieces = F.split(x, REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(x, F.lit(REFERENCE), 0), decoded)
+    joined = F.array_join(F.zip_with(pieces, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(x.contains("&"), joined).otherwise(x)
 
 
 def collapse_ws(c) -> Column:

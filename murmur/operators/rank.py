@@ -102,6 +102,21 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, same).drop(*[f"_r_{k}" for k in keys])
 
 
+def positions(df: DataFrame, order_by: Sequence[str], out: str = "_pos") -> DataFrame:
+    """Adds the 0-based place of every row in the order of any columns (of any
+    type; equal rows take places next to each other). Rows are cut into ranges
+    of the order, pinned by a checkpoint, and numbered within; one row per
+    range carries the numbers before it."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    ranged = cut_lineage(df.repartitionByRange(n, *order_by).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order_by)
+    return ranged.withColumn(out, F.row_number().over(inside)).join(starts, "_range").withColumn(
+        out, F.col("_start") + F.col(out) - 1).drop("_range", "_start")
+
+
 def avg_rank_pct(rf: DataFrame) -> Column:
     """Average rank / n (pandas ``rank(method='average', pct=True)``); a
     column with one distinct value ranks 0."""

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.common import with_scalars
+from murmur.operators.rank import positions
+from murmur.session import cut_lineage
 
 
 def sample_key(id_col: str, seed: int) -> Column:
@@ -85,12 +87,31 @@ def stratified_sample(df: DataFrame, n: int, strata: Sequence[str], *, id_col: s
     return sample, alloc
 
 
+FAN = 64    # children of a node of the checksum's tree
+
+
 def sample_checksum(sample: DataFrame, id_col: str) -> DataFrame:
-    """SMP-3: SHA-256 of the sorted, comma-joined sample ids (the sample is
-    bounded by its requested size) plus the row count."""
-    return sample.agg(F.count(F.lit(1)).alias("sample_rows"),
-                      F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), ","), 256)
-                      .alias("checksum_sha256"))
+    """SMP-3: an order-sensitive SHA-256 of the selected ids, with the rows.
+
+    A Merkle tree: in the order of the ids as text, every ``FAN`` of them are
+    joined by commas and hashed, then every ``FAN`` digests, up to one root. So
+    no task ever holds more than ``FAN`` values, however large the sample. An
+    empty sample has the digest of the empty text."""
+    placed = positions(sample.select(F.col(id_col).cast("string").alias("_id")), ["_id"])
+    level = cut_lineage(placed.select("_pos", "_id"))
+    rows = level.agg(F.count(F.lit(1)).alias("n"), F.count("_id").alias("ids")).first()
+    name, n = "_id", rows["n"]
+    while True:
+        group = F.expr(f"_pos div {FAN}")
+        level = level.groupBy(group.alias("_up")).agg(
+            F.sort_array(F.collect_list(F.struct("_pos", F.coalesce(F.col(name), F.lit("")).alias("v")))).alias("_c")).select(
+            F.col("_up").alias("_pos"), F.sha2(F.array_join(F.transform("_c", lambda c: c["v"]), ","), 256).alias("_h"))
+        name, n = "_h", -(-n // FAN)
+        if n <= 1:
+            break
+    root = level.agg(F.max("_h").alias("_h"))
+    return root.select(F.lit(rows["n"]).cast("long").alias("sample_rows"),
+                       F.coalesce("_h", F.sha2(F.lit(""), 256)).alias("checksum_sha256"))
 
 
 def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:

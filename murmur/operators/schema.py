@@ -141,12 +141,23 @@ def schema_profile(df: DataFrame, required: Sequence[str] = (), optional: Sequen
 
 
 def row_position(df: DataFrame, key: str, out: str = "row_position") -> DataFrame:
-    """PRJ-13: 0-based position of each row in ``key`` order, without a
-    single-partition sort: the shared rank kernel gives the number of rows
-    with a smaller key (ties share the position of their first row)."""
-    from murmur.operators.rank import rank_frame
-    rf = rank_frame(df, key).select(F.col("_v").alias("_pk"), F.col("_below").alias(out))
-    return df.join(rf, F.col(key).cast("double") == F.col("_pk"), "left").drop("_pk")
+    """PRJ-13: 0-based position of each row in ``key`` order, for keys of any
+    type, without a single-partition sort (ties share the position of their
+    first row). One row per distinct key is placed and joined back."""
+    from murmur.operators.common import join_back
+    from murmur.operators.rank import positions
+    from murmur.session import cut_lineage
+    keys = df.groupBy(F.col(key).alias("_pk")).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = positions(keys, ["_pk"], "_place")
+    before = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut_lineage(placed.withColumn("_block", F.expr("_place div 4096")))
+    sums = blocks.groupBy("_block").agg(F.sum("_rows").alias("_sum"))
+    # rows before each block of keys: one row per 4096 keys
+    starts = sums.select("_block", F.coalesce(F.sum("_sum").over(
+        Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    found = blocks.join(starts, "_block").select("_pk", "_rows", (
+        F.col("_start") + F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias(out))
+    return join_back(df, cut_lineage(found), {"_pk": key}, "_rows")
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "variable",

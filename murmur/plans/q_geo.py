@@ -1,5 +1,4 @@
-"""Region resolution and region x language queries over the text corpus
-(each document's whole text is the free-text location)."""
+"""Region resolution and region x language queries over user profiles."""
 
 from __future__ import annotations
 
@@ -7,6 +6,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import classify as geo
 from murmur.operators import spatial as sp
+from murmur.operators.geo import resolve_regions
 from murmur.plans.registry import query, rounded
 from murmur.sources.tables import table
 
@@ -39,11 +39,36 @@ def names_found_sql(x: str) -> str:
     return f"list_distinct(list_transform({found}, lambda n: replace(n, '  ', ' ')))"
 
 
-# Oracle form of GEO-1 without look-arounds: separators are doubled before
-# extracting so adjacent matches do not compete for the character between them.
+# Fixed binding: customers play the users, with profile fields of nine kinds
+# made from their keys (code, region, name, three spellings of a location, none,
+# and no hit); the market segment plays the language.
+def _profile_sql(pick) -> str:
+    code, name = pick([c for _, c in geo.STATE_NAMES]), pick([n for n, _ in geo.STATE_NAMES])
+    return f"""SELECT c_custkey AS user_id,
+  CASE c_custkey % 9 WHEN 0 THEN ' ' || lower({code}) || ' ' WHEN 1 THEN 'ENG' END AS state_code,
+  CASE c_custkey % 9 WHEN 2 THEN upper({name}) END AS state,
+  CASE c_custkey % 9 WHEN 3 THEN 'Somewhere, ' || {code} WHEN 4 THEN 'near ' || upper({name}) || '!' WHEN 5 THEN {code} || ', the USA'
+    WHEN 6 THEN c_name || ' Street' WHEN 8 THEN 'from ' || {code} || ' to nowhere' END AS location,
+  CASE c_custkey % 7 WHEN 0 THEN 'Canada' WHEN 1 THEN 'nan' WHEN 2 THEN 'usa' END AS country,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'en' WHEN 'AUTOMOBILE' THEN 'es' WHEN 'HOUSEHOLD' THEN 'fr' WHEN 'MACHINERY' THEN 'und' END AS lang
+FROM """
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def profiles(spark, sf):
+    table(spark, sf, "customer").createOrReplaceTempView("murmur_customer")
+    return spark.sql(_profile_sql(lambda v: f"element_at(array({_quoted(v)}), CAST(c_custkey div 9 % 51 AS INT) + 1)")
+                     + "murmur_customer")
+
+
 RESOLVED_SQL = f"""
-WITH d AS (SELECT doc_id, lang, trim(coalesce(text, '')) AS loc FROM documents),
-x AS (SELECT doc_id, lang, loc,
+WITH d AS (SELECT user_id, lang, trim(coalesce(location, '')) AS loc, upper(trim(coalesce(state_code, ''))) AS sc,
+             lower(trim(coalesce(state, ''))) AS st, upper(trim(coalesce(country, ''))) AS ctry
+           FROM ({_profile_sql(lambda v: f"([{_quoted(v)}][c_custkey // 9 % 51 + 1])")} customer)),
+x AS (SELECT *,
         list_min(list_transform({names_found_sql('loc')}, lambda n: list_position({NAME_LIST}, n))) AS prio,
         list_filter(regexp_extract_all(replace(loc, ',', ',,'), ',[{S}]*([A-Z]{{2}})(?:$|[^{W}])', 1),
                     lambda c: list_contains({CODES}, c)) AS cc,
@@ -51,32 +76,37 @@ x AS (SELECT doc_id, lang, loc,
                     lambda c: list_contains({CODES}, c)) AS bc,
         regexp_matches(loc, '(?i)(^|[^{W}])(usa|us|united states)($|[^{W}])') AS has_us
       FROM d),
-r AS (SELECT doc_id, lang, CASE WHEN length(loc) > 0 THEN coalesce({CODE_BY_NAME}[prio],
-          list_sort(list_distinct(list_concat(cc, CASE WHEN has_us THEN bc ELSE [] END)))[1]) END AS code
-      FROM x)
-SELECT doc_id, lang, code AS state_code_resolved,
-       CASE WHEN code IS NOT NULL THEN 'user_location_gazetteer' ELSE 'unmapped' END AS state_code_source,
+f AS (SELECT *, CASE WHEN length(loc) > 0 THEN coalesce({CODE_BY_NAME}[prio],
+          list_sort(list_distinct(list_concat(cc, CASE WHEN has_us THEN bc ELSE [] END)))[1]) END AS from_loc FROM x),
+r AS (SELECT *, CASE WHEN list_contains({CODES}, sc) THEN 'original_state_code' WHEN list_contains({NAME_LIST}, st) THEN 'state_name_match'
+          WHEN sc IN ({_quoted(geo.NON_US_REGION_CODES)})
+            OR ctry NOT IN ({_quoted([*geo.US_COUNTRY, 'NAN', 'NONE', 'NULL'])}) THEN 'non_us'
+          WHEN from_loc IS NOT NULL THEN 'user_location_gazetteer' ELSE 'unmapped' END AS state_code_source FROM f),
+q AS (SELECT *, CASE state_code_source WHEN 'original_state_code' THEN sc
+          WHEN 'state_name_match' THEN {CODE_BY_NAME}[list_position({NAME_LIST}, st)] WHEN 'user_location_gazetteer' THEN from_loc END AS code
+      FROM r)
+SELECT user_id, lang, code AS state_code_resolved, state_code_source,
        CASE WHEN code IS NULL OR code = '' THEN 'Unmapped' WHEN list_contains({CODES}, code) THEN 'US_' || code
             ELSE 'Non_US' END AS region_class,
        CASE WHEN lang IS NULL OR trim(lang) = '' THEN 'Unknown'
             WHEN lower(trim(lang)) IN ('en', 'english') THEN 'English'
             WHEN lower(trim(lang)) IN ('es', 'spanish') THEN 'Spanish'
             WHEN lower(trim(lang)) IN ('und', 'undetermined') THEN 'Undetermined' ELSE 'Other' END AS language_class
-FROM r"""
+FROM q"""
 
 
 def resolved(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    code, source = geo.resolve_region(F.lit(None), F.lit(None), F.col("text"), F.lit(None))
-    return d.select("doc_id", "lang", code.alias("state_code_resolved"), source.alias("state_code_source"),
-                    geo.region_class(code).alias("region_class"), geo.language_class("lang").alias("language_class"))
+    r = resolve_regions(profiles(spark, sf), state_code="state_code", state="state", location="location", country="country")
+    return r.select("user_id", "lang", "state_code_resolved", "state_code_source",
+                    geo.region_class("state_code_resolved").alias("region_class"),
+                    geo.language_class("lang").alias("language_class"))
 
 
 @query("geo_01_resolve_region", oracle=f"""
-SELECT doc_id, state_code_resolved, state_code_source, region_class FROM ({RESOLVED_SQL})""")
+SELECT user_id, state_code_resolved, state_code_source, region_class FROM ({RESOLVED_SQL})""")
 def geo_01_resolve_region(spark, sf):
-    """GEO-1 + GEO-2 with the whole text as the location string."""
-    return resolved(spark, sf).select("doc_id", "state_code_resolved", "state_code_source", "region_class")
+    """GEO-1 + GEO-2 for every user's profile."""
+    return resolved(spark, sf).select("user_id", "state_code_resolved", "state_code_source", "region_class")
 
 
 @query("agg_15_region_language_crosstab", oracle=f"""
@@ -141,7 +171,7 @@ FROM ({RESOLVED_SQL}) GROUP BY 1""")
 def agg_39_spanish_share_by_region(spark, sf):
     r = resolved(spark, sf)
     return rounded(r.groupBy("region_class").agg(F.count(F.lit(1)).alias("n"), F.avg(
-        (F.col("lang") == "es").cast("double")).alias("spanish_share")))
+        F.coalesce(F.col("lang") == "es", F.lit(False)).cast("double")).alias("spanish_share")))
 
 
 @query("agg_48_valid_region_share", oracle=f"""

@@ -410,12 +410,12 @@ def src_08_file_lineage(spark, sf):
 
 
 @query("smp_05_location_sample", oracle=f"""
-SELECT doc_id, state_code_resolved FROM ({RESOLVED_SQL}) WHERE state_code_source = 'user_location_gazetteer'
-ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50""")
+SELECT user_id, state_code_resolved FROM ({RESOLVED_SQL}) WHERE state_code_source = 'user_location_gazetteer'
+ORDER BY md5('42|' || CAST(user_id AS VARCHAR)), user_id LIMIT 50""")
 def smp_05_location_sample(spark, sf):
     """SMP-5: 50 gazetteer-recovered locations (exact, seeded)."""
     r = resolved(spark, sf).where(F.col("state_code_source") == "user_location_gazetteer")
-    return smp.simple_sample(r.select("doc_id", "state_code_resolved"), 50, id_col="doc_id", seed=42)
+    return smp.simple_sample(r.select("user_id", "state_code_resolved"), 50, id_col="user_id", seed=42)
 
 
 @query("chk_06_09_closure_and_rescoring")

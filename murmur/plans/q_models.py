@@ -447,9 +447,9 @@ def smp_02_stratified_sample(spark, sf):
 
 
 @query("smp_03_sample_checksum", oracle=f"""
-SELECT count(*) AS sample_rows,
-       sha256(array_to_string(list_sort(list(CAST(event_id AS VARCHAR))), ',')) AS checksum_sha256
-FROM ({SAMPLE_SQL})""")
+WITH i AS (SELECT CAST(event_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(event_id AS VARCHAR)) - 1 AS pos FROM ({SAMPLE_SQL})),
+a AS (SELECT pos // 64 AS pos, sha256(string_agg(id, ',' ORDER BY pos)) AS h FROM i GROUP BY 1)
+SELECT (SELECT count(*) FROM i) AS sample_rows, sha256(string_agg(h, ',' ORDER BY pos)) AS checksum_sha256 FROM a""")
 def smp_03_sample_checksum(spark, sf):
     return smp.sample_checksum(_strat(spark, sf)[0], "event_id")
 

@@ -28,14 +28,19 @@ def agg_06_ingest_metrics(spark, sf):
     return su.ingest_metrics(b.events(spark, sf), id_col="event_id", user_col="user_id", ts_col="ts")
 
 
-@query("agg_28_missing_share", oracle="""
-SELECT 'doc_id' AS "column", round(100.0 * avg(CASE WHEN doc_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_pct FROM documents
-UNION ALL SELECT 'text', round(100.0 * avg(CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 1.0 ELSE 0.0 END), 6) FROM documents
-UNION ALL SELECT 'lang', round(100.0 * avg(CASE WHEN lang IS NULL OR length(trim(lang)) = 0 THEN 1.0 ELSE 0.0 END), 6) FROM documents
-UNION ALL SELECT 'source', round(100.0 * avg(CASE WHEN source IS NULL OR length(trim(source)) = 0 THEN 1.0 ELSE 0.0 END), 6) FROM documents
-UNION ALL SELECT 'n_chars', round(100.0 * avg(CASE WHEN n_chars IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM documents""")
+# Fixed binding: readings above 100 count as not taken, the types 'view' and
+# 'click' as blank spellings, three users in ten as unknown.
+_GAPS = {"event_id": "event_id", "user_id": "CASE WHEN user_id % 10 < 3 THEN NULL ELSE user_id END",
+         "value": "CASE WHEN value > 100 THEN NULL ELSE value END",
+         "event_type": "CASE event_type WHEN 'view' THEN '  ' WHEN 'click' THEN '' ELSE event_type END"}
+
+
+@query("agg_28_missing_share", oracle=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(100.0 * avg(CASE WHEN {c} IS NULL{' OR length(trim(event_type)) = 0' * (c == 'event_type')}"
+    f" THEN 1.0 ELSE 0.0 END), 6) AS missing_pct FROM (SELECT {', '.join(f'{x} AS {k}' for k, x in _GAPS.items())} FROM events)"
+    for c in _GAPS))
 def agg_28_missing_share(spark, sf):
-    return rounded(su.missing_share(table(spark, sf, "documents")))
+    return rounded(su.missing_share(b.events(spark, sf).select(*[F.expr(x).alias(c) for c, x in _GAPS.items()])))
 
 
 CUTS = [9, 25, 50, 75, 100, 175]
@@ -146,15 +151,19 @@ def agg_29_activity_describe(spark, sf):
     return rounded(su.describe(act.user_metrics(b.events(spark, sf), "user_id", "ts"), "total_tweets"))
 
 
+# Fixed binding: users of the regions with key 4 name no location.
+_PLACED = "CASE WHEN state_code IN ('NATION_4', 'NATION_9', 'NATION_14', 'NATION_19', 'NATION_24') THEN NULL ELSE state_code END"
+
+
 @query("agg_30_location_coverage", oracle=f"""
-WITH p AS ({POSTS_SQL})
+WITH p AS (SELECT candidate_resolved, ts, {_PLACED} AS state_code FROM ({POSTS_SQL}))
 SELECT candidate_resolved, CAST(ts AS DATE) AS day, count(*) AS n,
        count(CASE WHEN state_code IS NOT NULL THEN 1 END) AS with_location,
        round(avg(CASE WHEN state_code IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS location_share
 FROM p GROUP BY 1, 2""")
 def agg_30_location_coverage(spark, sf):
     """AGG-30: location coverage by stream and day."""
-    p = b.posts(spark, sf)
+    p = b.posts(spark, sf).withColumn("state_code", F.expr(_PLACED))
     has = F.col("state_code").isNotNull()
     return rounded(p.groupBy("candidate_resolved", F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(has, 1)).alias("with_location"),
@@ -209,9 +218,15 @@ def agg_41_histogram(spark, sf):
     return rounded(su.histogram(b.events(spark, sf), "value", 60, ["event_type"]))
 
 
+# Fixed binding: the clock of stream b stood still on every third day of a
+# month, so those rows have no time.
+_CLOCK = "CASE WHEN candidate_resolved = 'candidate_b' AND day(ts) % 3 = 1 THEN NULL ELSE ts END"
+
+
 @query("agg_45_day_coverage", oracle=f"""
-WITH p AS (SELECT candidate_resolved, CAST(ts AS DATE) AS day FROM ({POSTS_SQL})),
-d AS (SELECT DISTINCT candidate_resolved, day FROM p),
+WITH p AS (SELECT candidate_resolved, CAST(CASE WHEN candidate_resolved = 'candidate_b' AND day(ts) % 3 = 1 THEN NULL ELSE ts END AS DATE)
+             AS day FROM ({POSTS_SQL})),
+d AS (SELECT DISTINCT candidate_resolved, day FROM p WHERE day IS NOT NULL),
 s AS (SELECT min(day) AS lo, max(day) AS hi FROM d),
 sp AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM s),
 e AS (SELECT st.candidate_resolved, sp.day FROM (SELECT DISTINCT candidate_resolved FROM d) st, sp),
@@ -221,4 +236,4 @@ SELECT d.candidate_resolved, count(*) AS present_days, coalesce(any_value(m.miss
        min(d.day) = any_value(s.lo) AS start_matches, max(d.day) = any_value(s.hi) AS end_matches
 FROM d LEFT JOIN m USING (candidate_resolved), s GROUP BY d.candidate_resolved""")
 def agg_45_day_coverage(spark, sf):
-    return su.day_coverage(b.posts(spark, sf), "ts", "candidate_resolved")
+    return su.day_coverage(b.posts(spark, sf).withColumn("ts", F.expr(_CLOCK)), "ts", "candidate_resolved")

@@ -60,12 +60,19 @@ def str_02_clean_pages(spark, sf):
     return p.select("page_id", tx.clean_text("html").alias("html_cleaned"))
 
 
+# Fixed binding: pages that came as markup only, as nothing but a link, or with
+# a character that could not be decoded.
+_RECEIVED = ("CASE page_id % 6 WHEN 0 THEN '<p> <br/></p> &nbsp; ' WHEN 1 THEN 'https://' || substr(url, 8) || ' <a href=\"x\">' "
+             "WHEN 2 THEN html || '\ufffd' ELSE html END")
+
+
 @query("flt_04_valid_text_pages", oracle=f"""
+WITH p AS (SELECT page_id, {_RECEIVED} AS html FROM pages)
 SELECT page_id, length({sql_clean(sql_clean('html'))}) > 0
-       AND NOT regexp_matches({sql_clean(sql_clean('html'))}, '\\x{{FFFD}}') AS is_valid FROM pages""")
+       AND NOT regexp_matches({sql_clean(sql_clean('html'))}, '\\x{{FFFD}}') AS is_valid FROM p""")
 def flt_04_valid_text_pages(spark, sf):
     """FLT-4/5: validity applied to already-cleaned text (second decode)."""
-    p = table(spark, sf, "pages")
+    p = table(spark, sf, "pages").withColumn("html", F.expr(_RECEIVED))
     return p.select("page_id", tx.is_valid_text(tx.clean_text("html")).alias("is_valid"))
 
 
@@ -211,19 +218,18 @@ def str_09_top_terms(spark, sf):
     return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 15).drop("_r")
 
 
-@query("str_08_top_hashtags", oracle=f"""
-WITH t AS (SELECT CASE WHEN url LIKE 'https%' THEN 'https' ELSE 'http' END AS scheme,
-                  lower(unnest(regexp_extract_all(html, '(?:^|[^\\p{{L}}\\p{{N}}_])#([A-Za-z0-9_]+)', 1))) AS hashtag
-           FROM pages),
-c AS (SELECT scheme, hashtag, count(*) AS sample_count FROM t GROUP BY 1, 2)
-SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY scheme ORDER BY sample_count DESC, hashtag) <= 10""")
+@query("str_08_top_hashtags", oracle="""
+WITH x AS (SELECT role, regexp_replace(text, '(^|\\s)([A-Za-z]{6,})', '\\1#\\2', 'g') AS t FROM conversations),
+t AS (SELECT role, lower(unnest(regexp_extract_all(t, '(?:^|[^\\p{L}\\p{N}_])#([A-Za-z0-9_]+)', 1))) AS hashtag FROM x),
+c AS (SELECT role, hashtag, count(*) AS sample_count FROM t GROUP BY 1, 2)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY role ORDER BY sample_count DESC, hashtag) <= 10""")
 def str_08_top_hashtags(spark, sf):
-    """STR-8 + WIN-5: top 10 hashtags (fragment tags in raw pages) per scheme."""
-    p = table(spark, sf, "pages").select(
-        F.when(F.col("url").startswith("https"), "https").otherwise("http").alias("scheme"),
-        F.explode(tx.hashtags("html")).alias("hashtag"))
-    c = p.groupBy("scheme", "hashtag").agg(F.count(F.lit(1)).alias("sample_count"))
-    w = Window.partitionBy("scheme").orderBy(F.desc("sample_count"), F.asc("hashtag"))
+    """STR-8 + WIN-5: top 10 hashtags per role. Fixed binding: words of six
+    letters or more are written as hashtags."""
+    c = table(spark, sf, "conversations").select("role", F.regexp_replace("text", r"(^|\s)([A-Za-z]{6,})", "$1#$2").alias("text"))
+    c = c.select("role", F.explode(tx.hashtags("text")).alias("hashtag")).groupBy("role", "hashtag").agg(
+        F.count(F.lit(1)).alias("sample_count"))
+    w = Window.partitionBy("role").orderBy(F.desc("sample_count"), F.asc("hashtag"))
     return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 10).drop("_r")
 
 
@@ -290,15 +296,21 @@ def pro_05_duplicate_amplification(spark, sf):
                               "cross_user_repetition_count", "duplicate_amplification_risk"))
 
 
+# Fixed binding: what some turns add to what they say.
+_CUED = ("concat(text, CASE (conv_id + turn) % 5 WHEN 1 THEN ' yeah right, great job' WHEN 2 THEN ' but a \"great\" one' "
+         "WHEN 3 THEN ' lol 🙄 LOL' ELSE '' END)")
+
+
 def _sarcasm_sql():
     nb = "[^\\p{L}\\p{N}_]"
     markers = "|".join(m.replace(" ", "  ") for m in pf.SARCASM_MARKERS)
     contrast = "|".join(pf.CONTRAST_WORDS)
     dbl = f"regexp_replace(lower(coalesce(text, '')), '({nb})', '\\1\\1', 'g')"
     return f"""
-WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t,
+WITH x AS (SELECT conv_id, turn, {_CUED} AS text FROM conversations),
+c AS (SELECT conv_id, turn, coalesce(text, '') AS t,
              CAST(len(regexp_extract_all({dbl}, '(?:^|{nb})({markers})(?:$|{nb})', 1)) AS BIGINT) AS m
-           FROM conversations),
+           FROM x),
 f AS (SELECT *, (m > 0)::INT + contains(t, '🙄')::INT
                 + regexp_matches(t, '(?i)["“”](?:great|genius|leader|honest)["“”]')::INT
                 + regexp_matches(t, '(?i)(^|{nb})({contrast})($|{nb})')::INT AS cues FROM c)
@@ -310,7 +322,7 @@ SELECT conv_id, turn, m AS sarcasm_marker_count, round(least(greatest(cues / 4.0
 @query("pro_03_sarcasm_proxy", oracle=_sarcasm_sql())
 def pro_03_sarcasm_proxy(spark, sf):
     """PRO-3 over conversation turns (four regex cues)."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_CUED).alias("text"))
     return rounded(pf.sarcasm_proxy(c, "text").drop("text"))
 
 

@@ -216,3 +216,35 @@ def test_bivariate_errors(spark):
     assert np.allclose([r.intercept, r.slope, r.se_intercept_hc1, r.se_slope_hc1], b + se, rtol=1e-10)
     assert np.allclose([r.se_slope, r.se_intercept], [math.sqrt(s2 / ((x - x.mean()) ** 2).sum()),
                                                      math.sqrt(s2 * (1 / 30 + x.mean() ** 2 / ((x - x.mean()) ** 2).sum()))])
+
+
+def test_checksum_tree_against_brute_force(spark):
+    import hashlib
+
+    def brute(ids):
+        level = sorted(ids, key=str.encode)
+        while True:
+            level = [hashlib.sha256(",".join(level[i:i + 64]).encode()).hexdigest() for i in range(0, len(level), 64)]
+            if len(level) <= 1:
+                return level[0] if level else hashlib.sha256(b"").hexdigest()
+    for n in (0, 1, 64, 65, 5000):
+        ids = [f"id-{i * 7919 % 100003}" for i in range(n)]
+        r = smp.sample_checksum(spark.createDataFrame([(i,) for i in ids], "id string").repartition(5), "id").collect()[0]
+        assert (r.sample_rows, r.checksum_sha256) == (n, brute(ids))
+    one = smp.sample_checksum(spark.createDataFrame([("a",), ("b",)], "id string"), "id").collect()[0].checksum_sha256
+    two = smp.sample_checksum(spark.createDataFrame([("a",), ("c",)], "id string"), "id").collect()[0].checksum_sha256
+    assert one != two
+
+
+def test_positions_of_any_key(spark):
+    from murmur.operators import schema as sc
+    from murmur.operators.rank import positions
+    big = [2 ** 53, 2 ** 53 + 1, 5, 5, None, -3]
+    df = spark.createDataFrame([(k,) for k in big], "k bigint")
+    assert sorted((r.k is None, r.k or 0, r.row_position) for r in sc.row_position(df, "k").collect()) == [
+        (False, -3, 1), (False, 5, 2), (False, 5, 2), (False, 2 ** 53, 4), (False, 2 ** 53 + 1, 5), (True, 0, 0)]
+    words = [f"w{i * 37 % 1000:03d}" for i in range(1000)]
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "k string, i int").repartition(7)
+    assert {r.k: r.row_position for r in sc.row_position(df, "k").collect()} == {w: i for i, w in enumerate(sorted(words))}
+    rows = positions(df, ["k", "i"]).collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r._pos)] == sorted(words) and sorted(r._pos for r in rows) == list(range(1000))

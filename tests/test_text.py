@@ -98,3 +98,38 @@ def test_resolve_region_longest_match(spark):
     df = spark.createDataFrame([("Love West Virginia",)], "loc string")
     c, _ = geo.resolve_region(F.lit(None), F.lit(None), F.col("loc"), F.lit(None), longest_match=True)
     assert df.select(c.alias("c")).collect()[0].c == "WV"
+
+
+def test_entities_are_decoded_as_html_says(spark):
+    import html
+    import random
+    rng = random.Random(7)
+    parts = ["&amp;", "&amp", "&lt;b&gt;", "&notit;", "&notin;", "&not", "&nbsp;x", "&#39;", "&#x1F600;", "&#128;", "&#x80", "&#0;", "&#13;",
+             "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#x;", "&#;", "&;", "& ", "&unknown;", "&frac12x", "&fjlig;", "&#11;",
+             "&#xFEFF;", "&#64976;", "&#x1FFFF;", "&acE;", "&Acirc", "&thorny", "plain", " ", "&", "\n", "&#0065;", "&CounterClockwiseContourIntegral;",
+             "é", "&copy2020", "&#127;", "&#xD;", "&abcdefghijklmnopqrstuvwxyzabcdefghijkl;", "&\t", "&#12a", "&lt;&lt", "😀&amp;amp;"]
+    texts = parts + ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", tx.html_unescape("t").alias("d")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else html.unescape(t)), t
+    plan = df.select(tx.clean_text("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "InPandas" not in plan
+
+
+def test_phrase_index_finds_what_the_pattern_finds(spark):
+    import random
+    from murmur.operators.geo import resolve_regions
+    rng = random.Random(2)
+    words = ["west", "virginia", "West Virginia", "new", "york", "New York", "TX", "CA", "usa", "us", "united states", "district of columbia",
+             ",", ", ", " ", "  ", "-", "x", "Kansas", "arkansas", "_", "Washington,", "DC", "é", "states", "ON", "\n"]
+    rows = [(rng.choice([None, "tx ", "ZZ", "ENG", ""]), rng.choice([None, "Ohio", "nowhere"]),
+             rng.choice([None, "", "".join(rng.choices(words, k=rng.randrange(1, 7))), " ".join(rng.choices(words, k=rng.randrange(1, 7)))]),
+             rng.choice([None, "USA", "Canada", "nan"])) for _ in range(500)]
+    df = spark.createDataFrame([(i % 9, *r) for i, r in enumerate(rows)], "i int, sc string, st string, loc string, c string")
+    for longest in (False, True):
+        code, source = geo.resolve_region(F.col("sc"), F.col("st"), F.col("loc"), F.col("c"), longest_match=longest)
+        want = sorted((tuple(r) for r in df.select("i", "sc", "st", "loc", "c", code, source).collect()), key=repr)
+        out = resolve_regions(df, state_code="sc", state="st", location="loc", country="c", longest_match=longest)
+        assert sorted((tuple(r) for r in out.collect()), key=repr) == want
+        assert len({r[-1] for r in want}) == 5
