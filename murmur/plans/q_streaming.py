@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators import schema as sc
 from murmur.operators import sentiment as se
+from murmur.operators.common import with_scalars
 from murmur.plans.registry import query, rounded
 from murmur.sources.tables import utc_timestamps
 from murmur.streaming import jobs
@@ -47,17 +48,89 @@ def stm_04_stream_hourly_matrix(spark, sf):
     return rounded(t)
 
 
-@query("stm_02_stream_running_totals")
+def _family(spark, df, files: int, name: str) -> str:
+    """The rows as a family of files in the shared folder."""
+    folder = f"{jobs.scratch(spark, name)[0]}/family"
+    df.repartition(files).write.parquet(folder)
+    return folder
+
+
+@query("stm_01_batch_metrics", oracle="""
+SELECT 'rows' AS name, CAST(count(*) AS VARCHAR) AS value FROM events
+UNION ALL SELECT 'min_id', CAST(min(event_id) AS VARCHAR) FROM events UNION ALL SELECT 'max_id', CAST(max(event_id) AS VARCHAR) FROM events
+UNION ALL SELECT 'batches', '4'""")
+def stm_01_batch_metrics(spark, sf):
+    """STM-1: the metrics that every micro-batch of an ingest wrote, put
+    together (eight files, two a batch)."""
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    src = _family(spark, e.select("event_id", "event_type", "value"), 8, "family")
+    out, ckpt = jobs.scratch(spark, "metrics")
+    jobs.run_append(jobs.file_stream(spark, src, e.select("event_id", "event_type", "value").schema, max_files_per_trigger=2), out, ckpt,
+                    metrics={"min_id": F.min("event_id"), "max_id": F.max("event_id")})
+    m = jobs.batch_metrics(spark, out).withColumn("n", F.col("value").cast("long"))
+    total = m.groupBy("name").agg(F.when(F.col("name") == "rows", F.sum("n")).when(F.col("name") == "min_id", F.min("n"))
+                                  .otherwise(F.max("n")).cast("string").alias("value"))
+    return total.unionByName(m.agg(F.lit("batches").alias("name"), F.count_distinct("batch_id").cast("string").alias("value")))
+
+
+class _Stopped(Exception):
+    pass
+
+
+@query("stm_03_stream_resume", oracle="""
+SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, 3 AS batches FROM events GROUP BY event_type""")
+def stm_03_stream_resume(spark, sf):
+    """STM-3: an ingest that dies between the write and the commit of its
+    second batch and is started again: no row twice, none missing."""
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("event_id", "event_type", "value")
+    src = _family(spark, e, 6, "resumed")
+    out, ckpt = jobs.scratch(spark, "resume")
+
+    def die(batch_id):
+        if batch_id == 1:
+            raise _Stopped("lost before the commit")
+    stream = lambda: jobs.file_stream(spark, src, e.schema, max_files_per_trigger=2)
+    try:
+        jobs.run_append(stream(), out, ckpt, after_write=die)
+    except Exception as stopped:  # noqa: BLE001 - the planted failure, wrapped by the stream
+        if "lost before the commit" not in str(stopped):
+            raise
+    jobs.run_append(stream(), out, ckpt)
+    rows = jobs.read_batches(spark, out, "data", e.schema)
+    batches = rows.agg(F.count_distinct("batch_id").cast("int").alias("batches"))
+    return with_scalars(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")), batches)
+
+
+def _totals_sql():
+    from murmur.plans.q_models import LEXICON_SCORES_SQL
+    return f"""
+SELECT vader_label, count(*) AS n, round(avg(vader_compound), 6) AS mean, round(stddev_samp(vader_compound), 6) AS std,
+       min(vader_compound) AS min, max(vader_compound) AS max FROM ({LEXICON_SCORES_SQL}) GROUP BY vader_label"""
+
+
+@query("stm_02_stream_running_totals", oracle=_totals_sql())
 def stm_02_stream_running_totals(spark, sf):
-    """STM-2: lexicon scoring as a stateless stream over the documents file
-    family, with mergeable running totals per label (stream-static join to
-    the one-row lexicon table)."""
+    """STM-2: lexicon scoring of the documents as a stream of files, with
+    mergeable totals per label."""
     from murmur.plans.q_models import lexicon
-    lex = lexicon(spark, sf)
-    raw = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").schema
+    from murmur.session import cut_lineage
+    lex = cut_lineage(lexicon(spark, sf))
+    d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    src = _family(spark, d, 4, "documents")
+    out, ckpt = jobs.scratch(spark, "totals")
+    jobs.score_stream(jobs.file_stream(spark, src, d.schema, max_files_per_trigger=2), out, ckpt,
+                      score=lambda batch: se.lexicon_scores(batch, "text", lex, check_blank=False),
+                      group="vader_label", value="vader_compound")
+    return rounded(jobs.running_totals(spark, out, "vader_label"))
 
-    def build():
-        s = jobs.file_stream(spark, sf, raw, glob="documents.parquet").select("doc_id", "text")
-        scored = se.lexicon_scores(s, "text", lex, check_blank=False)
-        return jobs.running_totals(scored, "vader_label", "vader_compound")
-    return rounded(jobs.stream_to_table(spark, "totals", build, complete=True))
+
+@query("stm_02_stateful_totals", oracle="""
+SELECT event_type AS key, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min,
+       max(value) AS max FROM events GROUP BY event_type""")
+def stm_02_stateful_totals(spark, sf):
+    """STM-2 with running moments in the state store, over four batches."""
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("event_type", "value")
+    src = _family(spark, e, 8, "state")
+    out, ckpt = jobs.scratch(spark, "state")
+    jobs.stateful_totals(jobs.file_stream(spark, src, e.schema, max_files_per_trigger=2), out, ckpt, group="event_type", value="value")
+    return rounded(jobs.latest_totals(spark, out))
