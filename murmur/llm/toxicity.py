@@ -11,8 +11,8 @@ its largest kernel values against each of ``LANDMARKS`` words. The Nystrom map
 a linear support vector machine, whose margin a logistic curve makes a score.
 
 Landmarks, SVM and curve are learned on the driver from a bounded sample:
-at most ``PER_LABEL`` labelled texts of either label, picked by a hash of the
-text. Scoring runs over whole texts of all rows in ``mapInArrow``: a word's
+at most about ``PER_LABEL`` labels of either kind, picked by a hash of the id
+(no more than three times that many texts). Scoring runs over whole texts of all rows in ``mapInArrow``: a word's
 subsequences are looked up in one table of the landmarks', words of a batch
 once each, no shuffle.
 
@@ -250,17 +250,42 @@ def fit(labelled: DataFrame) -> Model:
     """Learn from (text, toxic) rows; a bounded sample reaches the driver."""
     rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")) \
         .where("toxic IN (0, 1)")
+    few, share = drawn(rows, "text")
+    return trained([(r["text"], r["toxic"]) for r in few], share)
+
+
+def fit_by_id(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from the texts of (doc_id, toxic) rows. The draw reads the labels
+    alone; the ids drawn are broadcast to one scan of the documents, so texts
+    are neither joined by shuffle nor sorted."""
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    few, share = drawn(rows, "doc_id")
+    if not few:
+        return Model([], share)
+    ids = labels.sparkSession.createDataFrame(few, rows.schema)
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id") \
+        .select("text", "toxic").distinct().orderBy(F.xxhash64("text"), "text", "toxic").limit(3 * PER_LABEL).collect()
+    return trained([(r["text"], r["toxic"]) for r in got], share)
+
+
+def drawn(rows: DataFrame, key: str) -> tuple[list, float]:
+    """(distinct rows of about ``PER_LABEL`` of either label, by a hash of the
+    key, at most 3 * PER_LABEL in all; the share of label 1). No rows where
+    one label is missing."""
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     if len(sizes) < 2:
-        return Model([], share)
+        return [], share
     million = 1_000_000
     draw = F.when(F.col("toxic") == 1, min(million, -(-PER_LABEL * million // sizes[1]))) \
         .otherwise(min(million, -(-PER_LABEL * million // sizes[0])))
-    got = rows.where(F.pmod(F.xxhash64("text"), F.lit(million)) < draw).distinct() \
-        .orderBy(F.xxhash64("text"), "toxic").limit(3 * PER_LABEL).collect()
-    raw, label = [to_bytes(r["text"]) for r in got], np.array([r["toxic"] for r in got], float)
-    landmarks = choose_landmarks(raw, label)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(million)) < draw).distinct() \
+        .orderBy(F.xxhash64(key), key, "toxic").limit(3 * PER_LABEL).collect(), share
+
+
+def trained(rows: list[tuple[str, int]], share: float) -> Model:
+    raw, label = [to_bytes(t) for t, _ in rows], np.array([x for _, x in rows], float)
+    landmarks = choose_landmarks(raw, label) if rows else []
     if not landmarks or len(set(label)) < 2:
         return Model([], share)
     model = Model(landmarks, share)
@@ -287,9 +312,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learn on all folds but one and score every document."""
     fold = fold_of(F.col("doc_id"), folds)
-    learn = docs.select("doc_id", "text").join(
-        labels.where(fold_of(F.col("doc_id"), folds) != held).select("doc_id", "toxic"), "doc_id")
-    return score(docs, fit(learn)).select(
+    learn = labels.select("doc_id", "toxic").where(fold_of(F.col("doc_id"), folds) != held)
+    return score(docs, fit_by_id(docs, learn)).select(
         "doc_id", (fold == held).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
