@@ -34,9 +34,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import (blocks_of, documents, mix, shingle_hashes, small_batches, stored, to_bytes,
-                               word_hashes)
-from murmur.session import cut_lineage
+from murmur.llm.common import (blocks_of, checkpointed, documents, mix, shingle_hashes, small_batches, stored,
+                               to_bytes, word_hashes)
 
 BANDS, ROWS = 40, 7      # for 0.85
 SHINGLE = 5
@@ -141,14 +140,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.max(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("total")).alias("linked"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(doc_id, component): least id reachable over links (a, b).
 
     Every round takes the least label among the neighbours and then the label
     of that label, so paths shrink by half; rounds end when nothing changes."""
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct())
+    both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), scratch)
     labels = both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
-    labels = stored(labels)
+    labels = stored(labels, scratch)
     while True:
         step = both.join(labels, F.col("b") == F.col("doc_id")) \
             .groupBy("a").agg(F.min("component").alias("near"))
@@ -156,7 +155,7 @@ def components(links: DataFrame) -> DataFrame:
             .select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("doc_id").alias("component"), F.col("component").alias("next"))
         new = stored(low.join(jump, "component", "left").select(
-            "doc_id", "old", F.least("component", "next").alias("component")))
+            "doc_id", "old", F.least("component", "next").alias("component")), scratch)
         labels = new.select("doc_id", "component")
         if new.where("component <> old").isEmpty():
             return labels
@@ -195,43 +194,46 @@ def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("token", "doc_id", "n").agg(F.min("alone").alias("alone"), F.max("after").alias("after"))
 
 
-def linked(src: DataFrame, percent: int, banded=band_hashes) -> tuple[DataFrame, DataFrame | None]:
+def linked(src: DataFrame, percent: int, banded=band_hashes,
+           scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows (doc_id, n, rep, component_id) of (doc_id, text) with the least ids
     of their equal sets and of their component (null if there is no other), and
-    the links (a, b, jaccard) between equal sets' least ids, None without any."""
-    base = stored(sketches(src, banded))
+    the links (a, b, jaccard) between equal sets' least ids, None without any.
+    ``scratch`` takes the folders of all tables that these still read."""
+    keep = partial(stored, scratch=scratch)
+    base = keep(sketches(src, banded))
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n"]
-    classes = stored(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    classes = keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     members = known.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi") \
         .select("doc_id", "n", F.explode("bands").alias("band"))
     first = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    active = stored(members.join(first.select("band", "hub"), "band")
+    active = keep(members.join(first.select("band", "hub"), "band")
                          .select("band", "doc_id", "n", "hub").distinct())
     labels = links = None
     if not active.isEmpty():
-        wanted = stored(active.select("doc_id").distinct())
+        wanted = keep(active.select("doc_id").distinct())
         few = wanted.count() * 16 < 8 << 20  # a measured size, else Spark shuffles
         # whole sets of any length: a checkpoint is read row by row, Parquet in vectors of rows
-        sets = cut_lineage(shingle_sets(src.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")))
+        sets = checkpointed(shingle_sets(src.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")), scratch)
         hubs = active.where("doc_id = hub").select("band", "hub", F.col("n").alias("hub_n")).distinct()
         pairs = active.where("doc_id <> hub").join(hubs, ["band", "hub"]) \
             .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "doc_id").distinct()
-        tested = stored(verified(pairs, sets, percent))
+        tested = keep(verified(pairs, sets, percent))
         links = tested.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "jaccard")
-        labels = components(links)
+        labels = components(links, scratch)
         # buckets that are in more than one piece without their hub
         rest = with_component(active.where("doc_id <> hub").select("band", "doc_id"), labels)
         rest = rest.join(in_pieces(rest, "band"), "band", "left_semi").select("doc_id").distinct()
-        rows = stored(prefix_rows(sets.join(rest, "doc_id", "left_semi"), percent))
+        rows = keep(prefix_rows(sets.join(rest, "doc_id", "left_semi"), percent))
         tested, spread = tested.select("hub", "doc_id"), 1
         while True:
             rows = with_component(rows.drop("component"), labels)
-            rows = stored(rows.join(in_pieces(rows, "token"), "token", "left_semi"))
+            rows = keep(rows.join(in_pieces(rows, "token"), "token", "left_semi"))
             if rows.isEmpty():
                 break
             best = F.struct((-F.col("alone")).alias("alone"), (-F.col("doc_id")).alias("neg"), "n", "after", "component")
-            hubs = stored(rows.groupBy("token", F.pmod(F.hash("doc_id"), F.lit(spread)).alias("part"))
+            hubs = keep(rows.groupBy("token", F.pmod(F.hash("doc_id"), F.lit(spread)).alias("part"))
                                .agg(F.max(best).alias("top")).select(
                 "token", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n"),
                 F.col("top.after").alias("hub_after"), F.col("top.component").alias("hub_component")))
@@ -241,12 +243,12 @@ def linked(src: DataFrame, percent: int, banded=band_hashes) -> tuple[DataFrame,
                 & ((100 + percent) * F.least("after", "hub_after") >= percent * (F.col("n") + F.col("hub_n")))) \
                 .select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct() \
                 .join(tested, ["hub", "doc_id"], "left_anti")
-            found = stored(verified(pairs, sets, percent))
+            found = keep(verified(pairs, sets, percent))
             new = found.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "jaccard")
             if not new.isEmpty():
-                links = stored(links.unionAll(new))
-                labels = components(links)
-            tested = stored(tested.unionAll(found.select("hub", "doc_id")))
+                links = keep(links.unionAll(new))
+                labels = components(links, scratch)
+            tested = keep(tested.unionAll(found.select("hub", "doc_id")))
             # a hub's pairs in its bucket are settled
             rows = rows.join(hubs.select("token", F.col("hub").alias("doc_id")), ["token", "doc_id"], "left_anti")
             spread *= 32
