@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.common import blocks_of, documents, run_hashes, small_batches, to_bytes
+from murmur.llm.common import blocks_of, documents, run_hash_pairs, small_batches, to_bytes
 
 CACHE_WORDS = 600_000  # words and segments a worker remembers; beyond it starts afresh
 LONG_WORD = 4096         # bytes from which a word is contracted in position rows
@@ -107,27 +107,30 @@ class Lists:
 
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs ``flat[start:start + size]`` one after another."""
-    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    return flat[shift + np.arange(len(shift))]
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat.take(at)
 
 
 class Store:
-    """Run of numbers -> list of numbers. Runs are found by their hash, in
-    sorted arrays (about 50 bytes an entry), and kept: a run that is found is
-    compared whole, so runs with one hash never share a list."""
+    """Run of numbers -> list of numbers. Runs are found by a hash, in sorted
+    arrays (about 50 bytes an entry), and held against a second one: a run
+    that is found but is another run is learned by itself, so runs that share
+    the first hash never share a list (both agree with odds near 2^-114)."""
 
-    def __init__(self, source, dtype):
-        self.kinds = source, dtype
+    def __init__(self, dtype):
+        self.dtype = dtype
         self.clear()
 
     def clear(self):
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.runs, self.lists = (Lists(k) for k in self.kinds)
+        self.keys, self.slots, self.seconds = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.lists = Lists(self.dtype)
 
     def get(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
         """(lists of the runs ``data[start:end]`` one after another, size of
         each). ``learn(firsts)`` gives (flat, sizes) for runs not seen yet."""
-        keys, at, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first, second = run_hash_pairs(data, starts, ends)
+        keys, at, which = np.unique(first, return_index=True, return_inverse=True)
         slots = self._find(keys)
         new = np.flatnonzero(slots < 0)
         if len(new) and len(self.keys) + len(new) > CACHE_WORDS:
@@ -135,20 +138,16 @@ class Store:
             new = np.arange(len(keys))
         if len(new):
             flat, sizes = learn(at[new])
-            n = (ends - starts)[at[new]]
             pos = np.searchsorted(self.keys, keys[new])
             self.slots = np.insert(self.slots, pos, len(self.lists.sizes) + np.arange(len(new)))
             self.keys = np.insert(self.keys, pos, keys[new])
+            self.seconds = np.concatenate([self.seconds, second[at[new]]])
             self.lists.add(sizes, flat)
-            self.runs.add(n, gathered(data, starts[at[new]], n))
             slots = self._find(keys)
         own = slots[which]
         flat, n = self.lists.gather(own)
-        sizes = ends - starts
-        if np.array_equal(self.runs.sizes[own], sizes) and np.array_equal(
-                self.runs.gather(own)[0], gathered(data, starts, sizes)):
-            return flat, n
-        return self._apart(data, starts, ends, own, learn)
+        other = np.flatnonzero(self.seconds[own] != second)
+        return (flat, n) if not len(other) else self._apart(flat, n, other, learn)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 where there is none."""
@@ -157,16 +156,12 @@ class Store:
         i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[i] == hashes, self.slots[i], -1)
 
-    def _apart(self, data, starts, ends, slots, learn):
-        """Some runs have another run's hash: those are learned by themselves."""
-        out = []
-        for i, slot in enumerate(slots.tolist()):
-            kept = self.runs.gather(np.array([slot]))[0]
-            if np.array_equal(kept, data[starts[i]:ends[i]]):
-                out.append(self.lists.gather(np.array([slot]))[0])
-            else:
-                out.append(np.asarray(learn(np.array([i]))[0]))
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+    def _apart(self, flat: np.ndarray, n: np.ndarray, other: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that have another run's first hash get lists of their own."""
+        parts = np.split(flat, np.cumsum(n)[:-1])
+        for i in other.tolist():
+            parts[i] = np.asarray(learn(np.array([i]))[0])
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 class Coder:
@@ -203,7 +198,7 @@ class Coder:
         self.known = np.zeros(self.size, bool)
         self.known[list(ranks.values())] = True
         self.spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.segments, self.words, self.pieces = Store(np.uint8, np.int32), Store(np.uint8, np.int32), Store(np.int32, np.uint8)
+        self.segments, self.words, self.pieces = Store(np.int32), Store(np.int32), Store(np.uint8)
 
     def _table(self, name, rows):
         self.con.register("_rows", rows)

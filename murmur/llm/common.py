@@ -96,7 +96,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WINDOW = 1 << 20       # bytes whose products are held at a time
 _PLACES = 1 << 16       # factors kept in a table; later ones are computed
-_SEED, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
+_SEED, _SEED2, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,27 +107,36 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _computed(place: np.ndarray) -> np.ndarray:
+def _computed(place: np.ndarray, seed: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(place.astype(np.uint64) * _STEP + _SEED)
+        return mix(place.astype(np.uint64) * _STEP + seed)
 
 
-_FACTORS = _computed(np.arange(_PLACES))
+_FACTORS = {seed: _computed(np.arange(_PLACES), seed) for seed in (_SEED, _SEED2)}
 _VALUE = mix(np.arange(256).astype(np.uint64) + np.uint64(1))
-_WORD_VALUE = _VALUE[_LOWER]
+_WORD_VALUE = np.where(_SPACE, np.uint64(0), _VALUE[_LOWER])
 
 
-def _factors(place: np.ndarray) -> np.ndarray:
+def _factors(place: np.ndarray, seed: np.uint64) -> np.ndarray:
+    table = _FACTORS[seed]
     if not len(place) or place.max() < _PLACES:
-        return _FACTORS[place]
-    return np.where(place < _PLACES, _FACTORS[np.minimum(place, _PLACES - 1)], _computed(place))
+        return table.take(place)
+    return np.where(place < _PLACES, table[np.minimum(place, _PLACES - 1)], _computed(place, seed))
 
 
-def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, value_of) -> np.ndarray:
-    """Hash of every run, in windows over the runs' places."""
+def in_a_row(starts: np.ndarray, ends: np.ndarray) -> bool:
+    """Every run begins where the one before ends."""
+    return bool(len(starts)) and np.array_equal(starts[1:], ends[:-1])
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, value_of, lengths=None,
+            seeds=(_SEED,)) -> list[np.ndarray]:
+    """For each seed the hash of every run, in windows over the runs' places;
+    ``lengths`` are mixed in where they are not the runs' own."""
     sizes = ends - starts
     stop = np.cumsum(sizes)
-    out = np.zeros(len(sizes), np.uint64)
+    out = [np.zeros(len(sizes), np.uint64) for _ in seeds]
+    row = in_a_row(starts, ends)
     with np.errstate(over="ignore"):
         for lo in range(0, int(stop[-1]) if len(stop) else 0, _WINDOW):
             hi = min(int(stop[-1]), lo + _WINDOW)
@@ -139,16 +148,26 @@ def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, value_of)
             held = np.minimum(stop[runs], hi) - begin
             at = np.arange(lo, hi)
             place = at - np.repeat(first, held)
-            product = value_of(values[np.repeat(starts[runs] - first, held) + at]) * _factors(place)
-            out[runs] += np.add.reduceat(product, begin - lo)
-        return mix(out + sizes.astype(np.uint64) * _STEP)
+            part = value_of(values[starts[0] + lo:starts[0] + hi] if row
+                            else values.take(np.repeat(starts[runs] - first, held) + at))
+            for o, seed in zip(out, seeds):
+                o[runs] += np.add.reduceat(part * _factors(place, seed), begin - lo)
+        size = (sizes if lengths is None else lengths).astype(np.uint64) * _STEP
+        return [mix(o + size) for o in out]
+
+
+def _value_of(values: np.ndarray):
+    return (lambda v: _VALUE.take(v)) if values.dtype == np.uint8 else (lambda v: mix(v.astype(np.uint64) + np.uint64(1)))
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of every run ``values[start:end]`` of small numbers."""
-    small = values.dtype == np.uint8
-    return _hashes(values, starts, ends,
-                   (lambda v: _VALUE[v]) if small else (lambda v: mix(v.astype(np.uint64) + np.uint64(1))))
+    return _hashes(values, starts, ends, _value_of(values))[0]
+
+
+def run_hash_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of every run, 128 bits in all."""
+    return _hashes(values, starts, ends, _value_of(values), seeds=(_SEED, _SEED2))
 
 
 def to_bytes(text: str | None) -> bytes:
@@ -161,7 +180,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[joined]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
-    hashes = _hashes(joined, starts, ends, lambda v: _WORD_VALUE[v])
+    # a word with the white space after it, which adds nothing, is a run
+    (hashes,) = _hashes(joined, starts, np.append(starts[1:], len(joined))[:len(starts)], lambda v: _WORD_VALUE.take(v),
+                        ends - starts)
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
     return hashes, np.searchsorted(starts, offsets)
 

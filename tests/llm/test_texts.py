@@ -46,9 +46,9 @@ def test_byte_coder_survives_equal_hashes(monkeypatch):
     from murmur.llm import bpe
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    # a hash of five values: nearly everything collides
-    real = bpe.run_hashes
-    monkeypatch.setattr(bpe, "run_hashes", lambda *a: real(*a) % np.uint64(5))
+    # a first hash of five values: nearly everything collides
+    real = bpe.run_hash_pairs
+    monkeypatch.setattr(bpe, "run_hash_pairs", lambda *a: [real(*a)[0] % np.uint64(5), real(*a)[1]])
     coder = bpe.Coder(ranks, P.PATTERN)
     texts = ["hello world, hello there", "the cat sat on the mat", "", "another text 123 with naïve words 日本"]
     for _ in range(2):
