@@ -120,6 +120,24 @@ def guard_new_columns(df: DataFrame, new_cols: Iterable[str]) -> None:
         raise ValueError(f"columns already exist: {clash}")
 
 
+def required_fields(df: DataFrame, *, texts: Sequence[str] = (), counts: Sequence[str] = (),
+                    parts: Mapping[str, Sequence[str]] | None = None, fault: str = "fault") -> tuple[DataFrame, DataFrame]:
+    """PRJ-9: (good, bad) rows. Texts must not be blank (they are trimmed),
+    counts must be whole numbers from 0 on (they become longs), and the parts
+    of a total must not exceed it. Bad rows keep their values as they came and
+    say in ``fault`` which rule failed first."""
+    number = {c: F.when(F.trim(F.col(c).cast("string")).rlike("^[+-]?[0-9]+$"), F.col(c).cast("string")).try_cast("long") for c in counts}
+    reason = F.lit(None).cast("string")
+    rules = [(F.coalesce(F.trim(F.col(c)) == "", F.lit(True)), f"{c}: text required") for c in texts]
+    rules += [(F.coalesce(number[c] < 0, F.lit(True)), f"{c}: count required") for c in counts]
+    rules += [(sum((number[p] for p in ps), F.lit(0)) > number[t], f"{t}: less than its parts") for t, ps in (parts or {}).items()]
+    for broken, text in reversed(rules):
+        reason = F.when(broken, F.lit(text)).otherwise(reason)
+    marked = df.withColumn(fault, reason)
+    good = marked.where(F.col(fault).isNull()).drop(fault).withColumns({**{c: F.trim(F.col(c)) for c in texts}, **number})
+    return good, marked.where(F.col(fault).isNotNull())
+
+
 def alias_columns(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     """PRJ-10: compatibility alias columns (new name -> existing column)."""
     return df.withColumns({new: F.col(old) for new, old in aliases.items()})

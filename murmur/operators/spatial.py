@@ -150,6 +150,20 @@ def representativeness(posts: DataFrame, returns: DataFrame, regions: DataFrame,
     return per_region, summary
 
 
+def language_by_region(posts: DataFrame, returns: DataFrame, *, region_col: str, lang_col: str, lang: str, share: str,
+                       demographic: str, min_rows: int = 100) -> DataFrame:
+    """JOI-7: per region the rows, the rows of a language and their share in
+    percent, inner join with a demographic column, regions under ``min_rows``
+    left out; the fit line of the share on it and their correlation."""
+    counts = posts.groupBy(F.col(region_col).alias("state_code")).agg(
+        F.count(F.lit(1)).alias("n_tweets"), F.count_if(F.col(lang_col) == lang).alias("n_lang"))
+    m = counts.withColumn(share, F.col("n_lang") * 100.0 / F.col("n_tweets")).join(
+        returns.select("state_code", demographic), "state_code").where(F.col("n_tweets") >= min_rows)
+    line = m.agg(F.regr_intercept(share, demographic).alias("_i"), F.regr_slope(share, demographic).alias("_s"),
+                 safe_corr(demographic, share).alias("pearson_r"))
+    return with_scalars(m, line).withColumn("fitted_share_pct", F.col("_i") + F.col("_s") * F.col(demographic)).drop("_i", "_s")
+
+
 def crosstab_with_totals(df: DataFrame, row: Column, col: Column, total: str = "Total") -> DataFrame:
     """AGG-15: row x column counts with a total row and column (``cube`` with
     ``grouping`` flags), long form: region, language, n."""

@@ -253,3 +253,19 @@ def day_coverage(df: DataFrame, ts_col: str, stream: str) -> DataFrame:
                       F.coalesce("missing_days", F.array().cast("array<date>")).alias("missing_days"),
                       (F.col("_first") == F.col("_lo")).alias("start_matches"),
                       (F.col("_last") == F.col("_hi")).alias("end_matches"))
+
+
+def irony_profile(df: DataFrame, prob: str, score: str, groups: Mapping[str, str], *, high: float = 0.5,
+                  very_high: float = 0.7) -> DataFrame:
+    """AGG-34: rows, shares above two levels of a probability, and the mean
+    score above and up to the first (0 where there are none), overall and for
+    each named grouping, from one pass (grouping sets)."""
+    p = F.col(prob)
+    cells = F.array(F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("group")), *[
+        F.struct(F.lit(k).alias("scope"), F.col(c).cast("string").alias("group")) for k, c in groups.items()])
+    return df.select(p.alias("_p"), F.col(score).alias("_s"), F.explode(cells).alias("_c")).groupBy(
+        F.col("_c.scope").alias("scope"), F.col("_c.group").alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("_p") > high).cast("double")).alias("share_high"),
+        F.avg((F.col("_p") > very_high).cast("double")).alias("share_very_high"),
+        F.coalesce(F.avg(F.when(F.col("_p") > high, F.col("_s"))), F.lit(0.0)).alias("mean_score_high"),
+        F.coalesce(F.avg(F.when(F.col("_p") <= high, F.col("_s"))), F.lit(0.0)).alias("mean_score_low"))

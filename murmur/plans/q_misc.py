@@ -33,8 +33,9 @@ from murmur.sources.tables import table
 
 def _conv_scored(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return se.model_scores(c.withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn")), "text",
-                           se.char_profile_predictor)
+    # (conversation, turn) as text of fixed width: in order, and never two alike
+    row = F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 19, "0"), F.lpad(F.col("turn").cast("string"), 10, "0"))
+    return se.model_scores(c.withColumn("row_id", row), "text", se.char_profile_predictor)
 
 
 @query("ann_03_seed_pick")
@@ -304,7 +305,7 @@ def _ladder_sql():
     fict = "|".join(pt.FICTIONAL)
     nb = "[^\\p{L}\\p{N}_]"
     return f"""
-WITH d AS (SELECT doc_id, trim(coalesce(split_part(text, chr(10), 1), '')) AS loc FROM documents),
+WITH d AS (SELECT doc_id, trim(coalesce(text, '')) AS loc FROM documents),
 x AS (SELECT doc_id, loc,
         list_sort(list_distinct(list_concat(regexp_extract_all(upper(loc), '{abbr}', 2),
           list_transform({names_found_sql('loc')}, lambda n: {CODE_BY_NAME}[list_position({NAME_LIST}, n)])))) AS st,
@@ -324,7 +325,7 @@ SELECT doc_id, missing AS user_loc_missing_flag, array_to_string(st, ';') AS mat
 
 @query("pro_06b_prototype_location", oracle=_ladder_sql())
 def pro_06b_prototype_location(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("loc"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("loc"))
     return rounded(pt.location_ladder(d, "loc").drop("loc"))
 
 
@@ -435,14 +436,17 @@ def chk_06_09_closure_and_rescoring(spark, sf):
     return r.unionByName(closure)
 
 
-# Static register (PRO-11): which later analyses each risk affects.
+# The register of PRO-11, which later phases each criterion
+# affects, in its order.
 LINKAGE = [
-    ("textual_evidence_risk", "sentiment scoring", "aggregation"),
-    ("duplicate_amplification_risk", "aggregation", "regression"),
-    ("spatial_validity_risk", "regional matrices", "regional regression"),
-    ("sentiment_ambiguity_risk", "sentiment scoring", "aggregation"),
-    ("sarcasm_irony_risk", "sentiment scoring", "interpretation"),
-    ("model_suitability_risk", "sentiment scoring", "model comparison"),
+    ("textual_evidence", "textual_evidence_risk", "Phase 3/4/5"),
+    ("sentiment_ambiguity", "sentiment_ambiguity_risk", "Phase 3/4/5"),
+    ("sarcasm_irony_proxy", "sarcasm_irony_risk", "Phase 3/4/5"),
+    ("user_representativeness", "user_representativeness_risk", "Phase 4/5"),
+    ("duplicate_amplification_proxy", "duplicate_amplification_risk", "Phase 4/5"),
+    ("spatial_validity", "spatial_validity_risk", "Phase 4/5 state analysis"),
+    ("temporal_coverage", "temporal_coverage_risk", "Phase 4/5 temporal analysis"),
+    ("model_suitability", "model_suitability_risk", "Phase 3/4/5"),
 ]
 
 
@@ -451,6 +455,6 @@ def pro_11_risk_linkage(spark, sf):
     """PRO-11: the static linkage register joined to the measured summary,
     with a pending mitigation decision per risk."""
     from murmur.plans.q_reliability import RISKS, reliability_run
-    reg = spark.createDataFrame(LINKAGE, "risk_score string, first_affected string, also_affected string")
+    reg = spark.createDataFrame(LINKAGE, "criterion string, risk_score string, affected_phase string")
     s = su.criterion_summary(reliability_run(spark, sf), RISKS)
     return rounded(reg.join(s, "risk_score", "left").withColumn("mitigation_status", F.lit("pending")))

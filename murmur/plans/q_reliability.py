@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from murmur.operators import activity as act
 from murmur.operators import profilers as pf
 from murmur.operators import quality as qa
 from murmur.operators import schema as sc
@@ -20,11 +21,11 @@ from murmur.sources.tables import table
 RISKS = ["text_sparsity_risk", "hashtag_dominance_risk", "mention_dominance_risk", "emoji_dominance_risk",
          "textual_evidence_risk", "duplicate_amplification_risk", "spatial_validity_risk",
          "sentiment_ambiguity_risk", "roberta_entropy_risk", "roberta_margin_ambiguity_risk",
-         "model_suitability_risk", "sarcasm_irony_risk"]
+         "model_suitability_risk", "sarcasm_irony_risk", "user_representativeness_risk", "temporal_coverage_risk"]
 FLAGS = ["prior_url_evidence_available", "location_mapping_available", "state_analysis_available",
          "vader_ambiguity_available", "language_diagnostic_available", "roberta_diagnostic_available",
-         "sarcasm_evidence_available"]
-CANONICAL = ["doc_id", "text", "user_id", "detected_language"]
+         "sarcasm_evidence_available", "user_audit_available", "temporal_diagnostic_available"]
+CANONICAL = ["doc_id", "text", "user_id", "detected_language", "user_loc"]
 
 
 def canonical(spark, sf):
@@ -33,12 +34,19 @@ def canonical(spark, sf):
                     F.col("text").alias("user_loc"))
 
 
+def timed(spark, sf):
+    """The corpus with times: a document's is that of the event with its id
+    (none without one)."""
+    times = b.events(spark, sf).select(F.col("event_id").alias("doc_id"), F.col("ts").alias("date"))
+    return sc.left_join_unique(canonical(spark, sf), times, ["doc_id"])
+
+
 def reliability_run(spark, sf):
     """PRO-10: lexicon scores and model evidence for every document (joined
-    by unique id, JOI-4), then the profilers.
+    by unique id, JOI-4), then all eight profilers.
     Missing evidence stays NULL. Intermediate results are checkpointed so
     the profilers' self-joins read materialised data."""
-    base = canonical(spark, sf)
+    base = timed(spark, sf)
     scored = se.lexicon_scores(base, "text", lexicon(spark, sf), check_blank=False)
     model = se.model_scores(base.select("doc_id", "text"), "text",
                             se.char_profile_predictor).drop("text", "roberta_token_count", "roberta_truncated")
@@ -50,6 +58,9 @@ def reliability_run(spark, sf):
     run = pf.sentiment_ambiguity(run)
     run = pf.model_suitability(run)
     run = pf.sarcasm_proxy(run, "text")
+    metrics, _, _, choice = act.audit(base, "user_id", "date")
+    run = pf.user_representativeness(run, metrics, choice)
+    run, _ = pf.temporal_coverage(run, "date", b.registry(spark, sf))
     run = run.withColumn("global_summary_risk_for_reporting_only",
                          pf.available_mean([F.col(c) for c in RISKS]))   # PRO-9
     return cut_lineage(run)
@@ -190,7 +201,7 @@ def chk_01_input_contract(spark, sf):
 
 
 @query("chk_02_input_warnings", oracle="""
-WITH d AS (SELECT text, split_part(text, chr(10), 1) AS loc FROM documents),
+WITH d AS (SELECT text, text AS loc FROM documents),
 g AS (SELECT coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0) AS dups FROM (SELECT text, count(*) AS n FROM d GROUP BY 1)),
 l AS (SELECT count(CASE WHEN length(text) > 512 THEN 1 END) AS lng,
              count(CASE WHEN loc IS NULL OR trim(loc) = '' THEN 1 END) AS blank FROM d)
@@ -198,7 +209,7 @@ SELECT 'duplicate_texts' AS "check", CASE WHEN dups > 0 THEN 'warn' ELSE 'pass'
 UNION ALL SELECT 'texts_over_512_chars', CASE WHEN lng > 0 THEN 'warn' ELSE 'pass' END, CAST(lng AS VARCHAR) FROM l
 UNION ALL SELECT 'blank_locations', CASE WHEN blank > 0 THEN 'warn' ELSE 'pass' END, CAST(blank AS VARCHAR) FROM l""")
 def chk_02_input_warnings(spark, sf):
-    d = table(spark, sf, "documents").select("text", F.element_at(F.split("text", "\n"), 1).alias("loc"))
+    d = table(spark, sf, "documents").select("text", F.col("text").alias("loc"))
     return qa.input_warnings(d, text_col="text", location_col="loc")
 
 

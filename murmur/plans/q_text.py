@@ -340,7 +340,7 @@ def _spatial_sql():
     fict = "|".join(geo.FICTIONAL_WORDS)
     nonus = "|".join(geo.NON_US_WORDS)
     return f"""
-WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS loc FROM documents),
+WITH d AS (SELECT doc_id, trim(text) AS loc FROM documents),
 x AS (SELECT doc_id, loc, loc = '' AS missing,
         list_sort(list_distinct(list_concat(
           list_transform({names_found_sql('loc')}, lambda n: {CODE_BY_NAME}[list_position({NAME_LIST}, n)]),
@@ -364,6 +364,6 @@ SELECT doc_id, CASE WHEN missing THEN 'missing' ELSE 'available' END AS location
 
 @query("pro_06_spatial_validity", oracle=_spatial_sql())
 def pro_06_spatial_validity(spark, sf):
-    """PRO-6 with each document's first line as the free-text location."""
-    d = docs(spark, sf).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("user_loc"))
+    """PRO-6 with each document's whole text as the free-text location."""
+    d = docs(spark, sf).select("doc_id", F.col("text").alias("user_loc"))
     return pf.spatial_validity(d, "user_loc").drop("user_loc")
