@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.session import checkpoint_dir, cut_lineage
+from murmur.session import checkpoint_dir
 from murmur.sources.tables import table
 
 # One Arrow batch holds at most this many rows and (about) bytes, so a Python
@@ -51,8 +51,9 @@ def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
 
 
 def checkpointed(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
-    """``cut_lineage``, with the checkpoint's folder noted in ``scratch``."""
-    out = cut_lineage(df)
+    """A reliable checkpoint, with its folder noted in ``scratch``."""
+    checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
     if scratch is not None:
         scratch.append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
     return out
@@ -94,7 +95,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_WINDOW = 1 << 20       # bytes whose products are held at a time
+_WINDOW = 1 << 16       # bytes whose products are held at a time
 _PLACES = 1 << 16       # factors kept in a table; later ones are computed
 _SEED, _SEED2, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x9E3779B97F4A7C15)
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import blocks_of, documents, fold_of, mix, small_batches, to_bytes, word_hashes
 from murmur.session import cut_lineage
 
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_500_000
 HOT_SAMPLE = 2_000      # documents looked at to find very frequent words
 END, START, _FIRST = np.uint64(1), np.uint64(2), np.uint64(3)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
