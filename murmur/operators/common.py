@@ -22,6 +22,14 @@ def with_scalars(df: DataFrame, scalars: DataFrame, how: str = "inner") -> DataF
             .join(F.broadcast(scalars.withColumn("_sk", F.lit(0))), "_sk", how).drop("_sk"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than the cluster has cores
+    (a small file is one split) to all cores, before costly work on each row.
+    A scan with enough splits is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_back(df: DataFrame, keyed: DataFrame, on: Mapping[str, Column | str], weight: str) -> DataFrame:
     """Attach to every row of ``df`` the columns of ``keyed``, which has one
     row per key and in ``weight`` the number of rows of ``df`` with that key.

@@ -9,6 +9,7 @@ from murmur.operators import sentiment as se
 from murmur.operators import spatial as sp
 from murmur.operators import stats as st
 from murmur.operators import temporal as tm
+from murmur.operators.common import spread
 from murmur.plans import bindings as b
 from murmur.plans.q_spatial import POSTS_SQL, _matrix_sql, exact
 
@@ -21,7 +22,7 @@ W = r"[\p{L}\p{N}_]"
 
 def lexicon(spark, sf):
     """Words of the labelled documents (joined before they are exploded)."""
-    d = table(spark, sf, "documents").select("doc_id", "text").join(
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).join(
         table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     return se.derive_lexicon(d.select("doc_id", "quality", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower(F.coalesce("text", F.lit(""))), F.lit(f"{W}+"), 0))).alias("word")), doc_col="doc_id")
@@ -104,7 +105,7 @@ LEXICON_SCORES_SQL = _lexicon_scores_sql()
 @query("sen_01_lexicon_scores", oracle=LEXICON_SCORES_SQL)
 def sen_01_lexicon_scores(spark, sf):
     """SEN-1 + SEN-2 over every document."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return se.lexicon_scores(d, "text", lexicon(spark, sf), check_blank=False).drop("text")
 
 

@@ -11,6 +11,7 @@ from murmur.operators import quality as qa
 from murmur.operators import schema as sc
 from murmur.operators import sentiment as se
 from murmur.operators import summaries as su
+from murmur.operators.common import spread
 from murmur.plans import bindings as b
 from murmur.plans.q_models import _strat, lexicon
 from murmur.plans.q_users import CHOICE_SQL, METRICS_SQL
@@ -38,10 +39,21 @@ def timed(spark, sf):
     """The corpus with times: a document's is that of the event with its id
     (none without one)."""
     times = b.events(spark, sf).select(F.col("event_id").alias("doc_id"), F.col("ts").alias("date"))
-    return sc.left_join_unique(canonical(spark, sf), times, ["doc_id"])
+    return sc.left_join_unique(spread(canonical(spark, sf)), times, ["doc_id"])
+
+
+_RUNS: dict = {}
 
 
 def reliability_run(spark, sf):
+    """The checkpointed run over a dataset, made once per application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _RUNS:
+        _RUNS[key] = _profiled(spark, sf)
+    return _RUNS[key]
+
+
+def _profiled(spark, sf):
     """PRO-10: lexicon scores and model evidence for every document (joined
     by unique id, JOI-4), then all eight profilers.
     Missing evidence stays NULL. Intermediate results are checkpointed so

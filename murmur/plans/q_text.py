@@ -10,6 +10,7 @@ from murmur.functions import text as tx
 from murmur.operators import cleaning as cl
 from murmur.operators import dedupe as dd
 from murmur.operators import profilers as pf
+from murmur.operators.common import spread
 from murmur.plans.registry import query, rounded
 from murmur.sources.tables import table
 
@@ -110,7 +111,7 @@ WHERE length(text_cleaned) > 0
 QUALIFY row_number() OVER (PARTITION BY source, text_cleaned ORDER BY doc_id) = 1""")
 def ded_03_user_text_dedupe(spark, sf):
     """v3 cleaning: clean, drop empty, first per (author, cleaned text)."""
-    d = docs(spark, sf).select("doc_id", "source", "text")
+    d = spread(docs(spark, sf).select("doc_id", "source", "text"))
     return cl.clean_and_dedupe(d, text_col="text", user_col="source", order_by=["doc_id"]).drop("text")
 
 
@@ -193,7 +194,7 @@ FROM k"""
 
 @query("pro_01_textual_evidence", oracle=_textual_sql())
 def pro_01_textual_evidence(spark, sf):
-    d = docs(spark, sf).select("doc_id", "text")
+    d = spread(docs(spark, sf).select("doc_id", "text"))
     out = pf.textual_evidence(d, "text")
     return rounded(out.select(
         "doc_id", "word_count", "character_count", "hashtag_count", "mention_count", "emoji_count",
@@ -289,7 +290,7 @@ SELECT doc_id, near_id AS near_duplicate_cluster_id, ex AS post_clean_exact_dupl
        nr AS normalized_repetition_count, ns AS near_duplicate_cluster_size, cu AS cross_user_repetition_count,
        round(least(greatest((rex + rnr + rns + rcu) / 4.0, 0.0), 1.0), 6) AS duplicate_amplification_risk FROM r""")
 def pro_05_duplicate_amplification(spark, sf):
-    d = docs(spark, sf).select("doc_id", "text", "source")
+    d = spread(docs(spark, sf).select("doc_id", "text", "source"))
     out = pf.duplicate_amplification(d, "text", "source")
     return rounded(out.select("doc_id", "near_duplicate_cluster_id", "post_clean_exact_duplicate_count",
                               "normalized_repetition_count", "near_duplicate_cluster_size",

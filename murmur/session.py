@@ -67,12 +67,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+KNOWN_SIZE = 1 << 40    # bytes up to which the planner's estimate is kept
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
     Used where a frame is re-read by several consumers or where recomputation
     after executor loss would be non-deterministic (range partitioning fed by
     a shuffle). Never a local checkpoint: those die with the executor.
+
+    The planner takes the product of both sides for the size of a join, and a
+    checkpoint keeps that number: over a chain of joins and checkpoints it
+    doubles its digits each time. A number beyond ``KNOWN_SIZE`` is dropped, so
+    the frame's size is unknown and later joins are planned at run time.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) <= KNOWN_SIZE:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
