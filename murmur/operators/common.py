@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HEAVY = 64      # a key with 1 / HEAVY of all rows is heavy: at most HEAVY keys are
 SALTS = 4096    # over which rows that are already served are dealt
+SMALL = 32 << 20    # measured bytes up to which a table is broadcast
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame, how: str = "inner") -> DataFrame:
@@ -22,6 +23,21 @@ def with_scalars(df: DataFrame, scalars: DataFrame, how: str = "inner") -> DataF
             .join(F.broadcast(scalars.withColumn("_sk", F.lit(0))), "_sk", how).drop("_sk"))
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A materialised frame of words or ids, marked for broadcast if it is
+    measured to be small; the planner's estimate of its size may be far off,
+    and it finds the true one only after the other side has been shuffled.
+    Unmarked where broadcasts are switched off."""
+    if df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
+        return df
+    size = F.lit(0)
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if f.dataType.simpleString() in ("string", "binary")
+                       else F.lit(8))
+    held = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if held <= SMALL else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than the cluster has cores
     (a small file is one split) to all cores, before costly work on each row.

@@ -6,8 +6,8 @@ words with distance damping, negation within three tokens, ALL-CAPS
 emphasis when capitalisation is differential, the contrastive "but" rule,
 exclamation/question emphasis, and the compound normalisation
 x / sqrt(x^2 + alpha). The lexicon is an *input table* (word, valence) of
-any size: tokens are joined with it, and each distinct text is scored from its
-matches with array higher-order functions in the JVM.
+any size: tokens are joined with it, and each distinct text is scored from the
+sums over its hits.
 
 SEN-3/5 batch model scoring takes an injected predictor and runs it with
 ``mapInPandas`` (Arrow batches), optionally length-sorted within partitions.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.functions.text import SPACE, token_count
-from murmur.operators.common import join_back
+from murmur.operators.common import broadcast_if_small, join_back
 from murmur.session import cut_lineage
 
 # Rule constants from the published rule set.
@@ -61,7 +61,7 @@ LEX_COLS = ["vader_negative", "vader_neutral", "vader_positive", "vader_compound
 
 def _is_upper(w: Column) -> Column:
     """Python ``str.isupper``: has a cased character and no lower-case one."""
-    return (w == F.upper(w)) & (w != F.lower(w))
+    return (w != F.lower(w)) & (w == F.upper(w))
 
 
 def label_bands(compound: Column, lo: float = -0.05, hi: float = 0.05) -> Column:
@@ -71,124 +71,125 @@ def label_bands(compound: Column, lo: float = -0.05, hi: float = 0.05) -> Column
 
 
 def word_table(lexicon: DataFrame, word: str = "word", valence: str = "valence") -> DataFrame:
-    """Lexicon words merged with the booster and negation lists and the word
-    "but": (k, v, cls, neg, but), one row per lower-cased word."""
-    rules = ([(w, 1, False, False) for w in BOOST_UP] + [(w, 2, False, False) for w in BOOST_DOWN]
-             + [(w, 0, True, False) for w in NEGATIONS] + [("but", 0, False, True)])
-    fixed = lexicon.sparkSession.createDataFrame(rules, "k string, cls int, neg boolean, but boolean").select(
-        "k", F.lit(None).cast("double").alias("v"), "cls", "neg", "but")
-    lex = lexicon.select(F.lower(F.col(word)).alias("k"), F.col(valence).cast("double").alias("v"),
-                         F.lit(0).alias("cls"), F.lit(False).alias("neg"), F.lit(False).alias("but"))
-    return lex.unionByName(fixed).where("k <> ''").groupBy("k").agg(
-        F.max("v").alias("v"), F.max("cls").alias("cls"), F.max("neg").alias("neg"), F.max("but").alias("but"))
-
-
-def lexicon_matches(df: DataFrame, text: Column, lexicon: DataFrame, **names) -> DataFrame:
+    """(k, v), one row per lower-cased word that has a valence."""
+    return lexicon.select(F.lower(F.col(word)).alias("k"), F.col(valence).cast("double").alias("v")).where(
+        "k <> ''").groupBy("k").agg(F.max("v").alias("v")).where("v IS NOT NULL")
+
+
+# a token that is "but" without the punctuation around it
+_BUT = rf"(?<![^{SPACE}])\p{{Punct}}*but\p{{Punct}}*(?![^{SPACE}])"
+
+
+def _bare(raw: Column) -> Column:
+    """A token without the punctuation around it, unless at most two characters stay."""
+    bare = F.trim(raw, F.lit(PUNCT))
+    return F.when(F.length(bare) <= 2, raw).otherwise(bare)
+
+
+def lexicon_sums(df: DataFrame, text: Column, lexicon: DataFrame, **names) -> DataFrame:
     """One row per distinct text: _key (its digest), _rows (rows that hold
-    it), counts of tokens, all-caps tokens and marks, and in _m, in order of
-    position, every token that the rules can need: words of the word table and
-    contractions with "n't". All others only count.
-
-    Tokens are exploded without their text and looked up once; whether the
-    word table is broadcast or shuffled is up to its size. A text's rows meet
-    again as the set of its matches, about one token in ten, so copies of a
-    text need no care and no text or token array is ever shuffled."""
+    it), counts of tokens and marks (_n, _ex, _qn), number _hits of its words
+    that carry sentiment, and of their valences after all rules the sum _sum,
+    and the sums _pos and _neg of those above and below zero, one added each.
+
+    Each token is exploded with the three tokens before it and looked up once
+    in the words that carry sentiment, by broadcast if they are measured to be
+    few. Boosters, negations and "but" are fixed lists, so what a hit's
+    predecessors do is known on its own row, and the rows of a text meet as
+    sums: neither texts nor tokens are shuffled. Rows are added up one by one
+    before copies of a text meet, so copies never add up."""
+    held = cut_lineage(word_table(lexicon, **names))
+    boosters = BOOST_UP + BOOST_DOWN
+    # boosters with a valence of their own do not boost; no more than the list
+    valent = [r["k"] for r in held.where(F.col("k").isin(boosters)).collect()]
+    carriers = broadcast_if_small(held.where((F.col("v") != 0) & ~F.col("k").isin(boosters)))
+
     plain = F.coalesce(text, F.lit(""))
-    base = df.select(F.unhex(F.sha2(plain, 256)).alias("_key"), plain.alias("_t"),
-                     F.filter(F.split(plain, f"[{SPACE}]+"), lambda x: F.length(x) > 0).alias("_w"))
-    # position 0 is a mark that every text has, words or not
-    base = base.select("_key", F.regexp_count("_t", F.lit("!")).alias("_ex"), F.regexp_count("_t", F.lit(r"\?")).alias("_qn"),
-                       F.size("_w").alias("_n"), F.size(F.filter("_w", _is_upper)).alias("_nup"),
-                       F.concat(F.array(F.lit("")), "_w").alias("_w"))
-    scalars = ["_ex", "_qn", "_n", "_nup"]
-    ex = base.select("_key", *scalars, F.posexplode("_w").alias("pos", "raw"))
-    bare = F.trim("raw", F.lit(PUNCT))
-    ex = ex.withColumn("raw", F.when(F.length(bare) <= 2, F.col("raw")).otherwise(bare)).withColumn("k", F.lower("raw"))
-    negated = F.col("k").contains("n't")
-    found = ex.join(word_table(lexicon, **names), "k", "left").where((F.col("pos") == 0) | F.col("cls").isNotNull() | negated)
-    match = F.struct("pos", _is_upper(F.col("raw")).alias("up"), "v", F.coalesce("cls", F.lit(0)).alias("cls"),
-                     (F.coalesce("neg", F.lit(False)) | negated).alias("neg"), F.coalesce("but", F.lit(False)).alias("but"))
-    return found.groupBy("_key").agg(
-        *[F.max(c).alias(c) for c in scalars], F.count_if(F.col("pos") == 0).alias("_rows"),
-        F.sort_array(F.collect_set(F.when(F.col("pos") > 0, match))).alias("_m"))
-
-
-_MATCH = "struct<pos:int,up:boolean,v:double,cls:int,neg:boolean,but:boolean>"
+    base = df.select(F.monotonically_increasing_id().alias("_row"), plain.alias("_t"))
+    base = base.select("_row", "_t", F.unhex(F.sha2("_t", 256)).alias("_key"), F.regexp_count("_t", F.lit("!")).alias("_ex"),
+                       F.regexp_count("_t", F.lit(r"\?")).alias("_qn"), F.array_remove(F.split("_t", f"[{SPACE}]+"), "").alias("_w"))
+    nup = F.size(F.filter("_w", _is_upper))
+    base = base.select("_row", "_key", "_ex", "_qn", F.size("_w").alias("_n"), ((nup > 0) & (nup < F.size("_w"))).alias("_cap"),
+                       # only texts with "but" somewhere are searched for the word
+                       F.when(F.lower("_t").rlike(_BUT), F.array_position(
+                           F.transform("_w", lambda x: F.lower(_bare(x))), "but")).alias("_but"),
+                       # position 0 is a mark that every text has, words or not
+                       F.concat(F.array(F.lit("")), "_w").alias("_w0"))
+    for k in (1, 2, 3):
+        base = base.withColumn(f"_w{k}", F.concat(F.array_repeat(F.lit(""), k), "_w0"))
+    per_row = ["_row", "_key", "_ex", "_qn", "_n", "_cap", "_but"]
+    ex = base.select(*per_row, F.posexplode(F.arrays_zip("_w0", "_w1", "_w2", "_w3")).alias("pos", "z")).where(
+        "pos <= _n").select(*per_row, "pos", *[F.col(f"z._w{k}").alias(f"t{k}") for k in range(4)])
+    ex = ex.withColumn("raw", _bare(F.col("t0"))).withColumn("k", F.lower("raw"))
+    hits = ex.join(carriers, "k", "left").where((F.col("pos") == 0) | F.col("v").isNotNull())
+
+    v, cap = F.col("v"), F.col("_cap")
+    hits = hits.withColumn("v", F.when(_is_upper(F.col("raw")) & cap, v + F.signum("v") * C_INCR).otherwise(v))
+    hits = hits.withColumns({f"r{k}": _bare(F.col(f"t{k}")) for k in (1, 2, 3)})
+    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        p = F.lower(F.col(f"r{k}"))
+        scal = F.when(p.isin(BOOST_DOWN), F.lit(B_DECR)).when(p.isin(BOOST_UP), F.lit(B_INCR))   # NULL: no booster
+        hits = hits.withColumns({"_p": p, "_b": F.when(~p.isin(valent), scal) if valent else scal})
+        scal = F.when(v < 0, -F.col("_b")).otherwise(F.col("_b"))
+        scal = F.when(_is_upper(F.col(f"r{k}")) & cap, F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
+        hits = hits.withColumn("v", F.when((v != 0) & F.col("_b").isNotNull(), v + scal * damp).otherwise(v))
+        negated = F.col("_p").isin(NEGATIONS) | F.col("_p").contains("n't")
+        hits = hits.withColumn("v", F.when((v != 0) & negated, v * N_SCALAR).otherwise(v))
+    but = F.nullif(F.col("_but"), F.lit(0))
+    hits = hits.withColumn("v", F.when(but.isNull(), v).when(F.col("pos") < but, v * 0.5)
+                           .when(F.col("pos") > but, v * 1.5).otherwise(v))
+    sums = hits.groupBy("_key", "_row").agg(
+        *[F.max(c).alias(c) for c in ("_ex", "_qn", "_n")], F.count_if(v != 0).alias("_hits"),
+        F.coalesce(F.sum("v"), F.lit(0.0)).alias("_sum"), F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_pos"),
+        F.coalesce(F.sum(F.when(v < 0, v - 1)), F.lit(0.0)).alias("_neg"))
+    # copies have the same counts and, rounded, the same sums
+    return sums.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in ("_ex", "_qn", "_n", "_hits")],
+        *[F.max(F.round(c, 9)).alias(c) for c in ("_sum", "_pos", "_neg")])
 
 
 def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix: str = "vader_",
                    check_blank: bool = True, **names) -> DataFrame:
     """SEN-1 + SEN-2. Appends ``<prefix>negative/neutral/positive/compound/label``.
     Existing output columns are an error; blank text fails the job when
-    ``check_blank`` (an empty frame keeps its schema).
-
-    Hits first: only lexicon words can carry sentiment and only what stands up
-    to three places before one can change it, so the rules run over the
-    matches of each distinct text (``lexicon_matches``), never over all its
-    tokens. The scores are joined back on the text's digest, those of a very
-    common text by broadcast. Sums are rounded to nine places before the
-    published rounding, so the order of summation never shows."""
+    ``check_blank`` (an empty frame keeps its schema). The scores of each
+    distinct text (``lexicon_text_scores``) are joined back on the text's
+    digest, those of a very common text by broadcast."""
     outs = [f"{prefix}{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
     clash = [c for c in outs if c in df.columns]
     if clash:
         raise ValueError(f"output columns already exist: {clash}")
     if text_col not in df.columns:
         raise ValueError(f"missing text column {text_col}")
+    scores = lexicon_text_scores(df, text_col, lexicon, prefix=prefix, check_blank=check_blank, **names)
+    return join_back(df, scores, {"_key": text_key(text_col)}, "_rows")
+
+
+def text_key(text_col: str) -> Column:
+    """The digest under which a text's scores are kept."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def lexicon_text_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix: str = "vader_",
+                        check_blank: bool = True, **names) -> DataFrame:
+    """The scores of ``lexicon_scores`` with one row per distinct text (_key,
+    _rows), materialised.
+
+    Hits first: only lexicon words can carry sentiment and only what stands up
+    to three places before one can change it, so the rules run over the hits
+    (``lexicon_sums``), never over all tokens. Sums are rounded to nine places
+    before the published rounding, so the order of summation never shows."""
+    outs = [f"{prefix}{c}" for c in ("negative", "neutral", "positive", "compound", "label")]
     text = F.col(text_col)
     checked = text
     if check_blank:
         checked = F.when(text.isNull() | (F.length(F.trim(text)) == 0),
                          F.raise_error(F.lit("lexicon text must be non-empty"))).otherwise(text)
-    j = lexicon_matches(df, checked, lexicon, **names)
-    for k in (1, 2, 3):  # the matches one, two and three before each
-        j = j.withColumn(f"_m{k}", F.concat(F.array_repeat(F.lit(None).cast(_MATCH), k),
-                                            F.slice("_m", F.lit(1), F.greatest(F.size("_m") - k, F.lit(0)))))
-    # a word's predecessor at distance k, if it is a match, is one of those three
-    before = lambda z, k: F.coalesce(*[F.when(z[f"_m{i}"]["pos"] == z["_m"]["pos"] - k, z[f"_m{i}"])
-                                       for i in range(1, k + 1)])
-    cap_diff = (F.col("_nup") > 0) & (F.col("_nup") < F.col("_n"))
-
-    def hit(z):
-        v = z["_m"]["v"]
-        return F.struct(z["_m"]["pos"].alias("pos"),
-                        F.when(z["_m"]["up"] & cap_diff, v + F.signum(v) * C_INCR).otherwise(v).alias("v"),
-                        *[before(z, k).alias(f"p{k}") for k in (1, 2, 3)])
-
-    def step(k, damp):
-        def run(h):
-            v, p = h["v"], h[f"p{k}"]
-            c = F.coalesce(p["cls"], F.lit(0))
-            scal = F.when(c == 1, F.lit(B_INCR)).when(c == 2, F.lit(B_DECR)).otherwise(F.lit(0.0))
-            scal = F.when(v < 0, -scal).otherwise(scal)
-            scal = F.when((c > 0) & p["up"] & cap_diff, F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
-            boosted = F.when((v != 0) & p["v"].isNull(), v + scal * damp).otherwise(v)
-            return F.struct(h["pos"].alias("pos"), boosted.alias("v"), *[h[f"p{i}"].alias(f"p{i}") for i in (1, 2, 3)])
-
-        def negate(h):
-            v = F.when((h["v"] != 0) & F.coalesce(h[f"p{k}"]["neg"], F.lit(False)), h["v"] * N_SCALAR).otherwise(h["v"])
-            return F.struct(h["pos"].alias("pos"), v.alias("v"), *[h[f"p{i}"].alias(f"p{i}") for i in (1, 2, 3)])
-        return run, negate
-
-    zipped = F.filter(F.arrays_zip("_m", "_m1", "_m2", "_m3"),
-                      lambda z: (F.coalesce(z["_m"]["v"], F.lit(0.0)) != 0) & (z["_m"]["cls"] == 0))
-    hits = F.transform(zipped, hit)
-    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        for f in step(k, damp):
-            hits = F.transform(hits, f)
-    j = j.select("_key", "_rows", "_ex", "_qn", "_n", hits.alias("_h"),
-                 F.array_min(F.transform(F.filter("_m", lambda m: m["but"]), lambda m: m["pos"])).alias("_but"))
-    b = F.col("_but")
-    j = j.withColumn("_s", F.transform("_h", lambda h: F.when(b.isNull(), h["v"]).when(h["pos"] < b, h["v"] * 0.5)
-                                       .when(h["pos"] > b, h["v"] * 1.5).otherwise(h["v"])))
-    total = lambda f: F.round(F.aggregate("_s", F.lit(0.0), lambda a, v: a + f(v)), 9)
+    j = lexicon_sums(df, checked, lexicon, **names)
     ep = F.least(F.col("_ex"), F.lit(EXCLAIM_MAX)) * EXCLAIM_EACH
     qn = F.col("_qn")
     qm = F.when(qn > 1, F.when(qn <= 3, qn * QUESTION_EACH).otherwise(QUESTION_MAX)).otherwise(0.0)
-    j = j.withColumns({
-        "_emph": ep + qm, "_sum": total(lambda v: v),
-        "_pos": total(lambda v: F.when(v > 0, v + 1).otherwise(0.0)),
-        "_neg": total(lambda v: F.when(v < 0, v - 1).otherwise(0.0)),
-        "_neu": (F.col("_n") - F.size("_s") + F.size(F.filter("_s", lambda v: v == 0))).cast("double")})
+    j = j.withColumns({"_emph": ep + qm, "_neu": (F.col("_n") - F.col("_hits")).cast("double")})
     tot_s = (F.when(F.col("_sum") > 0, F.col("_sum") + F.col("_emph"))
              .when(F.col("_sum") < 0, F.col("_sum") - F.col("_emph")).otherwise(F.col("_sum")))
     compound = F.least(F.greatest(tot_s / F.sqrt(tot_s * tot_s + ALPHA), F.lit(-1.0)), F.lit(1.0))
@@ -199,10 +200,9 @@ def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix:
     zero = (F.col("_n") == 0) | (tot == 0)
     share = lambda c: F.when(zero, 0.0).otherwise(F.round(F.round(F.abs(c / tot), 9), 3))
     j = j.withColumn("_cmp", F.when(F.col("_n") == 0, 0.0).otherwise(F.round(F.round(compound, 9), 4)))
-    scores = cut_lineage(j.select(
+    return cut_lineage(j.select(
         "_key", "_rows", share(F.col("_n2")).alias(outs[0]), share(F.col("_neu")).alias(outs[1]),
         share(F.col("_p2")).alias(outs[2]), F.col("_cmp").alias(outs[3]), label_bands(F.col("_cmp")).alias(outs[4])))
-    return join_back(df, scores, {"_key": F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))}, "_rows")
 
 
 def derive_lexicon(words: DataFrame, *, doc_col: str, min_docs: int = 5, min_abs: float = 0.5) -> DataFrame:
