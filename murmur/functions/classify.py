@@ -50,10 +50,19 @@ def _alt(words) -> str:
 
 def _any_word(c: Column, words, ignore_case: bool = True) -> Column:
     flag = "(?i)" if ignore_case else ""
-    return c.rlike(f"{flag}{NB}({_alt(words)}){NA}")
+    return c.rlike(f"{flag}(?=[{''.join(sorted({w[0] for w in words}))}]){NB}({_alt(words)}){NA}")
 
 
-_NAME_SCAN = rf"(?=({NB}(?:{_alt(n for n, _ in STATE_NAMES)}){NA}))"
+def _by_initial(words) -> str:
+    """The alternatives in groups by first letter, behind a test for any of
+    those letters: few are tried at a place. No name begins another, so their
+    order does not matter."""
+    initials = sorted({w[0] for w in words})
+    groups = "|".join(f"{i}(?:{_alt(w[1:] for w in words if w[0] == i)})" for i in initials)
+    return f"(?=[{''.join(initials)}]){NB}(?:{groups}){NA}"
+
+
+_NAME_SCAN = rf"(?=({_by_initial([n for n, _ in STATE_NAMES])}))"
 
 
 # Column literals are built per call: a Column needs an active session.

@@ -62,6 +62,36 @@ def robust_z_sigmoid(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 # --- PRO-1 textual evidence ----------------------------------------------------------
+def textual_facts(text: Column, original: Column | None = None) -> dict[str, Column]:
+    """What PRO-1 needs of a text and of the original text, row by row."""
+    t = F.coalesce(text, F.lit(""))
+    had = F.lit(None).cast("string") if original is None else original.cast("string")
+    return {
+        "word_count": tx.word_count(t), "character_count": tx.char_count(t), "hashtag_count": tx.hashtag_count(t),
+        "mention_count": tx.mention_count(t), "emoji_count": tx.emoji_count(t), "punctuation_count": tx.punctuation_count(t),
+        "is_hashtag_only": tx.only_pattern(t, tx.HASHTAG), "is_mention_only": tx.only_pattern(t, tx.MENTION),
+        "prior_url_evidence_available": had.isNotNull(),
+        "had_url_before_cleaning": F.when(had.isNotNull(), had.rlike(tx.URL_PATTERN))}
+
+
+def textual_risks(df: DataFrame, rows: str | None = None) -> DataFrame:
+    """The ratios, ranks and risks of PRO-1 over ``textual_facts``, which
+    ``df`` holds as columns (``rows``: how many rows a row stands for)."""
+    wc = F.col("word_count")
+    df = df.withColumns({
+        "hashtag_ratio": tx.safe_divide(F.col("hashtag_count"), wc),
+        "mention_ratio": tx.safe_divide(F.col("mention_count"), wc),
+        "emoji_ratio": tx.safe_divide(F.col("emoji_count"), wc),
+        "is_extremely_short": wc <= 3, "text_sparsity_risk": clip01(1.0 - wc / 12.0),
+        "prior_url_evidence_risk": F.lit(None).cast("double")})
+    ranked = rk.percentile_ranks(df, {"hashtag_ratio": "hashtag_dominance_risk",
+                                      "mention_ratio": "mention_dominance_risk",
+                                      "emoji_ratio": "emoji_dominance_risk"}, rows=rows)
+    return ranked.withColumn("textual_evidence_risk", available_mean(
+        [F.col(c) for c in ("text_sparsity_risk", "hashtag_dominance_risk", "mention_dominance_risk",
+                            "emoji_dominance_risk")]))
+
+
 def textual_evidence(df: DataFrame, text_col: str, original_col: str | None = None) -> DataFrame:
     """PRO-1. All evidence is a function of the text (and of the original
     text), so it is found once per distinct text, kept under the text's
@@ -70,34 +100,12 @@ def textual_evidence(df: DataFrame, text_col: str, original_col: str | None = No
     text = F.coalesce(F.col(text_col), F.lit(""))
     original = F.col(original_col).cast("string") if original_col else F.lit(None).cast("string")
     keys = {"_dt": _digest(text), "_do": _digest(original)}
-    t = F.col("_text")
     out = df.select(*[c.alias(k) for k, c in keys.items()], text.alias("_text"), original.alias("_original"))
-    out = out.select(
-        *keys,
-        tx.word_count(t).alias("word_count"), tx.char_count(t).alias("character_count"),
-        tx.hashtag_count(t).alias("hashtag_count"), tx.mention_count(t).alias("mention_count"),
-        tx.emoji_count(t).alias("emoji_count"), tx.punctuation_count(t).alias("punctuation_count"),
-        tx.only_pattern(t, tx.HASHTAG).alias("is_hashtag_only"),
-        tx.only_pattern(t, tx.MENTION).alias("is_mention_only"),
-        F.col("_original").isNotNull().alias("prior_url_evidence_available"),
-        F.when(F.col("_original").isNotNull(), F.col("_original").rlike(tx.URL_PATTERN)).alias("had_url_before_cleaning"))
-    found = [c for c in out.columns if c not in keys]
-    per_text = cut_lineage(out.groupBy(*keys).agg(F.first(F.struct(*found)).alias("_e"), F.count(F.lit(1)).alias("_rows"))
+    facts = textual_facts(F.col("_text"), F.col("_original"))
+    out = out.select(*keys, *[c.alias(k) for k, c in facts.items()])
+    per_text = cut_lineage(out.groupBy(*keys).agg(F.first(F.struct(*facts)).alias("_e"), F.count(F.lit(1)).alias("_rows"))
                            .select(*keys, "_rows", "_e.*"))
-    wc = F.col("word_count")
-    per_text = per_text.withColumns({
-        "hashtag_ratio": tx.safe_divide(F.col("hashtag_count"), wc),
-        "mention_ratio": tx.safe_divide(F.col("mention_count"), wc),
-        "emoji_ratio": tx.safe_divide(F.col("emoji_count"), wc),
-        "is_extremely_short": wc <= 3, "text_sparsity_risk": clip01(1.0 - wc / 12.0),
-        "prior_url_evidence_risk": F.lit(None).cast("double")})
-    ranked = rk.percentile_ranks(per_text, {"hashtag_ratio": "hashtag_dominance_risk",
-                                            "mention_ratio": "mention_dominance_risk",
-                                            "emoji_ratio": "emoji_dominance_risk"}, rows="_rows")
-    ranked = cut_lineage(ranked.withColumn("textual_evidence_risk", available_mean(
-        [F.col(c) for c in ("text_sparsity_risk", "hashtag_dominance_risk", "mention_dominance_risk",
-                            "emoji_dominance_risk")])))
-    return join_back(df, ranked, keys, "_rows")
+    return join_back(df, cut_lineage(textual_risks(per_text, "_rows")), keys, "_rows")
 
 
 def _digest(text: Column) -> Column:
@@ -117,8 +125,22 @@ def _repetition_risk_by_count(groups: DataFrame, count_col: str, rows_col: str,
                         .otherwise(F.coalesce(F.col(out), F.lit(0.0)))))
 
 
+def duplicate_digests(text: Column, signature_length: int | None = None) -> dict[str, Column]:
+    """Digests of a text, of its normal form and of its near signature."""
+    t = F.coalesce(text, F.lit(""))
+    return {"_hx": _digest(t), "_hn": _digest(tx.duplicate_normal_form(t)),
+            "near_duplicate_cluster_id": F.sha2(tx.near_signature(t, signature_length), 256)}
+
+
 def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
                             signature_length: int | None = None, exact_removed: int = 0) -> DataFrame:
+    """``digested_amplification`` of a frame that holds the texts."""
+    return digested_amplification(df, duplicate_digests(F.col(text_col), signature_length), user_col,
+                                  exact_removed=exact_removed)
+
+
+def digested_amplification(df: DataFrame, digests: dict[str, Column], user_col: str, *,
+                           exact_removed: int = 0) -> DataFrame:
     """Exact / normalised / near-signature / cross-user repetition counts and
     the mean of their repetition risks.
 
@@ -126,11 +148,10 @@ def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
     per (text digest, user) with its count is all that is kept: the three
     groupings and their ranks are found there, put together per distinct text,
     and joined back to the rows once, on the text's digest (a text with many
-    copies by broadcast). Texts themselves are never shuffled for the counts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    copies by broadcast). Texts themselves are never shuffled for the counts.
+    ``digests`` are the columns of ``duplicate_digests``."""
     seen = cut_lineage(df.select(
-        _digest(text).alias("_hx"), _digest(tx.duplicate_normal_form(text)).alias("_hn"),
-        F.sha2(tx.near_signature(text, signature_length), 256).alias("near_duplicate_cluster_id"),
+        *[c.alias(k) for k, c in digests.items()],
         F.coalesce(F.col(user_col).cast("string"), F.lit("__MISSING_USER_ID__")).alias("_u"))
         .groupBy("_hx", "_hn", "near_duplicate_cluster_id", "_u").agg(F.count(F.lit(1)).alias("_n")))
     exact, normal, near, users = ("post_clean_exact_duplicate_count", "normalized_repetition_count",
@@ -150,7 +171,7 @@ def duplicate_amplification(df: DataFrame, text_col: str, user_col: str, *,
     texts = cut_lineage(texts.withColumn("_rows", F.col(exact)).withColumn(
         "duplicate_amplification_risk", available_mean([F.col(c) for c in ("_r1", "_r2", "_r3", "_r4")]))
         .drop("_r1", "_r2", "_r3", "_r4", "_hn"))
-    out = join_back(df, texts, {"_hx": _digest(text)}, "_rows")
+    out = join_back(df, texts, {"_hx": digests["_hx"]}, "_rows")
     return out.withColumns({"phase2_exact_duplicates_removed": F.lit(int(exact_removed)),
                             "near_duplicate_evidence_type": F.lit("same signature: lexical evidence only")})
 
@@ -164,7 +185,8 @@ EYE_ROLL = "\U0001F644"
 
 
 def _words_re(words) -> str:
-    return rf"(?i){tx.NB}(?:{'|'.join(w.replace(' ', r'\ ') for w in words)}){tx.NA}"
+    initials = "".join(sorted({w[0] for w in words}))   # tried first: few places pass
+    return rf"(?i)(?=[{initials}]){tx.NB}(?:{'|'.join(w.replace(' ', r'\ ') for w in words)}){tx.NA}"
 
 
 def sarcasm_proxy(df: DataFrame, text_col: str) -> DataFrame:
@@ -257,11 +279,12 @@ def spatial_validity(df: DataFrame, location_col: str) -> DataFrame:
     raw = F.col(location_col).cast("string")
     stripped = F.trim(raw)
     missing = raw.isNull() | (stripped == "")
-    states = geo.extract_states(stripped)
+    # costly matches as columns of their own, found once a row
+    df = df.withColumns({"_states": geo.extract_states(stripped), "_national": geo.is_national(stripped),
+                         "_fictional": geo.is_fictional(stripped), "_non_us": geo.mentions_non_us(stripped)})
+    states, national, fictional = F.col("_states"), F.col("_national"), F.col("_fictional")
     n = F.size(states)
-    national = geo.is_national(stripped)
-    fictional = geo.is_fictional(stripped)
-    non_us = geo.mentions_non_us(stripped) & (n == 0)
+    non_us = F.col("_non_us") & (n == 0)
     one, multi = n == 1, n > 1
     ambiguous = ~missing & ~national & ~fictional & ~non_us & ~one
     conf = (F.when(ambiguous | fictional | non_us, 0.0).when(national, 0.0).when(multi, 0.25)
@@ -274,7 +297,7 @@ def spatial_validity(df: DataFrame, location_col: str) -> DataFrame:
         "national_only_location": national, "ambiguous_location": ambiguous | multi,
         "non_us_location": non_us, "missing_location": missing, "fictional_location": fictional,
         "state_analysis_available": one, "national_temporal_analysis_available": F.lit(True),
-        "spatial_validity_risk": F.when(~missing, 1.0 - conf)})
+        "spatial_validity_risk": F.when(~missing, 1.0 - conf)}).drop("_states", "_national", "_fictional", "_non_us")
 
 
 # --- PRO-7 temporal coverage ---------------------------------------------------------------
