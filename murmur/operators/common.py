@@ -23,19 +23,18 @@ def with_scalars(df: DataFrame, scalars: DataFrame, how: str = "inner") -> DataF
             .join(F.broadcast(scalars.withColumn("_sk", F.lit(0))), "_sk", how).drop("_sk"))
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """A materialised frame of words or ids, marked for broadcast if it is
-    measured to be small; the planner's estimate of its size may be far off,
-    and it finds the true one only after the other side has been shuffled.
-    Unmarked where broadcasts are switched off."""
+def fits_broadcast(df: DataFrame, most: int = SMALL) -> bool:
+    """Whether a materialised frame of words or ids is measured to be small;
+    the planner's estimate of its size may be far off, and it finds the true
+    one only after the other side has been shuffled. Never where broadcasts
+    are switched off."""
     if df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
-        return df
+        return False
     size = F.lit(0)
     for f in df.schema.fields:
         size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if f.dataType.simpleString() in ("string", "binary")
                        else F.lit(8))
-    held = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
-    return F.broadcast(df) if held <= SMALL else df
+    return (df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0) <= most
 
 
 def spread(df: DataFrame) -> DataFrame:

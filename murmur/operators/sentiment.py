@@ -6,7 +6,7 @@ words with distance damping, negation within three tokens, ALL-CAPS
 emphasis when capitalisation is differential, the contrastive "but" rule,
 exclamation/question emphasis, and the compound normalisation
 x / sqrt(x^2 + alpha). The lexicon is an *input table* (word, valence) of
-any size: tokens are joined with it, and each distinct text is scored from the
+any size: tokens are looked up in it, and each distinct text is scored from the
 sums over its hits.
 
 SEN-3/5 batch model scoring takes an injected predictor and runs it with
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.functions.text import SPACE, token_count
-from murmur.operators.common import broadcast_if_small, join_back
-from murmur.session import cut_lineage
+from murmur.operators.common import fits_broadcast, join_back
+from murmur.session import stored
 
 # Rule constants from the published rule set.
 B_INCR = 0.293
@@ -86,6 +86,68 @@ def _bare(raw: Column) -> Column:
     return F.when(F.length(bare) <= 2, raw).otherwise(bare)
 
 
+# What stands before a word: nothing, a booster up or down, the same in capitals, a negation.
+_PLAIN, _UP, _DOWN, _LOUD_UP, _LOUD_DOWN, _NOT = range(6)
+_ADDED = [0.0, B_INCR, B_DECR, B_INCR + C_INCR, B_DECR + C_INCR, 0.0]     # away from zero
+_TIMES = [1.0, 1.0, 1.0, 1.0, 1.0, N_SCALAR]
+_BUT_TIMES = [1.0, 0.5, 1.5]
+KNOWN = 500_000             # words looked up by broadcast where the lexicon is too large for that
+SAMPLE_CHARS = 64 << 20     # characters of text in which those are counted
+
+
+def _states(df: DataFrame, valent: list[str]) -> DataFrame:
+    """All that the rules need of a token but its valence: _up (in capitals
+    among others), _s1 to _s3 (what stands before it) and _side of "but"
+    (0 none, 1 before, 2 after). ``valent``: boosters that do not boost."""
+    cap = F.col("_cap")
+    ups, downs = ([w for w in words if w not in valent] for words in (BOOST_UP, BOOST_DOWN))
+    df = df.withColumns({"_up": _is_upper(F.col("raw")) & cap, **{f"r{k}": _bare(F.col(f"t{k}")) for k in (1, 2, 3)}})
+    for k in (1, 2, 3):
+        p, s = F.col("_p"), F.col(f"_s{k}")
+        df = df.withColumn("_p", F.lower(F.col(f"r{k}"))).withColumn(
+            f"_s{k}", F.when(p.isin(downs), _DOWN).when(p.isin(ups), _UP)
+            .when(p.isin(NEGATIONS) | p.contains("n't"), _NOT).otherwise(_PLAIN))
+        df = df.withColumn(f"_s{k}", F.when(s.isin(_UP, _DOWN) & cap & _is_upper(F.col(f"r{k}")), s + 2).otherwise(s))
+    but = F.nullif(F.col("_but"), F.lit(0))
+    return df.withColumn("_side", F.when(F.col("pos") < but, 1).when(F.col("pos") > but, 2).otherwise(0))
+
+
+def _ruled(df: DataFrame) -> DataFrame:
+    """The valence v of a token after all rules, from its states. Constants
+    are looked up by state: written out as conditions, the rules make a method
+    beyond the 8000 bytes up to which the JVM compiles one."""
+    of = lambda values, state: F.get(F.array(*[F.lit(x) for x in values]), F.col(state))
+    v = F.col("v")
+    df = df.withColumn("v", v + F.signum("v") * F.when(F.col("_up"), C_INCR).otherwise(0.0))
+    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        df = df.withColumn("v", v + F.signum("v") * of([x * damp for x in _ADDED], f"_s{k}"))
+        df = df.withColumn("v", v * of(_TIMES, f"_s{k}"))
+    return df.withColumn("v", v * of(_BUT_TIMES, "_side"))
+
+
+_SUMS = ["_hits", "_sum", "_pos", "_neg"]
+
+
+def _summed(times: Column | None = None) -> list[Column]:
+    """The sums over hits that each stand for ``times`` tokens."""
+    v, n = F.col("v"), F.lit(1) if times is None else times
+    of = lambda c: F.coalesce(F.sum(c * n), F.lit(0.0))
+    return [F.coalesce(F.sum(F.when(v != 0, n).cast("long")), F.lit(0)).alias("_hits"), of(v).alias("_sum"),
+            of(F.when(v > 0, v + 1)).alias("_pos"), of(F.when(v < 0, v - 1)).alias("_neg")]
+
+
+def _common_words(df: DataFrame, text: Column, carriers: DataFrame) -> DataFrame:
+    """(k, v, _seen) of the most frequent words, in ``carriers`` or not (v
+    NULL). They are counted in a sample of the texts: it settles which words
+    are looked up by broadcast, no score depends on it."""
+    chars = df.agg(F.sum(F.length(text).cast("long")).alias("n")).first()["n"] or 0
+    part = df if chars <= SAMPLE_CHARS else df.sample(SAMPLE_CHARS / chars, seed=7)
+    words = part.select(F.explode(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+")).alias("t")).select(
+        F.lower(_bare(F.col("t"))).alias("k")).where("k <> '' AND length(k) <= 64")
+    top = words.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(KNOWN).select("k")
+    return stored(top.join(carriers, "k", "left").select("k", "v", F.lit(True).alias("_seen")))
+
+
 def lexicon_sums(df: DataFrame, text: Column, lexicon: DataFrame, **names) -> DataFrame:
     """One row per distinct text: _key (its digest), _rows (rows that hold
     it), counts of tokens and marks (_n, _ex, _qn), number _hits of its words
@@ -97,12 +159,17 @@ def lexicon_sums(df: DataFrame, text: Column, lexicon: DataFrame, **names) -> Da
     few. Boosters, negations and "but" are fixed lists, so what a hit's
     predecessors do is known on its own row, and the rows of a text meet as
     sums: neither texts nor tokens are shuffled. Rows are added up one by one
-    before copies of a text meet, so copies never add up."""
-    held = cut_lineage(word_table(lexicon, **names))
+    before copies of a text meet, so copies never add up.
+
+    Of a lexicon too large for a broadcast the frequent words are looked up
+    that way (``_common_words``); only the tokens of other words are shuffled,
+    as a word, a row number and one number for the states around it."""
+    held = stored(word_table(lexicon, **names))
     boosters = BOOST_UP + BOOST_DOWN
     # boosters with a valence of their own do not boost; no more than the list
     valent = [r["k"] for r in held.where(F.col("k").isin(boosters)).collect()]
-    carriers = broadcast_if_small(held.where((F.col("v") != 0) & ~F.col("k").isin(boosters)))
+    carriers = held.where((F.col("v") != 0) & ~F.col("k").isin(boosters))
+    whole = fits_broadcast(carriers)
 
     plain = F.coalesce(text, F.lit(""))
     base = df.select(F.monotonically_increasing_id().alias("_row"), plain.alias("_t"))
@@ -121,33 +188,47 @@ def lexicon_sums(df: DataFrame, text: Column, lexicon: DataFrame, **names) -> Da
     ex = base.select(*per_row, F.posexplode(F.arrays_zip("_w0", "_w1", "_w2", "_w3")).alias("pos", "z")).where(
         "pos <= _n").select(*per_row, "pos", *[F.col(f"z._w{k}").alias(f"t{k}") for k in range(4)])
     ex = ex.withColumn("raw", _bare(F.col("t0"))).withColumn("k", F.lower("raw"))
-    hits = ex.join(carriers, "k", "left").where((F.col("pos") == 0) | F.col("v").isNotNull())
-
-    v, cap = F.col("v"), F.col("_cap")
-    hits = hits.withColumn("v", F.when(_is_upper(F.col("raw")) & cap, v + F.signum("v") * C_INCR).otherwise(v))
-    hits = hits.withColumns({f"r{k}": _bare(F.col(f"t{k}")) for k in (1, 2, 3)})
-    for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        p = F.lower(F.col(f"r{k}"))
-        scal = F.when(p.isin(BOOST_DOWN), F.lit(B_DECR)).when(p.isin(BOOST_UP), F.lit(B_INCR))   # NULL: no booster
-        hits = hits.withColumns({"_p": p, "_b": F.when(~p.isin(valent), scal) if valent else scal})
-        scal = F.when(v < 0, -F.col("_b")).otherwise(F.col("_b"))
-        scal = F.when(_is_upper(F.col(f"r{k}")) & cap, F.when(v > 0, scal + C_INCR).otherwise(scal - C_INCR)).otherwise(scal)
-        hits = hits.withColumn("v", F.when((v != 0) & F.col("_b").isNotNull(), v + scal * damp).otherwise(v))
-        negated = F.col("_p").isin(NEGATIONS) | F.col("_p").contains("n't")
-        hits = hits.withColumn("v", F.when((v != 0) & negated, v * N_SCALAR).otherwise(v))
-    but = F.nullif(F.col("_but"), F.lit(0))
-    hits = hits.withColumn("v", F.when(but.isNull(), v).when(F.col("pos") < but, v * 0.5)
-                           .when(F.col("pos") > but, v * 1.5).otherwise(v))
-    sums = hits.groupBy("_key", "_row").agg(
-        *[F.max(c).alias(c) for c in ("_ex", "_qn", "_n")], F.count_if(v != 0).alias("_hits"),
-        F.coalesce(F.sum("v"), F.lit(0.0)).alias("_sum"), F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_pos"),
-        F.coalesce(F.sum(F.when(v < 0, v - 1)), F.lit(0.0)).alias("_neg"))
+    counts = [F.max(c).alias(c) for c in ("_ex", "_qn", "_n")]
+    if whole:
+        hits = ex.join(F.broadcast(carriers), "k", "left").where((F.col("pos") == 0) | F.col("v").isNotNull())
+        sums = _ruled(_states(hits, valent)).groupBy("_key", "_row").agg(*counts, *_summed())
+    else:
+        sums = _sums_of_many(df, text, ex, carriers, valent, counts)
     # copies have the same counts and, rounded, the same sums
     return sums.groupBy("_key").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in ("_ex", "_qn", "_n", "_hits")],
         *[F.max(F.round(c, 9)).alias(c) for c in ("_sum", "_pos", "_neg")])
 
 
+def _sums_of_many(df: DataFrame, text: Column, ex: DataFrame, carriers: DataFrame, valent: list[str],
+                  counts: list[Column]) -> DataFrame:
+    """The sums per row over the tokens ``ex`` where ``carriers`` is too large
+    for a broadcast (all words are looked up by shuffle where broadcasts are
+    switched off)."""
+    if df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
+        seen = ex.withColumns({"v": F.lit(None).cast("double"), "_seen": F.lit(None).cast("boolean")})
+    else:
+        seen = ex.join(F.broadcast(_common_words(df, text, carriers)), "k", "left")
+    # a token of an unknown word keeps its states in one number
+    seen = seen.withColumn("_other", (F.col("pos") > 0) & F.col("_seen").isNull())
+    rows = _ruled(_states(seen.where("_other OR v IS NOT NULL OR pos = 0"), valent))
+    code = F.col("_up").cast("int")
+    for c, n in (("_s1", 6), ("_s2", 6), ("_s3", 6), ("_side", 3)):
+        code = code * n + F.col(c)
+    other = F.col("_other")
+    rows = stored(rows.groupBy("_row", F.when(~other, F.col("_key")).alias("_key"), F.when(other, F.col("k")).alias("_word"),
+                               F.when(other, code).alias("_code")).agg(*counts, F.count(F.lit(1)).alias("_times"), *_summed()))
+    found = rows.where("_word IS NOT NULL").select("_row", F.col("_word").alias("k"), "_code", "_times").join(carriers, "k")
+    c = F.col("_code")
+    for name, n in (("_side", 3), ("_s3", 6), ("_s2", 6), ("_s1", 6)):
+        found = found.withColumn(name, (c % n).cast("int"))
+        c = F.floor(c / n)
+    found = _ruled(found.withColumn("_up", c == 1)).groupBy(F.col("_row").alias("_r")).agg(
+        *[x.alias(f"{n}m") for x, n in zip(_summed(F.col("_times")), _SUMS)])
+    both = rows.where("_word IS NULL").join(found, F.col("_row") == F.col("_r"), "left")
+    return both.select("_key", "_row", "_ex", "_qn", "_n", *[(F.col(n) + F.coalesce(f"{n}m", F.lit(0))).alias(n) for n in _SUMS])
+
+
 def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, prefix: str = "vader_",
                    check_blank: bool = True, **names) -> DataFrame:
     """SEN-1 + SEN-2. Appends ``<prefix>negative/neutral/positive/compound/label``.
@@ -200,7 +281,7 @@ def lexicon_text_scores(df: DataFrame, text_col: str, lexicon: DataFrame, *, pre
     zero = (F.col("_n") == 0) | (tot == 0)
     share = lambda c: F.when(zero, 0.0).otherwise(F.round(F.round(F.abs(c / tot), 9), 3))
     j = j.withColumn("_cmp", F.when(F.col("_n") == 0, 0.0).otherwise(F.round(F.round(compound, 9), 4)))
-    return cut_lineage(j.select(
+    return stored(j.select(
         "_key", "_rows", share(F.col("_n2")).alias(outs[0]), share(F.col("_neu")).alias(outs[1]),
         share(F.col("_p2")).alias(outs[2]), F.col("_cmp").alias(outs[3]), label_bands(F.col("_cmp")).alias(outs[4])))
 

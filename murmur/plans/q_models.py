@@ -9,7 +9,7 @@ from murmur.operators import sentiment as se
 from murmur.operators import spatial as sp
 from murmur.operators import stats as st
 from murmur.operators import temporal as tm
-from murmur.operators.common import spread
+from murmur.operators.common import fits_broadcast, spread
 from murmur.plans import bindings as b
 from murmur.plans.q_spatial import POSTS_SQL, _matrix_sql, exact
 
@@ -18,12 +18,15 @@ from murmur.plans.registry import query, rounded
 from murmur.sources.tables import table
 
 W = r"[\p{L}\p{N}_]"
+LABELS = 48 << 20     # measured bytes up to which the labels are broadcast
 
 
 def lexicon(spark, sf):
-    """Words of the labelled documents (joined before they are exploded)."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).join(
-        table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    """Words of the labelled documents (joined before they are exploded; the
+    labels, three numbers each, go to the texts by broadcast up to 2 million)."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    few = fits_broadcast(labels, LABELS)
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).join(F.broadcast(labels) if few else labels, "doc_id")
     return se.derive_lexicon(d.select("doc_id", "quality", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower(F.coalesce("text", F.lit(""))), F.lit(f"{W}+"), 0))).alias("word")), doc_col="doc_id")
 

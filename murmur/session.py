@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,3 +91,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if int(str(plan.optimizedPlan().stats().sizeInBytes())) <= KNOWN_SIZE:
         return out
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
+
+
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Of a write inside, the shuffle files are removed when it has ended."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for frames with a row per document or more: the rows as
+    compressed files in the shared checkpoint folder, read again from there.
+    The shuffle files of the finished write are freed, so the disk holds those
+    of one step, never of all steps before it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

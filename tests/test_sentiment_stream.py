@@ -176,3 +176,44 @@ def test_lexicon_scores_without_broadcast(spark, lexicon):
         assert {r.id: r for r in se.lexicon_scores(df, "text", lexicon).collect()} == a
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("known", [0, 4, 500])
+def test_lexicon_too_large_for_a_broadcast(spark, lexicon, known, monkeypatch):
+    """Words beyond the broadcast ones are looked up by shuffle, as narrow rows."""
+    import random
+    rng = random.Random(known)
+    pool = ["good", "BAD", "great!", "(bad)", "very", "VERY", "not", "isn't", "but", "But,", "kinda", "SO", "the", "hardly", "HATE",
+            "sad...", "never", "?", "!!", "NOT", "nice", "Terrible", "win"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(0, 16))) for _ in range(200)] + [None, "", "good good", "x"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    columns = ["id", *se.LEX_COLS]
+    whole = {r.id: r for r in se.lexicon_scores(df, "text", lexicon, check_blank=False).select(columns).collect()}
+    monkeypatch.setattr(se, "fits_broadcast", lambda *a: False)
+    monkeypatch.setattr(se, "KNOWN", known)
+    assert {r.id: r for r in se.lexicon_scores(df, "text", lexicon, check_blank=False).select(columns).collect()} == whole
+
+
+def test_no_fat_token_rows_where_the_lexicon_is_large(spark, lexicon, monkeypatch):
+    """What is shuffled of a token beyond the broadcast words is its word, its
+    row and its states, never its neighbours or the digest of its text."""
+    df = spark.createDataFrame([(1, "a very good day, not BAD"), (2, "hate it")], "id int, text string")
+    monkeypatch.setattr(se, "fits_broadcast", lambda *a: False)
+    plan = se.lexicon_sums(df, F.col("text"), lexicon)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "_code" in plan and "Generate" not in plan and not any(f"{t}#" in plan for t in ("t1", "t2", "t3", "raw"))
+
+
+def test_labels_go_to_the_texts(spark, tmpdir_path):
+    from murmur.plans import q_models
+    spark.createDataFrame([(i, "a word or two") for i in range(9)], "doc_id bigint, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(7)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")     # what the planner itself would not broadcast
+    try:
+        lex = q_models.lexicon(spark, tmpdir_path)
+        plan = lex._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.word: r.valence for r in lex.collect()} == {w: 2.0 for w in ("a", "word", "or", "two")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
