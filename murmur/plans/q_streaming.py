@@ -9,6 +9,7 @@ from murmur.operators import schema as sc
 from murmur.operators import sentiment as se
 from murmur.operators.common import with_scalars
 from murmur.plans.registry import query, rounded
+from murmur.session import shuffles_freed, stored
 from murmur.sources.tables import utc_timestamps
 from murmur.streaming import jobs
 
@@ -51,7 +52,8 @@ def stm_04_stream_hourly_matrix(spark, sf):
 def _family(spark, df, files: int, name: str) -> str:
     """The rows as a family of files in the shared folder."""
     folder = f"{jobs.scratch(spark, name)[0]}/family"
-    df.repartition(files).write.parquet(folder)
+    with shuffles_freed(spark):
+        df.repartition(files).write.parquet(folder)
     return folder
 
 
@@ -113,8 +115,7 @@ def stm_02_stream_running_totals(spark, sf):
     """STM-2: lexicon scoring of the documents as a stream of files, with
     mergeable totals per label."""
     from murmur.plans.q_models import lexicon
-    from murmur.session import cut_lineage
-    lex = cut_lineage(lexicon(spark, sf))
+    lex = stored(lexicon(spark, sf))
     d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
     src = _family(spark, d, 4, "documents")
     out, ckpt = jobs.scratch(spark, "totals")

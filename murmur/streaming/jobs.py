@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from murmur.session import checkpoint_dir
+from murmur.session import checkpoint_dir, shuffles_freed
 
 
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -142,7 +142,8 @@ def score_stream(df: DataFrame, out: str, ckpt: str, *, score: Callable[[DataFra
     ``<out>/scored`` and its moments under ``<out>/moments``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = batch_folder(out, "scored", batch_id)
-        score(batch).write.mode("overwrite").parquet(folder)
+        with shuffles_freed(batch.sparkSession):
+            score(batch).write.mode("overwrite").parquet(folder)
         moments(batch.sparkSession.read.parquet(folder), group, value).coalesce(1).write.mode("overwrite").parquet(
             batch_folder(out, "moments", batch_id))
     run_batches(df, ckpt, write)
