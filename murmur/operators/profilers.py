@@ -21,7 +21,7 @@ from murmur.functions import text as tx
 from murmur.operators import rank as rk
 from murmur.operators.common import join_back, with_scalars
 from murmur.operators.temporal import hour_spine_counts, nearest_event_hours
-from murmur.session import cut_lineage
+from murmur.session import cut_lineage, stored
 
 
 # --- MAT-1 / MAT-2 ---------------------------------------------------------------
@@ -150,14 +150,14 @@ def digested_amplification(df: DataFrame, digests: dict[str, Column], user_col:
     and joined back to the rows once, on the text's digest (a text with many
     copies by broadcast). Texts themselves are never shuffled for the counts.
     ``digests`` are the columns of ``duplicate_digests``."""
-    seen = cut_lineage(df.select(
+    seen = stored(df.select(
         *[c.alias(k) for k, c in digests.items()],
         F.coalesce(F.col(user_col).cast("string"), F.lit("__MISSING_USER_ID__")).alias("_u"))
         .groupBy("_hx", "_hn", "near_duplicate_cluster_id", "_u").agg(F.count(F.lit(1)).alias("_n")))
     exact, normal, near, users = ("post_clean_exact_duplicate_count", "normalized_repetition_count",
                                   "near_duplicate_cluster_size", "cross_user_repetition_count")
     texts = seen.groupBy("_hx", "_hn", "near_duplicate_cluster_id").agg(F.sum("_n").alias(exact))
-    texts = cut_lineage(_repetition_risk_by_count(texts, exact, exact, "_r1"))
+    texts = stored(_repetition_risk_by_count(texts, exact, exact, "_r1"))
     by_normal = seen.groupBy("_hn", "_u").agg(F.sum("_n").alias("_n")).groupBy("_hn").agg(
         F.sum("_n").alias(normal), F.count(F.lit(1)).alias(users))
     by_normal = _repetition_risk_by_count(by_normal, normal, normal, "_r2")
@@ -166,9 +166,9 @@ def digested_amplification(df: DataFrame, digests: dict[str, Column], user_col:
     by_near = _repetition_risk_by_count(by_near, near, near, "_r3")
     for key, part in (("_hn", by_normal), ("near_duplicate_cluster_id", by_near)):
         held = texts.groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_texts"))
-        part = cut_lineage(part.join(held, F.col(key) == F.col("_hk")).drop("_hk"))
+        part = stored(part.join(held, F.col(key) == F.col("_hk")).drop("_hk"))
         texts = join_back(texts, part, {key: key}, "_texts")
-    texts = cut_lineage(texts.withColumn("_rows", F.col(exact)).withColumn(
+    texts = stored(texts.withColumn("_rows", F.col(exact)).withColumn(
         "duplicate_amplification_risk", available_mean([F.col(c) for c in ("_r1", "_r2", "_r3", "_r4")]))
         .drop("_r1", "_r2", "_r3", "_r4", "_hn"))
     out = join_back(df, texts, {"_hx": digests["_hx"]}, "_rows")
