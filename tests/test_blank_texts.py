@@ -16,7 +16,6 @@ def test_lexicon_output_counts_blank_texts(spark, tmpdir_path):
     assert set(got.values()) == {("pass", "0")}
 
 
-
 def test_rescoring_counts_blank_texts(spark, tmpdir_path):
     documents(spark, tmpdir_path)
     got = {r.check: (r.status, r.detail) for r in QUERIES["chk_06_09_closure_and_rescoring"](spark, tmpdir_path).collect()}
